@@ -1,0 +1,8 @@
+"""Training-data pipeline operators. Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Functions sent to Python workers carry this code with them, so executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
