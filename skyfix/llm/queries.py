@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm import substrings
+from skyfix.llm import chat, licenses, media, mixing, simhash, substrings
 from skyfix.llm.common import table
 
 
@@ -14,22 +16,110 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_turns(rows.unionByName(more)))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op1_substring_dedup"] = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
-  SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), s -> {'s': s, 'h': md5(array_to_string(ws[s:s + 19], ' '))})) AS x FROM w WHERE len(ws) >= 20
+  SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda s: {'s': s, 'h': md5(array_to_string(ws[s:s + 19], ' '))})) AS x FROM w WHERE len(ws) >= 20
 ), ranked AS (
   SELECT doc_id, x.s AS s, row_number() OVER (PARTITION BY x.h ORDER BY doc_id, x.s) AS n FROM win
 ), gone AS (
   SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM ranked WHERE n > 1) GROUP BY doc_id
 ), kept AS (
-  SELECT w.doc_id, ws, CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN gone USING (doc_id)
+  SELECT w.doc_id, ws, CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN gone USING (doc_id)
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
 """
 
+SQL["op3_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 14))::BIGINT AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source
+), c AS (
+  SELECT *, CASE (rk - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM s
+), l AS (
+  SELECT *, cap / w AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM c WINDOW b AS (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT level AS free FROM l WHERE ratio >= level ORDER BY ratio, rk LIMIT 1
+), t AS (
+  SELECT source, source_size, least(cap, free * w) AS target, floor(least(cap, free * w) / nullif(source_size, 0)) AS passes FROM l, f
+), r AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM d
+)
+SELECT doc_id, size, source_size, target, (size * (coalesce(passes, 0) + CASE WHEN upto <= target - coalesce(passes, 0) * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+"""
+
+_CONTROL = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in sorted(chat.CONTROL, key=len, reverse=True))
+
+SQL["op2_chat_format"] = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + length(text) + {sum(map(len, chat.MARKS))} + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def _license_sql() -> str:
+    phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()!r} AS p" for p, label in licenses.PHRASES.items())
+    sets = {label: sorted(set(t.split())) for label, t in licenses.TEMPLATES.items()}
+    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {t!r} AS t, {licenses.needed(len(t), licenses.THRESHOLD)} AS o" for label, t in sets.items())
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    split = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH p AS ({phrases}), t AS ({templates}),
+d AS (SELECT doc_id, {split.format(lower.format("coalesce(text, '')"))} AS ws, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - len(p) + 1), lambda i: ws[i + 1:i + len(p)] = p)) AS pos FROM d, p WHERE list_contains(ws, p[1])
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM found GROUP BY doc_id
+), lines AS (SELECT doc_id, {split.format("l")} AS b FROM (SELECT doc_id, unnest(string_split({lower.format('text')}, chr(10))) AS l FROM d)),
+met AS (
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t)::DOUBLE AS c FROM lines, t WHERE len(list_intersect(b, t)) >= o
+), more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, array_to_string(coalesce(base.labels, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+SQL["op6_licenses"] = _license_sql()
+
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op6_licenses, op8_simhash)}
