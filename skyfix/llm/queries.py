@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm import chat, licenses, media, mixing, simhash, substrings
-from skyfix.llm.common import table
+from skyfix.llm import chat, langid, licenses, media, mixing, simhash, substrings, toxicity
+from skyfix.llm.common import fold, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs.filter(fold() != langid.HELD_OUT)))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents"))
     return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
@@ -41,6 +46,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op1_substring_dedup"] = r"""
@@ -122,4 +133,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 SQL["op6_licenses"] = _license_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op6_licenses, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op8_simhash, op9_toxicity)}
