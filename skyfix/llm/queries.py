@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm import chat, langid, licenses, media, mixing, simhash, substrings, toxicity
+from skyfix.llm import chat, decontam, langid, licenses, media, mixing, secrets, simhash, substrings, toxicity
 from skyfix.llm.common import fold, table
 
 
@@ -41,6 +41,12 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    found = F.filter("findings", lambda f: secrets.is_secret(f))
+    return out.select("doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(found).cast("long").alias("n_secrets"), F.sha2(secrets.masked(), 256).alias("masked_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -52,6 +58,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op1_substring_dedup"] = r"""
@@ -133,4 +144,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 SQL["op6_licenses"] = _license_sql()
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op8_simhash, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op7_secrets, op8_simhash, op9_toxicity, op10_decontam)}

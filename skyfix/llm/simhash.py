@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyfix.llm.common import materialise
@@ -63,15 +63,15 @@ def _fingerprints(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint_bytes((t.as_py() or "").encode(), size) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return scan
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
+    """doc_id, text_hash, fp (the fingerprint's 64 bits as a long) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_fingerprints(size), "doc_id long, text_hash long, fp long")
 
 
 def _masks(bits: int, blocks: int, radius: int) -> list[int]:
@@ -192,15 +192,31 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the linked documents) of every row."""
+    """doc_id, text_hash, fp, root and component_id of every row.
+
+    component_id is the smallest doc_id of the linked documents, root their smallest fingerprint.
+    """
     marked = materialise(fingerprints(docs, size), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
     of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
     of = materialise(of, "roots")
     lows = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialise(of.join(lows, "root").select("fp", "component_id"), "components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialise(of.join(lows, "root").select("fp", "root", "component_id"), "components")
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of docs, unchanged, for each group of linked documents: the one with the smallest doc_id.
+
+    Of several texts with that id the one with the smallest hash stays, and of repeated rows one.
+    """
+    kept = near_duplicates(docs, size, radius).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    kept = materialise(kept.select(F.col("row.doc_id").alias("_of"), F.col("row.text_hash").alias("_of_hash")), "kept")
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), "left_semi")
+    order = Window.partitionBy("doc_id", "_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:
