@@ -29,3 +29,31 @@ def top_k_batch(bank: DataFrame, frames: DataFrame, k: int) -> DataFrame:
     scored = bank.crossJoin(F.broadcast(frames)).select("frame_id", "tile_id", dot(l2_normalise(F.col("query")), l2_normalise(F.col("embedding"))).alias("s"))
     order = Window.partitionBy("frame_id").orderBy(F.desc("s"), "tile_id")
     return scored.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("frame_id", "tile_id", F.round("s", 6).alias("similarity"), "rk")
+
+
+def top_k(bank: DataFrame, frame: DataFrame, k: int) -> DataFrame:
+    """tile_id, similarity of the k tiles most similar to one frame (a row with column query)."""
+    scored = bank.crossJoin(F.broadcast(frame)).select("tile_id", dot(l2_normalise(F.col("query")), l2_normalise(F.col("embedding"))).alias("s"))
+    return scored.orderBy(F.desc("s"), "tile_id").limit(k).select("tile_id", F.round("s", 6).alias("similarity"))
+
+
+def multi_domain_union(bank: DataFrame, sources: list[tuple[str, DataFrame, int]], most: int) -> DataFrame:
+    """tile_id, similarity, sources, place: the union of every source's top tiles, one row a tile.
+
+    sources: name, frame and k, the primary one first. A tile keeps its largest similarity and its
+    sources in order, and stands where its first sighting stood.
+    """
+    hits = None
+    for i, (name, frame, k) in enumerate(sources):
+        found = top_k_batch(bank, frame, k).select("tile_id", "similarity", F.lit(name).alias("source"), F.lit(i).alias("src"), "rk")
+        hits = found if hits is None else hits.unionByName(found)
+    merged = hits.groupBy("tile_id").agg(F.max("similarity").alias("similarity"), F.min(F.struct("src", "rk")).alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("src", "source"))), lambda s: s["source"]).alias("sources"))
+    # at most the sum of the k's rows reach this one ordering
+    order = Window.partitionBy(F.lit(0)).orderBy("first")
+    return merged.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("tile_id", "similarity", "sources", "place")
+
+
+def summary(hits: DataFrame) -> DataFrame:
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources"))))
+    out = hits.agg(F.count(F.lit(1)).alias("candidate_count"), F.coalesce(F.max("similarity"), F.lit(0.0)).alias("max_similarity"), names.alias("sources"))
+    return out.withColumn("multi_domain", F.size("sources") > 1)

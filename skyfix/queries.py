@@ -1,31 +1,686 @@
-"""Queries over the driver's tables, one for each operator, and the same as DuckDB SQL."""
+"""Queries over the driver's tables, one for each operator, and the same as DuckDB SQL.
+
+The rows are synthetic stand-ins (skyfix.sources.standins), not localizations.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfix.functions import geo, geometry
+from skyfix.functions import scores as S
+from skyfix.operators import clustering, matching, retrieval, scoring, tiling, verdict
+from skyfix.plans import evaluation, mission
+from skyfix.sources import standins as X
+from skyfix.streaming import stages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skyfix.operators import retrieval
+def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# ---------------------------------------------------------------- SQL pieces of the oracles
+
+
+def clamp(x: str) -> str:
+    return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN isnan({x}) THEN 0.0 ELSE least(1.0, greatest(0.0, {x})) END)"
+
+
+def sat(x: str, half: float) -> str:
+    return f"(greatest(0.0, ({x})::DOUBLE) / (greatest(0.0, ({x})::DOUBLE) + {half}))"
 
-    bank = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile_id"), "embedding")
-    frames = bank.filter(F.col("tile_id").isin(0, 1, 2, 3)).select(F.col("tile_id").alias("frame_id"), F.col("embedding").alias("query"))
-    return retrieval.top_k_batch(bank, frames, 8)
 
+def r_retrieval(x: str) -> str:
+    return clamp(f"({x} - 0.30::DOUBLE) / 0.60::DOUBLE")
 
-SQL: dict[str, str] = {
-    "cosine_topk_batch": """
+
+def r_inliers(n: str, ratio: str) -> str:
+    return clamp(f"0.6::DOUBLE * {sat(n, 45.0)} + 0.4::DOUBLE * {clamp(f'{ratio} / 0.60::DOUBLE')}")
+
+
+def r_geometry(e: str, shear: str, valid: str) -> str:
+    inner = clamp(f"0.75::DOUBLE * exp(-{e} / 12.0::DOUBLE) + 0.25::DOUBLE * {clamp(f'1.0 - {shear} / 0.7::DOUBLE')}")
+    return f"(CASE WHEN {valid} AND {e} IS NOT NULL THEN {inner} ELSE 0.0 END)"
+
+
+def r_coverage(x: str) -> str:
+    return clamp(f"{x} / 0.60::DOUBLE")
+
+
+def r_ambiguity(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} IS NULL THEN 1.0 ELSE {clamp(f'({a} - {b}) / 0.25::DOUBLE')} END)"
+
+
+def r_geo(a: str, b: str, c: str, valid: str) -> str:
+    raw = f"(0.45::DOUBLE * {a} + 0.35::DOUBLE * {b} + 0.20::DOUBLE * {c})"
+    return clamp(f"CASE WHEN {valid} THEN {raw} ELSE {raw} * 0.25::DOUBLE END")
+
+
+COMPONENTS = f"""
+SELECT *, {r_retrieval('similarity')} AS c_retrieval, {r_inliers('inliers', 'ratio')} AS c_inliers, {r_geometry('error', 'shear', 'valid')} AS c_geometry, {r_coverage('coverage')} AS c_coverage
+FROM ({X.CANDIDATES}) c0
+"""
+SCORED = f"SELECT *, {r_geo('c_inliers', 'c_geometry', 'c_coverage', 'valid')} AS geo FROM ({COMPONENTS}) c1"
+RADIUS = 120.0
+RUNNER = f"""
+SELECT a.job_id, a.candidate_id, min_by(b.geo, b.rk) AS runner_up
+FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS rk FROM ({SCORED}) s) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS rk FROM ({SCORED}) s) b
+  ON a.job_id = b.job_id AND b.rk > a.rk AND NOT coalesce(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {RADIUS}, false)
+GROUP BY 1, 2
+"""
+FINAL = f"""
+SELECT *, CASE WHEN valid THEN f ELSE least(f, 0.35::DOUBLE) END AS final FROM (
+  SELECT s.*, runner_up, {r_ambiguity('geo', 'runner_up')} AS c_ambiguity,
+         {clamp(f"0.15::DOUBLE * c_retrieval + 0.30::DOUBLE * c_inliers + 0.25::DOUBLE * c_geometry + 0.15::DOUBLE * c_coverage + 0.15::DOUBLE * {r_ambiguity('geo', 'runner_up')}")} AS f
+  FROM ({SCORED}) s LEFT JOIN ({RUNNER}) r USING (job_id, candidate_id)) z
+"""
+
+
+def _scored(spark, sf_dir):
+    return scoring.evaluate(X.read(spark, sf_dir, X.CANDIDATES))
+
+
+# ---------------------------------------------------------------- retrieval
+
+COSINE = "list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def _bank(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile_id"), "embedding", "label")
+
+
+def _frames(bank, *ids):
+    return bank.filter(F.col("tile_id").isin(*ids)).select(F.col("tile_id").alias("frame_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""
 SELECT frame_id, tile_id, round(s, 6) AS similarity, rk::INT AS rk FROM (
-  SELECT q.vec_id AS frame_id, b.vec_id AS tile_id, list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s,
-         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rk
-  FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id IN (0, 1, 2, 3))
-WHERE rk <= 8
+  SELECT q.vec_id AS frame_id, b.vec_id AS tile_id, {COSINE} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rk
+  FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id IN (0, 1, 2, 3)) WHERE rk <= 8""")
+def cosine_topk_batch(spark, sf_dir):
+    bank = _bank(spark, sf_dir)
+    return retrieval.top_k_batch(bank, _frames(bank, 0, 1, 2, 3), 8)
+
+
+@query(f"SELECT b.vec_id AS tile_id, round({COSINE}, 6) AS similarity FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id = 5 ORDER BY {COSINE} DESC, b.vec_id LIMIT 8")
+def cosine_topk(spark, sf_dir):
+    bank = _bank(spark, sf_dir)
+    return retrieval.top_k(bank, _frames(bank, 5), 8)
+
+
+@query(f"""
+SELECT b.vec_id AS tile_id, round({COSINE}, 6) AS similarity FROM embeddings q CROSS JOIN embeddings b
+WHERE q.vec_id = 5 AND b.label IN (1, 2) ORDER BY {COSINE} DESC, b.vec_id LIMIT 5""")
+def region_topk(spark, sf_dir):
+    bank = _bank(spark, sf_dir)
+    return retrieval.top_k(bank.filter(F.col("label").isin(1, 2)), _frames(bank, 5), 5)
+
+
+UNION = f"""
+WITH s AS (
+  SELECT q.vec_id AS f, b.vec_id AS tile_id, {COSINE} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rk
+  FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id IN (5, 6, 7)
+), h AS (
+  SELECT *, CASE f WHEN 5 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS src, CASE f WHEN 5 THEN 'rgb' WHEN 6 THEN 'map' ELSE 'structural' END AS name FROM s WHERE rk <= CASE f WHEN 5 THEN 8 ELSE 10 END
+), u AS (
+  SELECT tile_id, round(max(s), 6) AS similarity, array_to_string(list(name ORDER BY src), ',') AS sources, min(src * 1000 + rk) AS first FROM h GROUP BY tile_id
+)
+SELECT tile_id, similarity, sources, row_number() OVER (ORDER BY first)::INT AS place FROM u QUALIFY row_number() OVER (ORDER BY first) <= 18
 """
-}
 
-QUERIES = {f.__name__: f for f in (cosine_topk_batch,)}
+
+@query(UNION)
+def multi_domain_union(spark, sf_dir):
+    bank = _bank(spark, sf_dir)
+    hits = retrieval.multi_domain_union(bank, [("rgb", _frames(bank, 5), 8), ("map", _frames(bank, 6), 10), ("structural", _frames(bank, 7), 10)], 18)
+    return hits.select("tile_id", "similarity", F.array_join("sources", ",").alias("sources"), "place")
+
+
+@query(f"""
+SELECT count(*) AS candidate_count, max(similarity) AS max_similarity, (SELECT array_to_string(list_sort(list(DISTINCT x)), ',') FROM (SELECT unnest(string_split(sources, ',')) AS x FROM ({UNION}))) AS sources,
+       (SELECT count(DISTINCT x) > 1 FROM (SELECT unnest(string_split(sources, ',')) AS x FROM ({UNION}))) AS multi_domain FROM ({UNION})""")
+def retrieval_summary(spark, sf_dir):
+    bank = _bank(spark, sf_dir)
+    hits = retrieval.multi_domain_union(bank, [("rgb", _frames(bank, 5), 8), ("map", _frames(bank, 6), 10), ("structural", _frames(bank, 7), 10)], 18)
+    return retrieval.summary(hits).withColumn("sources", F.array_join("sources", ","))
+
+
+# ---------------------------------------------------------------- tiling
+
+
+def _positions(total: str, side: str) -> str:
+    step = f"greatest(1, round_even({side} * 0.65::DOUBLE, 0)::INT)"
+    return f"(CASE WHEN {side} >= {total} THEN [0] ELSE list_distinct(list_concat(range(0, ({total} - {side} + 1)::INT, {step}), [({total} - {side})::INT])) END)"
+
+
+TILES = f"""
+SELECT map_id, (row_number() OVER (PARTITION BY map_id ORDER BY scale, y, x) - 1)::INT AS tile_id, x::INT AS x, y::INT AS y, least(side, map_w - x)::INT AS width, least(side, map_h - y)::INT AS height, scale FROM (
+  SELECT *, unnest({_positions('map_w', 'side')}) AS x FROM (
+    SELECT *, unnest({_positions('map_h', 'side')}) AS y FROM (
+      SELECT *, greatest(64, least(round_even(sqrt(scale * map_w * map_h), 0)::INT, least(map_w, map_h)))::INT AS side FROM (
+        SELECT *, unnest([0.08, 0.10, 0.12, 0.15, 0.18, 0.20, 0.25]::DOUBLE[]) AS scale FROM ({X.MAPS}) m) a) b) c) d
+"""
+
+
+def _tiles(spark, sf_dir):
+    return tiling.tile_grid(X.read(spark, sf_dir, X.MAPS))
+
+
+@query(TILES)
+def tile_grid(spark, sf_dir):
+    return _tiles(spark, sf_dir)
+
+
+BUDGET = f"""
+SELECT map_id, (row_number() OVER (PARTITION BY map_id ORDER BY tile_id) - 1)::INT AS tile_id, x, y, width, height, scale FROM (
+  SELECT t.* FROM ({TILES}) t JOIN (SELECT map_id, count(*) AS n FROM ({TILES}) GROUP BY 1) c USING (map_id)
+  WHERE n <= 40 OR tile_id IN (SELECT round_even(i * ((n - 1) / 39::DOUBLE), 0)::INT FROM range(40) r(i)))
+"""
+
+
+@query(BUDGET)
+def tile_grid_budget(spark, sf_dir):
+    return tiling.within_budget(_tiles(spark, sf_dir), 40)
+
+
+@query(f"SELECT map_id, min(x) AS x_min, min(y) AS y_min, max(x + width) AS x_max, max(y + height) AS y_max FROM ({TILES}) GROUP BY 1")
+def tile_bounds(spark, sf_dir):
+    return tiling.bounds(_tiles(spark, sf_dir))
+
+
+_REGION = "x < 800 AND x + width > 600 AND y < 900 AND y + height > 700"
+
+
+@query(f"SELECT map_id, tile_id, x, y FROM ({TILES}) WHERE {_REGION}")
+def region_filter(spark, sf_dir):
+    return tiling.in_region(_tiles(spark, sf_dir), 600, 700, 200, 200).select("map_id", "tile_id", "x", "y")
+
+
+@query(f"SELECT map_id, tile_id, x, y FROM (SELECT *, count(*) FILTER ({_REGION}) OVER (PARTITION BY map_id) AS hits FROM ({TILES})) WHERE hits = 0 OR {_REGION}")
+def region_fallback(spark, sf_dir):
+    return tiling.in_region_or_all(_tiles(spark, sf_dir), 600, 700, 200, 200).select("map_id", "tile_id", "x", "y")
+
+
+@query(f"SELECT map_id, tile_id, x + width // 2 AS center_x, y + height // 2 AS center_y, x + width AS x2, y + height AS y2 FROM ({TILES})")
+def tile_center(spark, sf_dir):
+    out = tiling.with_center(_tiles(spark, sf_dir))
+    return out.select("map_id", "tile_id", "center_x", "center_y", F.col("polygon")[2][0].alias("x2"), F.col("polygon")[2][1].alias("y2"))
+
+
+@query(f"SELECT map_id, map_w, map_h, least(map_w, map_h) >= 700 AS admitted, least(1.0, 2000 / greatest(map_w, map_h)::DOUBLE) AS shrink FROM ({X.MAPS})")
+def map_admission(spark, sf_dir):
+    maps = X.read(spark, sf_dir, X.MAPS)
+    return maps.select("map_id", "map_w", "map_h", (F.least("map_w", "map_h") >= 700).alias("admitted"), F.least(F.lit(1.0), F.lit(2000.0) / F.greatest("map_w", "map_h")).alias("shrink"))
+
+
+# ---------------------------------------------------------------- matching and geometry
+
+
+@query("""
+WITH q AS (SELECT label AS g, vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 2 = 0),
+t AS (SELECT label AS g, vec_id AS target_id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1),
+d AS (SELECT g, query_id, target_id, list_distance(q.e::DOUBLE[], t.e::DOUBLE[]) AS d, row_number() OVER (PARTITION BY g, query_id ORDER BY list_distance(q.e::DOUBLE[], t.e::DOUBLE[]), target_id) AS n FROM q JOIN t USING (g)),
+m AS (SELECT g, query_id, min_by(target_id, n) AS target_id, min(d) AS d1, max(d) AS d2, count(*) AS c FROM d WHERE n <= 2 GROUP BY 1, 2)
+SELECT g::INT AS "group", query_id, target_id, round(1 - d1 / greatest(d2, 1e-6), 9) AS confidence FROM m WHERE c = 2 AND d1 < 0.95::DOUBLE * d2
+""")
+def knn_ratio_match(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("descriptor"))
+    return _rounded(matching.knn_ratio_match(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), ratio=0.95))
+
+
+@query("""
+SELECT p_partkey AS job_id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey % 14 END AS learned, p_partkey % 11 AS classical,
+       CASE WHEN p_partkey % 5 <> 0 AND (p_partkey % 14 >= 8 OR p_partkey % 11 <= p_partkey % 14) THEN 'learned' ELSE 'classical' END AS backend FROM part""")
+def match_dispatch(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("job_id"), F.expr("case when p_partkey % 5 = 0 then null else p_partkey % 14 end").alias("learned"), F.expr("p_partkey % 11").alias("classical"))
+    return matching.dispatch(part)
+
+
+@query(f"""
+SELECT candidate_id, k, qx, qy, CASE k WHEN 1 THEN 639 - qy WHEN 2 THEN 639 - qx WHEN 3 THEN qy ELSE qx END AS ux,
+       CASE k WHEN 1 THEN qx WHEN 2 THEN 479 - qy WHEN 3 THEN 479 - qx ELSE qy END AS uy FROM ({X.POINTS})""")
+def unrotate_points(spark, sf_dir):
+    p = X.read(spark, sf_dir, X.POINTS)
+    ux, uy = geometry.unrotate(F.col("qx"), F.col("qy"), F.col("k"), F.lit(640), F.lit(480))
+    return p.select("candidate_id", "k", "qx", "qy", ux.alias("ux"), uy.alias("uy"))
+
+
+ATTEMPTS = "SELECT l_orderkey AS job_id, l_partkey % 5 AS candidate_id, l_linenumber % 4 AS rotation, max((l_suppkey % 3 = 0)::INT)::BOOL AS valid, max(l_suppkey % 50) AS inliers FROM lineitem GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT job_id, candidate_id, rotation, valid, inliers FROM ({ATTEMPTS}) QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY valid DESC, inliers DESC, rotation) = 1")
+def best_rotation(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.expr("l_partkey % 5").alias("candidate_id"), F.expr("l_linenumber % 4").alias("rotation"))
+    return scoring.best_rotation(li.agg(F.max(F.expr("l_suppkey % 3 = 0")).alias("valid"), F.max(F.expr("l_suppkey % 50")).alias("inliers")))
+
+
+def _w(x: str, y: str) -> str:
+    return f"nullif(h6 * {x} + h7 * {y} + h8, 0.0)"
+
+
+def _px(x: str, y: str) -> str:
+    return f"((h0 * {x} + h1 * {y} + h2) / {_w(x, y)})"
+
+
+def _py(x: str, y: str) -> str:
+    return f"((h3 * {x} + h4 * {y} + h5) / {_w(x, y)})"
+
+
+_FRAME = [("0.0", "0.0"), ("640.0", "0.0"), ("640.0", "480.0"), ("0.0", "480.0")]
+_CORNERS = ", ".join(f"{_px(x, y)} AS x{i}, {_py(x, y)} AS y{i}" for i, (x, y) in enumerate(_FRAME))
+PROJECTED = f"SELECT *, {_CORNERS} FROM ({X.HOMOGRAPHIES})"
+
+
+def _h():
+    return [F.col(f"h{i}") for i in range(9)]
+
+
+def _corners():
+    return [geometry.project(_h(), x, y) for x, y in geometry.frame_corners(F.lit(640), F.lit(480))]
+
+
+@query("SELECT h_id, " + ", ".join(f"round(x{i}, 9) AS x{i}, round(y{i}, 9) AS y{i}" for i in range(4)) + f" FROM ({PROJECTED})")
+def apply_homography(spark, sf_dir):
+    h = X.read(spark, sf_dir, X.HOMOGRAPHIES)
+    return h.select("h_id", *[F.round(c, 9).alias(f"{a}{i}") for i, p in enumerate(_corners()) for a, c in zip("xy", p, strict=True)])
+
+
+_CROSS = ", ".join(f"(x{(i + 1) % 4} - x{i}) * (y{(i + 2) % 4} - y{(i + 1) % 4}) - (y{(i + 1) % 4} - y{i}) * (x{(i + 2) % 4} - x{(i + 1) % 4})" for i in range(4))
+_EDGES = ", ".join(f"sqrt((x{(i + 1) % 4} - x{i}) ** 2 + (y{(i + 1) % 4} - y{i}) ** 2) AS e{i}" for i in range(4))
+_AREA = " + ".join(f"(x{i} * y{(i + 1) % 4} - x{(i + 1) % 4} * y{i})" for i in range(4))
+GATES = f"""
+SELECT *, CASE WHEN NOT (least({_CROSS}) > 0 OR greatest({_CROSS}) < 0) THEN 'non_convex_projection' WHEN scale <= 1e-3 THEN 'degenerate_scale'
+  WHEN scale_ratio < 0.04 OR scale_ratio > 25 THEN 'implausible_scale_ratio' WHEN shear > 0.7 THEN 'excessive_shear' WHEN least(e0, e1, e2, e3) < 1e-6 THEN 'degenerate_edges'
+  WHEN greatest(e0, e2) / greatest(least(e0, e2), 1e-6) > 4 OR greatest(e1, e3) / greatest(least(e1, e3), 1e-6) > 4 THEN 'extreme_perspective' END AS structural,
+  CASE WHEN inliers < 15 THEN 'below_min_inliers' WHEN ratio < 0.30::DOUBLE THEN 'below_min_inlier_ratio' WHEN error > 12 THEN 'reprojection_error_too_high' WHEN coverage < 0.25 THEN 'features_too_concentrated' END AS strength
+FROM (SELECT *, {_EDGES}, abs({_AREA}) / 2 AS area, abs({_AREA}) / 2 / 307200.0::DOUBLE AS scale_ratio, sqrt(sqrt(h0 * h0 + h3 * h3) * sqrt(h1 * h1 + h4 * h4)) AS scale,
+        degrees(atan2(h3, h0)) AS rotation, abs(h0 * h1 + h3 * h4) / (sqrt(h0 * h0 + h3 * h3) * sqrt(h1 * h1 + h4 * h4)) AS shear FROM ({PROJECTED}))
+"""
+
+
+@query(f"""
+SELECT h_id, round(area, 3) AS area, round(scale, 9) AS scale, round(rotation, 9) AS rotation, round(shear, 9) AS shear, structural, strength,
+       CASE WHEN structural IS NOT NULL THEN 'rejected' WHEN strength IS NOT NULL THEN 'partial' ELSE 'verified' END AS verdict FROM ({GATES})""")
+def polygon_gates(spark, sf_dir):
+    h = X.read(spark, sf_dir, X.HOMOGRAPHIES)
+    scale, rotation, shear = geometry.affine_parts(_h())
+    flat = {f"{a}{i}": c for i, p in enumerate(_corners()) for a, c in zip("xy", p, strict=True)}
+    h = h.withColumns(flat | {"scale": scale, "rotation": rotation, "shear": shear})
+    points = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
+    h = h.withColumn("area", geometry.polygon_area(points))
+    scale, rotation, shear, area = map(F.col, ("scale", "rotation", "shear", "area"))
+    structural = geometry.structural_rejection(points, scale, area / 307200.0, shear)
+    strength = geometry.strength_rejection(F.col("inliers"), F.col("ratio"), F.col("error"), F.col("coverage"))
+    out = h.select("h_id", F.round(area, 3).alias("area"), F.round(scale, 9).alias("scale"), F.round(rotation, 9).alias("rotation"), F.round(shear, 9).alias("shear"), structural.alias("structural"), strength.alias("strength"))
+    return out.withColumn("verdict", geometry.verdict_label(F.col("structural"), F.col("strength")))
+
+
+@query(f"""
+SELECT h_id, round(h0 * 0.5 / 0.25, 9) AS s0, round(h2 / 0.25, 9) AS s2, round(h6 * 0.5, 9) AS s6, round(h0 + 12 * h6, 9) AS t0, round(h5 - 7 * h8, 9) AS t5,
+       round_even(least(greatest({_px('320.0', '240.0')}, -400.0), 800.0), 0)::INT AS cx, round_even(least(greatest({_py('320.0', '240.0')}, -300.0), 600.0), 0)::INT AS cy FROM ({X.HOMOGRAPHIES})""")
+def rescale_translate_clamp(spark, sf_dir):
+    h = X.read(spark, sf_dir, X.HOMOGRAPHIES)
+    s, t = geometry.rescale(_h(), F.lit(0.5), F.lit(0.25)), geometry.translate(_h(), F.lit(12.0), F.lit(-7.0))
+    x, y = geometry.project(_h(), F.lit(320.0), F.lit(240.0))
+    return h.select("h_id", F.round(s[0], 9).alias("s0"), F.round(s[2], 9).alias("s2"), F.round(s[6], 9).alias("s6"), F.round(t[0], 9).alias("t0"), F.round(t[5], 9).alias("t5"), geometry.clamp_pixel(x, F.lit(400)).alias("cx"), geometry.clamp_pixel(y, F.lit(300)).alias("cy"))
+
+
+@query(f"""
+SELECT candidate_id, count(DISTINCT (least(greatest(trunc(qx / 640 * 4)::INT, 0), 3), least(greatest(trunc(qy / 480 * 4)::INT, 0), 3))) AS cells,
+       count(DISTINCT (least(greatest(trunc(qx / 640 * 4)::INT, 0), 3), least(greatest(trunc(qy / 480 * 4)::INT, 0), 3))) / 16.0::DOUBLE AS coverage FROM ({X.POINTS}) GROUP BY 1""")
+def spatial_coverage(spark, sf_dir):
+    cell = geometry.grid_cell(F.col("qx"), F.lit(640.0)) * 4 + geometry.grid_cell(F.col("qy"), F.lit(480.0))
+    return X.read(spark, sf_dir, X.POINTS).groupBy("candidate_id").agg(F.count_distinct(cell).alias("cells")).withColumn("coverage", F.col("cells") / 16.0)
+
+
+@query(f"""
+SELECT candidate_id, count(*) AS raw_matches, count(*) FILTER (err < 30) AS inliers, round(avg(err) FILTER (err < 30), 9) AS error,
+       round(quantile_cont(err, 0.5) FILTER (err < 30), 9) AS error_median, round(quantile_cont(err, 0.9) FILTER (err < 30), 9) AS error_p90 FROM ({X.POINTS}) GROUP BY 1""")
+def inlier_metrics(spark, sf_dir):
+    inside = F.when(F.col("err") < 30, F.col("err"))
+    return _rounded(X.read(spark, sf_dir, X.POINTS).groupBy("candidate_id").agg(F.count(F.lit(1)).alias("raw_matches"), F.count(inside).alias("inliers"), F.avg(inside).alias("error"), F.percentile(inside, 0.5).alias("error_median"), F.percentile(inside, 0.9).alias("error_p90")))
+
+
+NUMBERED = "SELECT user_id AS g, event_id AS point_id FROM events"
+
+
+@query(f"""
+SELECT g AS "group", point_id FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM ({NUMBERED})) z
+WHERE n <= 25 OR i IN (SELECT round_even(k * ((n - 1) / 24::DOUBLE), 0)::BIGINT FROM range(25) r(k))""")
+def inlier_sample(spark, sf_dir):
+    return matching.inlier_sample(_table(spark, sf_dir, "events").select(F.col("user_id").alias("group"), F.col("event_id").alias("point_id")), 25)
+
+
+@query()
+def ransac_homography(spark, sf_dir):
+    """Noisy images of points under a known homography, a fifth of them outliers; rows-only."""
+    h = [1.1, 0.05, 100.0, -0.04, 0.95, 60.0, 1e-5, 2e-5, 1.0]
+    p = X.read(spark, sf_dir, X.POINTS).filter("candidate_id % 20 = 0").withColumn("group", F.expr("candidate_id % 400"))
+    tx, ty = geometry.project([F.lit(v) for v in h], F.col("qx"), F.col("qy"))
+    off = F.when(F.expr("pmod(xxhash64(qx, qy), 5) = 0"), F.lit(500.0)).otherwise(F.expr("pmod(xxhash64(qy, qx), 7) / 7.0D"))
+    return matching.estimate_homographies(p.select("group", "qx", "qy", (tx + off).alias("tx"), (ty + off).alias("ty")), 640, 480)
+
+
+# ---------------------------------------------------------------- scores, clusters, verdicts
+
+
+@query(f"SELECT job_id, candidate_id, round(c_retrieval, 9) AS c_retrieval, round(c_inliers, 9) AS c_inliers, round(c_geometry, 9) AS c_geometry, round(c_coverage, 9) AS c_coverage, round(geo, 9) AS geo FROM ({SCORED})")
+def candidate_score(spark, sf_dir):
+    return _rounded(_scored(spark, sf_dir).select("job_id", "candidate_id", "c_retrieval", "c_inliers", "c_geometry", "c_coverage", "geo"))
+
+
+@query(f"SELECT job_id, candidate_id, round(runner_up, 9) AS runner_up FROM ({SCORED}) s LEFT JOIN ({RUNNER}) r USING (job_id, candidate_id)")
+def distinct_runner_up(spark, sf_dir):
+    return _rounded(scoring.with_runner_up(_scored(spark, sf_dir), RADIUS).select("job_id", "candidate_id", "runner_up"))
+
+
+@query(f"SELECT job_id, candidate_id, round(final, 9) AS final, (row_number() OVER (PARTITION BY job_id ORDER BY final DESC, geo DESC, candidate_id))::INT AS rank FROM ({FINAL})")
+def finalize_rank(spark, sf_dir):
+    return _rounded(scoring.finalize(_scored(spark, sf_dir), RADIUS).select("job_id", "candidate_id", "final", "rank"))
+
+
+@query()
+def cluster_assign(spark, sf_dir):
+    """The greedy fold; its oracle is a plain-Python twin in the tests."""
+    return clustering.assign(_scored(spark, sf_dir), RADIUS).select("job_id", "candidate_id", "cluster_id")
+
+
+# a cluster here is a cell of a coarse grid, so that SQL can state it
+CELLS = f"SELECT *, floor(coalesce(x, 2000) / 450)::INT * 8 + floor(y / 450)::INT AS cluster_id, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS ord FROM ({FINAL})"
+
+
+def _cells(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("geo"), "candidate_id"))
+    cell = (F.floor(F.coalesce("x", F.lit(2000.0)) / 450) * 8 + F.floor(F.col("y") / 450)).cast("int")
+    return scoring.finalize(_scored(spark, sf_dir), RADIUS).withColumn("cluster_id", cell).withColumn("order", order)
+
+
+CLUSTERS = f"""
+SELECT job_id, cluster_id, support, members, similarity, raw_matches, inliers, coverage, error, valid, partial, representative_id, tile_id, shear,
+       CASE WHEN valid THEN inliers / greatest(raw_matches, 1)::DOUBLE ELSE 0.0 END AS ratio, CASE WHEN NOT valid THEN CASE WHEN partial THEN pr ELSE rr END END AS rejection FROM (
+  SELECT job_id, cluster_id, count(*) FILTER (valid) AS support, count(*) AS members, max(similarity) AS similarity,
+    CASE WHEN bool_or(valid) THEN sum(raw_matches) FILTER (valid) ELSE max(raw_matches) END AS raw_matches, coalesce(sum(inliers) FILTER (valid), 0) AS inliers,
+    CASE WHEN bool_or(valid) THEN max(coverage) FILTER (valid) ELSE max(coverage) END AS coverage,
+    sum(error * inliers) FILTER (valid AND error IS NOT NULL) / nullif(sum(inliers) FILTER (valid AND error IS NOT NULL), 0) AS error,
+    bool_or(valid) AS v0, bool_or(valid) AS valid, NOT bool_or(valid) AND bool_or(partial) AS partial,
+    first(candidate_id ORDER BY valid DESC, partial DESC, CASE WHEN final > 0 THEN final ELSE geo END DESC, ord) AS representative_id,
+    first(tile_id ORDER BY valid DESC, partial DESC, CASE WHEN final > 0 THEN final ELSE geo END DESC, ord) AS tile_id,
+    first(shear ORDER BY valid DESC, partial DESC, CASE WHEN final > 0 THEN final ELSE geo END DESC, ord) AS shear,
+    first(rejection ORDER BY valid DESC, partial DESC, CASE WHEN final > 0 THEN final ELSE geo END DESC, ord) AS rr,
+    min_by(rejection, ord) FILTER (partial) AS pr
+  FROM ({CELLS}) GROUP BY 1, 2)
+"""
+
+
+@query(f"""
+SELECT job_id, cluster_id, support::INT AS support, members::INT AS members, round(similarity, 9) AS similarity, raw_matches::BIGINT AS raw_matches, inliers::BIGINT AS inliers, round(coverage, 9) AS coverage,
+       round(error, 9) AS error, valid, partial, representative_id, tile_id, round(shear, 9) AS shear, round(ratio, 9) AS ratio, rejection FROM ({CLUSTERS})""")
+def cluster_aggregate(spark, sf_dir):
+    return _rounded(clustering.aggregate(_cells(spark, sf_dir)))
+
+
+RANKED_0 = f"SELECT *, {r_retrieval('similarity')} AS c_retrieval, {r_inliers('inliers', 'ratio')} AS c_inliers, {r_geometry('error', 'shear', 'valid')} AS c_geometry, {r_coverage('coverage')} AS c_coverage, {sat('greatest(support - 1, 0)', 1.0)} AS c_consensus FROM ({CLUSTERS})"
+_CRAW = "(0.38::DOUBLE * c_inliers + 0.28::DOUBLE * c_geometry + 0.14::DOUBLE * c_coverage + 0.20::DOUBLE * c_consensus)"
+RANKED_1 = f"SELECT *, {clamp(f'CASE WHEN valid THEN {_CRAW} ELSE {_CRAW} * 0.25::DOUBLE END')} AS geo FROM ({RANKED_0})"
+RANKED_2 = f"SELECT *, {r_ambiguity('geo', 'nxt')} AS c_ambiguity FROM (SELECT *, lead(geo) OVER (PARTITION BY job_id ORDER BY geo DESC, cluster_id) AS nxt FROM ({RANKED_1}))"
+_CSUM = "0.12::DOUBLE * c_retrieval + 0.28::DOUBLE * c_inliers + 0.20::DOUBLE * c_geometry + 0.12::DOUBLE * c_coverage + 0.18::DOUBLE * c_consensus + 0.10::DOUBLE * c_ambiguity"
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final DESC, geo DESC, cluster_id) AS rank FROM (SELECT *, CASE WHEN valid THEN {clamp(_CSUM)} ELSE least({clamp(_CSUM)}, 0.35::DOUBLE) END AS final FROM ({RANKED_2}))"
+
+
+@query(f"SELECT job_id, cluster_id, round(geo, 9) AS geo, round(final, 9) AS final, rank::INT AS rank FROM ({RANKED})")
+def cluster_rank(spark, sf_dir):
+    return _rounded(clustering.rank(clustering.aggregate(_cells(spark, sf_dir))).select("job_id", "cluster_id", "geo", "final", "rank"))
+
+
+@query(f"SELECT job_id, cluster_id, round(final, 9) AS final FROM ({RANKED}) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY valid DESC, partial DESC, rank) = 1")
+def best_cluster(spark, sf_dir):
+    return _rounded(clustering.best(clustering.rank(clustering.aggregate(_cells(spark, sf_dir)))).select("job_id", "cluster_id", "final"))
+
+
+@query(f"""
+SELECT job_id, cluster_id, round(sum(x * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9) AS center_x, round(sum(y * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9) AS center_y
+FROM ({CELLS}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2""")
+def weighted_geometry(spark, sf_dir):
+    return _rounded(clustering.weighted_center(_cells(spark, sf_dir)))
+
+
+@query(f"""
+WITH r AS ({RANKED}), v AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rank) AS n FROM r WHERE valid),
+b AS (SELECT job_id, max(cluster_id) FILTER (n = 1) AS best_cluster, max(final) FILTER (n = 1) AS score, max(final) FILTER (n = 2) AS runner_score FROM v GROUP BY 1),
+j AS (SELECT job_id, coalesce(min_by(rejection, rank) FILTER (partial), min_by(rejection, rank), 'no_valid_homography') AS reason FROM r GROUP BY 1)
+SELECT job_id, best_cluster, round(score, 9) AS score, round(runner_score, 9) AS runner_score, CASE WHEN score IS NULL THEN reason END AS reason, status,
+  CASE status WHEN 'MATCH_FOUND' THEN 'Estimated visual position recovered.' WHEN 'LOW_CONFIDENCE' THEN 'VISUAL LOCALIZATION UNRELIABLE - low confidence.'
+    WHEN 'AMBIGUOUS' THEN 'Ambiguous - multiple map regions explain this frame.' ELSE 'No corresponding region found in the reference map.' END AS message, status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') AS accepted
+FROM (SELECT *, CASE WHEN score IS NULL OR score < 0.40::DOUBLE THEN 'NO_MATCH' WHEN score - runner_score < 0.06::DOUBLE AND runner_score >= 0.40::DOUBLE THEN 'AMBIGUOUS'
+  WHEN score >= 0.60::DOUBLE THEN 'MATCH_FOUND' ELSE 'LOW_CONFIDENCE' END AS status FROM j LEFT JOIN b USING (job_id))""")
+def decide(spark, sf_dir):
+    out = verdict.decide(clustering.rank(clustering.aggregate(_cells(spark, sf_dir))))
+    return _rounded(out.withColumn("message", verdict.message(F.col("status"))).withColumn("accepted", verdict.accepted(F.col("status"))))
+
+
+@query(f"""
+SELECT job_id, representation, round(CASE WHEN t > 0 THEN greatest(weight, 0) / t ELSE 1.0 / n END, 9) AS weight
+FROM (SELECT *, sum(greatest(weight, 0)) OVER (PARTITION BY job_id) AS t, count(*) OVER (PARTITION BY job_id) AS n FROM ({X.PLACES}))""")
+def weight_norm(spark, sf_dir):
+    return _rounded(verdict.normalised_weights(X.read(spark, sf_dir, X.PLACES)).select("job_id", "representation", "weight"))
+
+
+OFFSETS = f"SELECT p.*, CASE WHEN p.representation <> 'rgb' THEN sqrt((p.x - r.x) ** 2 + (p.y - r.y) ** 2) END AS off FROM ({X.PLACES}) p LEFT JOIN (SELECT * FROM ({X.PLACES}) WHERE representation = 'rgb') r USING (job_id)"
+
+
+@query(f"SELECT job_id, round(coalesce(max(off), 0), 9) AS max_offset, array_to_string(list_sort(list(representation)), ',') AS participating, coalesce(max(off), 0) <= 40 AS agree FROM ({OFFSETS}) GROUP BY 1")
+def consensus(spark, sf_dir):
+    out = verdict.consensus(X.read(spark, sf_dir, X.PLACES), 40.0)
+    return _rounded(out.select("job_id", "max_offset", F.array_join("participating", ",").alias("participating"), "agree"))
+
+
+@query(f"""
+WITH o AS ({OFFSETS}), c AS (SELECT job_id, coalesce(max(off), 0) <= 40 AS agree FROM o GROUP BY 1),
+a AS (SELECT job_id, coalesce(sum({clamp('1 - off / 40.0::DOUBLE')} * weight * geo) FILTER (off <= 40), 0) AS gain, coalesce(sum({clamp('(off - 40.0) / 40.0::DOUBLE')} * weight) FILTER (off > 40), 0) AS loss,
+  coalesce(array_to_string(list_sort(list(representation) FILTER (off <= 40)), ','), '') AS corroborating, count(*) AS aux_verified FROM o WHERE representation <> 'rgb' AND verified GROUP BY 1),
+b AS (SELECT o_orderkey AS job_id, (o_orderkey % 100) / 1e2 AS base, o_orderkey % 13 <> 0 AS rgb_valid,
+  CASE o_orderkey % 4 WHEN 0 THEN 'MATCH_FOUND' WHEN 1 THEN 'LOW_CONFIDENCE' WHEN 2 THEN 'NO_MATCH' ELSE 'AMBIGUOUS' END AS status FROM orders),
+f AS (SELECT b.*, agree, CASE WHEN rgb_valid THEN {clamp('coalesce(gain, 0.0)')} * 0.20::DOUBLE ELSE 0.0 END AS bonus, {clamp('coalesce(loss, 0.0)')} * 0.35::DOUBLE AS penalty, coalesce(corroborating, '') AS corroborating, coalesce(aux_verified, 0) AS aux_verified
+  FROM b LEFT JOIN c USING (job_id) LEFT JOIN a USING (job_id)),
+g AS (SELECT *, {clamp('base * (1 + bonus - penalty)')} AS overall FROM f)
+SELECT job_id, round(bonus, 9) AS bonus, round(penalty, 9) AS penalty, round(overall, 9) AS overall, corroborating,
+  CASE WHEN NOT rgb_valid OR status IN ('NO_MATCH', 'AMBIGUOUS') THEN status WHEN overall < 0.40::DOUBLE THEN 'NO_MATCH' WHEN status = 'MATCH_FOUND' AND (overall < 0.60::DOUBLE OR NOT coalesce(agree, true)) THEN 'LOW_CONFIDENCE'
+    WHEN status = 'LOW_CONFIDENCE' AND overall >= 0.60::DOUBLE AND aux_verified >= 1 AND coalesce(agree, false) AND corroborating <> '' THEN 'MATCH_FOUND' ELSE status END AS regraded FROM g""")
+def fuse_regrade(spark, sf_dir):
+    places = X.read(spark, sf_dir, X.PLACES)
+    agreed = verdict.consensus(places, 40.0)
+    reps = places.join(agreed.select("job_id", "offsets"), "job_id").withColumn("offset", F.try_element_at("offsets", F.col("representation")))
+    base = _table(spark, sf_dir, "orders").selectExpr("o_orderkey job_id", "(o_orderkey % 100) / 100D base", "o_orderkey % 13 <> 0 rgb_valid", "element_at(array('MATCH_FOUND','LOW_CONFIDENCE','NO_MATCH','AMBIGUOUS'), cast(o_orderkey % 4 + 1 as int)) status")
+    out = verdict.fuse(base.join(agreed.select("job_id", "agree"), "job_id", "left"), reps, 40.0)
+    regraded = verdict.regrade(*[F.col(c) for c in ("status", "overall", "agree", "corroborating", "aux_verified", "rgb_valid")])
+    return _rounded(out.select("job_id", "bonus", "penalty", "overall", F.array_join("corroborating", ",").alias("corroborating"), regraded.alias("regraded")))
+
+
+# ---------------------------------------------------------------- georeferencing
+
+
+@query(f"""
+SELECT ref_id, CASE WHEN abs(north) > 90 THEN 'north_out_of_range' WHEN abs(south) > 90 THEN 'south_out_of_range' WHEN abs(west) > 180 THEN 'west_out_of_range' WHEN abs(east) > 180 THEN 'east_out_of_range'
+  WHEN north <= south THEN 'north_not_above_south' WHEN east = west THEN 'no_width' WHEN width <= 0 OR height <= 0 THEN 'map_size_unknown' END AS error FROM ({X.BOXES})""")
+def geo_validation(spark, sf_dir):
+    return X.read(spark, sf_dir, X.BOXES).select("ref_id", geo.bbox_error(*map(F.col, ("north", "south", "west", "east", "width", "height"))).alias("error"))
+
+
+@query(f"SELECT ref_id, round(north + (south - north) * (py / greatest(height, 1)), 7) AS latitude, round(west + (east - west) * (px / greatest(width, 1)), 7) AS longitude FROM ({X.BOXES})")
+def pixel_to_latlon(spark, sf_dir):
+    lat, lon = geo.bbox_latlon(*map(F.col, ("px", "py", "north", "south", "west", "east", "width", "height")))
+    return X.read(spark, sf_dir, X.BOXES).select("ref_id", lat.alias("latitude"), lon.alias("longitude"))
+
+
+@query(f"SELECT ref_id, round((abs(north - south) * 111320.0::DOUBLE / CASE WHEN height > 0 THEN height END + abs(east - west) * 111320.0::DOUBLE * cos(radians((north + south) / 2)) / CASE WHEN width > 0 THEN width END) / 2, 4) AS gsd FROM ({X.BOXES})")
+def gsd(spark, sf_dir):
+    return X.read(spark, sf_dir, X.BOXES).select("ref_id", geo.ground_sample_distance(*map(F.col, ("north", "south", "west", "east", "width", "height"))).alias("gsd"))
+
+
+@query(f"SELECT ref_id, round(2 * 6371000.0::DOUBLE * asin(sqrt(least(sin(radians(south - north) / 2) ** 2 + cos(radians(north)) * cos(radians(south)) * sin(radians(east - west) / 2) ** 2, 1.0))), 2) AS metres FROM ({X.BOXES})")
+def haversine(spark, sf_dir):
+    return X.read(spark, sf_dir, X.BOXES).select("ref_id", geo.haversine(*map(F.col, ("north", "west", "south", "east"))).alias("metres"))
+
+
+# ---------------------------------------------------------------- evaluation, stage log
+
+JUDGED = f"""
+SELECT i.*, status, status IS NULL AS failed, round(sqrt((x - expected_x) ** 2 + (y - expected_y) ** 2), 1) AS error_px FROM ({X.ITEMS}) i LEFT JOIN ({X.RESULTS}) r USING (item_id)
+"""
+JUDGED = f"SELECT *, coalesce(CASE WHEN expect_no_match THEN status = 'NO_MATCH' ELSE coalesce(error_px <= 150, false) END, false) AS correct FROM ({JUDGED})"
+
+
+def _judged(spark, sf_dir):
+    return evaluation.score_items(X.read(spark, sf_dir, X.ITEMS), X.read(spark, sf_dir, X.RESULTS), 150)
+
+
+@query(f"SELECT item_id, failed, error_px, correct FROM ({JUDGED})")
+def batch_scoring(spark, sf_dir):
+    return _judged(spark, sf_dir).select("item_id", "failed", "error_px", "correct")
+
+
+@query(f"""
+SELECT rows, localizable, round(hits / greatest(localizable, 1)::DOUBLE, 9) AS top1, round(none_hits / nullif(nm, 0)::DOUBLE, 9) AS no_match_rate, round(wrong / greatest(rows, 1)::DOUBLE, 9) AS false_rate FROM (
+  SELECT count(*) AS rows, count(*) FILTER (NOT failed AND NOT expect_no_match AND expected_x IS NOT NULL) AS localizable, count(*) FILTER (NOT failed AND NOT expect_no_match AND expected_x IS NOT NULL AND error_px <= 150) AS hits,
+    count(*) FILTER (expect_no_match AND NOT failed) AS nm, count(*) FILTER (expect_no_match AND status = 'NO_MATCH') AS none_hits,
+    count(*) FILTER (status = 'MATCH_FOUND' AND (expect_no_match OR NOT coalesce(error_px <= 150, false))) AS wrong FROM ({JUDGED}))""")
+def batch_metrics(spark, sf_dir):
+    return _rounded(evaluation.batch_metrics(_judged(spark, sf_dir), 150))
+
+
+@query(f"SELECT count(*) FILTER (correct) AS passed, count(*) AS cases, round(count(*) FILTER (correct) / greatest(count(*), 1)::DOUBLE, 9) AS rate FROM ({JUDGED})")
+def offline_metrics(spark, sf_dir):
+    return _rounded(evaluation.offline_metrics(_judged(spark, sf_dir)))
+
+
+LOGGED = f"""
+SELECT job_id, key, arg_max(state, (ts, seq)) AS state, arg_max(nullif(detail, ''), (ts, seq)) FILTER (nullif(detail, '') IS NOT NULL) AS detail, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS seconds,
+       (row_number() OVER (PARTITION BY job_id ORDER BY min((ts, seq))))::INT AS place FROM ({X.LOG}) GROUP BY 1, 2
+"""
+
+
+@query(LOGGED)
+def stage_log(spark, sf_dir):
+    return stages.stage_log(X.read(spark, sf_dir, X.LOG))
+
+
+@query(f"SELECT job_id, count(*) FILTER (state IN ('done', 'skipped')) AS finished, count(*) AS stages FROM ({LOGGED}) GROUP BY 1")
+def job_progress(spark, sf_dir):
+    return stages.job_progress(stages.stage_log(X.read(spark, sf_dir, X.LOG)))
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_counts(spark, sf_dir):
+    return stages.tumbling(_table(spark, sf_dir, "events"), "6 hours").withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, sf_dir):
+    out = stages.sessions(_table(spark, sf_dir, "events"), "12 hours")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query(f"SELECT job_id, started, state FROM ({X.JOBS}) ORDER BY started DESC, job_id DESC LIMIT 8")
+def run_history(spark, sf_dir):
+    return evaluation.run_history(X.read(spark, sf_dir, X.JOBS))
+
+
+@query(f"SELECT run, arg_min(epoch, (total, epoch)) AS epoch, min(total) AS total FROM ({X.HISTORY}) GROUP BY 1")
+def best_epoch(spark, sf_dir):
+    return evaluation.best_epoch(X.read(spark, sf_dir, X.HISTORY))
+
+
+@query(f"""
+SELECT run, epoch, total, low IS NULL OR total < low AS is_best, least(total, low) AS best_so_far FROM (
+  SELECT *, min(total) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM ({X.HISTORY}))""")
+def best_checkpoint(spark, sf_dir):
+    return evaluation.checkpoints(X.read(spark, sf_dir, X.HISTORY)).select("run", "epoch", "total", "is_best", "best_so_far")
+
+
+@query("SELECT l.c_mktsegment AS split, l.c_name AS name, 'a/' || l.c_name AS left_path, 'b/' || r.c_name AS right_path FROM customer l JOIN customer r ON l.c_custkey = r.c_custkey WHERE r.c_custkey % 3 = 0 AND l.c_custkey % 2 = 0")
+def pair_join(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("split"), F.col("c_name").alias("name"), "c_custkey")
+    left = c.filter("c_custkey % 2 = 0").withColumn("path", F.concat(F.lit("a/"), "name"))
+    right = c.filter("c_custkey % 3 = 0").withColumn("path", F.concat(F.lit("b/"), "name"))
+    return evaluation.pair_join(left, right)
+
+
+@query()
+def hash_split(spark, sf_dir):
+    return evaluation.hash_split(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), 0.25)
+
+
+# ---------------------------------------------------------------- missions
+
+#: One plan an event: two waypoints, one inside a complex item, placed by the event's number.
+PLAN_BODY = """
+concat('{"mission":{"plannedHomePosition":[12.9,77.5,0],"items":[{"type":"SimpleItem","command":16,"frame":3,"params":[0,0,0,null,', event_id % 80, '.5,', event_id % 170, '.25,', event_id % 50, ']},',
+'{"type":"ComplexItem","TransectStyleComplexItem":{"Items":[{"type":"SimpleItem","command":', 16 + event_id % 9, ',"doJumpId":7,"Altitude":30,"params":[0,0,0,null,', event_id % 3, ',', event_id % 2, ']}]}}]}}')
+"""
+SQL_POINTS = """
+SELECT event_id AS plan_id, 1 AS seq, 16 AS command, 'WAYPOINT' AS command_name, event_id % 80 + 0.5::DOUBLE AS latitude, event_id % 170 + 0.25::DOUBLE AS longitude, (event_id % 50)::DOUBLE AS altitude FROM events
+UNION ALL
+SELECT event_id, 7, (16 + event_id % 9)::INT, CASE 16 + event_id % 9 WHEN 16 THEN 'WAYPOINT' WHEN 17 THEN 'LOITER_UNLIM' WHEN 18 THEN 'LOITER_TURNS' WHEN 19 THEN 'LOITER_TIME' WHEN 20 THEN 'RETURN_TO_LAUNCH' WHEN 21 THEN 'LAND' WHEN 22 THEN 'TAKEOFF' ELSE 'CMD_' || (16 + event_id % 9) END,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 3)::DOUBLE END, CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 2)::DOUBLE END, 30.0::DOUBLE FROM events
+"""
+
+
+def _plans(spark, sf_dir):
+    return mission.parse(_table(spark, sf_dir, "events").select(F.col("event_id").alias("plan_id"), F.expr(PLAN_BODY).alias("body")))
+
+
+@query(SQL_POINTS)
+def plan_waypoints(spark, sf_dir):
+    return mission.waypoints(_plans(spark, sf_dir)).select("plan_id", "seq", "command", "command_name", "latitude", "longitude", "altitude")
+
+
+@query(f"""
+SELECT plan_id, round(north + greatest((north - south) * 0.25, 1e-4), 7) AS north, round(south - greatest((north - south) * 0.25, 1e-4), 7) AS south, round(west - greatest((east - west) * 0.25, 1e-4), 7) AS west, round(east + greatest((east - west) * 0.25, 1e-4), 7) AS east
+FROM (SELECT plan_id, max(latitude) AS north, min(latitude) AS south, min(longitude) AS west, max(longitude) AS east FROM
+  (SELECT plan_id, latitude, longitude FROM ({SQL_POINTS}) WHERE latitude IS NOT NULL UNION ALL SELECT event_id, 12.9::DOUBLE, 77.5::DOUBLE FROM events) GROUP BY 1)""")
+def plan_bounds(spark, sf_dir):
+    plans = _plans(spark, sf_dir)
+    return mission.suggested_extent(mission.bounds(mission.waypoints(plans), mission.home(plans)))
+
+
+@query(f"SELECT plan_id, 0 AS n_geofences, 0 AS n_rally, count(*) AS n_waypoints, count(latitude) AS n_positions, 0 AS n_warnings FROM ({SQL_POINTS}) GROUP BY 1")
+def plan_summary(spark, sf_dir):
+    out = mission.summary(_plans(spark, sf_dir))
+    return out.select("plan_id", "n_geofences", "n_rally", "n_waypoints", "n_positions", F.size("warnings").alias("n_warnings"))
+
+
+@query("SELECT l_orderkey AS image_id, round(avg(abs(a - b)), 4) AS mae, round(((2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225)) / ((avg(a) ** 2 + avg(b) ** 2 + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)), 4) AS ssim, round(coalesce(count(*) FILTER (a < 110 AND b < 110) / nullif(count(*) FILTER (a < 110 OR b < 110), 0)::DOUBLE, 1.0), 4) AS structure_iou FROM (SELECT l_orderkey, (l_partkey % 256)::DOUBLE AS a, (l_suppkey * 3 % 256)::DOUBLE AS b FROM lineitem) GROUP BY 1")
+def image_metrics(spark, sf_dir):
+    px = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey image_id", "cast(l_partkey % 256 as double) a", "cast(l_suppkey * 3 % 256 as double) b")
+    return evaluation.image_metrics(px)
+
+
+@query("SELECT p_partkey AS v, round(" + sat("p_partkey", 45.0) + ", 9) AS s, round(" + clamp("p_retailprice / 1500") + ", 9) AS c FROM part")
+def score_curves(spark, sf_dir):
+    return _rounded(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), S.saturating(F.col("p_partkey"), 45.0).alias("s"), S.clamp01(F.col("p_retailprice") / 1500).alias("c")))
