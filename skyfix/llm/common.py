@@ -44,3 +44,11 @@ def discard(df: DataFrame) -> None:
 def fold(col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out. A null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(4))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, so that df has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -136,4 +136,4 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radi
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, unchanged, that hold no item."""
     found = materialise(find(docs, items, similarity, radius).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(docs["text"]) == F.col("of_hash")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["of"]) & (F.xxhash64(docs["text"]) == found["of_hash"]), "left_anti")

@@ -21,6 +21,8 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyfix.llm.common import fresh
+
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 RUN = r"[A-Za-z0-9+/=_\-]"
 ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{8,}}"
@@ -169,43 +171,45 @@ def probability(forest: list, f: Column) -> Column:
 # ---------------------------------------------------------------- scan
 
 
-def scan(docs: DataFrame, forest: list | None = None, path: str = "source") -> DataFrame:
-    """docs with the columns pieces (the text between candidates) and findings.
+def scan(docs: DataFrame, forest: list | None = None, path: str = "source", names: tuple[str, str] = ("pieces", "findings")) -> DataFrame:
+    """docs with two more columns, named `names` (columns of these names are replaced).
 
-    findings: for each candidate its value, the name and signs before the value (lead), and score.
+    pieces: the text between candidates. findings: for each candidate its value, the name and signs
+    before the value (lead), and score.
     """
     forest = forest or train(labelled_findings(docs.sparkSession))
-    text = F.col("text")
+    text, found = F.col("text"), fresh(docs, "_found")
+    pieces, findings = names
     some = text.rlike(CANDIDATE)
     where = F.col(path) if path in docs.columns else F.lit("")
-    cut = docs.withColumn("pieces", F.when(some, F.split(text, CANDIDATE)).otherwise(F.array(text)))
-    cut = cut.withColumn("found", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    cut = docs.withColumn(pieces, F.when(some, F.split(text, CANDIDATE)).otherwise(F.array(text)))
+    cut = cut.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
 
     def described(candidate: Column, i: Column) -> Column:
         lead = F.regexp_extract(candidate, VALUE, 0)
         value = F.substr(candidate, F.length(lead) + 1)
-        left = F.concat(F.right(F.get("pieces", i), F.lit(CONTEXT)), lead)
-        right = F.left(F.get("pieces", i + 1), F.lit(CONTEXT // 2))
+        left = F.concat(F.right(F.get(pieces, i), F.lit(CONTEXT)), lead)
+        right = F.left(F.get(pieces, i + 1), F.lit(CONTEXT // 2))
         return F.struct(value.alias("value"), lead.alias("lead"), features(value, left, right, where).alias("f"))
 
-    described_all = F.transform("found", described)
-    judged = F.transform(described_all, lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), probability(forest, c["f"]).alias("score")))
-    return cut.withColumn("findings", judged).drop("found")
+    judged = F.transform(F.transform(found, described), lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), probability(forest, c["f"]).alias("score")))
+    return cut.withColumn(findings, judged).drop(found)
 
 
 def is_secret(finding: Column, threshold: float = THRESHOLD) -> Column:
     return finding["score"] >= threshold
 
 
-def masked(threshold: float = THRESHOLD) -> Column:
+def masked(threshold: float = THRESHOLD, names: tuple[str, str] = ("pieces", "findings")) -> Column:
     """The text with every secret's value replaced by MASK, from the columns of scan()."""
-    shown = F.transform("findings", lambda c: F.concat(c["lead"], F.when(is_secret(c, threshold), F.lit(MASK)).otherwise(c["value"])))
-    return F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.array_join(F.zip_with("pieces", shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    shown = F.transform(names[1], lambda c: F.concat(c["lead"], F.when(is_secret(c, threshold), F.lit(MASK)).otherwise(c["value"])))
+    return F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.array_join(F.zip_with(names[0], shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
 
 
 def redact(docs: DataFrame, forest: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with secrets masked in text, and n_chars (if it is there) brought up to date."""
-    out = scan(docs, forest).withColumn("text", masked(threshold))
+    names = fresh(docs, "_pieces"), fresh(docs, "_findings")
+    out = scan(docs, forest, names=names).withColumn("text", masked(threshold, names))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import materialise
+from skyfix.llm.common import fresh, materialise
 from skyfix.llm.components import connected_components
 
 SEED = 42
@@ -212,11 +212,12 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
     Of several texts with that id the one with the smallest hash stays, and of repeated rows one.
     """
     kept = near_duplicates(docs, size, radius).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-    kept = materialise(kept.select(F.col("row.doc_id").alias("_of"), F.col("row.text_hash").alias("_of_hash")), "kept")
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash")), "left_semi")
-    order = Window.partitionBy("doc_id", "_hash").orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    kept = materialise(kept.select(F.col("row.doc_id").alias("of"), F.col("row.text_hash").alias("of_hash")), "kept")
+    mark, number = fresh(docs, "_hash"), fresh(docs, "_number")
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["of"]) & (rows[mark] == kept["of_hash"]), "left_semi")
+    order = Window.partitionBy("doc_id", mark).orderBy(*[F.col(c) for c in ("lang", "source", "n_chars") if c in docs.columns], F.lit(0))
+    return rows.withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -1,0 +1,345 @@
+"""Brute-force twins and edge cases: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import collections
+import hashlib
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import rows_of, rows_of_sql
+from pyspark.sql import functions as F
+
+from skyfix.llm import chat, decontam, langid, licenses, mixing, queries, secrets, simhash, substrings, toxicity
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, doc int, tie string, w string, _hash int, findings string, pieces int, of int"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "x", "y", 2, "keep", 3, 4) for i, t, s in rows], DOCS)
+
+
+def edge_rows():
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    words = [vocabulary[i] for i in rng.integers(0, 60, 30_000)]
+    passage = " ".join(words[100:160])
+    rows = [(1, None, "a"), (2, "", None), (3, "one", "a"), (4, " ".join(words[:400]), "b"), (5, " ".join(words[:400]), "b"), (5, " ".join(words[:400]), "b"), (6, passage + " tail", "a")]
+    rows += [(7, " ".join(words), "c"), (8, "x " * 200, "a"), (9, "x " * 200 + passage, None), (10, "start\n" + passage + "\t\x0bend " + passage, "a"), (11, "A\xa0B é\x85z", "b")]
+    return rows
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_match_sql(spark, name):
+    got, wanted = rows_of(queries.QUERIES[name](spark, SF)), rows_of_sql(queries.SQL[name], SF)
+    assert got == wanted
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def without_repeats(rows, window):
+    seen, out = set(), {}
+    for i, text in sorted({(i, t) for i, t, _ in rows}, key=lambda r: r[0]):
+        w = words_of(text)
+        gone = set()
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            if key in seen:
+                gone |= set(range(s, s + window))
+            seen.add(key)
+        out[i] = (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+    return out
+
+
+@pytest.mark.parametrize("k", [3, 6, 20])
+def test_repeats_match_brute_force(spark, k):
+    rows = edge_rows()
+    got = substrings.remove_repeats(docs_of(spark, rows), 20, k).collect()
+    wanted = without_repeats(rows, 20)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.n_removed, r.kept) == wanted[r.doc_id]
+
+
+def test_repeats_of_an_empty_table_and_a_null_id(spark):
+    assert substrings.remove_repeats(docs_of(spark, [])).count() == 0
+    text = " ".join(f"t{i}" for i in range(30))
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs_of(spark, [(None, text, "a"), (1, text, "a")])).collect()}
+    assert got == {None: 0, 1: 30}
+
+
+def fingerprint(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = words_of(text)
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_matches_brute_force(spark):
+    rows = edge_rows()
+    marks = [fingerprint(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(marks[i] ^ marks[j]).count("1") <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    low = {}
+    for i, (d, _, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), d), d)
+    wanted = sorted((d, marks[i], low[find(i)]) for i, (d, _, _) in enumerate(rows))
+    got = simhash.near_duplicates(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == wanted
+    kept = simhash.keep_one(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, []).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in wanted})
+    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 16])
+def test_links_of_dense_clusters(spark, bucket):
+    rng = np.random.default_rng(0)
+    marks = set()
+    for base in rng.integers(0, 2**63, 3).tolist():
+        for _ in range(120):
+            x = base
+            for b in rng.integers(0, 64, rng.integers(0, 5)).tolist():
+                x ^= 1 << b
+            marks.add(x)
+    f = np.array(sorted(marks), np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    links = [(r.u, r.v) for r in simhash.fingerprint_links(df, 3, bucket).collect()]
+    every = [(int(f.view(np.int64)[i]), int(f.view(np.int64)[j])) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f ^ f[i]) <= 3)]
+    assert set(links) <= set(every)
+
+    def classes(pairs):
+        root = {int(x): int(x) for x in f.view(np.int64)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    assert classes(links) == classes(every)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<>|/\\[]sINSTYim_startend ok&"))
+def test_escaping_is_reversible(text):
+    hidden = chat.escape(text)
+    assert chat.unescape(hidden) == text
+    assert not any(c in hidden for c in chat.CONTROL)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([*chat.CONTROL, "\\", "<\\s>", "[\\\\INST]"]), st.text(max_size=5)), max_size=6).map("".join))
+def test_turns_read_back(text):
+    text = text.encode("utf-8", "ignore").decode()
+    with open(chat.TOKENIZER, "rb") as f:
+        codec = _codec(f.read())
+    ids, mask = codec.turn("assistant", text)
+    role, back, chars = codec.read(ids)
+    assert (role, back) == ("assistant", text)
+    assert codec.under(ids, mask) == text
+    assert chars == len("assistant") + len(chat.escape(text)) + sum(map(len, chat.MARKS))
+
+
+_CODECS = {}
+
+
+def _codec(blob):
+    if not _CODECS:
+        _CODECS[0] = chat.Codec(chat.read_ranks(blob))
+    return _CODECS[0]
+
+
+def test_chat_edges(spark):
+    rows = [(1, 1, "assistant", None), (1, 0, None, "hi"), (None, 0, "assistant", "a<s>b"), (2, 0, "user", "x"), (2, 0, "user", "x")]
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(b"\nhi\nassistant\n\n").hexdigest() and got[1].loss_chars == 0
+    assert got[None].loss_sha256 == hashlib.sha256(b"a<s>b").hexdigest()
+    assert got[2].n_turns == 2
+    assert chat.digest(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_mix_edges(spark):
+    rows = [(i, "w " * (i % 7 + 1), None if i % 3 == 0 else f"s{i % 5}") for i in range(400)] + [(500, None, "z"), (501, "", "z"), (7, "w w w", "s2")]
+    got = mixing.mix(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        assert r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+    for s, t in target.items():
+        assert t - 2 * largest[s] - 1 <= taken[s] <= t + 1e-9
+    assert abs(sum(target.values()) - 1.5 * sum(r.size for r in got)) < 1e-6
+    assert mixing.mix(docs_of(spark, [])).count() == 0
+    assert sorted(map(tuple, mixing.mix(docs_of(spark, rows).repartition(3)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
+
+
+def test_license_edges(spark):
+    notice = licenses.TEMPLATES["gpl-notice"]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "MIT License, mit-LICENSE", "a"), (4, "text\nThis WORK is licensed under the GNU General Public License, version 3.", "a"), (5, notice.rsplit(" ", 3)[0], "a"), (5, "mit\nlicense", "a")]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(docs_of(spark, rows)).collect():
+        got[r.doc_id].append(r)
+    assert (got[1][0].n_words, got[1][0].labels, got[1][0].score) == (0, [], 0.0)
+    assert (got[3][0].n_base, got[3][0].first_word, got[3][0].last_word) == (2, 0, 2)
+    assert got[4][0].labels == ["gpl", "gpl-notice"]
+    assert sorted(tuple(r.labels) for r in got[5]) == [("gpl",), ("mit",)] or sorted(tuple(r.labels) for r in got[5])[1] == ("mit",)
+    assert licenses.scan(docs_of(spark, [])).count() == 0
+
+
+def test_set_join_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = sorted({t for x in licenses.TEMPLATES.values() for t in x.split()})
+    rows = []
+    for i in range(300):
+        label = list(licenses.TEMPLATES)[i % len(licenses.TEMPLATES)]
+        own = [t for t in licenses.TEMPLATES[label].split() if rng.random() < 0.85] + rng.choice(vocabulary, 3).tolist()
+        rows.append((i, "noise words\n" + " ".join(own), "a"))
+    wanted = {(i, label) for i, t, _ in rows for label, x in licenses.TEMPLATES.items() for line in t.split("\n") if len(set(line.split()) & set(x.split())) >= licenses.needed(len(set(x.split())), 0.8)}
+    got = {(r.doc_id, r.label) for r in licenses.block_labels(docs_of(spark, rows), licenses.TEMPLATES).collect()}
+    assert got == wanted and got
+
+
+def test_secret_edges(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, None, None), (2, "", "a"), (3, f'x token = "{key}" y token = "{key}"', "a"), (4, f"commit {key} and 4785380592391139", "a"), (5, "plain words only", "a"), (5, "plain words only", "a")]
+    out = {r.doc_id: r for r in secrets.redact(docs_of(spark, rows)).collect()}
+    assert out[1].text is None and out[2].text == ""
+    assert out[3].text == 'x token = "[SECRET]" y token = "[SECRET]"' and out[3].n_chars == len(out[3].text)
+    assert out[4].text == rows[3][1] and out[5].text == rows[4][1]
+    assert (out[3].findings, out[3].pieces, out[3]._hash) == ("keep", 3, 2)
+    assert secrets.redact(docs_of(spark, [])).columns == docs_of(spark, []).columns
+
+
+def test_forest_scores_like_its_trees(spark):
+    found = secrets.labelled_findings(spark, 12)
+    forest = secrets.train(found, trees=5)
+    f = secrets.features(*map(F.col, ("value", "left", "right", "path")))
+    rows = found.select(f.alias("f"), secrets.probability(forest, f).alias("p")).collect()
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for r in rows:
+        assert abs(sum(walk(t, tuple(r.f)) for t in forest) / 5 - r.p) < 1e-9
+
+
+GAP = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def held_items(docs, items):
+    out = {}
+    for d, text, _ in docs:
+        w = GAP.findall((text or "").lower())
+        for i, item in items:
+            x = GAP.findall((item or "").lower())
+            if len(x) < 5 or len(w) < 5:
+                continue
+            want = collections.Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+            size = min(len(x), len(w)) - 4
+            for s in range(len(w) - 4 - size + 1):
+                bag = collections.Counter(tuple(w[j : j + 5]) for j in range(s, s + size))
+                common = sum((bag & want).values())
+                share = common / (sum(bag.values()) + sum(want.values()) - common)
+                if share >= 0.8:
+                    out[d, i] = max(out.get((d, i), 0), round(share, 6))
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 400, n))
+    items = [(i, word(15 + 5 * i)) for i in range(8)] + [(20, "ab ab ab ab ab ab ab ab ab"), (21, "too short"), (22, None)]
+    docs = [(0, None, "a"), (1, "", "a"), (2, word(300), "a")]
+    for i, item in items[:8]:
+        w = item.split()
+        docs.append((10 + i, f"{word(30)} {item.upper()} {word(20)}", "a"))
+        docs.append((30 + i, f"{word(9)}, {' '.join(w[:-2])}", "a"))
+        docs.append((50 + i, " ".join([*w[: len(w) // 2], "new", *w[len(w) // 2 :]]) + " " + word(4), "a"))
+    docs += [(70, "x ab ab ab ab ab ab ab ab ab y", "a"), (71, "ab " * 40, "a"), (10, docs[3][1], "a")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.find(docs_of(spark, docs), frame).collect()}
+    assert got == held_items(docs, items)
+    kept = decontam.clean(docs_of(spark, docs), frame)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _ in docs if d not in {k for k, _ in got})
+    assert decontam.find(docs_of(spark, []), frame).count() == 0
+
+
+def test_language_profiles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
+    profiles = langid.learn(docs.filter("doc_id < 200"))
+    odd = [(1, None, "a"), (2, "12 !?", "a"), (3, "", "a"), (None, "the and for with that", "a"), (5, "퟿中文 \U0001d49c", "a")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs_of(spark, odd), profiles).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[None][0] == "en" and 0 <= got[5][1] <= 1
+    none = langid.predict(docs_of(spark, odd), langid.learn(docs_of(spark, [])))
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+
+
+def test_rank_order_matches_a_plain_twin():
+    texts = ["the cat and the dog", "Das ist ein Haus", "a", "ab ab ba"]
+    grams = langid.Grams()
+    text, code, place = langid._ranked(grams.of(texts), len(texts), 5)
+    for i, t in enumerate(texts):
+        count = collections.Counter()
+        for w in re.findall(r"[a-z]+", t.lower()):
+            c = [langid.PAD, *map(ord, w), langid.PAD]
+            count.update(map(ord, w))
+            count.update(a << 21 | b for a, b in zip(c, c[1:], strict=False))
+            count.update(a << 42 | b << 21 | d for a, b, d in zip(c, c[1:], c[2:], strict=False))
+        wanted = [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:5]]
+        mine = sorted(zip(place[text == i].tolist(), code[text == i].tolist(), strict=True))
+        assert [g for _, g in mine] == wanted
+
+
+def test_toxicity_on_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out and toxic is not null").collect()
+    hit = sum(r.toxic and r.predicted for r in rows)
+    assert hit / sum(r.toxic for r in rows) > 0.85 and hit / sum(r.predicted for r in rows) > 0.9
+
+
+def test_swapping_identities_is_penalised():
+    rows = []
+    for i in range(40):
+        rows += [{"toxic": i % 2, "pair": False, "feature": [0, 2 + i % 2] if i % 2 else [1, 2], "density": [0.2, 0.2]}, {"toxic": i % 2, "pair": True, "feature": [1, 2 + i % 2] if i % 2 else [0, 2], "density": [0.2, 0.2]}]
+    gap = lambda w: abs((w[0] + w[4]) - (w[1] + w[5]))
+    free, held = (toxicity.fit(rows, 4, fairness=f)[0] for f in (0.0, 20.0))
+    assert gap(held) < 0.2 * gap(free)
+    assert toxicity.swapped("Muslim men") == "christian women" and toxicity.swapped("nothing here") is None
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    docs = docs_of(spark, [(1, "bad words", "a"), (2, None, "a"), (3, "", "a"), (None, "x", "a")])
+    scores = [r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()]
+    assert len(scores) == 4 and all(0 <= s <= 1 for s in scores)
+    assert toxicity.keep_clean(docs, toxicity.train(docs, labels.limit(0))).count() == 4
+    assert toxicity.score(docs_of(spark, []), toxicity.train(docs, labels)).count() == 0
