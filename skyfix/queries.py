@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.functions import geo, geometry
+from skyfix.functions import geo, geometry, text
 from skyfix.functions import scores as S
-from skyfix.operators import clustering, matching, retrieval, scoring, tiling, verdict
-from skyfix.plans import evaluation, mission
+from skyfix.operators import clustering, matching, raster, retrieval, scoring, tiling, verdict
+from skyfix.plans import evaluation, mission, results
+from skyfix.sources import registry
 from skyfix.sources import standins as X
 from skyfix.streaming import stages
 
@@ -684,3 +685,192 @@ def image_metrics(spark, sf_dir):
 @query("SELECT p_partkey AS v, round(" + sat("p_partkey", 45.0) + ", 9) AS s, round(" + clamp("p_retailprice / 1500") + ", 9) AS c FROM part")
 def score_curves(spark, sf_dir):
     return _rounded(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"), S.saturating(F.col("p_partkey"), 45.0).alias("s"), S.clamp01(F.col("p_retailprice") / 1500).alias("c")))
+
+
+# ---------------------------------------------------------------- admission, requests, results
+
+
+def _uploads(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").selectExpr("o_orderkey file_id", "concat('up/', o_custkey, element_at(array('.png', '.JPG', '.txt', '.webp', ''), cast(o_orderkey % 5 + 1 as int))) path", "case when o_orderkey % 17 = 0 then 0 else o_orderkey * 30000 end length")
+
+
+@query("""
+SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 IN (2, 4) THEN 'unsupported_type' WHEN o_orderkey % 17 <> 0 AND o_orderkey * 30000 > 209715200 THEN 'too_large' WHEN o_orderkey % 17 = 0 OR o_orderkey = 0 THEN 'empty' END AS error FROM orders""")
+def upload_validation(spark, sf_dir):
+    return _uploads(spark, sf_dir).select("file_id", registry.upload_error(F.col("path"), F.col("length")).alias("error"))
+
+
+@query(f"SELECT map_id, greatest(1, round_even(map_w * least(1.0::DOUBLE, 2000 / greatest(map_w, map_h)::DOUBLE), 0)::INT) AS w, greatest(1, round_even(map_h * least(1.0::DOUBLE, 2000 / greatest(map_w, map_h)::DOUBLE), 0)::INT) AS h, round(least(1.0::DOUBLE, 960 / greatest(map_w, map_h)::DOUBLE), 9) AS work, 2000 * 900 > map_w * map_h AS too_large FROM ({X.MAPS})")
+def map_resize(spark, sf_dir):
+    w, h = registry.map_size(F.col("map_w"), F.col("map_h"), 2000)
+    larger = registry.frame_larger_than_map(F.lit(2000), F.lit(900), F.col("map_w"), F.col("map_h"))
+    return X.read(spark, sf_dir, X.MAPS).select("map_id", w.alias("w"), h.alias("h"), F.round(registry.work_scale(F.col("map_w"), F.col("map_h")), 9).alias("work"), larger.alias("too_large"))
+
+
+@query("SELECT o_custkey AS custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY 1")
+def registry_upsert(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.struct("o_orderdate", "o_orderkey").alias("version"))
+    return registry.upsert(rows, "custkey", "version").select("custkey", F.col("version.o_orderkey").alias("last_order"))
+
+
+@query("SELECT o_orderkey AS orderkey, o_custkey AS custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def registry_unknown(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_custkey").alias("custkey"))
+    return registry.unknown(orders, "custkey", _table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("custkey"))).select("orderkey", "custkey")
+
+
+@query("""
+SELECT o_orderkey AS req, CASE WHEN o_custkey % 2 <> 0 THEN 'unknown_map' WHEN o_custkey % 3 <> 0 THEN 'unknown_frame' WHEN o_orderkey % 4 = 0 AND o_custkey % 5 <> 0 THEN 'unknown_plan'
+  WHEN o_orderkey % 7 = 3 THEN 'unknown_matcher' WHEN o_orderkey % 11 = 5 THEN 'region_not_numeric' END AS error FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+def request_validation(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    requests = _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey req", "o_custkey map_id", "o_custkey frame_id", "case when o_orderkey % 4 = 0 then o_custkey end plan_id", "case o_orderkey % 7 when 3 then 'magic' when 4 then 'SIFT' end matcher",
+        "case when o_orderkey % 11 = 5 then map('x', '1', 'y', 'two', 'width', '3', 'height', '4') when o_orderkey % 11 = 6 then map('x', '1', 'y', '2', 'width', '3', 'height', '4') end region")
+    known = lambda n, name: c.filter(f"c_custkey % {n} = 0").select(F.col("c_custkey").alias(name))
+    return registry.request_error(requests, known(2, "map_id"), known(3, "frame_id"), known(5, "plan_id")).select("req", "error")
+
+
+@query("SELECT user_id AS job_id, arg_max(CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'done' ELSE 'running' END, event_id) AS state, CASE arg_max(CASE WHEN event_id % 9 = 0 THEN 500 WHEN event_id % 3 = 0 THEN 200 ELSE 409 END, event_id) WHEN 500 THEN 500 WHEN 200 THEN 200 ELSE 409 END AS code, coalesce(max(event_id) FILTER (event_id % 3 = 0), max(event_id))::DOUBLE - min(event_id)::DOUBLE AS elapsed FROM events GROUP BY 1")
+def job_states(spark, sf_dir):
+    log = _table(spark, sf_dir, "events").selectExpr("user_id job_id", "case when event_id % 9 = 0 then 'error' when event_id % 3 = 0 then 'done' else 'running' end state", "cast(event_id as double) ts")
+    return registry.result_status(registry.job_state(log)).select("job_id", "state", "code", "elapsed")
+
+
+@query("SELECT 'maps' AS entity, count(*) AS n FROM customer UNION ALL SELECT 'frames', count(*) FROM part UNION ALL SELECT 'plans', count(*) FROM events UNION ALL SELECT 'jobs', count(*) FROM orders")
+def registry_counts(spark, sf_dir):
+    return registry.counts(**{n: _table(spark, sf_dir, t) for n, t in (("maps", "customer"), ("frames", "part"), ("plans", "events"), ("jobs", "orders"))})
+
+
+@query("""
+SELECT l_orderkey AS k, l_linenumber AS n, x, y, w AS width, h AS height FROM (
+  SELECT *, least(x1, x2) AS x, least(y1, y2) AS y, abs(x2 - x1) AS w, abs(y2 - y1) AS h FROM (
+    SELECT DISTINCT l_orderkey, l_linenumber, least(greatest((l_orderkey * 7 % 900 - 50)::DOUBLE, 0), 800) AS x1, least(greatest((l_linenumber * 131 % 700)::DOUBLE, 0), 600) AS y1, least(greatest((l_orderkey * 3 % 1000)::DOUBLE, 0), 800) AS x2, least(greatest((l_linenumber * 97 % 640)::DOUBLE, 0), 600) AS y2 FROM lineitem))
+WHERE w > 6 AND h > 6""")
+def drag_region(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    corners = [F.expr(e).cast("double") for e in ("l_orderkey * 7 % 900 - 50", "l_linenumber * 131 % 700", "l_orderkey * 3 % 1000", "l_linenumber * 97 % 640")]
+    out = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), registry.drag_region(*corners, F.lit(800), F.lit(600)).alias("r")).filter("r is not null")
+    return out.select("k", "n", "r.*")
+
+
+@query("""
+SELECT p_partkey AS k, format('{:.1f}%', (p_partkey % 1000) / 997.0::DOUBLE * 100) AS pct, CASE WHEN p_partkey * 977 < 1024 THEN format('{:.0f} B', (p_partkey * 977)::DOUBLE) WHEN p_partkey * 977 < 1048576 THEN format('{:.1f} KB', floor(p_partkey * 977 / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE format('{:.1f} MB', floor(p_partkey * 977 / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS size,
+  CASE WHEN p_partkey % 3 = 0 THEN '16:9' WHEN p_partkey % 3 = 1 THEN '1:1' ELSE '2.50:1' END AS shape, CASE p_partkey % 3 WHEN 0 THEN 'Transform collapses the frame' WHEN 1 THEN 'odd code' END AS label,
+  [p_partkey + 0.5::DOUBLE, 2.0] AS numbers FROM part""")
+def formatters(spark, sf_dir):
+    ratio = F.expr("element_at(array(1.78D, 1.01D, 2.5D), cast(p_partkey % 3 + 1 as int))")
+    code = F.expr("element_at(array('degenerate_scale', 'odd_code', null), cast(p_partkey % 3 + 1 as int))")
+    raw = F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".5 ,, 2 "))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.percent(F.expr("p_partkey % 1000") / 997.0).alias("pct"), text.byte_size(F.col("p_partkey") * 977).alias("size"), text.aspect(ratio).alias("shape"), text.rejection(code).alias("label"), text.float_list(raw).alias("numbers"))
+
+
+@query(f"""
+SELECT job_id, candidate_id, tile_id, (row_number() OVER (PARTITION BY job_id ORDER BY final DESC, geo DESC, candidate_id))::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, raw_matches, inliers FROM ({FINAL})""")
+def project_candidates(spark, sf_dir):
+    rows = results.candidates(scoring.finalize(_scored(spark, sf_dir), RADIUS))
+    return rows.select("job_id", "candidate_id", "tile_id", "rank", "verdict", "rejection", "raw_matches", "inliers")
+
+
+@query(f"SELECT job_id, cluster_id, rank::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, support::INT AS support FROM ({RANKED})")
+def project_clusters(spark, sf_dir):
+    return results.clusters(clustering.rank(clustering.aggregate(_cells(spark, sf_dir)))).select("job_id", "cluster_id", "rank", "verdict", "rejection", "support")
+
+
+BEST = f"SELECT * FROM ({RANKED}) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY valid DESC, partial DESC, rank) = 1"
+
+
+@query(f"SELECT job_id, array_to_string(list_sort(list(tile_id) FILTER (valid)), ',') AS member_tile_ids, count(*) FILTER (valid) AS supporting FROM (SELECT c.* FROM ({CELLS}) c JOIN (SELECT job_id, cluster_id FROM ({BEST})) b USING (job_id, cluster_id)) GROUP BY 1")
+def supporting_members(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    out = results.supporting_members(cells, clustering.best(clustering.rank(clustering.aggregate(cells))))
+    return out.withColumn("member_tile_ids", F.when(F.col("supporting") > 0, F.array_join("member_tile_ids", ",")))
+
+
+@query(f"""
+WITH r AS ({RANKED}), n AS (SELECT *, max(valid::INT) OVER (PARTITION BY job_id) AS av FROM (SELECT c.* FROM ({CELLS}) c JOIN r USING (job_id, cluster_id) WHERE r.rank <= 2))
+SELECT job_id, candidate_id, pick::INT AS pick FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS pick FROM n WHERE av = 0 OR valid) WHERE pick <= 3""")
+def refine_set(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    ranked = clustering.rank(clustering.aggregate(cells))
+    rows = results.with_clusters(cells.drop("cluster_id"), cells, ranked)
+    return scoring.refine_set(rows).select("job_id", "candidate_id", "pick")
+
+
+@query(f"SELECT job_id, coalesce(arg_min(round(sqrt(((x + 90) - x) ** 2 + ((y + tile_id) - y) ** 2) / 3, 6), candidate_id) FILTER (valid AND x IS NOT NULL), round(sqrt(640 ** 2 + 480 ** 2) / 3, 6)) AS radius FROM ({X.CANDIDATES}) GROUP BY 1")
+def same_place_radius(spark, sf_dir):
+    rows = X.read(spark, sf_dir, X.CANDIDATES).selectExpr("job_id", "candidate_id", "valid and x is not null valid", "x x_min", "x + 90 x_max", "y y_min", "y + tile_id y_max")
+    return _rounded(clustering.same_place_radius(rows, 640.0, 480.0), 6)
+
+
+@query(f"SELECT item_id, coalesce(bool_or(sqrt((x - expected_x) ** 2 + (y - expected_y) ** 2) <= 150 + 200 / 2), false) AS found FROM ({X.ITEMS}) i LEFT JOIN ({X.RESULTS}) r USING (item_id) GROUP BY 1")
+def top5_retrieval(spark, sf_dir):
+    tiles = X.read(spark, sf_dir, X.RESULTS).selectExpr("item_id", "x center_x", "y center_y", "200 width", "120 height")
+    return evaluation.top5_retrieval(X.read(spark, sf_dir, X.ITEMS), tiles, 150)
+
+
+@query("SELECT l_orderkey AS epoch, l_returnflag AS name, round(sum(l_discount * l_quantity) / nullif(sum(l_quantity), 0), 9) AS value FROM lineitem GROUP BY 1, 2")
+def epoch_means(spark, sf_dir):
+    parts = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey epoch", "l_returnflag name", "l_discount value", "l_quantity size")
+    return _rounded(evaluation.epoch_means(parts))
+
+
+@query("SELECT p_brand AS split, p_name AS name, lpad((row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1)::VARCHAR, 6, '0') AS number FROM part WHERE p_size > 3 AND p_retailprice % 7 >= 1 AND abs(p_size - 2 * 12) <= 4")
+def usable_pairs(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").filter(evaluation.side_by_side(F.col("p_size"), F.lit(12)))
+    stats = part.select(F.col("p_brand").alias("split"), F.struct("p_name", "p_partkey").alias("name"), F.when(F.col("p_size") > 3, F.col("p_size")).otherwise(0).alias("width"), F.lit(12).alias("height"), (F.col("p_retailprice") % 7).alias("deviation"))
+    return evaluation.usable_pairs(stats).select("split", F.col("name.p_name").alias("name"), "number")
+
+
+@query("SELECT user_id AS image_id, event_id AS kp_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 20")
+def keypoints_to_draw(spark, sf_dir):
+    return results.keypoints_to_draw(_table(spark, sf_dir, "events").selectExpr("user_id image_id", "event_id kp_id", "value score"), 20).select("image_id", "kp_id")
+
+
+@query("""
+SELECT pair_id, match_id FROM (SELECT user_id AS pair_id, event_id AS match_id, row_number() OVER (PARTITION BY user_id ORDER BY value > 10, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) z
+WHERE n <= 30 OR i IN (SELECT floor(k * (n / 30.0::DOUBLE))::BIGINT FROM range(30) r(k))""")
+def lines_to_draw(spark, sf_dir):
+    return results.lines_to_draw(_table(spark, sf_dir, "events").selectExpr("user_id pair_id", "event_id match_id", "value > 10 inlier"), 30).select("pair_id", "match_id")
+
+
+@query(f"""
+SELECT h_id, CASE WHEN ok THEN a END AS x0, CASE WHEN ok THEN b END AS y0, CASE WHEN ok THEN c END AS x1, CASE WHEN ok THEN d END AS y1 FROM (SELECT *, c > a AND d > b AS ok FROM (SELECT h_id, trunc(greatest(0.0, l - (r - l) * 0.45::DOUBLE))::INT AS a, trunc(greatest(0.0, t - (m - t) * 0.45::DOUBLE))::INT AS b, trunc(least(700.0, r + (r - l) * 0.45::DOUBLE))::INT AS c, trunc(least(500.0, m + (m - t) * 0.45::DOUBLE))::INT AS d
+FROM (SELECT h_id, least(x0, x1, x2, x3) AS l, greatest(x0, x1, x2, x3) AS r, least(y0, y1, y2, y3) AS t, greatest(y0, y1, y2, y3) AS m FROM ({PROJECTED}))))""")
+def crop_boxes(spark, sf_dir):
+    h = X.read(spark, sf_dir, X.HOMOGRAPHIES)
+    h = h.select("h_id", *[c.alias(f"{a}{i}") for i, p in enumerate(_corners()) for a, c in zip("xy", p, strict=True)])
+    xs, ys = [f"x{i}" for i in range(4)], [f"y{i}" for i in range(4)]
+    h = h.select("h_id", F.least(*xs).alias("l"), F.least(*ys).alias("t"), F.greatest(*xs).alias("r"), F.greatest(*ys).alias("m"))
+    box = results.crop_box(F.col("l"), F.col("t"), F.col("r"), F.col("m"), F.lit(700), F.lit(500))
+    return h.select("h_id", box.alias("box")).select("h_id", *[F.col(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(f"SELECT job_id, candidate_id, valid FROM ({X.CANDIDATES}) UNION ALL SELECT o_orderkey, 999, true FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT job_id FROM ({X.CANDIDATES}) WHERE valid)")
+def global_fallback(spark, sf_dir):
+    found = X.read(spark, sf_dir, X.CANDIDATES).select("job_id", "candidate_id", "valid")
+    return results.with_fallback(found, _table(spark, sf_dir, "orders").selectExpr("o_orderkey job_id", "999 candidate_id", "o_orderkey % 2 = 0 valid"))
+
+
+@query(f"SELECT DISTINCT job_id, name, CASE WHEN e IS NULL THEN 'skipped' WHEN e = '' THEN 'ready' ELSE 'skipped' END AS state, CASE WHEN e IS NULL THEN 'unavailable' WHEN e <> '' THEN e END AS error FROM (SELECT j.job_id, n.name, p.e FROM (SELECT DISTINCT job_id FROM ({X.PLACES})) j CROSS JOIN (SELECT unnest(['rgb', 'structural', 'map']) AS name) n LEFT JOIN (SELECT job_id, representation, CASE WHEN verified THEN '' ELSE 'failed' END AS e FROM ({X.PLACES})) p ON j.job_id = p.job_id AND n.name = p.representation)")
+def branch_status(spark, sf_dir):
+    built = X.read(spark, sf_dir, X.PLACES).selectExpr("job_id", "representation name", "case when not verified then 'failed' end error")
+    return results.branches(built, ("rgb", "structural", "map"))
+
+
+@query(f"""
+WITH b AS ({BEST}), c AS (SELECT job_id, cluster_id, sum(x * greatest(inliers, 1)) / sum(greatest(inliers, 1)) AS cx, sum(y * greatest(inliers, 1)) / sum(greatest(inliers, 1)) AS cy FROM ({CELLS}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2)
+SELECT d.job_id, d.status, CASE WHEN d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') THEN round_even(cx, 0)::INT END AS px, CASE WHEN d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') THEN round_even(cy, 0)::INT END AS py FROM ({SQL['decide']}) d LEFT JOIN b USING (job_id) LEFT JOIN c ON c.job_id = b.job_id AND c.cluster_id = b.cluster_id""")
+def result_document(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    ranked = clustering.rank(clustering.aggregate(cells))
+    out = results.document(verdict.decide(ranked), clustering.best(ranked), clustering.weighted_center(cells), results.candidates(cells))
+    return out.select("job_id", "status", "px", "py")
+
+
+@query()
+def classical_descriptor(spark, sf_dir):
+    """Descriptors of small rasters drawn from the embeddings' numbers; rows-only."""
+    px = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex((F.pmod(F.floor(v.cast("double") * 1000), F.lit(256))).cast("long")), 2, "0")), ""))
+    rows = _table(spark, sf_dir, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), px.alias("px"))
+    return raster.embed(rows)
