@@ -32,7 +32,7 @@ HELD_OUT = 2
 THRESHOLD = 0.3
 #: Most labelled rows that a model is fitted on, and features that it keeps.
 SAMPLE = 20_000
-SELECTED = 4096
+SELECTED = 1024
 PREFIXES = (4, 5, 6)
 
 # Groups of identity terms that are swapped for one another.
@@ -179,7 +179,7 @@ class Sparse:
         return np.bincount(self.col, self.value * g[self.row], self.width)
 
 
-def fit(rows: list[dict], width: int, l2: float = 1e-3, fairness: float = 1.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: list[dict], width: int, l2: float = 2e-4, fairness: float = 1.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias. rows: a text's row may be followed by its counterfactual (pair true)."""
     own = [r for r in rows if not r["pair"]]
     y = np.array([r["toxic"] for r in own], float)
