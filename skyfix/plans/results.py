@@ -101,3 +101,32 @@ def with_fallback(found: DataFrame, fallback: DataFrame) -> DataFrame:
     """Candidates, and a job's valid whole-map fallback if none of its candidates is valid."""
     lucky = found.filter("valid").select("job_id").distinct()
     return found.unionByName(fallback.filter("valid").join(lucky, "job_id", "left_anti"), allowMissingColumns=True)
+
+
+def representation_best(attempts: DataFrame) -> DataFrame:
+    """Each job's best attempt of each representation: valid first, then inliers, then the smaller candidate_id."""
+    order = Window.partitionBy("job_id", "representation").orderBy(F.desc("valid"), F.desc("inliers"), "candidate_id")
+    return attempts.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def inlier_evidence(points: DataFrame, members: DataFrame, decided: DataFrame) -> DataFrame:
+    """job_id, points: the winning members' inlier points in map pixels, 1 decimal, only for accepted verdicts.
+
+    points: job_id, candidate_id, point_id, x, y, sampled per candidate before (inlier_sample), so a job's list is bounded.
+    """
+    accepted = decided.filter(F.col("status").isin("MATCH_FOUND", "LOW_CONFIDENCE")).select("job_id")
+    own = points.join(members.select("job_id", "candidate_id"), ["job_id", "candidate_id"]).join(accepted, "job_id", "left_semi")
+    entry = F.struct("candidate_id", "point_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"))
+    return own.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda p: F.array(p["x"], p["y"])).alias("points"))
+
+
+def capabilities(spark, available: dict[str, bool]) -> DataFrame:
+    """One row: which optional models are there, and the retrieval and matching backends that follow."""
+    flags = spark.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(available.items())])
+    return flags.withColumn("retrieval_backend", F.lit("neural" if available.get("embedder") else "classical")).withColumn("matcher_backend", F.lit("learned" if available.get("matcher") else "classical"))
+
+
+def pixel_statistics(pixels: DataFrame) -> DataFrame:
+    """image_id, mean, deviation (population), edge_density, dark_share of pixel rows (image_id, grey, edge), 4 decimals."""
+    share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 4)
+    return pixels.groupBy("image_id").agg(F.round(F.avg("grey"), 4).alias("mean"), F.round(F.stddev_pop("grey"), 4).alias("deviation"), share(F.col("edge") > 0).alias("edge_density"), share(F.col("grey") < 128).alias("dark_share"))

@@ -874,3 +874,66 @@ def classical_descriptor(spark, sf_dir):
     px = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex((F.pmod(F.floor(v.cast("double") * 1000), F.lit(256))).cast("long")), 2, "0")), ""))
     rows = _table(spark, sf_dir, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), px.alias("px"))
     return raster.embed(rows)
+
+
+# ---------------------------------------------------------------- further projections
+
+
+@query("SELECT vec_id AS tile_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda v: (v * 3 / greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda w: w * w * 9))), 1e-8)) ** 2)), 9) AS squared, round(embedding[1]::DOUBLE * 3 / greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda w: w * w * 9))), 1e-8), 9) AS first FROM embeddings")
+def l2_normalise(spark, sf_dir):
+    v = retrieval.l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("tile_id"), v.alias("v"))
+    return _rounded(rows.select("tile_id", retrieval.dot(F.col("v"), F.col("v")).alias("squared"), F.get("v", 0).alias("first")))
+
+
+@query(f"""
+SELECT ref_id, round((d * u + e * v + f) / (g * u + h * v + 1), 7) AS latitude, round((a * u + b * v + c) / (g * u + h * v + 1), 7) AS longitude FROM (
+  SELECT *, x1 - x0 + g * x1 AS a, x3 - x0 + h * x3 AS b, x0 AS c, y1 - y0 + g * y1 AS d, y3 - y0 + h * y3 AS e, y0 AS f FROM (
+    SELECT *, (sx * (y3 - y2) - (x3 - x2) * sy) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS g, ((x1 - x2) * sy - sx * (y1 - y2)) / ((x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2)) AS h FROM (
+      SELECT *, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy FROM (
+        SELECT ref_id, px / 600 AS u, py / 500 AS v, 77.0::DOUBLE AS x0, 78.0 + ref_id / 1e3 AS x1, 78.1::DOUBLE AS x2, 77.05::DOUBLE AS x3, 13.0::DOUBLE AS y0, 13.02::DOUBLE AS y1, 12.0 - ref_id / 1e3 AS y2, 12.05::DOUBLE AS y3 FROM ({X.BOXES})))))""")
+def corners_to_latlon(spark, sf_dir):
+    k = F.col("ref_id") / 1e3
+    corners = F.array(*[F.array(a, b) for a, b in ((F.lit(13.0), F.lit(77.0)), (F.lit(13.02), 78.0 + k), (12.0 - k, F.lit(78.1)), (F.lit(12.05), F.lit(77.05)))])
+    rows = X.read(spark, sf_dir, X.BOXES).withColumn("corners", corners)
+    lat, lon = geo.corners_latlon(F.col("px"), F.col("py"), F.col("corners"), F.lit(600.0), F.lit(500.0))
+    return rows.select("ref_id", lat.alias("latitude"), lon.alias("longitude"))
+
+
+@query(f"""
+SELECT plan_id, seq, round(8 + 84 * (longitude - min(longitude) OVER p) / greatest(max(longitude) OVER p - min(longitude) OVER p, 1e-9), 9) AS px, round(92 - 84 * (latitude - min(latitude) OVER p) / greatest(max(latitude) OVER p - min(latitude) OVER p, 1e-9), 9) AS py
+FROM (SELECT * FROM ({SQL_POINTS}) WHERE latitude IS NOT NULL) WINDOW p AS (PARTITION BY plan_id)""")
+def plan_path(spark, sf_dir):
+    return _rounded(mission.normalised_path(mission.waypoints(_plans(spark, sf_dir))))
+
+
+@query("SELECT l_orderkey AS job_id, l_returnflag AS representation, l_linenumber AS candidate_id, l_suppkey AS inliers, l_partkey AS k FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_suppkey % 3 = 0 DESC, l_suppkey DESC, (l_linenumber, l_partkey)) = 1")
+def representation_best(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey job_id", "l_returnflag representation", "struct(l_linenumber, l_partkey) candidate_id", "l_suppkey % 3 = 0 valid", "l_suppkey inliers")
+    return results.representation_best(rows).select("job_id", "representation", F.col("candidate_id.l_linenumber").alias("candidate_id"), "inliers", F.col("candidate_id.l_partkey").alias("k"))
+
+
+@query(f"""
+SELECT job_id, list([round(x, 1), round(y, 1)] ORDER BY candidate_id) AS points FROM (
+  SELECT c.* FROM ({CELLS}) c JOIN ({BEST}) b USING (job_id, cluster_id) JOIN ({SQL['decide']}) d ON d.job_id = c.job_id WHERE d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') AND c.x IS NOT NULL) GROUP BY 1""")
+def inlier_evidence(spark, sf_dir):
+    cells = _cells(spark, sf_dir)
+    ranked = clustering.rank(clustering.aggregate(cells))
+    members = cells.join(clustering.best(ranked).select("job_id", "cluster_id"), ["job_id", "cluster_id"])
+    points = cells.filter("x is not null").select("job_id", "candidate_id", F.lit(0).alias("point_id"), "x", "y")
+    return results.inlier_evidence(points, members, verdict.decide(ranked))
+
+
+@query("SELECT p_partkey AS case_id, p_name AS name FROM part WHERE contains(p_name, 'al')")
+def case_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "part").filter(F.contains(F.col("p_name"), F.lit("al"))).select(F.col("p_partkey").alias("case_id"), F.col("p_name").alias("name"))
+
+
+@query("SELECT l_orderkey AS image_id, round(avg(l_partkey % 256), 4) AS mean, round(stddev_pop(l_partkey % 256), 4) AS deviation, round(count(*) FILTER (l_suppkey % 5 > 0) / count(*)::DOUBLE, 4) AS edge_density, round(count(*) FILTER (l_partkey % 256 < 128) / count(*)::DOUBLE, 4) AS dark_share FROM lineitem GROUP BY 1")
+def pixel_statistics(spark, sf_dir):
+    return results.pixel_statistics(_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey image_id", "cast(l_partkey % 256 as double) grey", "l_suppkey % 5 edge"))
+
+
+@query("SELECT false AS embedder, false AS matcher, false AS translator, 'classical' AS retrieval_backend, 'classical' AS matcher_backend")
+def capabilities(spark, sf_dir):
+    return results.capabilities(spark, {"embedder": False, "matcher": False, "translator": False})
