@@ -144,4 +144,27 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 SQL["op6_licenses"] = _license_sql()
 
 
+SQL["op10_decontam"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL
+), ds AS (
+  SELECT doc_id, list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM d WHERE len(ws) >= 5
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark WHERE text IS NOT NULL
+), bs AS (
+  SELECT item_id, list_sort(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM b WHERE len(ws) >= 5
+), cand AS (
+  SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(sh) AS x FROM ds) JOIN (SELECT item_id, unnest(sh) AS x FROM bs) USING (x)
+), spans AS (
+  SELECT doc_id, item_id, ds.sh AS sh, bs.sh AS item, least(len(ds.sh), len(bs.sh)) AS m FROM cand JOIN ds USING (doc_id) JOIN bs USING (item_id)
+), bags AS (
+  SELECT doc_id, item_id, item, list_sort(sh[s:s + m - 1]) AS bag FROM (SELECT *, unnest(range(1, len(sh) - m + 2)) AS s FROM spans)
+), counted AS (
+  SELECT doc_id, item_id, len(bag) AS a, len(item) AS b,
+         len(list_intersect(list_transform(bag, lambda x, i: x || '#' || (i - list_position(bag, x))), list_transform(item, lambda x, i: x || '#' || (i - list_position(item, x))))) AS o FROM bags
+)
+SELECT doc_id, item_id, round(max(o / (a + b - o)::DOUBLE), 6) AS similarity FROM counted WHERE o / (a + b - o)::DOUBLE >= 0.8::DOUBLE GROUP BY 1, 2
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op7_secrets, op8_simhash, op9_toxicity, op10_decontam)}
