@@ -1,7 +1,7 @@
 """Mission plans: JSON text to waypoints, bounds and warnings, with VARIANT expressions.
 
 Plans are rows (plan_id, body). Nested items are unfolded level by level to `depth`, each level an
-explode; what lies deeper is reported, not dropped silently.
+explode; what lies deeper than that is not read.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the commands.
-COMMANDS = {16: "WAYPOINT", 17: "LOITER_UNLIM", 18: "LOITER_TURNS", 19: "LOITER_TIME", 20: "RETURN_TO_LAUNCH", 21: "LAND", 22: "TAKEOFF", 82: "SPLINE_WAYPOINT", 206: "DO_SET_CAM_TRIGG_DIST"}
+COMMANDS = {16: "WAYPOINT", 17: "LOITER_UNLIM", 18: "LOITER_TURNS", 19: "LOITER_TIME", 21: "LAND", 22: "TAKEOFF", 82: "SPLINE_WAYPOINT", 189: "DO_LAND_START", 195: "ROI_LOCATION"}
 
 
 def parse(plans: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def items(parsed: DataFrame, depth: int = 3) -> DataFrame:
     level = level.select("plan_id", F.array("i").alias("path"), "item")
     levels = []
     for _ in range(depth):
-        inner = F.coalesce(_items(F.col("item"), "$.TransectStyleComplexItem.Items"), _items(F.col("item"), "$.Items"))
+        given = _items(F.col("item"), "$.TransectStyleComplexItem.Items")
+        inner = F.coalesce(F.when(F.size(given) > 0, given), _items(F.col("item"), "$.Items"))
         level = level.withColumn("is_complex", F.coalesce(F.try_variant_get("item", "$.type", "string") == "ComplexItem", F.lit(False))).withColumn("inner", F.when(F.col("is_complex"), inner))
         levels.append(level.select("plan_id", "path", "item", "is_complex", F.size(F.coalesce("inner", F.array().cast("array<variant>"))).alias("n_inner")))
         level = level.select("plan_id", "path", F.posexplode("inner").alias("i", "part")).select("plan_id", F.concat("path", F.array("i")).alias("path"), F.col("part").alias("item"))
@@ -56,9 +57,10 @@ def waypoints(parsed: DataFrame, depth: int = 3) -> DataFrame:
     lat, lon, alt = (number(F.col("item"), f"$.params[{i}]") for i in (4, 5, 6))
     nowhere = (lat == 0) & (lon == 0)
     alt = F.when(F.size(F.coalesce(params, F.array().cast("array<variant>"))) > 6, alt).otherwise(number(F.col("item"), "$.Altitude"))
-    command = F.try_variant_get("item", "$.command", "int")
+    command = F.coalesce(F.try_variant_get("item", "$.command", "int"), F.lit(0))
     names = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
-    seq = F.coalesce(F.try_variant_get("item", "$.doJumpId", "int"), F.element_at("path", -1) + 1)
+    # an item without a number of its own counts on from the places of the items that hold it
+    seq = F.coalesce(F.try_variant_get("item", "$.doJumpId", "int"), F.aggregate("path", F.lit(1), lambda a, i: a + i))
     out = simple.select("plan_id", "path", seq.alias("seq"), command.alias("command"), F.when(nowhere, None).otherwise(lat).alias("latitude"), F.when(nowhere, None).otherwise(lon).alias("longitude"), alt.alias("altitude"), F.try_variant_get("item", "$.frame", "int").alias("frame"))
     return out.withColumn("command_name", F.coalesce(F.try_element_at(names, F.col("command")), F.concat(F.lit("CMD_"), F.col("command").cast("string"))))
 
@@ -86,9 +88,13 @@ def summary(parsed: DataFrame, depth: int = 3) -> DataFrame:
     points = waypoints(parsed, depth).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_waypoints"), F.count("latitude").alias("n_positions"))
     size = lambda path: F.greatest(F.size(F.coalesce(_items(F.col("doc"), path), F.array().cast("array<variant>"))), F.lit(0))
     base = parsed.filter("error is null").select("plan_id", size("$.geoFence.polygons").alias("n_geofences"), size("$.rallyPoints.points").alias("n_rally"))
-    out = base.join(points, "plan_id", "left").join(home(parsed).select("plan_id", F.col("latitude").alias("_home")), "plan_id", "left").fillna(0, ["n_waypoints", "n_positions"])
+    closed = items(parsed, depth).filter(F.col("is_complex") & (F.col("n_inner") == 0))
+    kind = F.coalesce(F.try_variant_get("item", "$.complexItemType", "string"), F.lit("unknown"))
+    closed = closed.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", kind.alias("kind")))), lambda c: F.format_string("Complex mission item '%s' was not expanded.", c["kind"])).alias("_closed"))
+    out = base.join(points, "plan_id", "left").join(closed, "plan_id", "left").join(home(parsed).select("plan_id", F.col("latitude").alias("_home")), "plan_id", "left").fillna(0, ["n_waypoints", "n_positions"])
     warnings = F.filter(F.array(F.when(F.col("n_waypoints") == 0, F.lit("no waypoint items")), F.when(F.col("_home").isNull(), F.lit("no planned home"))), lambda w: w.isNotNull())
-    return out.withColumn("warnings", warnings).drop("_home")
+    warnings = F.concat(F.coalesce("_closed", F.array().cast("array<string>")), warnings)
+    return out.withColumn("warnings", warnings).drop("_home", "_closed")
 
 
 def normalised_path(points: DataFrame) -> DataFrame:

@@ -647,7 +647,7 @@ concat('{"mission":{"plannedHomePosition":[12.9,77.5,0],"items":[{"type":"Simple
 SQL_POINTS = """
 SELECT event_id AS plan_id, 1 AS seq, 16 AS command, 'WAYPOINT' AS command_name, event_id % 80 + 0.5::DOUBLE AS latitude, event_id % 170 + 0.25::DOUBLE AS longitude, (event_id % 50)::DOUBLE AS altitude FROM events
 UNION ALL
-SELECT event_id, 7, (16 + event_id % 9)::INT, CASE 16 + event_id % 9 WHEN 16 THEN 'WAYPOINT' WHEN 17 THEN 'LOITER_UNLIM' WHEN 18 THEN 'LOITER_TURNS' WHEN 19 THEN 'LOITER_TIME' WHEN 20 THEN 'RETURN_TO_LAUNCH' WHEN 21 THEN 'LAND' WHEN 22 THEN 'TAKEOFF' ELSE 'CMD_' || (16 + event_id % 9) END,
+SELECT event_id, 7, (16 + event_id % 9)::INT, CASE 16 + event_id % 9 WHEN 16 THEN 'WAYPOINT' WHEN 17 THEN 'LOITER_UNLIM' WHEN 18 THEN 'LOITER_TURNS' WHEN 19 THEN 'LOITER_TIME' WHEN 21 THEN 'LAND' WHEN 22 THEN 'TAKEOFF' ELSE 'CMD_' || (16 + event_id % 9) END,
   CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 3)::DOUBLE END, CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 2)::DOUBLE END, 30.0::DOUBLE FROM events
 """
 

@@ -158,3 +158,14 @@ def test_broken_plans(spark):
     rows = [(1, "{"), (2, "[1]"), (3, "{}"), (4, '﻿{"mission": {"items": []}}'), (5, None)]
     got = {r.plan_id: r.error for r in mission.parse(spark.createDataFrame(rows, "plan_id int, body string")).collect()}
     assert got == {1: "invalid_json", 2: "not_an_object", 3: "no_mission", 4: None, 5: "invalid_json"}
+
+
+def test_nested_items(spark):
+    body = '''{"mission": {"items": [7, {"type": "SimpleItem", "command": 21, "params": [0, 0, 0, 0, 1.5, "2.5"], "Altitude": 9},
+      {"type": "ComplexItem", "complexItemType": "survey", "Items": [{"type": "SimpleItem", "params": [0, 0, 0, 0, 0, 0, 4]}, {"type": "ComplexItem", "complexItemType": "corridor"}]}]}}'''
+    parsed = mission.parse(spark.createDataFrame([(1, body)], "plan_id int, body string"))
+    got = sorted((r.seq, r.command_name, r.latitude, r.longitude, r.altitude) for r in mission.waypoints(parsed).collect())
+    assert got == [(2, "LAND", 1.5, 2.5, 9.0), (3, "CMD_0", None, None, 4.0)]
+    r = mission.summary(parsed).first()
+    assert (r.n_waypoints, r.n_positions) == (2, 1)
+    assert r.warnings == ["Complex mission item 'corridor' was not expanded.", "no planned home"]
