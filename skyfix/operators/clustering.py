@@ -11,7 +11,8 @@ from skyfix.functions import scores as S
 def same_place_radius(candidates: DataFrame, frame_w: float, frame_h: float) -> DataFrame:
     """job_id, radius: a third of the box diagonal of the first valid projection, else of the frame's."""
     diag = F.sqrt(F.pow(F.col("x_max") - F.col("x_min"), 2) + F.pow(F.col("y_max") - F.col("y_min"), 2)) / 3
-    first = F.min_by(F.when(F.col("valid"), diag), F.when(F.col("valid"), F.col("candidate_id")))
+    usable = F.col("valid") & (diag > 0)
+    first = F.min_by(F.when(usable, diag), F.when(usable, F.col("candidate_id")))
     return candidates.groupBy("job_id").agg(F.coalesce(first, F.lit((frame_w**2 + frame_h**2) ** 0.5 / 3)).alias("radius"))
 
 

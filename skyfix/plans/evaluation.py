@@ -9,40 +9,66 @@ from pyspark.sql import functions as F
 def score_items(items: DataFrame, results: DataFrame, tolerance: float) -> DataFrame:
     """Items (item_id, expected_x, expected_y, expect_no_match) joined to results (item_id, status, x, y).
 
-    Adds error_px (1 decimal), correct and failed (no result).
+    Adds failed (no result), error_px (1 decimal; where a position was expected and returned) and
+    correct (null where there is nothing to judge).
     """
     joined = items.join(results, "item_id", "left")
     d = F.sqrt(F.pow(F.col("x") - F.col("expected_x"), 2) + F.pow(F.col("y") - F.col("expected_y"), 2))
-    out = joined.withColumn("failed", F.col("status").isNull()).withColumn("error_px", F.round(d, 1))
-    right = F.when(F.col("expect_no_match"), F.col("status") == "NO_MATCH").otherwise(F.coalesce(F.col("error_px") <= tolerance, F.lit(False)))
-    return out.withColumn("correct", F.coalesce(right, F.lit(False)))
+    out = joined.withColumn("failed", F.col("status").isNull()).withColumn("error_px", F.when(~F.col("expect_no_match"), F.round(d, 1)))
+    return out.withColumn("correct", F.when(F.col("expect_no_match"), F.col("status") == "NO_MATCH").otherwise(F.col("error_px") <= tolerance))
 
 
-def batch_metrics(scored: DataFrame, tolerance: float) -> DataFrame:
-    """top1, no_match_rate, false_rate, localizable, rows: the online evaluator's denominators."""
-    hit = F.coalesce(F.col("error_px") <= tolerance, F.lit(False))
-    wanted = ~F.col("failed") & ~F.col("expect_no_match") & F.col("expected_x").isNotNull()
-    wrong = (F.col("status") == "MATCH_FOUND") & (F.col("expect_no_match") | ~hit)
+def batch_metrics(scored: DataFrame) -> DataFrame:
+    """The online evaluator's figures, to 4 decimals; scored may have found, from top5_retrieval().
+
+    Accuracies count over the results with an expected position (at least 1), false localizations
+    over all items; the no-match rate is null where none was expected.
+    """
+    none = F.col("expect_no_match")
+    matched = F.col("status") == "MATCH_FOUND"
+    judged = F.col("error_px").isNotNull()
+    found = F.col("found") if "found" in scored.columns else F.lit(False)
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     out = scored.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(wanted).alias("localizable"),
-        F.count_if(wanted & hit).alias("_hits"),
-        F.count_if(F.col("expect_no_match") & ~F.col("failed")).alias("_none"),
-        F.count_if(F.col("expect_no_match") & (F.col("status") == "NO_MATCH")).alias("_none_hits"),
-        F.count_if(F.coalesce(wrong, F.lit(False))).alias("_false"),
+        F.count(F.lit(1)).alias("total"),
+        F.greatest(n(~F.col("failed") & ~none & F.col("expected_x").isNotNull()), F.lit(1)).alias("localizable"),
+        n(judged & F.col("correct")).alias("_hits"),
+        n(judged & found).alias("_found"),
+        n(none & ~F.col("failed")).alias("expected_no_match"),
+        n(none & F.col("correct")).alias("_none"),
+        n(matched & ~F.col("correct") & (none | judged)).alias("_false"),
     )
-    return out.select("rows", "localizable", (F.col("_hits") / F.greatest("localizable", F.lit(1))).alias("top1"), F.try_divide("_none_hits", "_none").alias("no_match_rate"), (F.col("_false") / F.greatest("rows", F.lit(1))).alias("false_rate"))
+    share = lambda a, b: F.round(F.try_divide(a, b), 4)
+    return out.select(
+        "total", "localizable", "expected_no_match", share(F.col("_hits"), F.col("localizable")).alias("top1"), share(F.col("_found"), F.col("localizable")).alias("top5"),
+        share(F.col("_none"), F.col("expected_no_match")).alias("no_match_rate"), share(F.col("_false"), F.greatest("total", F.lit(1))).alias("false_rate"),
+    )
+
 
+def offline_metrics(scored: DataFrame, tolerance: float) -> DataFrame:
+    """correct, evaluated, no_match_ok, no_match_total, false_localizations, passed: the offline evaluator's figures.
 
-def offline_metrics(scored: DataFrame) -> DataFrame:
-    """passed, cases, rate: the offline evaluator counts a missing position as failed."""
-    return scored.agg(F.count_if("correct").alias("passed"), F.count(F.lit(1)).alias("cases")).withColumn("rate", F.col("passed") / F.greatest("cases", F.lit(1)))
+    It compares distances without rounding, and a missing position counts as failed.
+    """
+    none = F.col("expect_no_match")
+    near = F.sqrt(F.pow(F.col("x") - F.col("expected_x"), 2) + F.pow(F.col("y") - F.col("expected_y"), 2)) <= tolerance
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    matched = F.col("status") == "MATCH_FOUND"
+    out = scored.agg(
+        n(~none & near).alias("correct"),
+        n(~none).alias("evaluated"),
+        n(none & (F.col("status") == "NO_MATCH")).alias("no_match_ok"),
+        n(none).alias("no_match_total"),
+        n(matched & (none | ~near)).alias("false_localizations"),
+    )
+    return out.withColumn("passed", (F.col("correct") == F.col("evaluated")) & (F.col("no_match_ok") == F.col("no_match_total")))
 
 
 def top5_retrieval(items: DataFrame, candidates: DataFrame, tolerance: float) -> DataFrame:
     """item_id, found: whether any candidate tile's centre lies within tolerance plus half its longer side.
 
     items: item_id, expected_x, expected_y; candidates: item_id, center_x, center_y, width, height.
+    All of an item's candidates count, not five.
     """
     d = F.sqrt(F.pow(F.col("center_x") - F.col("expected_x"), 2) + F.pow(F.col("center_y") - F.col("expected_y"), 2))
     near = d <= tolerance + F.greatest("width", "height") / 2

@@ -549,9 +549,9 @@ def haversine(spark, sf_dir):
 # ---------------------------------------------------------------- evaluation, stage log
 
 JUDGED = f"""
-SELECT i.*, status, status IS NULL AS failed, round(sqrt((x - expected_x) ** 2 + (y - expected_y) ** 2), 1) AS error_px FROM ({X.ITEMS}) i LEFT JOIN ({X.RESULTS}) r USING (item_id)
+SELECT i.*, status, x, y, status IS NULL AS failed, CASE WHEN NOT expect_no_match THEN round(sqrt((x - expected_x) ** 2 + (y - expected_y) ** 2), 1) END AS error_px FROM ({X.ITEMS}) i LEFT JOIN ({X.RESULTS}) r USING (item_id)
 """
-JUDGED = f"SELECT *, coalesce(CASE WHEN expect_no_match THEN status = 'NO_MATCH' ELSE coalesce(error_px <= 150, false) END, false) AS correct FROM ({JUDGED})"
+JUDGED = f"SELECT *, CASE WHEN expect_no_match THEN status = 'NO_MATCH' ELSE error_px <= 150 END AS correct FROM ({JUDGED})"
 
 
 def _judged(spark, sf_dir):
@@ -564,17 +564,24 @@ def batch_scoring(spark, sf_dir):
 
 
 @query(f"""
-SELECT rows, localizable, round(hits / greatest(localizable, 1)::DOUBLE, 9) AS top1, round(none_hits / nullif(nm, 0)::DOUBLE, 9) AS no_match_rate, round(wrong / greatest(rows, 1)::DOUBLE, 9) AS false_rate FROM (
-  SELECT count(*) AS rows, count(*) FILTER (NOT failed AND NOT expect_no_match AND expected_x IS NOT NULL) AS localizable, count(*) FILTER (NOT failed AND NOT expect_no_match AND expected_x IS NOT NULL AND error_px <= 150) AS hits,
-    count(*) FILTER (expect_no_match AND NOT failed) AS nm, count(*) FILTER (expect_no_match AND status = 'NO_MATCH') AS none_hits,
-    count(*) FILTER (status = 'MATCH_FOUND' AND (expect_no_match OR NOT coalesce(error_px <= 150, false))) AS wrong FROM ({JUDGED}))""")
+SELECT total, localizable, expected_no_match, round(hits / localizable::DOUBLE, 4) AS top1, round(found / localizable::DOUBLE, 4) AS top5, round(none_hits / nullif(expected_no_match, 0)::DOUBLE, 4) AS no_match_rate, round(wrong / greatest(total, 1)::DOUBLE, 4) AS false_rate FROM (
+  SELECT count(*) AS total, greatest(1, count(*) FILTER (NOT failed AND NOT expect_no_match AND expected_x IS NOT NULL)) AS localizable, count(*) FILTER (error_px <= 150) AS hits,
+    count(*) FILTER (error_px IS NOT NULL AND sqrt((x - expected_x) ** 2 + (y - expected_y) ** 2) <= 250) AS found,
+    count(*) FILTER (expect_no_match AND NOT failed) AS expected_no_match, count(*) FILTER (expect_no_match AND status = 'NO_MATCH') AS none_hits,
+    count(*) FILTER (status = 'MATCH_FOUND' AND (expect_no_match OR error_px > 150)) AS wrong FROM ({JUDGED}))""")
 def batch_metrics(spark, sf_dir):
-    return _rounded(evaluation.batch_metrics(_judged(spark, sf_dir), 150))
+    tiles = X.read(spark, sf_dir, X.RESULTS).selectExpr("item_id", "x center_x", "y center_y", "200 width", "120 height")
+    found = evaluation.top5_retrieval(X.read(spark, sf_dir, X.ITEMS), tiles, 150)
+    return evaluation.batch_metrics(_judged(spark, sf_dir).join(found, "item_id", "left"))
 
 
-@query(f"SELECT count(*) FILTER (correct) AS passed, count(*) AS cases, round(count(*) FILTER (correct) / greatest(count(*), 1)::DOUBLE, 9) AS rate FROM ({JUDGED})")
+@query(f"""
+SELECT correct, evaluated, no_match_ok, no_match_total, wrong AS false_localizations, correct = evaluated AND no_match_ok = no_match_total AS passed FROM (
+  SELECT count(*) FILTER (NOT expect_no_match AND d <= 150) AS correct, count(*) FILTER (NOT expect_no_match) AS evaluated, count(*) FILTER (expect_no_match AND status = 'NO_MATCH') AS no_match_ok,
+    count(*) FILTER (expect_no_match) AS no_match_total, count(*) FILTER (status = 'MATCH_FOUND' AND (expect_no_match OR d > 150)) AS wrong
+  FROM (SELECT *, sqrt((x - expected_x) ** 2 + (y - expected_y) ** 2) AS d FROM ({JUDGED})))""")
 def offline_metrics(spark, sf_dir):
-    return _rounded(evaluation.offline_metrics(_judged(spark, sf_dir)))
+    return evaluation.offline_metrics(_judged(spark, sf_dir), 150)
 
 
 LOGGED = f"""
