@@ -26,7 +26,7 @@ from skyfix.llm.common import fresh
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 RUN = r"[A-Za-z0-9+/=_\-]"
 ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[^\s\"']{{8,}}"
-CANDIDATE = rf"{ASSIGNED}|(?<!{RUN})(?=[A-Za-z+/=_\-]{{0,64}}[0-9]){RUN}{{16,}}+"
+CANDIDATE = rf"{ASSIGNED}|(?<!{RUN})(?=[A-Za-z+/=_\-]*+[0-9]){RUN}{{16,}}+"
 VALUE = rf"^(?i:{NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
 MASK = "[SECRET]"
 CONTEXT = 48
