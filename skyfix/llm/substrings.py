@@ -144,13 +144,14 @@ def repeated_spans(docs: DataFrame, window: int = 20, k: int = DEFAULT_K) -> Dat
     found = materialise(found.select(F.when(branches, F.col("edge")).alias("edge"), F.when(branches, F.col("path")).alias("path"), "doc", "pos"), "paths")
     discard(nodes)
     compact, open_ = found.filter("edge is null"), found.filter("edge is not null")
-    heads = open_.groupBy("edge", "path").agg(_first().alias("first"), F.count(F.lit(1)).alias("n"))
+    # written, so that the join back has exchanges of its own, whose skewed partitions Spark splits
+    heads = materialise(open_.groupBy("edge", "path").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")), "heads")
     copies = materialise(open_.join(heads.filter("n > 1"), ["edge", "path"]).filter(~_is_first()).select("doc", "pos"), "copies")
     wanted = heads.select(F.col("first.doc").alias("doc"), F.shiftright("first.pos", _TIE_SHIFT).cast("int").alias("tie"), F.col("first.pos").alias("pos"), "edge")
     wanted = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "edge")).alias("paths"))
     sources = texts.select("doc", F.col("tie").cast("int").alias("tie"), "text")
     windows = materialise(sources.join(wanted, ["doc", "tie"]).select("doc", F.col("tie").cast("long").alias("tie"), "text", "paths").mapInArrow(_scan_windows(window), schema), "windows")
-    seen = windows.groupBy("edge", "path").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    seen = materialise(windows.groupBy("edge", "path").agg(_first().alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated-windows")
     repeats = windows.join(seen, ["edge", "path"]).filter(~_is_first()).select("doc", "pos")
     return compact.select("doc", "pos").unionByName(copies).unionByName(repeats)
 
