@@ -24,7 +24,6 @@ their own, ordered by a hash of the text. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
