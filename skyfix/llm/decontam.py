@@ -16,8 +16,8 @@ over the sum of the larger counts of each shingle.
    24 is over four standard deviations more.
 4. Exact weighted-shingle similarity of the surviving pairs.
 
-The items' shingles are broadcast only while they number at most BROADCAST_ROWS; beyond that the
-join shuffles. Text is shuffled by document only in the second pass, to the rows that have windows
+The items' shingles and blocks are broadcast only while they number at most BROADCAST_ROWS; beyond
+that the joins shuffle. Text is shuffled by document only in the second pass, to the rows that have windows
 (or not at all, if Spark finds those small enough to broadcast).
 
 Defined cases: a null text or an item of fewer than five words has no shingle and is never found;
@@ -122,10 +122,13 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radi
     marks = fingerprints(bags, [*keys, "i_n", "start"], "bag")
     left = bags.select(*keys, "i_n", "start", _marked(F.col("bag")).alias("bag"))
     same = [left[c].eqNullSafe(marks[c]) for c in (*keys, "i_n", "start")]
-    left = left.join(marks, same[0] & same[1] & same[2] & same[3]).select(left["doc_id"], left["text_hash"], left["i_n"], left["start"], "bag", "fp")
+    # merged: both sides grow with the leaks, and their files' sizes say little of their arrays' size in memory
+    left = left.hint("merge").join(marks, same[0] & same[1] & same[2] & same[3]).select(left["doc_id"], left["text_hash"], left["i_n"], left["start"], "bag", "fp")
     right = items.join(fingerprints(items, ["item_id"], "shingles"), "item_id").select("item_id", "n", _marked(F.col("shingles")).alias("item_bag"), F.col("fp").alias("item_fp"))
     probes = materialise(left, "window-fingerprints").withColumn("probe", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(radius)).alias("block"), _blocks(F.col("fp"), radius).alias("value"))))
     index = right.withColumn("entry", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(radius)).alias("block"), _blocks(F.col("item_fp"), radius).alias("value"))))
+    if items.count() * (radius + 1) <= BROADCAST_ROWS:
+        index = F.broadcast(index)
     pairs = probes.join(index, (F.col("i_n") == F.col("n")) & (F.col("probe.block") == F.col("entry.block")) & (F.col("probe.value") == F.col("entry.value")))
     pairs = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     common = F.size(F.array_intersect("bag", "item_bag"))
