@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyfix.llm import decontam, mixing, secrets, simhash, toxicity
+from skyfix.llm import decontam, mixing, nearcopies, secrets, toxicity
 from skyfix.llm.common import materialise, table
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,7 +211,11 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
 
     Of several texts with that id the one with the smallest hash stays, and of repeated rows one.
     """
-    kept = near_duplicates(docs, size, radius).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    return only(docs, near_duplicates(docs, size, radius).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")))
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs, unchanged, for each row (doc_id and text_hash) of kept."""
     kept = materialise(kept.select(F.col("row.doc_id").alias("of"), F.col("row.text_hash").alias("of_hash")), "kept")
     mark, number = fresh(docs, "_hash"), fresh(docs, "_number")
     rows = docs.withColumn(mark, F.xxhash64("text"))
