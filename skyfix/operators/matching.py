@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,11 +76,14 @@ def transfer_errors(h: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def ransac(q: np.ndarray, t: np.ndarray, threshold: float, seed: int, rounds: int = 500) -> tuple[np.ndarray | None, np.ndarray]:
-    """The homography with the least truncated error over random fours, refined on its inliers."""
+    """The homography with the least truncated error over random fours, refined on its inliers.
+
+    Where there are no more than `rounds` fours, each is tried once.
+    """
     draw = np.random.default_rng(seed)
     best, best_cost = None, np.inf
-    for _ in range(rounds):
-        four = draw.choice(len(q), 4, replace=False)
+    every = comb(len(q), 4) <= rounds
+    for four in map(list, combinations(range(len(q)), 4)) if every else (draw.choice(len(q), 4, replace=False) for _ in range(rounds)):
         h = solve_homography(q[four], t[four])
         if h is None:
             continue

@@ -377,7 +377,7 @@ def inlier_sample(spark, sf_dir):
 def ransac_homography(spark, sf_dir):
     """Noisy images of points under a known homography, a fifth of them outliers; rows-only."""
     h = [1.1, 0.05, 100.0, -0.04, 0.95, 60.0, 1e-5, 2e-5, 1.0]
-    p = X.read(spark, sf_dir, X.POINTS).filter("candidate_id % 20 = 0").withColumn("group", F.expr("candidate_id % 400"))
+    p = X.read(spark, sf_dir, X.POINTS).withColumnRenamed("candidate_id", "group")
     tx, ty = geometry.project([F.lit(v) for v in h], F.col("qx"), F.col("qy"))
     off = F.when(F.expr("pmod(xxhash64(qx, qy), 5) = 0"), F.lit(500.0)).otherwise(F.expr("pmod(xxhash64(qy, qx), 7) / 7.0D"))
     return matching.estimate_homographies(p.select("group", "qx", "qy", (tx + off).alias("tx"), (ty + off).alias("ty")), 640, 480)
@@ -879,7 +879,7 @@ def result_document(spark, sf_dir):
 def classical_descriptor(spark, sf_dir):
     """Descriptors of small rasters drawn from the embeddings' numbers; rows-only."""
     px = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex((F.pmod(F.floor(v.cast("double") * 1000), F.lit(256))).cast("long")), 2, "0")), ""))
-    rows = _table(spark, sf_dir, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), px.alias("px"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), px.alias("px"))
     return raster.embed(rows)
 
 
