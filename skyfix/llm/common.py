@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,29 +19,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder. Only a local master may do without one (tests): executors do not share other folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="skyfix-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Removes a write's shuffle files once it has ended: what it made is read from the table.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that materialise() wrote in each open scratch(), innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skyfix_path = path
+    for tables in _SCRATCH:
+        tables.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table that materialise() wrote and no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._skyfix_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialise() wrote and no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._skyfix_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Removes every table that materialise() writes inside, at the end; take one out of the list to keep it.
+
+    For callers that have written an operator's result before they leave the block.
+    """
+    tables: list[DataFrame] = []
+    _SCRATCH.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCRATCH.pop()
+        discard(*tables)
+
+
+def keep(table: DataFrame) -> DataFrame:
+    """Take a table out of the innermost scratch()."""
+    _SCRATCH[-1][:] = [t for t in _SCRATCH[-1] if t is not table]
+    return table
+
+
+def as_bytes(text: str = "text") -> Column:
+    """A text as bytes for Python workers: Spark strings may hold bytes that are not UTF-8, which Arrow strings must not."""
+    return F.col(text).cast("string").cast("binary")
 
 
 def fold(col: str = "doc_id") -> Column:

@@ -1,23 +1,27 @@
-"""Near copies: exact set-similarity join of word shingles, for the pipeline's near-duplicate stage.
+"""SimHash near-dedup with exact similarity: five-word shingles, for the pipeline's near-duplicate stage.
 
 Two texts are linked if the Jaccard similarity of their sets of `size`-word shingles (ASCII letters
 lower-cased) is `similarity` or more. The search is exact, so no pair is lost to a fingerprint:
 
-1. Rows with equal sets are one set.
-2. Prefix filter. Under any one order of the shingles, linked sets of n shingles share one of the first
+1. Rows with equal sets are one set, and every set gets a SimHash of its shingles.
+2. Fingerprints within `radius` bits of one another (pivot tables, see simhash.py) make groups, whose sets
+   are compared. This links the closest copies.
+3. Prefix filter. Under any one order of the shingles, linked sets of n shingles share one of the first
    n - ceil(similarity * n) + 1. The order is by hash, with shingles that are frequent in a sample
    of the texts last; the sample only chooses the order, so it cannot change the result.
-3. Each set goes to the bucket of its first shared prefix shingle, where all pairs are compared.
-   This links most copies, with every set sent once.
+   Sets that lie further apart than the radius (at 0.8 fingerprints differ in 10 +- 3 bits) are
+   found by it: each set goes to the bucket of its first shared prefix shingle, where all are compared.
+   Groups and buckets of more than LIMIT sets are dealt to several tasks, and dealt anew in a second round, so
+   that no task holds a third of all sets.
 4. Prefix shingles that still hold several components are buckets too. Two sets have at most their
    prefixes' common shingles and the longer rest in common, which rules out nearly all pairs.
    Buckets of at most WIDE sets give pairs, whose common prefix shingles are counted (those of wide
    buckets as if common) and which are then verified. To wide buckets first only the prefixes go; the
    sets that these cannot rule out follow whole, and pairs of different components are compared.
-   Links of both steps give the components.
+   Links of all steps give the components.
 
 Defined cases: a null text is an empty one, and the empty texts are one set; fewer words than a
-shingle make one shingle; repeated rows are one; see keep_one() for which row stays.
+shingle make one shingle; a null doc_id counts as the smallest long; repeated rows are one; see keep_one() for which row stays.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import discard, materialise
+from skyfix.llm.common import LONG_MIN, as_bytes, discard, materialise
 from skyfix.llm.components import connected_components
-from skyfix.llm.simhash import only
+from skyfix.llm.simhash import RADIUS, fingerprint_links, only
 from skyfix.llm.textscan import WORDS, chunks
 
 SIZE = 5
@@ -40,6 +44,8 @@ SIMILARITY = 0.8
 #: One text of SAMPLE is counted for the order; a shingle in FREQUENT of these or more comes last.
 SAMPLE, FREQUENT, MOST = 16, 12, 100_000
 WIDE = 64
+#: Sets of a bucket that one task compares.
+LIMIT = 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,6 +62,15 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.unique(WORDS.span(prefix, at, np.minimum(at + size, b)))
 
 
+def set_fingerprint(s: np.ndarray) -> int:
+    """Bit b is 1 if it is set in more than half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 16):
+        own = s[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(own, axis=1, bitorder="little"), axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(s), bitorder="little").tobytes(), "little")
+
+
 def _name(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), 7)
 
@@ -79,7 +94,9 @@ def _scan_prefixes(size: int, similarity: float, last: np.ndarray):
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), size))
             names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(names), pa.array([len(s) for s in sets], pa.int64()), _lists([ordered(s) for s in sets])], ["doc_id", "text_hash", "set", "n", "prefix"])
+            marks = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            columns = {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "set": pa.array(names), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array(marks), "prefix": _lists([ordered(s) for s in sets])}
+            yield pa.RecordBatch.from_pydict(columns)
 
     return scan
 
@@ -228,26 +245,45 @@ def _pair_links(members: DataFrame, sizes: DataFrame, sets_of: Callable[[DataFra
     return pairs.filter(enough(common)).select(F.col("u_set").alias("u"), F.col("v_set").alias("v"))
 
 
-def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, wide: int = WIDE) -> DataFrame:
+def _fingerprint_groups(distinct: DataFrame, radius: int) -> DataFrame:
+    """key, set of the sets whose fingerprints are linked to others'."""
+    fps = materialise(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("sets")), "set-fingerprints")
+    roots = connected_components(fingerprint_links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    # a set alone with its fingerprint, without a link, has nothing to be compared with
+    groups = fps.join(roots, "fp", "left").filter("sets > 1 or component is not null").select("fp", F.coalesce("component", "fp").alias("key"))
+    return distinct.select("set", "fp").join(groups, "fp").select("key", "set")
+
+
+def _dealt(places: DataFrame, limit: int) -> DataFrame:
+    """places (key, set), with keys of more than `limit` members dealt to as many keys as needed, in two ways."""
+    members = places.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > limit)
+    parts = F.ceil(F.col("members") / limit)
+    salt = F.explode(F.array(*[F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("set", F.lit(r)), parts) * 2 + r + 1) for r in range(2)]))
+    rows = places.join(materialise(members, "crowded-keys"), "key", "left").withColumn("salt", salt)
+    return rows.select(F.when(F.col("salt").isNull(), F.col("key")).otherwise(F.xxhash64("key", "salt")).alias("key"), "set").distinct()
+
+
+def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, wide: int = WIDE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
     """set, row (smallest doc_id and text_hash) and root of every distinct set of shingles."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MIN)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), as_bytes().alias("text"))
     sample = texts.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).dropDuplicates(["text_hash"]).select("text")
     often = sample.mapInArrow(_scan_sets(size), "set long, shingles array<long>").select(F.explode("shingles").alias("s"))
     often = often.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(MOST)
     last = np.array(sorted(r["s"] for r in often.collect()), np.int64).view(np.uint64)
-    marked = texts.mapInArrow(_scan_prefixes(size, similarity, last), "doc_id long, text_hash long, set long, n long, prefix array<long>")
-    distinct = marked.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    marked = texts.mapInArrow(_scan_prefixes(size, similarity, last), "doc_id long, text_hash long, set long, n long, fp long, prefix array<long>")
+    distinct = marked.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     distinct = materialise(distinct, "shingle-sets")
     places = distinct.select(F.explode("prefix").alias("key"), "set")
     keys = materialise(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-shingles")
     shared = materialise(places.join(keys, "key").select("key", "set"), "shared-places")
-    once = materialise(shared.groupBy("set").agg(F.min("key").alias("key")), "first-places")
+    once = shared.groupBy("set").agg(F.min("key").alias("key")).select("key", "set")
+    once = materialise(_dealt(_fingerprint_groups(distinct, radius).unionByName(once), limit), "first-places")
     discard(keys)
 
     def texts_of(names: DataFrame) -> DataFrame:
         """names (with a column set) with the text of each set's row."""
         of = names.join(distinct, "set").select(*names.columns, F.col("row.doc_id").alias("of"), F.col("row.text_hash").alias("of_hash"))
-        return texts.join(of, texts["doc_id"].eqNullSafe(of["of"]) & (texts["text_hash"] == of["of_hash"])).select(*names.columns, "text")
+        return texts.join(of, (texts["doc_id"] == of["of"]) & (texts["text_hash"] == of["of_hash"])).select(*names.columns, "text")
 
     def sets_of(names: DataFrame, name: str) -> DataFrame:
         sets = texts_of(names).select("text").mapInArrow(_scan_sets(size), "set long, shingles array<long>").dropDuplicates(["set"])

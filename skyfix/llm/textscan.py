@@ -84,16 +84,26 @@ class Chunk:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        prefix = BYTES.prefix(_BYTE[self.data])
-        return BYTES.span(prefix, starts, ends)
+        """A hash of each word: eight bytes after eight are mixed into it."""
+        data = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        out = mix((ends - starts).astype(np.uint64) ^ _BASE_WORD)
+        at, left, of = starts.astype(np.int64), ends - starts, np.arange(len(starts))
+        while len(of):
+            eight = np.zeros(len(of), np.uint64)
+            for i in range(8):
+                eight |= np.where(left > i, data[at + np.minimum(i, left)], 0).astype(np.uint64) << _U(8 * i)
+            out[of] = mix(out[of] * _BASE_BYTE ^ mix(eight ^ _BASE_BYTE))
+            more = left > 8
+            at, left, of = at[more] + 8, left[more] - 8, of[more]
+        return out
 
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Split a string column into chunks of whole rows; null counts as empty."""
+    """Split a string or binary column into chunks of whole rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     n = len(column)
