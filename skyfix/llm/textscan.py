@@ -83,6 +83,10 @@ class Chunk:
         ends = np.flatnonzero(word & (~after | cut[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)
 
+    def letters(self) -> np.ndarray:
+        """The bytes of all words."""
+        return self.data[~_SPACE[self.data]]
+
     def word_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each word: eight bytes after eight are mixed into it."""
         data = np.concatenate([self.data, np.zeros(8, np.uint8)])

@@ -74,6 +74,30 @@ def test_repeats_of_an_empty_table_and_a_null_id(spark):
     assert got == {None: 0, 1: 30}
 
 
+def test_words_decide_repeats(spark):
+    """Words and ids for which weaker comparisons fail: Thue-Morse letters, texts that share an id, bytes that are not UTF-8."""
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    same = " ".join(f"s{i}" for i in range(19))
+    rows = [(1, f"{same} {morse}", "a"), (2, f"{same} {morse.translate(str.maketrans('ab', 'ba'))}", "a")]
+    assert [r.n_removed for r in substrings.remove_repeats(docs_of(spark, rows)).collect()] == [0, 0]
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 9999, 30)) for _ in range(40)]
+    rows = [(None if i % 2 else 7, t, "a") for i, t in enumerate(texts)] + [(9, " ".join(texts[3].split()[2:27]), "a")]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs_of(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(i, 30, 0) for i, _, _ in rows[:-1]] + [(9, 25, 25)], key=str)
+    odd = spark.sql("select id as doc_id, cast(concat(unhex('ff'), cast(repeat(' w x\xe9', 30) as binary)) as string) text from range(2)")
+    assert [r.n_removed for r in substrings.remove_repeats(odd).sort("doc_id").select("n_removed").collect()] == [58, 61]
+
+
+def test_passages_are_compacted(spark):
+    rng = np.random.default_rng(1)
+    words = lambda n: [f"u{i}" for i in rng.integers(0, 10**6, n)]
+    passage = words(200)
+    rows = [(i, " ".join(words(30) + passage + words(30)), "a") for i in range(5)]
+    got = substrings.repeated_passages(docs_of(spark, rows)).collect()
+    assert [tuple(r) for r in got] == [(0, 30, 200, 5)]
+
+
 def fingerprint(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = words_of(text)
