@@ -9,19 +9,21 @@ over the sum of the larger counts of each shingle.
    shingles with its item (a, b: their numbers). Moving a window's start to its first shared shingle
    loses none, so only windows that start at a shared shingle (or end with the text) and span o
    shared ones are kept. This is exact and leaves few windows of a corpus.
-2. Fingerprints. Each such window and each item gets a 64-bit SimHash of its shingles.
+2. Fingerprints. Each such window and each item gets a 64-bit SimHash of its shingles, each shingle marked
+   with its number among equal ones, so that similarity counts repeats and the angle below holds for them.
 3. Multi-index. 64 bits form radius + 1 blocks; any two fingerprints within the radius agree on a
    block, so windows meet items of their own size on equal blocks, and the Hamming distance decides.
-   Shingle vectors at similarity 0.8 lie 27 degrees apart, 10 +- 3 bits of 64; the default radius of
-   24 is over four standard deviations more.
-4. Exact weighted-shingle similarity of the surviving pairs.
+   Marked shingles at similarity 0.8 lie 27 degrees apart, 10 +- 3 bits of 64; the default radius of
+   24 is over four standard deviations more. A pair further apart is not lost: step 1 knows which item each
+   window was found by, and pairs beyond the radius go to step 4 as well.
+4. Exact weighted-shingle similarity of these pairs.
 
-The items' shingles and blocks are broadcast only while they number at most BROADCAST_ROWS; beyond
-that the joins shuffle. Text is shuffled by document only in the second pass, to the rows that have windows
-(or not at all, if Spark finds those small enough to broadcast).
+The items' shingles and blocks are broadcast only while they number at most `broadcast_rows`; beyond
+that the joins shuffle, with the same result. Text is shuffled by document only in the second pass, to the rows that
+have windows (or not at all, if Spark finds those small enough to broadcast).
 
 Defined cases: a null text or an item of fewer than five words has no shingle and is never found;
-equal items are found together; rows with equal doc_id and text are one document; a null doc_id is
+equal items are found together; a null item_id is kept as null; rows with equal doc_id and text are one document; a null doc_id is
 kept as null; an empty table gives no pair. Other columns are ignored by find(), kept by clean().
 """
 
@@ -76,7 +78,7 @@ def _fingerprint(count: Column) -> Column:
 
 
 def fingerprints(bags: DataFrame, keys: list[str], bag: str) -> DataFrame:
-    """keys, fp: the SimHash of every row's array of shingles."""
+    """keys, fp: the SimHash of every row's array of (marked) shingles."""
     one = bags.select(*keys, F.explode_outer(bag).alias("shingle"))
     return one.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), *_bits("shingle")).select(*keys, _fingerprint(F.col("count")).alias("fp"))
 
@@ -91,18 +93,22 @@ def _least(a: Column, b: Column, similarity: float) -> Column:
     return F.greatest(F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - 1e-9), F.lit(1)).cast("int")
 
 
-def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text_hash, item_id, similarity (of the best window) of every document and item it holds."""
     if not 0 < radius < 64:
         raise ValueError("radius must lie in 1..63")
-    items = materialise(_with_shingles(items.select("item_id", "text"), ["item_id"]).filter(F.size("shingles") > 0), "items")
-    wanted = items.select("item_id", F.col("n").alias("i_n"), F.explode(F.array_distinct("shingles")).alias("shingle"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    items = _with_shingles(items.select("item_id", "text"), ["item_id"]).filter(F.size("shingles") > 0)
+    # equal rows are one; item names a row, as ids may be null or shared
+    items = items.withColumn("item", F.xxhash64("item_id", "shingles")).dropDuplicates(["item"])
+    items = materialise(items.withColumn("item_bag", _marked(F.col("shingles"))), "items")
+    few = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    small = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
+    wanted = small(items.select("item", F.col("n").alias("i_n"), F.explode(F.array_distinct("shingles")).alias("shingle")), few)
     keys = ["doc_id", "text_hash"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     # outer: else Spark infers a filter on the array's size and evaluates the whole text twice
     places = _with_shingles(rows, keys).select(*keys, "n", F.posexplode_outer("shingles").alias("p", "shingle"))
-    hits = places.join(wanted, "shingle").groupBy(*keys, "n", "item_id", "i_n").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    hits = places.join(wanted, "shingle").groupBy(*keys, "n", "item", "i_n").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     span = F.least("n", "i_n") - (SIZE - 1)
     hits = hits.withColumn("span", span).withColumn("least", _least(F.col("span"), F.col("i_n") - (SIZE - 1), similarity)).filter(F.size("ps") >= F.col("least"))
     last = F.col("n") - F.least("n", "i_n")
@@ -110,30 +116,37 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radi
     at_hits = F.filter("ps", lambda p, i: (p <= F.col("last")) & F.coalesce(full(p, i), F.lit(False)))
     at_end = F.when(F.size(F.filter("ps", lambda p: p >= F.col("last"))) >= F.col("least"), F.array("last"))
     starts = F.array_union(at_hits, F.coalesce(at_end, F.array().cast("array<int>")))
-    windows = hits.withColumn("last", last).select(*keys, "i_n", "span", F.explode_outer(starts).alias("start")).filter("start is not null").distinct()
-    windows = windows.groupBy(*keys).agg(F.collect_list(F.struct("i_n", "span", "start")).alias("windows"))
+    windows = hits.withColumn("last", last).select(*keys, "item", "i_n", "span", F.explode_outer(starts).alias("start")).filter("start is not null")
+    windows = windows.groupBy(*keys, "i_n", "span", "start").agg(F.collect_set("item").alias("by"))
+    windows = windows.groupBy(*keys).agg(F.collect_list(F.struct("i_n", "span", "start", "by")).alias("windows"))
     windows = materialise(windows, "windows").withColumnsRenamed({"doc_id": "of", "text_hash": "of_hash"})
     # the second pass: the windows' shingles
     held = rows.join(windows, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")))
     held = held.select(*keys, "windows", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).select(*keys, "windows", shingles(F.col("h")).alias("shingles"))
-    bags = F.transform("windows", lambda w: F.struct(w["i_n"].alias("i_n"), w["start"].alias("start"), F.slice("shingles", w["start"] + 1, w["span"]).alias("bag")))
-    bags = held.select(*keys, F.explode_outer(bags).alias("w")).select(*keys, "w.i_n", "w.start", "w.bag")
-    bags = materialise(bags.select(*keys, "i_n", "start", "bag").dropDuplicates([*keys, "i_n", "start"]), "bags")
-    marks = fingerprints(bags, [*keys, "i_n", "start"], "bag")
-    left = bags.select(*keys, "i_n", "start", _marked(F.col("bag")).alias("bag"))
-    same = [left[c].eqNullSafe(marks[c]) for c in (*keys, "i_n", "start")]
+    bags = F.transform("windows", lambda w: F.struct(w["i_n"].alias("i_n"), w["start"].alias("start"), w["by"].alias("by"), F.slice("shingles", w["start"] + 1, w["span"]).alias("bag")))
+    bags = held.select(*keys, F.explode_outer(bags).alias("w")).select(*keys, "w.i_n", "w.start", "w.by", _marked(F.col("w.bag")).alias("bag"))
+    # equal bags of one size, wherever they stand, are compared once
+    bags = bags.withColumn("name", F.xxhash64("i_n", "bag"))
+    bags = materialise(bags, "bags")
+    places = bags.select(*keys, "name").distinct()
+    found_by = bags.select("name", F.explode("by").alias("item")).distinct()
+    distinct = bags.groupBy("name").agg(F.first("i_n").alias("i_n"), F.first("bag").alias("bag"))
+    distinct = materialise(distinct, "distinct-bags")
     # merged: both sides grow with the leaks, and their files' sizes say little of their arrays' size in memory
-    left = left.hint("merge").join(marks, same[0] & same[1] & same[2] & same[3]).select(left["doc_id"], left["text_hash"], left["i_n"], left["start"], "bag", "fp")
-    right = items.join(fingerprints(items, ["item_id"], "shingles"), "item_id").select("item_id", "n", _marked(F.col("shingles")).alias("item_bag"), F.col("fp").alias("item_fp"))
-    probes = materialise(left, "window-fingerprints").withColumn("probe", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(radius)).alias("block"), _blocks(F.col("fp"), radius).alias("value"))))
-    index = right.withColumn("entry", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(radius)).alias("block"), _blocks(F.col("item_fp"), radius).alias("value"))))
-    if items.count() * (radius + 1) <= BROADCAST_ROWS:
-        index = F.broadcast(index)
-    pairs = probes.join(index, (F.col("i_n") == F.col("n")) & (F.col("probe.block") == F.col("entry.block")) & (F.col("probe.value") == F.col("entry.value")))
-    pairs = pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    left = materialise(distinct.hint("merge").join(fingerprints(distinct, ["name"], "bag"), "name"), "window-fingerprints")
+    right = materialise(items.join(fingerprints(items, ["item"], "item_bag").withColumnRenamed("fp", "item_fp"), "item").select("item", "n", "item_bag", "item_fp"), "item-fingerprints")
+    indexed = lambda fp: F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(radius)).alias("block"), _blocks(F.col(fp), radius).alias("value")))
+    probes = left.select("name", "i_n", "fp", indexed("fp").alias("probe"))
+    index = small(right.select("item", "n", "item_fp", indexed("item_fp").alias("entry")), few * (radius + 1))
+    within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
+    near = probes.join(index, (F.col("i_n") == F.col("n")) & (F.col("probe.block") == F.col("entry.block")) & (F.col("probe.value") == F.col("entry.value"))).filter(within)
+    far = found_by.join(left.select("name", "fp"), "name").join(small(right.select("item", "item_fp"), few), "item").filter(~within)
+    pairs = near.select("name", "item").unionByName(far.select("name", "item")).distinct()
+    pairs = pairs.join(left.select("name", "bag").hint("merge"), "name").join(small(right.select("item", "item_bag"), few), "item")
     common = F.size(F.array_intersect("bag", "item_bag"))
-    pairs = pairs.withColumn("similarity", common / (F.size("bag") + F.size("item_bag") - common))
-    return pairs.filter(F.col("similarity") >= similarity).groupBy(*keys, "item_id").agg(F.max("similarity").alias("similarity"))
+    alike = pairs.select("name", "item", (common / (F.size("bag") + F.size("item_bag") - common)).alias("similarity")).filter(F.col("similarity") >= similarity)
+    out = places.join(alike, "name").groupBy(*keys, "item").agg(F.max("similarity").alias("similarity"))
+    return out.join(small(items.select("item", "item_id"), few), "item").groupBy(*keys, "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:

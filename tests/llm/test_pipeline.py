@@ -4,7 +4,8 @@ import hashlib
 import re
 
 import corpus_pipeline
-from test_text_operators import fingerprint, held_items, words_of
+from test_nearcopies import kept_ids
+from test_text_operators import held_items, words_of
 
 from skyfix.llm import toxicity
 
@@ -12,23 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def one_of_each_group(rows):
-    marks = [fingerprint(r["text"]) for r in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if bin(marks[i] ^ marks[j]).count("1") <= 3:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    low = {}
-    for i, r in enumerate(rows):
-        low[find(i)] = min(low.get(find(i), r["doc_id"]), r["doc_id"])
-    return [r for i, r in enumerate(rows) if low[find(i)] == r["doc_id"]]
+    kept = set(kept_ids([(r["doc_id"], r["text"]) for r in rows]))
+    return [r for r in rows if r["doc_id"] in kept]
 
 
 def masked(text):
@@ -57,7 +43,7 @@ def mixed(rows):
     for s in total:
         passes = int(target[s] // total[s])
         left = target[s] - passes * total[s]
-        own = sorted((int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:14], 16), r["doc_id"]) for r in rows if r["source"] == s)
+        own = sorted((int(hashlib.md5(f"{r['doc_id']}\n{r['text']}".encode()).hexdigest()[:14], 16), r["doc_id"]) for r in rows if r["source"] == s)
         used, open_ = 0, True
         for _, d in own:
             used += size[d]
@@ -76,8 +62,10 @@ def test_run_matches_brute_force(spark):
     leaks = {d for d, _ in held_items([(r["doc_id"], r["text"], "") for r in rows], items)}
     rows = [r | {"text": masked(r["text"])} for r in rows if r["doc_id"] not in leaks]
     wanted = mixed(rows)
-    got = {r.doc_id: (r.source, r.copies, r.size) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == wanted
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: (r.source, r.copies, r.size) for r in out} == wanted
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    assert all(r.text == texts[r.doc_id] for r in out)
 
 
 def test_stages_keep_the_columns_and_survive_odd_rows(spark):

@@ -221,6 +221,15 @@ def test_mix_edges(spark):
     assert sorted(map(tuple, mixing.mix(docs_of(spark, rows).repartition(3)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    for texts in (["w " * 10] * 100, [f"w{i} " * 10 for i in range(100)]):
+        rows = [(None, t, "a") for t in texts] + [(5, "x " * 100, "b")]
+        got = mixing.mix(docs_of(spark, rows))
+        assert set(docs_of(spark, []).columns) <= set(got.columns)
+        got = got.filter("source = 'a'").collect()
+        assert len(got) == 100 and abs(sum(r.taken for r in got) - got[0].target) < 10 and {r._hash for r in got} == {2}
+
+
 def test_license_edges(spark):
     notice = licenses.TEMPLATES["gpl-notice"]
     rows = [(1, None, "a"), (2, "", "a"), (3, "MIT License, mit-LICENSE", "a"), (4, "text\nThis WORK is licensed under the GNU General Public License, version 3.", "a"), (5, notice.rsplit(" ", 3)[0], "a"), (5, "mit\nlicense", "a")]
@@ -309,11 +318,24 @@ def test_decontamination_matches_brute_force(spark):
     frame = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.find(docs_of(spark, docs), frame).collect()}
     assert got == held_items(docs, items)
+    spread = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.find(docs_of(spark, docs), frame, broadcast_rows=0, radius=3).collect()}
+    assert spread == got  # neither the kind of join nor the radius changes the result
     kept = decontam.clean(docs_of(spark, docs), frame)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _ in docs if d not in {k for k, _ in got})
     assert decontam.find(docs_of(spark, []), frame).count() == 0
 
 
+def test_repetitive_items_are_found(spark):
+    """Pairs of similarity 0.8 whose shingles repeat: plain fingerprints lie too far apart for some of them."""
+    n = 300
+    items = [(i, f"p{i} q{i} " * 6 + f"c{i}") for i in range(n)] + [(None, "null id holds this one too")]
+    docs = [(i, f"p{i} q{i} " * 6 + f"d{i}", "a") for i in range(n)] + [(None, "x null id holds this one too y", "a")]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.find(docs_of(spark, docs), frame).collect()]
+    assert sorted(got, key=str) == sorted([(i, i) for i in range(n)] + [(None, None)], key=str)
+    assert decontam.find(docs_of(spark, docs), frame.limit(0)).count() == 0
+
+
 def test_language_profiles(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
