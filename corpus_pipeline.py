@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyfix.llm import decontam, mixing, nearcopies, secrets, toxicity
-from skyfix.llm.common import materialise, table
+from skyfix.llm.common import keep, materialise, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies stays: SimHash, then exact similarity of 0.8 or more of five-word shingles."""
     return nearcopies.keep_one(docs)
 
 
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():  # what the stage wrote on its way goes
+            docs = keep(materialise(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
