@@ -15,7 +15,7 @@ running hashes: a conversation of any length needs the memory of one batch, neve
 turns.
 
 Defined cases: null text and null role are empty; turns go by turn, then role, then text, nulls
-first; repeated rows are turns of their own; a null conv_id is a conversation of its own; an empty
+first; repeated rows are turns of their own; a null conv_id is a conversation of its own; bytes that are not UTF-8 are read as U+FFFD; an empty
 table gives an empty result. Other columns are ignored.
 """
 
@@ -31,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyfix.llm.common import as_bytes
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the tokenizer's own pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # The template's own marks, and control strings of common chat templates.
@@ -92,22 +95,27 @@ def _shared(df: DataFrame, path: str):
 TURNS = "conv_id long, turn long, role string, text string, ids array<int>, mask array<tinyint>"
 
 
+def _read(column: pa.Array) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in column.to_pylist()]
+
+
 def _format(blob):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(read_ranks(blob.value))
         for batch in batches:
-            turns = [codec.turn(r or "", t or "") for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            turns = [codec.turn(r, t) for r, t in zip(_read(batch.column("role")), _read(batch.column("text")), strict=True)]
             offsets = pa.array(np.cumsum([0, *(len(i) for i, _ in turns)]), pa.int32())
             ids = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *(i for i, _ in turns)]))
             mask = pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int8), *(m for _, m in turns)]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), ids, mask], ["conv_id", "turn", "role", "text", "ids", "mask"])
+            roles, texts = (pa.array([None if t is None else t.decode("utf-8", "replace") for t in batch.column(c).to_pylist()], pa.string()) for c in ("role", "text"))
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), roles, texts, ids, mask], ["conv_id", "turn", "role", "text", "ids", "mask"])
 
     return run
 
 
 def format_turns(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """conv_id, turn, role, text, ids, mask of every turn."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), as_bytes("role").alias("role"), as_bytes().alias("text"))
     return rows.mapInArrow(_format(_shared(conversations, tokenizer)), TURNS)
 
 

@@ -14,7 +14,8 @@ Score: (d2 - d1) / d2 of the two nearest profiles' distances, or 1 - d1 / most i
 was learned. Ties go to the language first by code point, n-gram ties to the smaller code.
 
 Defined cases: a null text or one without a letter is `und` with score 0; no labelled texts make
-every text `und`; rows with equal doc_id each get a row; a null doc_id hashes as ''.
+every text `und`; rows with equal doc_id each get a row; a null doc_id hashes as ''; bytes that are not
+UTF-8 are read as U+FFFD, which is no letter.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import fold
+from skyfix.llm.common import as_bytes, fold
 
 TOP = 400
 HELD_OUT = 2
@@ -81,6 +82,10 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+def _read(column: pa.Array) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in column.to_pylist()]
+
+
 def _batches(column: list[str]) -> Iterator[tuple[int, list[str]]]:
     first, size = 0, 0
     for i, t in enumerate(column):
@@ -104,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        for first, texts in _batches(batch.column("text").to_pylist()):
+        for first, texts in _batches(_read(batch.column("text"))):
             own = langs[first : first + len(texts)]
             names, number = np.unique(own.astype(str), return_inverse=True)
             for text, code in grams.of(texts):
@@ -132,7 +137,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def learn(rows: DataFrame, top: int = TOP) -> DataFrame:
     """lang, gram, rank (from 0) of the profiles; rows has text and lang."""
-    usable = rows.filter("text is not null and lang is not null").select("lang", "text")
+    usable = rows.filter("text is not null and lang is not null").select("lang", as_bytes().alias("text"))
     sums = usable.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return sums.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
@@ -168,6 +173,11 @@ def _ranked(occurrences: list[tuple[np.ndarray, np.ndarray]], texts: int, top: i
         number = np.zeros(int(letters[-1]) + 1, np.int64)
         number[letters] = np.arange(len(letters))
         base = len(letters)
+        if texts * base**3 >= 1 << 62:  # too many letters for that: number the n-grams
+            grams, which = np.unique(code, return_inverse=True)
+            key, n = _runs(text * max(len(grams), 1) + which)
+            found.append((key // max(len(grams), 1), grams[key % max(len(grams), 1)] if len(key) else key, n))
+            continue
         small = number[code & MASK] + base * (number[np.minimum(code >> 21 & MASK, letters[-1])] + base * number[np.minimum(code >> 42, letters[-1])])
         key, n = _runs(text * base**3 + small)
         own = key % base**3
@@ -189,7 +199,7 @@ def _predict(blob):
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for _, texts in _batches(["" if t is None else t for t in batch.column("text").to_pylist()]):
+            for _, texts in _batches(_read(batch.column("text"))):
                 lang, score = identify(profiles, grams, texts)
                 langs += lang
                 scores += score
@@ -218,5 +228,5 @@ def predict(docs: DataFrame, profiles: DataFrame, top: int = TOP) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs."""
     rows = [tuple(r) for r in profiles.select("lang", "gram", "rank").collect()]
     blob = docs.sparkSession.sparkContext.broadcast((rows, top))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == HELD_OUT).alias("held_out"), "text")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == HELD_OUT).alias("held_out"), as_bytes().alias("text"))
     return own.mapInArrow(_predict(blob), "doc_id long, held_out boolean, lang_pred string, score double")

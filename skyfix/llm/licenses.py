@@ -1,10 +1,14 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notices.
 
-DataFrame expressions only. A block is a line. Its token set is compared with each template's:
+DataFrame expressions only. A block is a run of words: with L the words of the longest template, blocks of 2 L
+words start at every L-th word, so any run of up to L + 1 words lies whole in a block, however its
+lines are wrapped or its paragraphs are cut. A block's token set is compared with each template's:
 containment is the share of the template's distinct tokens that the block has, and a pair counts
 from `threshold` on. Tokens outside the templates' vocabulary cannot add to a containment, so a
-block is its set of vocabulary tokens, ordered by global frequency (the number of blocks of the
-corpus that have the token), rarest first.
+block is its set of vocabulary tokens, and blocks with fewer of them than any template needs are dropped. The others are
+ordered by global frequency (the number of such blocks of the corpus that have the token), rarest first.
+
+A text is split into words once: the pass that finds the phrases' places also yields the blocks.
 
 Filters, each exact for an overlap of at least o = ceil(threshold * |T|):
   length      a block needs o vocabulary tokens;
@@ -23,11 +27,12 @@ containment of a block that meets the threshold, else 0. Other columns are ignor
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyfix.llm.common import materialise
+
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -63,22 +68,22 @@ def needed(tokens: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * tokens - 1e-9))
 
 
-def phrase_places(text: Column, phrases: dict[str, str]) -> tuple[Column, Column]:
-    """The words, to be named w, and from w every place of every phrase: its first word's number (from 0) and its label."""
-    w = words(text)
+def phrase_places(phrases: dict[str, str]) -> Column:
+    """From the array of words w: every place of every phrase, as its first word's number (from 0) and its label."""
     found = []
     for phrase, label in phrases.items():
         parts = phrase.split(" ")
+        # the last word of a phrase is the rarest: where it is missing, nothing else is looked at
         last = F.size("w") - len(parts)
         places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), _stands(parts))
-        found.append(F.transform(places, _named(label)))
-    return w, F.concat(*found)
+        found.append(F.when(F.array_contains("w", parts[-1]), F.transform(places, _named(label))).otherwise(F.array().cast("array<struct<at:int,label:string>>")))
+    return F.concat(*found)
 
 
 def _stands(parts: list[str]):
     def test(i: Column) -> Column:
         at = [F.get(F.col("w"), i + j) == part for j, part in enumerate(parts)]
-        out = at[-1]  # the last word of a phrase is the rarest
+        out = at[-1]
         for x in reversed(at[:-1]):
             out = out & x
         return F.coalesce(out, F.lit(False))
@@ -90,23 +95,36 @@ def _named(label: str):
     return lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
 
 
-def block_labels(docs: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, label, containment of each template that a block of a row meets (its best block)."""
-    sets = {label: sorted(set(text.split())) for label, text in templates.items()}
-    vocabulary = sorted({t for s in sets.values() for t in s})
-    least = min(needed(len(s), threshold) for s in sets.values())
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.split("text", "\n")).alias("line"))
-    tokens = F.split(lower_ascii(F.col("line")), GAPS)
-    known = F.array_intersect(F.array(*map(F.lit, vocabulary)), tokens)
-    counts = {r["t"]: r["n"] for r in lines.select(F.explode(known).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocabulary.sort(key=lambda t: (counts.get(t, 0), t))
+class Templates:
+    """Token sets of the templates, their vocabulary, the least overlap that any needs, and the stride of blocks."""
+
+    def __init__(self, texts: dict[str, str], threshold: float):
+        self.sets = {label: sorted(set(text.split())) for label, text in texts.items()}
+        self.overlap = {label: needed(len(s), threshold) for label, s in self.sets.items()}
+        self.vocabulary = sorted({t for s in self.sets.values() for t in s})
+        self.least = min(self.overlap.values(), default=1)
+        self.stride = max((len(text.split()) for text in texts.values()), default=1)
+
+    def blocks(self) -> Column:
+        """From the array of words w: the vocabulary tokens (a set) of each block that has enough of them."""
+        known = F.array(*map(F.lit, self.vocabulary)).cast("array<string>")
+        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(self.stride))
+        sets = F.transform(starts, lambda i: F.array_intersect(known, F.slice("w", i + 1, 2 * self.stride)))
+        return F.array_distinct(F.filter(sets, lambda b: F.size(b) >= self.least))
+
+
+def matches(blocks: DataFrame, templates: Templates) -> DataFrame:
+    """doc_id, text_hash, label, containment of each template that a block (column block) of a row meets."""
+    counts = {r["t"]: r["n"] for r in blocks.select(F.explode("block").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    vocabulary = sorted(templates.vocabulary, key=lambda t: (counts.get(t, 0), t))
     rank = {t: i for i, t in enumerate(vocabulary)}
-    ordered = {label: sorted(s, key=rank.__getitem__) for label, s in sets.items()}
-    index = [(t, label, i, len(s), needed(len(s), threshold), s) for label, s in ordered.items() for i, t in enumerate(s[: len(s) - needed(len(s), threshold) + 1])]
-    index = docs.sparkSession.createDataFrame(index, "token string, label string, i int, t_size int, overlap int, template array<string>")
-    blocks = lines.select("doc_id", "text_hash", F.array_intersect(F.array(*map(F.lit, vocabulary)), tokens).alias("block")).filter(F.size("block") >= least)
-    prefix = F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("j", "token")
-    probed = blocks.select("doc_id", "text_hash", "block", F.size("block").alias("b_size"), prefix)
+    ordered = {label: sorted(s, key=rank.__getitem__) for label, s in templates.sets.items()}
+    index = [(t, label, i, len(s), templates.overlap[label], s) for label, s in ordered.items() for i, t in enumerate(s[: len(s) - templates.overlap[label] + 1])]
+    index = blocks.sparkSession.createDataFrame(index, "token string, label string, i int, t_size int, overlap int, template array<string>")
+    by_rank = F.array_intersect(F.array(*map(F.lit, vocabulary)).cast("array<string>"), "block")
+    ranked = blocks.select("doc_id", "text_hash", by_rank.alias("block"))
+    prefix = F.posexplode(F.slice("block", F.lit(1), F.size("block") - templates.least + 1)).alias("j", "token")
+    probed = ranked.select("doc_id", "text_hash", "block", F.size("block").alias("b_size"), prefix)
     pairs = probed.join(F.broadcast(index), "token")
     pairs = pairs.filter((F.col("b_size") >= F.col("overlap")) & (F.col("j") <= F.col("b_size") - F.col("overlap")))
     bound = F.least("i", "j") + 1 + F.least(F.col("t_size") - F.col("i") - 1, F.col("b_size") - F.col("j") - 1)
@@ -115,20 +133,24 @@ def block_labels(docs: DataFrame, templates: dict[str, str], threshold: float =
     return met.groupBy("doc_id", "text_hash", "label").agg(F.max(F.col("common") / F.col("t_size")).alias("containment"))
 
 
+def _split(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, w of every row; the generator keeps Spark from splitting the text again for each use of w."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.explode(F.array(words(text))).alias("w"))
+
+
+def block_labels(docs: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, label, containment of each template that a block of a row meets (its best block)."""
+    own = Templates(templates, threshold)
+    blocks = _split(docs).select("doc_id", "text_hash", F.explode(own.blocks()).alias("block"))
+    return matches(materialise(blocks, "blocks"), own)
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels (array), labels (array), score of every row."""
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # without the last words of the phrases, in any case, there is no place to look for
-    ends = "|".join(sorted({re.escape(p.split(" ")[-1]) for p in phrases}))
-    some = F.col("text").rlike(f"(?i){ends}")
-    w, found = phrase_places(F.col("text"), phrases)
+    own = Templates(templates, threshold)
     none = F.array().cast("array<string>")
-    base = rows.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
-        F.when(some, w).otherwise(none).alias("w"),
-    ).select("doc_id", "text_hash", "n_words", found.alias("found"))
+    base = _split(docs).select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), phrase_places(phrases).alias("found"), own.blocks().alias("blocks"))
     base = base.select(
         "doc_id",
         "text_hash",
@@ -137,9 +159,11 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
         F.array_min("found.at").cast("long").alias("first_word"),
         F.array_max("found.at").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct("found.label")).alias("base_labels"),
+        "blocks",
     )
-    blocks = block_labels(rows, templates, threshold).groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"))
-    blocks = blocks.agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    base = materialise(base, "phrases-and-blocks")
+    blocks = matches(base.filter(F.size("blocks") > 0).select("doc_id", "text_hash", F.explode("blocks").alias("block")), own).groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"))
+    blocks = materialise(blocks.agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment")), "matches")
     out = base.join(blocks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("more", none)))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))

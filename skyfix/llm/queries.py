@@ -28,7 +28,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digest(table(spark, sf_dir, "documents"))
+    return media.media_digest(media.encode_media(table(spark, sf_dir, "documents")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,16 +121,17 @@ def _license_sql() -> str:
     phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()!r} AS p" for p, label in licenses.PHRASES.items())
     sets = {label: sorted(set(t.split())) for label, t in licenses.TEMPLATES.items()}
     templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {t!r} AS t, {licenses.needed(len(t), licenses.THRESHOLD)} AS o" for label, t in sets.items())
+    stride = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD).stride
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
 WITH p AS ({phrases}), t AS ({templates}),
-d AS (SELECT doc_id, {split.format(lower.format("coalesce(text, '')"))} AS ws, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, {split.format(lower.format("coalesce(text, '')"))} AS ws FROM documents),
 found AS (
   SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - len(p) + 1), lambda i: ws[i + 1:i + len(p)] = p)) AS pos FROM d, p WHERE list_contains(ws, p[1])
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM found GROUP BY doc_id
-), lines AS (SELECT doc_id, {split.format("l")} AS b FROM (SELECT doc_id, unnest(string_split({lower.format('text')}, chr(10))) AS l FROM d)),
+), lines AS (SELECT doc_id, unnest(list_transform(range(0, greatest(len(ws), 1)::BIGINT, {stride}), lambda i: ws[i + 1:i + {2 * stride}])) AS b FROM d),
 met AS (
   SELECT doc_id, label, len(list_intersect(b, t)) / len(t)::DOUBLE AS c FROM lines, t WHERE len(list_intersect(b, t)) >= o
 ), more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY doc_id)

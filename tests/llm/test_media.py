@@ -232,7 +232,7 @@ def test_the_slow_path_reads_what_the_fast_path_reads(monkeypatch):
 def test_digest_and_tensors(spark):
     texts = [(1, None), (2, ""), (3, "é" * 400), (4, "x" * 576), (5, "y" * 577), (None, "x" * 576), (6, "long " * 20_000)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, media int")
-    got = {r.doc_id: r for r in media.media_digest(docs).collect()}
+    got = {r.doc_id: r for r in media.media_digest(media.encode_media(docs)).collect()}
     for i, t in texts:
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
@@ -244,4 +244,4 @@ def test_digest_and_tensors(spark):
     assert all(len(r.rgb) == r.height * r.width * 3 for r in tensors.values())
     broken = spark.createDataFrame([(1, b"no"), (2, None)], "doc_id long, media binary")
     assert all(r.rgb is None for r in media.rgb_tensors(broken).collect())
-    assert media.media_digest(docs.limit(0)).count() == 0
+    assert media.media_digest(media.encode_media(docs.limit(0))).count() == 0
