@@ -65,3 +65,21 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres along the sphere, to 2 decimals."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.round(2 * EARTH_RADIUS * F.asin(F.sqrt(F.least(a, F.lit(1.0)))), 2)
+
+
+def georeference(raw: Column) -> Column:
+    """A stored georeference (a struct with kind, north, south, west, east, corners, width, height), or null if it is not valid."""
+    field = lambda c: raw[c]
+    box = bbox_error(*map(field, ("north", "south", "west", "east", "width", "height")))
+    error = F.when(field("kind") == "corners", corners_error(field("corners"), field("width"), field("height"))).otherwise(box)
+    return F.when(raw.isNotNull() & error.isNull(), raw)
+
+
+def polygon_latlon(polygon: Column, project) -> Column:
+    """Latitude and longitude of each vertex ([x, y]) of a polygon; project maps x and y to both, as bbox_latlon and corners_latlon do."""
+
+    def vertex(p: Column) -> Column:
+        lat, lon = project(p[0], p[1])
+        return F.struct(lat.alias("latitude"), lon.alias("longitude"))
+
+    return F.transform(polygon, vertex)

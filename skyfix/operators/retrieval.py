@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames of a block, and rows of the bank that are compared with it at once.
+FRAMES, _ROWS = 1024, 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -20,21 +28,79 @@ def cosine(query: Column, vector: Column) -> Column:
     return F.round(dot(l2_normalise(query), l2_normalise(vector)), 6)
 
 
-def top_k_batch(bank: DataFrame, frames: DataFrame, k: int) -> DataFrame:
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of unit length; a null or a vector of another width is all zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.diff(column.offsets.to_numpy())
+    good = np.flatnonzero((size == width) & ~np.asarray(column.is_null()))
+    out = np.zeros((len(column), width))
+    flat = column.values.to_numpy(zero_copy_only=False).astype(float)
+    out[good] = flat[column.offsets.to_numpy()[good][:, None] + np.arange(width)]
+    return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-8)[:, None]
+
+
+def _best_of(frames: list[tuple[int, list[float]]], k: int):
+    ids = np.array([i for i, _ in frames], np.int64)
+    queries = _matrix(pa.array([q for _, q in frames], pa.list_(pa.float64())), len(frames[0][1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                tile = part.column("tile_id").to_numpy()
+                # einsum, not a matrix product: equal vectors then have equal similarities, whatever rows they stand in
+                s = np.einsum("id,jd->ij", queries, _matrix(part.column("embedding"), queries.shape[1]))
+                order = np.lexsort((np.broadcast_to(tile, s.shape), -s), axis=1)[:, :k]
+                found = np.take_along_axis(s, order, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(tile[order].ravel()), pa.array(found.ravel())], ["frame_id", "tile_id", "s"])
+
+    return run
+
+
+def top_k_batch(bank: DataFrame, frames: DataFrame, k: int, block: int = FRAMES) -> DataFrame:
     """frame_id, tile_id, similarity, rk: each frame's k most similar tiles, ties by tile_id.
 
-    frames is the small side (one row for each frame of a request) and is broadcast; the window's
-    rank filter keeps k rows for each frame and task before the shuffle.
+    The frames are taken in blocks of about `block`, each held by the driver and sent to the tasks; per batch of the
+    bank only k tiles of each frame leave a task, so the shuffle does not grow with the bank's rows times the frames.
+    A null vector is like none; frames without a vector have no tiles.
     """
-    scored = bank.crossJoin(F.broadcast(frames)).select("frame_id", "tile_id", dot(l2_normalise(F.col("query")), l2_normalise(F.col("embedding"))).alias("s"))
+    frames = frames.filter("frame_id is not null and query is not null").select(F.col("frame_id").cast("long").alias("frame_id"), F.col("query").cast("array<double>").alias("query"))
+    parts = max(1, -(-frames.count() // block))
+    rows = bank.filter("tile_id is not null and embedding is not null").select(F.col("tile_id").cast("long").alias("tile_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    hits = None
+    for i in range(parts):
+        own = [tuple(r) for r in frames.filter(F.pmod(F.xxhash64("frame_id"), F.lit(parts)) == i).collect()]
+        by_width: dict[int, list] = {}
+        for ident, query in own:
+            by_width.setdefault(len(query), []).append((ident, query))
+        for width, some in sorted(by_width.items()):
+            found = rows.filter(F.size("embedding") == width).mapInArrow(_best_of(some, k), "frame_id long, tile_id long, s double")
+            hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = bank.sparkSession.createDataFrame([], "frame_id long, tile_id long, s double")
     order = Window.partitionBy("frame_id").orderBy(F.desc("s"), "tile_id")
-    return scored.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("frame_id", "tile_id", F.round("s", 6).alias("similarity"), "rk")
+    return hits.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("frame_id", "tile_id", F.round("s", 6).alias("similarity"), "rk")
 
 
 def top_k(bank: DataFrame, frame: DataFrame, k: int) -> DataFrame:
     """tile_id, similarity of the k tiles most similar to one frame (a row with column query)."""
-    scored = bank.crossJoin(F.broadcast(frame)).select("tile_id", dot(l2_normalise(F.col("query")), l2_normalise(F.col("embedding"))).alias("s"))
-    return scored.orderBy(F.desc("s"), "tile_id").limit(k).select("tile_id", F.round("s", 6).alias("similarity"))
+    return top_k_batch(bank, frame.withColumn("frame_id", F.lit(0)), k).select("tile_id", "similarity")
+
+
+def usable_sources(sources: list[tuple[str, DataFrame | Callable[[], DataFrame], int]]) -> tuple[list[tuple[str, DataFrame, int]], dict[str, str]]:
+    """The sources whose frame can be had, and the others' errors. The first is the primary one, whose error is raised."""
+    good, errors = [], {}
+    for i, (name, frame, k) in enumerate(sources):
+        try:
+            made = frame() if callable(frame) else frame
+            if i and made.filter("query is not null").isEmpty():
+                raise ValueError("no vector")
+            good.append((name, made, k))
+        except Exception as error:
+            if not i:
+                raise
+            errors[name] = str(error)
+    return good, errors
 
 
 def multi_domain_union(bank: DataFrame, sources: list[tuple[str, DataFrame, int]], most: int) -> DataFrame:
@@ -43,10 +109,11 @@ def multi_domain_union(bank: DataFrame, sources: list[tuple[str, DataFrame, int]
     sources: name, frame and k, the primary one first. A tile keeps its largest similarity and its
     sources in order, and stands where its first sighting stood.
     """
-    hits = None
-    for i, (name, frame, k) in enumerate(sources):
-        found = top_k_batch(bank, frame, k).select("tile_id", "similarity", F.lit(name).alias("source"), F.lit(i).alias("src"), "rk")
-        hits = found if hits is None else hits.unionByName(found)
+    # one pass over the bank for all sources
+    frames = reduce(DataFrame.unionByName, [frame.select(F.lit(i).alias("frame_id"), "query") for i, (_, frame, _) in enumerate(sources)])
+    listed = F.array(*[F.struct(F.lit(name).alias("source"), F.lit(k).alias("k")) for name, _, k in sources])
+    hits = top_k_batch(bank, frames, max(k for *_, k in sources)).withColumn("of", F.get(listed, F.col("frame_id").cast("int")))
+    hits = hits.filter(F.col("rk") <= F.col("of.k")).select("tile_id", "similarity", F.col("of.source").alias("source"), F.col("frame_id").alias("src"), "rk")
     merged = hits.groupBy("tile_id").agg(F.max("similarity").alias("similarity"), F.min(F.struct("src", "rk")).alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("src", "source"))), lambda s: s["source"]).alias("sources"))
     # at most the sum of the k's rows reach this one ordering
     order = Window.partitionBy(F.lit(0)).orderBy("first")

@@ -27,15 +27,17 @@ def status(any_valid: Column, best: Column, runner: Column) -> Column:
 
 def decide(ranked: DataFrame) -> DataFrame:
     """job_id, best_cluster, score, runner_score, reason and status of every job."""
-    valid = ranked.filter("valid").withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy("rank"))).filter("_n <= 2")
-    of = valid.groupBy("job_id").agg(
-        F.max(F.when(F.col("_n") == 1, F.col("cluster_id"))).alias("best_cluster"),
-        F.max(F.when(F.col("_n") == 1, F.col("final"))).alias("score"),
-        F.max(F.when(F.col("_n") == 2, F.col("final"))).alias("runner_score"),
-    )
+    # one exchange: the valid clusters come first, so the best two are numbers 1 and 2
+    n = F.row_number().over(Window.partitionBy("job_id").orderBy(F.coalesce("valid", F.lit(False)).desc(), "rank"))
+    at = lambda i, c: F.max(F.when(F.col("valid") & (F.col("_n") == i), F.col(c)))
     partial = F.min_by("rejection", F.when(F.col("partial"), F.col("rank")))
-    jobs = ranked.groupBy("job_id").agg(F.coalesce(partial, F.min_by("rejection", "rank"), F.lit("no_valid_homography")).alias("reason"))
-    out = jobs.join(of, "job_id", "left").withColumn("status", status(F.col("score").isNotNull(), F.col("score"), F.col("runner_score")))
+    out = ranked.withColumn("_n", n).groupBy("job_id").agg(
+        F.coalesce(partial, F.min_by("rejection", "rank"), F.lit("no_valid_homography")).alias("reason"),
+        at(1, "cluster_id").alias("best_cluster"),
+        at(1, "final").alias("score"),
+        at(2, "final").alias("runner_score"),
+    )
+    out = out.withColumn("status", status(F.col("score").isNotNull(), F.col("score"), F.col("runner_score")))
     return out.withColumn("reason", F.when(F.col("score").isNull(), F.col("reason")))
 
 

@@ -1,27 +1,29 @@
 """Mission plans: JSON text to waypoints, bounds and warnings, with VARIANT expressions.
 
-Plans are rows (plan_id, body). Nested items are unfolded level by level to `depth`, each level an
-explode; what lies deeper than that is not read.
+Plans are rows (plan_id, body). Nested items are unfolded level by level, each level an explode that
+carries what is unfolded already, until no plan has a level left; a body is parsed once for all levels.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the commands.
 COMMANDS = {16: "WAYPOINT", 17: "LOITER_UNLIM", 18: "LOITER_TURNS", 19: "LOITER_TIME", 21: "LAND", 22: "TAKEOFF", 82: "SPLINE_WAYPOINT", 189: "DO_LAND_START", 195: "ROI_LOCATION"}
 
+# Warnings.
+NO_HOME, NO_WAYPOINTS, NOT_EXPANDED = "No plannedHomePosition in this plan.", "The mission contains no waypoint items.", "Complex mission item '%s' was not expanded."
+
 
 def parse(plans: DataFrame) -> DataFrame:
-    """Adds doc (VARIANT) and error: invalid_json, not_an_object, no_mission or null. A byte-order mark is skipped."""
+    """Adds doc (VARIANT) and error: invalid_json, not_an_object, no_mission (or one that is no object), or null. A byte-order mark is skipped."""
     doc = F.try_parse_json(F.regexp_replace("body", "^﻿", ""))
     out = plans.withColumn("doc", doc)
     kind = F.schema_of_variant("doc")
     error = F.when(F.col("doc").isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "not_an_object")
-    return out.withColumn("error", error.when(F.try_variant_get("doc", "$.mission", "variant").isNull(), "no_mission"))
+    section = F.schema_of_variant(F.try_variant_get("doc", "$.mission", "variant"))
+    return out.withColumn("error", error.when(~F.coalesce(section.startswith("OBJECT"), F.lit(False)), "no_mission"))
 
 
 def number(v: Column, path: str) -> Column:
@@ -33,26 +35,36 @@ def _items(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
-def items(parsed: DataFrame, depth: int = 3) -> DataFrame:
-    """plan_id, path (places from the top), item, is_complex of every item, complex ones before their parts."""
-    level = parsed.filter("error is null").select("plan_id", F.posexplode(_items(F.col("doc"), "$.mission.items")).alias("i", "item"))
-    level = level.select("plan_id", F.array("i").alias("path"), "item")
-    levels = []
-    for _ in range(depth):
-        given = _items(F.col("item"), "$.TransectStyleComplexItem.Items")
-        inner = F.coalesce(F.when(F.size(given) > 0, given), _items(F.col("item"), "$.Items"))
-        level = level.withColumn("is_complex", F.coalesce(F.try_variant_get("item", "$.type", "string") == "ComplexItem", F.lit(False))).withColumn("inner", F.when(F.col("is_complex"), inner))
-        levels.append(level.select("plan_id", "path", "item", "is_complex", F.size(F.coalesce("inner", F.array().cast("array<variant>"))).alias("n_inner")))
-        level = level.select("plan_id", "path", F.posexplode("inner").alias("i", "part")).select("plan_id", F.concat("path", F.array("i")).alias("path"), F.col("part").alias("item"))
-    return reduce(DataFrame.unionByName, levels)
+def items(parsed: DataFrame) -> DataFrame:
+    """plan_id, path (places from the top), item, is_complex, n_inner of every item, complex ones before their parts."""
+
+    def described(item: Column) -> tuple[Column, Column]:
+        given = _items(item, "$.TransectStyleComplexItem.Items")
+        is_complex = F.coalesce(F.try_variant_get(item, "$.type", "string") == "ComplexItem", F.lit(False))
+        parts = F.when(is_complex, F.coalesce(F.when(F.size(given) > 0, given), _items(item, "$.Items")))
+        return is_complex, F.coalesce(parts, F.array().cast("array<variant>"))
+
+    rows = parsed.filter("error is null").select("plan_id", F.posexplode(_items(F.col("doc"), "$.mission.items")).alias("i", "item"))
+    is_complex, parts = described(F.col("item"))
+    rows = rows.select("plan_id", F.array("i").alias("path"), "item", is_complex.alias("is_complex"), F.size(parts).alias("n_inner"), parts.alias("inner"))
+    while not rows.filter(F.size("inner") > 0).isEmpty():
+        entry = lambda path, item, flag, n, inner: F.struct(path.alias("path"), item.alias("item"), flag.alias("is_complex"), n.alias("n_inner"), inner.alias("inner"))
+        own = entry(F.col("path"), F.col("item"), F.col("is_complex"), F.col("n_inner"), F.array().cast("array<variant>"))
+
+        def part(x: Column, i: Column) -> Column:
+            flag, inner = described(x)
+            return entry(F.concat("path", F.array(i)), x, flag, F.size(inner), inner)  # noqa: B023
+
+        rows = rows.select("plan_id", F.explode(F.concat(F.array(own), F.transform("inner", part))).alias("e")).select("plan_id", "e.*")
+    return rows.drop("inner")
 
 
-def waypoints(parsed: DataFrame, depth: int = 3) -> DataFrame:
+def waypoints(parsed: DataFrame) -> DataFrame:
     """plan_id, path, seq, command, command_name, latitude, longitude, altitude, frame of every simple item.
 
     (0, 0) is no position. The altitude falls back to the item's own where there are six parameters or fewer.
     """
-    simple = items(parsed, depth).filter(~F.col("is_complex") & F.schema_of_variant("item").startswith("OBJECT"))
+    simple = items(parsed).filter(~F.col("is_complex") & F.schema_of_variant("item").startswith("OBJECT"))
     params = _items(F.col("item"), "$.params")
     lat, lon, alt = (number(F.col("item"), f"$.params[{i}]") for i in (4, 5, 6))
     nowhere = (lat == 0) & (lon == 0)
@@ -83,18 +95,22 @@ def suggested_extent(box: DataFrame) -> DataFrame:
     return box.select("plan_id", *[F.round(c, 7).alias(n) for n, c in (("north", F.col("north") + pad_lat), ("south", F.col("south") - pad_lat), ("west", F.col("west") - pad_lon), ("east", F.col("east") + pad_lon))])
 
 
-def summary(parsed: DataFrame, depth: int = 3) -> DataFrame:
+def summary(parsed: DataFrame) -> DataFrame:
     """plan_id, n_waypoints, n_positions, n_geofences, n_rally, warnings of every readable plan."""
-    points = waypoints(parsed, depth).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_waypoints"), F.count("latitude").alias("n_positions"))
+    points = waypoints(parsed).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_waypoints"), F.count("latitude").alias("n_positions"))
     size = lambda path: F.greatest(F.size(F.coalesce(_items(F.col("doc"), path), F.array().cast("array<variant>"))), F.lit(0))
-    base = parsed.filter("error is null").select("plan_id", size("$.geoFence.polygons").alias("n_geofences"), size("$.rallyPoints.points").alias("n_rally"))
-    closed = items(parsed, depth).filter(F.col("is_complex") & (F.col("n_inner") == 0))
+    homeless = F.size(F.coalesce(_items(F.col("doc"), "$.mission.plannedHomePosition"), F.array().cast("array<variant>"))) < 3
+    base = parsed.filter("error is null").select("plan_id", homeless.alias("_homeless"), size("$.geoFence.polygons").alias("n_geofences"), size("$.rallyPoints.points").alias("n_rally"))
+    closed = items(parsed).filter(F.col("is_complex") & (F.col("n_inner") == 0))
     kind = F.coalesce(F.try_variant_get("item", "$.complexItemType", "string"), F.lit("unknown"))
-    closed = closed.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", kind.alias("kind")))), lambda c: F.format_string("Complex mission item '%s' was not expanded.", c["kind"])).alias("_closed"))
-    out = base.join(points, "plan_id", "left").join(closed, "plan_id", "left").join(home(parsed).select("plan_id", F.col("latitude").alias("_home")), "plan_id", "left").fillna(0, ["n_waypoints", "n_positions"])
-    warnings = F.filter(F.array(F.when(F.col("n_waypoints") == 0, F.lit("no waypoint items")), F.when(F.col("_home").isNull(), F.lit("no planned home"))), lambda w: w.isNotNull())
-    warnings = F.concat(F.coalesce("_closed", F.array().cast("array<string>")), warnings)
-    return out.withColumn("warnings", warnings).drop("_home", "_closed")
+    closed = closed.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", kind.alias("kind")))), lambda c: F.format_string(NOT_EXPANDED, c["kind"])).alias("_closed"))
+    out = base.join(points, "plan_id", "left").join(closed, "plan_id", "left").fillna(0, ["n_waypoints", "n_positions"])
+    warnings = F.concat(
+        F.when(F.col("_homeless"), F.array(F.lit(NO_HOME))).otherwise(F.array().cast("array<string>")),
+        F.coalesce("_closed", F.array().cast("array<string>")),
+        F.when(F.col("n_waypoints") == 0, F.array(F.lit(NO_WAYPOINTS))).otherwise(F.array().cast("array<string>")),
+    )
+    return out.withColumn("warnings", warnings).drop("_homeless", "_closed")
 
 
 def normalised_path(points: DataFrame) -> DataFrame:

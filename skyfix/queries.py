@@ -118,10 +118,11 @@ def _frames(bank, *ids):
 @query(f"""
 SELECT frame_id, tile_id, round(s, 6) AS similarity, rk::INT AS rk FROM (
   SELECT q.vec_id AS frame_id, b.vec_id AS tile_id, {COSINE} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, b.vec_id) AS rk
-  FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id IN (0, 1, 2, 3)) WHERE rk <= 8""")
+  FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id % 100 = 0) WHERE rk <= 8""")
 def cosine_topk_batch(spark, sf_dir):
     bank = _bank(spark, sf_dir)
-    return retrieval.top_k_batch(bank, _frames(bank, 0, 1, 2, 3), 8)
+    frames = bank.filter("tile_id % 100 = 0").select(F.col("tile_id").alias("frame_id"), F.col("embedding").alias("query"))
+    return retrieval.top_k_batch(bank, frames, 8)
 
 
 @query(f"SELECT b.vec_id AS tile_id, round({COSINE}, 6) AS similarity FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id = 5 ORDER BY {COSINE} DESC, b.vec_id LIMIT 8")
@@ -683,6 +684,46 @@ def plan_summary(spark, sf_dir):
     return out.select("plan_id", "n_geofences", "n_rally", "n_waypoints", "n_positions", F.size("warnings").alias("n_warnings"))
 
 
+#: Plans with faults: a mission that is no object, no home, a closed complex item, and a waypoint under `event_id % 7` nested items.
+FAULTY_BODY = """
+CASE event_id % 5 WHEN 0 THEN concat('{"mission":', element_at(array('5', 'null', '[]', '"x"'), CAST(event_id % 4 + 1 AS INT)), '}')
+ELSE concat('{"mission":{', CASE WHEN event_id % 3 = 0 THEN '"plannedHomePosition":[1,2]' ELSE '"plannedHomePosition":[1,2,3]' END, ',"items":[',
+  CASE WHEN event_id % 4 = 0 THEN '{"type":"ComplexItem","complexItemType":"survey"},' ELSE '' END,
+  repeat('{"type":"ComplexItem","Items":[', CAST(event_id % 7 AS INT)), CASE WHEN event_id % 2 = 0 THEN '{"type":"SimpleItem","command":16,"params":[0,0,0,0,1.5,2.5,9]}' ELSE '7' END, repeat(']}', CAST(event_id % 7 AS INT)), ']}}') END
+"""
+
+
+@query(f"""
+SELECT event_id AS plan_id, CASE WHEN event_id % 5 = 0 THEN 'no_mission' END AS error, CASE WHEN event_id % 5 <> 0 THEN (event_id % 2 = 0)::BIGINT END AS n_waypoints,
+  CASE WHEN event_id % 5 <> 0 THEN array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN '{mission.NO_HOME}' END, CASE WHEN event_id % 4 = 0 THEN 'Complex mission item ''survey'' was not expanded.' END, CASE WHEN event_id % 2 = 1 THEN '{mission.NO_WAYPOINTS}' END], lambda x: x IS NOT NULL), '|') END AS warnings
+FROM events""")
+def plan_warnings(spark, sf_dir):
+    plans = mission.parse(_table(spark, sf_dir, "events").select(F.col("event_id").alias("plan_id"), F.expr(FAULTY_BODY).alias("body")))
+    out = mission.summary(plans).select("plan_id", "n_waypoints", F.array_join("warnings", "|").alias("warnings"))
+    return plans.select("plan_id", "error").join(out, "plan_id", "left")
+
+
+GEO = "SELECT s_suppkey AS request_id, s_suppkey % 40 AS map_id, s_suppkey % 13 = 0 AS clear, (s_suppkey % 120)::DOUBLE AS north, -10.0::DOUBLE AS south, -20.0::DOUBLE AS west, 20.0::DOUBLE AS east, s_suppkey % 3 = 0 AS quad FROM supplier"
+
+
+@query(f"""
+SELECT request_id, map_id, CASE WHEN map_id >= 30 THEN 404 WHEN clear OR quad OR north <= 90 THEN 200 ELSE 400 END::INT AS status,
+  CASE WHEN map_id >= 30 THEN 'unknown_map' WHEN clear OR quad OR north <= 90 THEN NULL ELSE 'north_out_of_range' END AS error, CASE WHEN map_id < 30 AND NOT clear AND (quad OR north <= 90) THEN CASE WHEN quad THEN 'corners' ELSE 'bbox' END END AS kind FROM ({GEO})""")
+def georeference_requests(spark, sf_dir):
+    maps = spark.range(30).selectExpr("id map_id", "800 width", "600 height")
+    supplier = _table(spark, sf_dir, "supplier")
+    rows = supplier.selectExpr("s_suppkey request_id", "s_suppkey % 40 map_id", "s_suppkey % 13 = 0 clear", "double(s_suppkey % 120) north", "-10D south", "-20D west", "20D east", "case when s_suppkey % 3 = 0 then array(array(1D,1D),array(1D,2D),array(0D,2D),array(0D,1D)) end corners")
+    return registry.set_georeference(maps, rows).select("request_id", "map_id", "status", "error", F.col("georeference.kind").alias("kind"))
+
+
+@query("SELECT s_suppkey AS ref_id, k::INT AS k, round(10 - 10 * ((s_suppkey * (k + 1)) % 600) / 600.0::DOUBLE, 7) AS latitude, round(20 + 20 * ((s_suppkey * (k + 3)) % 800) / 800.0::DOUBLE, 7) AS longitude FROM supplier, range(4) r(k)")
+def polygon_to_latlon(spark, sf_dir):
+    rows = _table(spark, sf_dir, "supplier").withColumn("polygon", F.array(*[F.array((F.col("s_suppkey") * (k + 3) % 800).cast("double"), (F.col("s_suppkey") * (k + 1) % 600).cast("double")) for k in range(4)]))
+    box = [F.lit(v) for v in (10.0, 0.0, 20.0, 40.0)]
+    out = geo.polygon_latlon(F.col("polygon"), lambda x, y: geo.bbox_latlon(x, y, *box, F.lit(800), F.lit(600)))
+    return rows.select(F.col("s_suppkey").alias("ref_id"), F.posexplode(out).alias("k", "p")).select("ref_id", "k", "p.latitude", "p.longitude")
+
+
 @query("SELECT l_orderkey AS image_id, round(avg(abs(a - b)), 4) AS mae, round(((2 * avg(a) * avg(b) + 6.5025) * (2 * covar_pop(a, b) + 58.5225)) / ((avg(a) ** 2 + avg(b) ** 2 + 6.5025) * (var_pop(a) + var_pop(b) + 58.5225)), 4) AS ssim, round(coalesce(count(*) FILTER (a < 110 AND b < 110) / nullif(count(*) FILTER (a < 110 OR b < 110), 0)::DOUBLE, 1.0), 4) AS structure_iou FROM (SELECT l_orderkey, (l_partkey % 256)::DOUBLE AS a, (l_suppkey * 3 % 256)::DOUBLE AS b FROM lineitem) GROUP BY 1")
 def image_metrics(spark, sf_dir):
     px = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey image_id", "cast(l_partkey % 256 as double) a", "cast(l_suppkey * 3 % 256 as double) b")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyfix.functions import geo
+
 from skyfix.functions.text import suffix
 
 # Limits of uploads.
@@ -118,3 +120,33 @@ def drag_region(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, h
 def settings(spark: SparkSession, defaults: dict[str, str], prefix: str = "skyfix.") -> dict[str, str]:
     """Defaults overridden by the session's settings of the same name."""
     return {k: spark.conf.get(f"{prefix}{k}", v) for k, v in defaults.items()}
+
+
+def set_georeference(maps: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id, map_id, status (200, 400, 404), error and georeference of every request to set or clear one.
+
+    maps: map_id, width, height. requests: request_id, map_id, clear, north, south, west, east, corners (which win
+    over the box). An unknown map is 404, an invalid georeference 400; a cleared one is null.
+    """
+    known = requests.join(maps.select("map_id", "width", "height", F.lit(True).alias("_known")), "map_id", "left")
+    by_corners = F.coalesce(F.size("corners") > 0, F.lit(False))
+    made = F.struct(F.when(by_corners, "corners").otherwise("bbox").alias("kind"), "north", "south", "west", "east", "corners", "width", "height")
+    box = geo.bbox_error(*map(F.col, ("north", "south", "west", "east", "width", "height")))
+    error = F.when(F.col("_known").isNull(), "unknown_map").when(~F.coalesce("clear", F.lit(False)), F.when(by_corners, geo.corners_error(F.col("corners"), F.col("width"), F.col("height"))).otherwise(box))
+    status = F.when(F.col("_known").isNull(), 404).when(error.isNotNull(), 400).otherwise(200)
+    return known.select("request_id", "map_id", status.alias("status"), error.alias("error"), F.when((status == 200) & ~F.coalesce("clear", F.lit(False)), made).alias("georeference"))
+
+
+def map_record(maps: DataFrame) -> DataFrame:
+    """The document of a map: status, sizes, index state, georeference and preview path."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return maps.select(
+        F.when(F.col("embedding_status") == "failed", "error").otherwise("success").alias("status"), "map_id", "filename", "width", "height", "file_size", "tiles_generated", "embedding_status",
+        "embedding_backend", F.round("index_seconds", 2).alias("index_seconds"), F.col("georeference").isNotNull().alias("georeferenced"), "georeference", F.concat(F.lit("/files/uploads/"), name).alias("preview_url"), "error",
+    )
+
+
+def frame_record(frames: DataFrame) -> DataFrame:
+    """The document of a frame; an unknown height gives an aspect ratio of 0."""
+    ratio = F.coalesce(F.round(F.try_divide(F.col("width"), F.col("height")), 4), F.lit(0.0))
+    return frames.select(F.lit("success").alias("status"), "drone_id", "filename", "width", "height", "file_size", ratio.alias("aspect_ratio"), F.concat(F.lit("/files/uploads/"), F.element_at(F.split("path", "/"), -1)).alias("preview_url"))

@@ -20,7 +20,7 @@ FROM (SELECT l_orderkey AS job_id, l_linenumber AS candidate_id, min(l_partkey)
       FROM lineitem GROUP BY l_orderkey, l_linenumber) g
 """
 
-MAPS = "SELECT c_custkey AS map_id, CAST(400 + (c_custkey * 37) % 2600 AS INT) AS map_w, CAST(300 + (c_custkey * 53) % 2700 AS INT) AS map_h FROM customer WHERE c_custkey % 50 = 0"
+MAPS = "SELECT c_custkey AS map_id, CAST(400 + (c_custkey * 37) % 2600 AS INT) AS map_w, CAST(300 + (c_custkey * 53) % 2700 AS INT) AS map_h FROM customer"
 
 HOMOGRAPHIES = """
 SELECT p_partkey AS h_id, 0.5e0 + (p_partkey % 40) / 3e1 AS h0, ((p_partkey % 21) - 10) / 2e1 AS h1, CAST(p_partkey % 500 AS DOUBLE) AS h2,

@@ -1,0 +1,109 @@
+"""Image kernels against their definitions on small images."""
+
+import numpy as np
+import pytest
+
+from skyfix.operators import kernels as K
+
+
+def scene():
+    """A textured ground with two dark roads and two light blocks."""
+    rng = np.random.default_rng(0)
+    image = rng.integers(90, 140, (240, 320, 3), dtype=np.uint8)
+    image[100:108] = 40
+    image[:, 150:158] = 40
+    image[20:70, 20:90] = 200
+    image[150:200, 200:280] = 210
+    return image
+
+
+def test_lab_round_trip():
+    rgb = np.random.default_rng(1).integers(0, 256, (20, 30, 3), dtype=np.uint8)
+    assert np.abs(K.from_lab(K.to_lab(rgb)).astype(int) - rgb).max() <= 1
+    assert np.allclose(K.to_lab(np.full((1, 1, 3), 255, np.uint8)), [100, 0, 0], atol=0.1)
+
+
+def test_equalisation_spreads_a_dull_plane():
+    plane = np.random.default_rng(2).integers(100, 130, (160, 160), dtype=np.uint8)
+    out = K.equalise(plane, 4.0)
+    assert out.dtype == np.uint8 and out.std() > 1.5 * plane.std()
+    assert len(np.unique(K.equalise(np.full((64, 64), 127, np.uint8), 2.0))) == 1
+
+
+def test_blurs_keep_means_and_edges():
+    image = scene()
+    assert abs(K.gaussian(image, 1.2).mean() - image.mean()) < 0.5
+    step = np.zeros((30, 30, 3), np.uint8)
+    step[:, 15:] = 200
+    assert (K.bilateral(step) == step).all() and (K.gaussian(step, 2)[:, 15] != step[:, 15]).any()
+
+
+def test_enhanced_luminance_is_centred():
+    dark = (scene() * 0.4).astype(np.uint8)
+    assert abs((K.to_lab(K.enhance(dark, sharpen=False))[..., 0] * 2.55).mean() - 128) < 8
+    assert K.normalise(dark).shape == dark.shape and K.enhance(dark).dtype == np.uint8
+
+
+def test_canny_finds_a_step_once():
+    plane = np.zeros((40, 40), np.uint8)
+    plane[:, 20:] = 200
+    edges = K.canny(plane, 50, 150)
+    assert set(np.unique(edges)) == {0, 255}
+    assert ((edges > 0).sum(axis=1) == 1).all() and set(np.flatnonzero(edges[5])) <= {19, 20}
+    assert not K.canny(np.full((40, 40), 90, np.uint8), 50, 150).any()
+    weak = plane // 8  # below the upper threshold: nothing to start from
+    assert not K.canny(weak, 50, 150).any()
+
+
+def test_structure_marks_roads():
+    image = scene()
+    plane, edges, view = K.structure(image)
+    assert plane.shape == edges.shape == view.shape[:2] and 0 < (edges > 0).mean() < 0.5
+    road = (view[100:108, 200:] == 40).mean()
+    ground = (view[120:140, 20:120] == 40).mean()
+    assert road > 0.8 and road > ground and set(np.unique(view)) <= {40, 255}
+    assert (K.structure(image)[2] == view).all()
+    with pytest.raises(ValueError):
+        K.structure(np.zeros((0, 0, 3), np.uint8))
+    assert K.edge_map(image).any()
+
+
+def test_morphology():
+    plane = np.zeros((9, 19), np.uint8)
+    plane[4, [7, 10]] = 255
+    assert (K.close(plane, 1, 5)[4] > 0).sum() == 4
+    assert K.otsu(np.array([[10] * 5 + [200] * 5], np.uint8)) in range(10, 200)
+
+
+def test_undistortion():
+    image = scene()
+    same, done = K.undistort(image, None)
+    assert not done and (same == image).all()
+    lens = {"fx": 300, "fy": 300, "cx": 159.5, "cy": 119.5}
+    out, done = K.undistort(image, lens | {"k1": 0.0})
+    assert done and np.abs(out.astype(int) - image).mean() < 12
+    out, _ = K.undistort(image, lens | {"k1": -0.2})
+    assert out.shape == image.shape and out.min() >= 30
+    centre = K.undistort(np.pad(np.full((1, 1, 1), 255, np.uint8), ((20, 20), (20, 20), (0, 0))), {"fx": 40, "fy": 40, "cx": 20, "cy": 20, "k1": 0.1})[0]
+    assert centre[20, 20, 0] == 255
+
+
+def test_pairs():
+    image = scene()
+    assert K.edge_iou(image, image) == 1.0 and K.edge_iou(np.zeros_like(image), np.zeros_like(image)) == 1.0
+    assert K.edge_iou(image, image[::-1]) < 0.6
+    a = image / 255.0
+    assert abs(K.pair_loss(a, a)) < 1e-9 and K.pair_loss(a, a[::-1]) > 0.1
+    x, y = K.augment(image, image, 3, seed=5)
+    again = K.augment(image, image, 3, seed=5)
+    assert (x == again[0]).all() and (y == again[1]).all() and x.shape == y.shape
+    assert sorted(y.ravel()) == sorted(image.ravel())
+
+
+def test_kernels_over_a_column(spark):
+    image = scene()[:64, :96]
+    rows = [("a", 64, 96, 3, bytearray(image.tobytes())), ("broken", 64, 96, 3, bytearray(b"x")), ("none", None, None, None, None)]
+    frame = spark.createDataFrame(rows, "path string, height int, width int, channels int, px binary")
+    got = {r.path: r for r in K.apply(frame, K.edge_map).collect()}
+    assert (got["a"].height, got["a"].width, got["a"].channels) == (64, 96, 1) and bytes(got["a"].px) == K.edge_map(image).tobytes()
+    assert got["broken"].px is None and got["none"].px is None

@@ -10,6 +10,7 @@ from skyfix.functions import geo
 from skyfix.functions import scores as S
 from skyfix.operators import clustering, matching, retrieval, tiling, verdict
 from skyfix.plans import mission
+from skyfix.sources import registry
 
 
 def one(spark, column):
@@ -168,4 +169,51 @@ def test_nested_items(spark):
     assert got == [(2, "LAND", 1.5, 2.5, 9.0), (3, "CMD_0", None, None, 4.0)]
     r = mission.summary(parsed).first()
     assert (r.n_waypoints, r.n_positions) == (2, 1)
-    assert r.warnings == ["Complex mission item 'corridor' was not expanded.", "no planned home"]
+    assert r.warnings == ["No plannedHomePosition in this plan.", "Complex mission item 'corridor' was not expanded."]
+
+
+def test_missions_nest_without_limit(spark):
+    body = '{"mission":{"plannedHomePosition":[1,2,3],"items":[' + '{"type":"ComplexItem","Items":[' * 9 + '{"command":16,"params":[0,0,0,0,1.5,2.5,9]}' + "]}" * 9 + "]}}"
+    parsed = mission.parse(spark.createDataFrame([(1, body), (2, '{"mission":5}'), (3, '{"mission":[]}'), (4, '{"mission":null}')], "plan_id int, body string"))
+    assert {r.plan_id: r.error for r in parsed.collect()} == {1: None, 2: "no_mission", 3: "no_mission", 4: "no_mission"}
+    assert [(r.plan_id, r.seq, r.latitude, len(r.path)) for r in mission.waypoints(parsed).collect()] == [(1, 1, 1.5, 10)]
+    assert mission.summary(parsed).first().warnings == []
+
+
+def test_search_in_blocks_and_odd_vectors(spark):
+    rng = np.random.default_rng(0)
+    bank = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 6)]
+    bank.append((903, bank[7][1]))
+    frames = [(i, bank[i][1]) for i in range(0, 300, 30)] + [(7, bank[7][1]), (999, None)]
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-8)
+    wanted = {(f, rk + 1): t for f, q in frames if q for rk, (_, t) in enumerate(sorted((-round(float(unit(q) @ unit(v)), 12), t) for t, v in bank if v and len(v) == 6)[:4])}
+    tiles, queries = spark.createDataFrame(bank, "tile_id long, embedding array<double>"), spark.createDataFrame(frames, "frame_id long, query array<double>")
+    for block in (1000, 3):
+        got = {(r.frame_id, r.rk): r.tile_id for r in retrieval.top_k_batch(tiles, queries, 4, block).collect()}
+        assert got == wanted
+
+
+def test_failing_sources_are_left_out(spark):
+    def broken():
+        raise RuntimeError("no backend")
+
+    frame = spark.createDataFrame([(0, [1.0, 0.0])], "frame_id int, query array<double>")
+    good, errors = retrieval.usable_sources([("rgb", frame, 3), ("map", broken, 3), ("structural", frame.withColumn("query", F.lit(None).cast("array<double>")), 3)])
+    assert [name for name, _, _ in good] == ["rgb"] and errors == {"map": "no backend", "structural": "no vector"}
+    with pytest.raises(RuntimeError):
+        retrieval.usable_sources([("rgb", broken, 3)])
+
+
+def test_georeferences(spark):
+    kind = "kind string, north double, south double, west double, east double, corners array<array<double>>, width int, height int"
+    rows = [("bbox", 2.0, 1.0, 0.0, 1.0, None, 10, 10), ("bbox", 1.0, 2.0, 0.0, 1.0, None, 10, 10), ("corners", None, None, None, None, [[1.0, 1.0]], 10, 10)]
+    stored = spark.createDataFrame([(r,) for r in rows] + [(None,)], f"g struct<{kind.replace(' ', ':').replace(',:', ',')}>")
+    assert [r.g is not None for r in stored.select(geo.georeference(F.col("g")).alias("g")).collect()] == [True, False, False, False]
+
+
+def test_records(spark):
+    maps = spark.sql("select 'm1' map_id, 'a/b/x.png' path, 'x.png' filename, 10 width, 20 height, 99L file_size, 5 tiles_generated, 'failed' embedding_status, 'classical' embedding_backend, 1.2345D index_seconds, cast(null as string) georeference, 'boom' error")
+    r = registry.map_record(maps).first()
+    assert (r.status, r.index_seconds, r.georeferenced, r.preview_url) == ("error", 1.23, False, "/files/uploads/x.png")
+    frame = spark.sql("select 'd1' drone_id, 'a/y.png' path, 'y.png' filename, 30 width, stack(2, 20, 0) height, 9L file_size")
+    assert [r.aspect_ratio for r in registry.frame_record(frame).collect()] == [1.5, 0.0]
