@@ -95,8 +95,9 @@ def test_passages_are_compacted(spark):
     words = lambda n: [f"u{i}" for i in rng.integers(0, 10**6, n)]
     passage = words(200)
     rows = [(i, " ".join(words(30) + passage + words(30)), "a") for i in range(5)]
-    got = substrings.repeated_passages(docs_of(spark, rows)).collect()
-    assert [tuple(r) for r in got] == [(0, 30, 200, 5)]
+    # one run for the whole passage, but for the edges at either end, whose paths reach into the words around it
+    (got,) = substrings.repeated_passages(docs_of(spark, rows)).collect()
+    assert (got.doc_id, got.n) == (0, 5) and 30 <= got.start < 45 and 215 < got.start + got.n_words <= 230
 
 
 def fingerprint(text):
