@@ -57,26 +57,37 @@ def normalised_weights(weights: DataFrame, key: str = "job_id") -> DataFrame:
     return weights.withColumn("weight", F.when(total > 0, w / F.nullif(total, F.lit(0.0))).otherwise(1.0 / F.count(F.lit(1)).over(of)))
 
 
-def consensus(positions: DataFrame, tolerance: float, reference: str = "rgb") -> DataFrame:
-    """job_id, max_offset, agree, participating, offsets (map) over positions (job_id, representation, x, y)."""
+def consensus(positions: DataFrame, tolerance: float | str, reference: str = "rgb") -> DataFrame:
+    """job_id, max_offset, agree, participating, offsets, positions (maps), tolerance over positions (job_id, representation, x, y).
+
+    tolerance: pixels, or the name of a column of positions that holds the job's.
+    """
     ref = positions.filter(F.col("representation") == reference).select("job_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
     off = F.when(F.col("representation") != reference, F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2)))
-    joined = positions.join(ref, "job_id", "left").withColumn("offset", off)
+    joined = positions.withColumn("tolerance", _tolerance(tolerance)).join(ref, "job_id", "left").withColumn("offset", off)
+    entries = lambda when, *fields: F.map_from_entries(F.array_sort(F.collect_list(F.when(when, F.struct("representation", *fields)))))
     out = joined.groupBy("job_id").agg(
         F.coalesce(F.max("offset"), F.lit(0.0)).alias("max_offset"),
         F.array_sort(F.collect_list("representation")).alias("participating"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("offset").isNotNull(), F.struct("representation", "offset"))))).alias("offsets"),
+        entries(F.col("offset").isNotNull(), "offset").alias("offsets"),
+        entries(F.col("representation").isNotNull(), F.array("x", "y").alias("at")).alias("positions"),
+        F.max("tolerance").alias("tolerance"),
     )
-    return out.withColumn("agree", F.col("max_offset") <= tolerance)
+    return out.withColumn("agree", F.col("max_offset") <= F.col("tolerance"))
+
+
+def _tolerance(of: float | str) -> Column:
+    return F.col(of) if isinstance(of, str) else F.lit(float(of))
 
 
-def fuse(base: DataFrame, representations: DataFrame, tolerance: float) -> DataFrame:
+def fuse(base: DataFrame, representations: DataFrame, tolerance: float | str) -> DataFrame:
     """Adjusts base (job_id, base, rgb_valid, agree) by verified auxiliary representations.
 
     representations: job_id, representation, geo, verified, weight, offset (from the reference, null
-    if unknown). Adds bonus, penalty, overall, corroborating, aux_verified.
+    if unknown). tolerance: pixels, or the name of a column of representations that holds the job's.
+    Adds bonus, penalty, overall, corroborating, dissenting, aux_verified.
     """
-    tol = F.lit(max(tolerance, 1.0))
+    tol = F.greatest(_tolerance(tolerance), F.lit(1.0))
     aux = representations.filter((F.col("representation") != "rgb") & F.col("verified"))
     near = F.col("offset") <= tol
     gain = S.clamp01(1.0 - F.col("offset") / tol) * F.col("weight") * F.col("geo")
@@ -85,6 +96,7 @@ def fuse(base: DataFrame, representations: DataFrame, tolerance: float) -> DataF
         F.coalesce(F.sum(F.when(near, gain)), F.lit(0.0)).alias("_gain"),
         F.coalesce(F.sum(F.when(~near, loss)), F.lit(0.0)).alias("_loss"),
         F.array_sort(F.collect_list(F.when(near, F.col("representation")))).alias("corroborating"),
+        F.array_sort(F.collect_list(F.when(~near, F.col("representation")))).alias("dissenting"),
         F.count(F.lit(1)).alias("aux_verified"),
     )
     out = base.join(sums, "job_id", "left")
@@ -92,7 +104,7 @@ def fuse(base: DataFrame, representations: DataFrame, tolerance: float) -> DataF
     out = out.withColumn("bonus", bonus).withColumn("penalty", S.clamp01(F.coalesce("_loss", F.lit(0.0))) * PENALTY_CAP)
     overall = S.clamp01(S.clamp01(F.col("base")) * (1.0 + F.col("bonus") - F.col("penalty")))
     none = F.array().cast("array<string>")
-    return out.withColumns({"overall": overall, "corroborating": F.coalesce("corroborating", none), "aux_verified": F.coalesce("aux_verified", F.lit(0))}).drop("_gain", "_loss")
+    return out.withColumns({"overall": overall, "corroborating": F.coalesce("corroborating", none), "dissenting": F.coalesce("dissenting", none), "aux_verified": F.coalesce("aux_verified", F.lit(0))}).drop("_gain", "_loss")
 
 
 def regrade(of: Column, overall: Column, agree: Column, corroborating: Column, aux_verified: Column, rgb_valid: Column) -> Column:

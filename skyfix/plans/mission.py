@@ -15,6 +15,11 @@ COMMANDS = {16: "WAYPOINT", 17: "LOITER_UNLIM", 18: "LOITER_TURNS", 19: "LOITER_
 # Warnings.
 NO_HOME, NO_WAYPOINTS, NOT_EXPANDED = "No plannedHomePosition in this plan.", "The mission contains no waypoint items.", "Complex mission item '%s' was not expanded."
 
+DISCLAIMER = "The .plan file contains mission coordinates. It does not contain satellite imagery."
+
+#: A plan's header: name in the document, place in the plan, type.
+HEADER = (("file_type", "$.fileType", "string"), ("version", "$.version", "int"), ("ground_station", "$.groundStation", "string"), ("vehicle_type", "$.mission.vehicleType", "int"))
+
 
 def parse(plans: DataFrame) -> DataFrame:
     """Adds doc (VARIANT) and error: invalid_json, not_an_object, no_mission (or one that is no object), or null. A byte-order mark is skipped."""
@@ -79,8 +84,12 @@ def waypoints(parsed: DataFrame) -> DataFrame:
 
 def home(parsed: DataFrame) -> DataFrame:
     """plan_id, latitude, longitude, altitude of the planned home; null where it is not a list of three."""
+    return parsed.filter("error is null").select("plan_id", *_home())
+
+
+def _home() -> list[Column]:
     at = "$.mission.plannedHomePosition"
-    return parsed.filter("error is null").select("plan_id", *[F.when(F.size(_items(F.col("doc"), at)) >= 3, number(F.col("doc"), f"{at}[{i}]")).alias(n) for i, n in enumerate(("latitude", "longitude", "altitude"))])
+    return [F.when(F.size(_items(F.col("doc"), at)) >= 3, number(F.col("doc"), f"{at}[{i}]")).alias(n) for i, n in enumerate(("latitude", "longitude", "altitude"))]
 
 
 def bounds(points: DataFrame, homes: DataFrame) -> DataFrame:
@@ -91,8 +100,12 @@ def bounds(points: DataFrame, homes: DataFrame) -> DataFrame:
 
 def suggested_extent(box: DataFrame) -> DataFrame:
     """The bounds with a quarter of their span, at least 1e-4, on every side, to 7 decimals."""
+    return box.select("plan_id", *_padded())
+
+
+def _padded() -> list[Column]:
     pad_lat, pad_lon = (F.greatest((F.col(a) - F.col(b)) * 0.25, F.lit(1e-4)) for a, b in (("north", "south"), ("east", "west")))
-    return box.select("plan_id", *[F.round(c, 7).alias(n) for n, c in (("north", F.col("north") + pad_lat), ("south", F.col("south") - pad_lat), ("west", F.col("west") - pad_lon), ("east", F.col("east") + pad_lon))])
+    return [F.round(c, 7).alias(n) for n, c in (("north", F.col("north") + pad_lat), ("south", F.col("south") - pad_lat), ("west", F.col("west") - pad_lon), ("east", F.col("east") + pad_lon))]
 
 
 def summary(parsed: DataFrame) -> DataFrame:
@@ -113,6 +126,35 @@ def summary(parsed: DataFrame) -> DataFrame:
     return out.withColumn("warnings", warnings).drop("_homeless", "_closed")
 
 
+def documents(parsed: DataFrame) -> DataFrame:
+    """plan_id and the JSON `body` of every readable plan: header, home, waypoints in order, coordinates, bounds, suggested extent, warnings.
+
+    Keys without a value are left out: bounds and extent where neither a waypoint nor the home has a position.
+    """
+    entry = F.struct("path", F.struct("seq", "command", "command_name", "latitude", "longitude", "altitude", "frame").alias("w"))
+    listed = waypoints(parsed).groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["w"]).alias("waypoints"))
+    header = [F.try_variant_get("doc", path, kind).alias(name) for name, path, kind in HEADER]
+    speeds = [number(F.col("doc"), f"$.mission.{key}").alias(name) for name, key in (("cruise_speed", "cruiseSpeed"), ("hover_speed", "hoverSpeed"))]
+    homes = parsed.filter("error is null").select("plan_id", *header, *speeds, F.array(*_home()).alias("_home"))
+    out = homes.join(listed, "plan_id", "left").join(summary(parsed).select("plan_id", F.col("n_waypoints").alias("waypoint_count"), "warnings"), "plan_id")
+    none = F.array().cast(listed.schema["waypoints"].dataType)
+    out = out.withColumn("waypoints", F.coalesce("waypoints", none))
+    placed = F.filter("waypoints", lambda w: w["latitude"].isNotNull() & w["longitude"].isNotNull())
+    out = out.withColumn("coordinates", F.transform(placed, lambda w: F.array(w["latitude"], w["longitude"])))
+    at_home = F.get("_home", 0).isNotNull() & F.get("_home", 1).isNotNull()
+    every = F.when(at_home, F.array_append("coordinates", F.slice("_home", 1, 2))).otherwise(F.col("coordinates"))
+    out = out.withColumn("_every", every)
+    lat, lon = F.transform("_every", lambda p: F.get(p, 0)), F.transform("_every", lambda p: F.get(p, 1))
+    out = out.withColumns({"north": F.array_max(lat), "south": F.array_min(lat), "west": F.array_min(lon), "east": F.array_max(lon)})
+    known = F.col("north").isNotNull()
+    body = F.struct(
+        *[n for n, _, _ in HEADER], "cruise_speed", "hover_speed", F.when(F.get("_home", 0).isNotNull(), F.col("_home")).alias("planned_home_position"),
+        "waypoints", "waypoint_count", "coordinates", F.when(known, F.struct("north", "south", "west", "east")).alias("bounds"),
+        F.when(known, F.struct(*_padded())).alias("suggested_georeference"), "warnings", F.lit(DISCLAIMER).alias("disclaimer"),
+    )
+    return out.select("plan_id", F.to_json(body).alias("body"))
+
+
 def normalised_path(points: DataFrame) -> DataFrame:
     """plan_id, seq, px, py: positions in a box of 8..92, north up."""
     from pyspark.sql import Window

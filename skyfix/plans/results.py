@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyfix.operators import verdict
+
 
 def _round(name: str, digits: int = 4, of: str | None = None) -> Column:
     return F.round(of or name, digits).alias(name)
@@ -34,9 +36,71 @@ def clusters(ranked: DataFrame) -> DataFrame:
     )
 
 
+#: The weights of the representations in the fusion.
+WEIGHTS = {"rgb": 0.40, "structural": 0.25, "map": 0.15, "retrieval": 0.20}
+
+
+def cross_representation(best: DataFrame, estimates: DataFrame, weights: dict[str, float] = WEIGHTS, tolerance: float = 0.0) -> DataFrame:
+    """One row for each representation of a job that has a winning place: `rgb` from its cluster, the others from their estimates.
+
+    best: job_id, similarity, raw_matches, inliers, ratio, error, valid, geo, x, y and radius (the
+    same-place radius). estimates: job_id, representation and the same without similarity and radius,
+    one row for each representation (representation_best). Weights are shared among rgb, the job's
+    estimates and retrieval; negative ones count 0, unknown names 0, and all 0 gives equal shares. Only
+    valid estimates have a position; an error that is not finite is null. `tolerance` is the given
+    one if above 0, else the radius. Jobs without a winning place have no rows.
+    """
+    shared = ("raw_matches", "inliers", "ratio", "error", "valid", "geo", "x", "y")
+    rgb = best.select("job_id", F.lit("rgb").alias("representation"), "similarity", *shared, "radius")
+    placed = F.coalesce("valid", F.lit(False))
+    aux = estimates.withColumns({c: F.when(placed, F.col(c)) for c in ("x", "y")}).join(best.select("job_id", "radius"), "job_id")
+    rows = rgb.unionByName(aux.select("job_id", "representation", F.lit(0.0).alias("similarity"), *shared, "radius"))
+    known = F.create_map(*[F.lit(x) for name, w in weights.items() for x in (name, max(float(w), 0.0))])
+    w = F.coalesce(F.try_element_at(known, F.col("representation")), F.lit(0.0))
+    of = Window.partitionBy("job_id")
+    total = F.sum(w).over(of) + max(float(weights.get("retrieval", 0.0)), 0.0)
+    share = F.when(total > 0, w / F.nullif(total, F.lit(0.0))).otherwise(1.0 / (F.count(F.lit(1)).over(of) + 1))
+    error = F.when(F.abs("error") < float("inf"), F.col("error"))
+    wanted = F.lit(float(tolerance)) if tolerance > 0 else F.col("radius")
+    return rows.withColumns({"error": error, "valid": F.coalesce("valid", F.lit(False)), "weight": share, "tolerance": wanted}).drop("radius")
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """The rows of cross_representation that have a position."""
+    return rows.filter("x is not null and y is not null")
+
+
 def representations(rows: DataFrame) -> DataFrame:
     center = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.array(F.round("x", 1), F.round("y", 1)))
-    return rows.select("job_id", "representation", _round("geo"), _round("weight"), "verified", center.alias("map_center"))
+    return rows.select(
+        "job_id", "representation", _round("similarity"), "raw_matches", "inliers", _round("ratio"), _round("error", 3), "valid", _round("geo"), _round("weight"), center.alias("map_center"),
+    )
+
+
+def consensus(agreed: DataFrame, reference: str = "rgb") -> DataFrame:
+    """The document rows of verdict.consensus: pixels to 1 decimal."""
+    tenth = lambda m: F.transform_values(m, lambda _, v: F.round(v, 1))
+    at = F.transform_values("positions", lambda _, p: F.transform(p, lambda v: F.round(v, 1)))
+    return agreed.select(
+        "job_id", F.lit(reference).alias("reference"), "agree", _round("tolerance_px", 1, "tolerance"), _round("max_disagreement_px", 1, "max_offset"),
+        tenth(F.col("offsets")).alias("offsets_px"), at.alias("positions"), "participating",
+    )
+
+
+def fused(fusion: DataFrame, rows: DataFrame) -> DataFrame:
+    """The document rows of verdict.fuse, with each representation's score and weight: all to 4 decimals."""
+    of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("representation", F.round(c, 4).alias("v")))))
+    parts = rows.groupBy("job_id").agg(of("geo").alias("components"), of("weight").alias("weights"))
+    return fusion.join(parts, "job_id", "left").select(
+        "job_id", _round("overall"), _round("base_rgb", of="base"), "components", "weights",
+        _round("applied_bonus", of="bonus"), _round("applied_penalty", of="penalty"), F.col("agree").alias("consensus"), "corroborating", "dissenting",
+    )
+
+
+def features(sets: DataFrame) -> DataFrame:
+    """The document rows of feature sets (image_id, backend, detected, selected, width, height); missing numbers are 0."""
+    number = lambda c, name: F.coalesce(c, F.lit(0)).cast("int").alias(name)
+    return sets.select("image_id", F.coalesce("backend", F.lit("unknown")).alias("backend"), number("detected", "detected_keypoints"), number("selected", "selected_keypoints"), number("width", "width"), number("height", "height"))
 
 
 def with_clusters(rows: DataFrame, assigned: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -51,14 +115,58 @@ def supporting_members(assigned: DataFrame, best: DataFrame) -> DataFrame:
     return members.groupBy("job_id").agg(F.array_sort(F.collect_list(F.when(F.col("valid"), F.col("tile_id")))).alias("member_tile_ids"), F.count_if("valid").alias("supporting"))
 
 
-def document(decided: DataFrame, best: DataFrame, centers: DataFrame, rows: DataFrame) -> DataFrame:
-    """job_id and the JSON document of a job: status, confidence, pixel (only if accepted), candidates by rank."""
+#: Fixed value.
+COVERAGE_NOTE = "Estimated visual position - not a guaranteed fix. Verify against onboard sensors before use."
+
+
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """job_id and an array of the rows' other columns, by rank."""
+    entry = F.struct("rank", *[c for c in rows.columns if c not in ("job_id", "rank", "components")], *[c for c in rows.columns if c == "components"])
+    # maps cannot be ordered, so the entries are ordered by their rank alone
+    by_rank = lambda a, b: F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
+    return rows.groupBy("job_id").agg(F.array_sort(F.collect_list(entry), by_rank).alias(name))
+
+
+def document(decided: DataFrame, best: DataFrame, centers: DataFrame, rows: DataFrame, ranked: DataFrame | None = None, members: DataFrame | None = None, extras: DataFrame | None = None) -> DataFrame:
+    """job_id, status, px, py and `body`, the JSON document of a job.
+
+    decided: verdict.decide; best, ranked: the winning and all clusters; centers: clustering.weighted_center;
+    rows: candidates(), with their clusters if with_clusters() added them; members: supporting_members().
+    extras: job_id and one column for each further key (polygon, gps, renders, keypoints, representations,
+    consensus, fused ...), which goes into the body under its name. The pixel is given only if the verdict
+    is accepted. A job without a winning cluster has no best_candidate, and its metrics are 0, false and null.
+    """
     center = centers.join(best.select("job_id", "cluster_id"), ["job_id", "cluster_id"]).select("job_id", "center_x", "center_y")
-    listed = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_id", "tile_id", "verdict", "final"))).alias("candidates"))
-    out = decided.join(center, "job_id", "left").join(listed, "job_id", "left")
+    facts = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("candidate_count"), F.max("similarity").alias("best_similarity"))
+    out = decided.join(center, "job_id", "left").join(_listed(rows, "candidates"), "job_id", "left").join(facts, "job_id", "left")
+    winner = best.select("job_id", F.struct([c for c in best.columns if c != "job_id"]).alias("_best"))
+    out = out.join(winner, "job_id", "left")
+    if ranked is not None:
+        out = out.join(_listed(clusters(ranked), "location_clusters"), "job_id", "left")
+    if members is not None:
+        out = out.join(members.select("job_id", "member_tile_ids"), "job_id", "left")
+    further = [c for c in extras.columns if c != "job_id"] if extras is not None else []
+    if further:
+        out = out.join(extras, "job_id", "left")
+
+    w = F.col("_best")
     accepted = F.col("status").isin("MATCH_FOUND", "LOW_CONFIDENCE")
     pixel = F.when(accepted & F.col("center_x").isNotNull(), F.struct(F.rint("center_x").cast("int").alias("x"), F.rint("center_y").cast("int").alias("y")))
-    body = F.struct("status", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("confidence"), accepted.alias("accepted"), pixel.alias("map_pixel"), "candidates")
+    chosen = [w["representative_id"].alias("candidate_id"), w["tile_id"].alias("tile_id"), F.round(w["similarity"], 4).alias("similarity"), w["support"].alias("supporting_tiles")]
+    if members is not None:
+        chosen.append(F.col("member_tile_ids"))
+    zero = lambda c, name, digits: F.round(F.coalesce(c, F.lit(0)), digits).alias(name)
+    metrics = F.struct(
+        zero(w["raw_matches"], "raw_matches", 0), zero(w["inliers"], "ransac_inliers", 0), zero(w["ratio"], "inlier_ratio", 4), zero(w["coverage"], "spatial_coverage", 4),
+        F.round(w["error"], 3).alias("reprojection_error"), F.coalesce(w["valid"], F.lit(False)).alias("homography_valid"), verdict_of(w["valid"], w["partial"]).alias("verdict"),
+        F.coalesce(w["partial"], F.lit(False)).alias("partial"), w["rejection"].alias("rejection"), zero(w["support"], "supporting_tiles", 0),
+    )
+    body = F.struct(
+        "status", verdict.message(F.col("status")).alias("status_message"), F.col("reason"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("confidence"), accepted.alias("accepted"),
+        F.when(w.isNotNull(), F.struct(*chosen)).alias("best_candidate"), metrics.alias("feature_metrics"), pixel.alias("map_pixel"), "candidates",
+        F.struct(F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.round(F.coalesce("best_similarity", F.lit(0.0)), 4).alias("best_similarity")).alias("retrieval"),
+        *(["location_clusters"] if ranked is not None else []), *further, F.lit(COVERAGE_NOTE).alias("coverage_note"),
+    )
     return out.select("job_id", "status", pixel["x"].alias("px"), pixel["y"].alias("py"), F.to_json(body).alias("body"))
 
 

@@ -521,6 +521,63 @@ def fuse_regrade(spark, sf_dir):
     return _rounded(out.select("job_id", "bonus", "penalty", "overall", F.array_join("corroborating", ",").alias("corroborating"), regraded.alias("regraded")))
 
 
+# ---------------------------------------------------------------- representations of a job
+
+
+ASSEMBLED = f"""
+SELECT job_id, representation, similarity, raw_matches, inliers, ratio, error, valid, geo, x, y, radius AS tolerance, w / (sum(w) OVER (PARTITION BY job_id) + 0.20::DOUBLE) AS weight FROM (
+  SELECT *, CASE representation WHEN 'rgb' THEN 0.40::DOUBLE WHEN 'structural' THEN 0.25::DOUBLE WHEN 'map' THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS w FROM (
+    SELECT job_id, 'rgb' AS representation, similarity, raw_matches, inliers, ratio, error, valid, geo, x, y, radius FROM ({X.BEST_PLACES}) a
+    UNION ALL SELECT job_id, representation, 0.0::DOUBLE, e.raw_matches, e.inliers, e.ratio, e.error, e.valid, e.geo, CASE WHEN e.valid THEN e.x END, CASE WHEN e.valid THEN e.y END, b.radius
+      FROM ({X.ESTIMATES}) e JOIN ({X.BEST_PLACES}) b USING (job_id)))"""
+ASSEMBLED_OFFSETS = f"SELECT a.*, CASE WHEN a.representation <> 'rgb' THEN sqrt((a.x - r.x) ** 2 + (a.y - r.y) ** 2) END AS off FROM ({ASSEMBLED}) a LEFT JOIN (SELECT job_id, x, y FROM ({ASSEMBLED}) WHERE representation = 'rgb') r USING (job_id)"
+
+
+def _assembled(spark, sf_dir):
+    return results.cross_representation(X.read(spark, sf_dir, X.BEST_PLACES), X.read(spark, sf_dir, X.ESTIMATES))
+
+
+@query(f"SELECT job_id, representation, round(similarity, 9) AS similarity, raw_matches, inliers, round(ratio, 9) AS ratio, round(error, 9) AS error, valid, round(geo, 9) AS geo, x, y, tolerance, round(weight, 9) AS weight FROM ({ASSEMBLED})")
+def cross_representation(spark, sf_dir):
+    return _rounded(_assembled(spark, sf_dir))
+
+
+@query(f"SELECT job_id, representation, round(similarity, 4) AS similarity, inliers, round(error, 3) AS error, round(weight, 4) AS weight, round(x, 1) AS cx, round(y, 1) AS cy FROM ({ASSEMBLED})")
+def project_representations(spark, sf_dir):
+    rows = results.representations(_assembled(spark, sf_dir))
+    return rows.select("job_id", "representation", "similarity", "inliers", "error", "weight", F.get("map_center", F.lit(0)).alias("cx"), F.get("map_center", F.lit(1)).alias("cy"))
+
+
+@query(f"""
+WITH o AS ({ASSEMBLED_OFFSETS}), j AS (SELECT job_id, max(tolerance) AS tolerance, coalesce(max(off), 0) AS worst, array_to_string(list_sort(list(representation)), ',') AS participating FROM o WHERE x IS NOT NULL GROUP BY 1)
+SELECT job_id, 'rgb' AS reference, worst <= tolerance AS agree, round(tolerance, 1) AS tolerance_px, round(worst, 1) AS max_disagreement_px, participating, name, round(off, 1) AS offset_px, round(x, 1) AS px, round(y, 1) AS py
+FROM j JOIN (SELECT job_id, representation AS name, off, x, y FROM o WHERE x IS NOT NULL) USING (job_id)""")
+def project_consensus(spark, sf_dir):
+    docs = results.consensus(verdict.consensus(results.positions(_assembled(spark, sf_dir)), "tolerance"))
+    rows = docs.select("job_id", "reference", "agree", "tolerance_px", "max_disagreement_px", F.array_join("participating", ",").alias("participating"), "offsets_px", F.explode("positions").alias("name", "p"))
+    return rows.select("job_id", "reference", "agree", "tolerance_px", "max_disagreement_px", "participating", "name", F.try_element_at("offsets_px", F.col("name")).alias("offset_px"), F.get("p", F.lit(0)).alias("px"), F.get("p", F.lit(1)).alias("py"))
+
+
+@query(f"""
+WITH o AS ({ASSEMBLED_OFFSETS}), t AS (SELECT job_id, coalesce(max(off), 0) <= max(tolerance) AS agree FROM o WHERE x IS NOT NULL GROUP BY 1),
+a AS (SELECT job_id, sum({clamp('1 - off / tolerance')} * weight * geo) FILTER (off <= tolerance) AS gain, sum({clamp('(off - tolerance) / tolerance')} * weight) FILTER (off > tolerance) AS loss,
+  array_to_string(list_sort(list(representation) FILTER (off <= tolerance)), ',') AS corroborating, array_to_string(list_sort(list(representation) FILTER (off > tolerance)), ',') AS dissenting
+  FROM o WHERE representation <> 'rgb' AND valid GROUP BY 1),
+f AS (SELECT b.job_id, b.geo AS base, CASE WHEN b.valid THEN {clamp('coalesce(gain, 0.0)')} * 0.20::DOUBLE ELSE 0.0 END AS bonus, {clamp('coalesce(loss, 0.0)')} * 0.35::DOUBLE AS penalty, agree, coalesce(corroborating, '') AS corroborating, coalesce(dissenting, '') AS dissenting
+  FROM ({X.BEST_PLACES}) b LEFT JOIN t USING (job_id) LEFT JOIN a USING (job_id))
+SELECT f.job_id, round({clamp(clamp('base') + ' * (1 + bonus - penalty)')}, 4) AS overall, round(base, 4) AS base_rgb, round(bonus, 4) AS applied_bonus, round(penalty, 4) AS applied_penalty, agree AS consensus, corroborating, dissenting, representation AS name, round(geo, 4) AS component, round(weight, 4) AS weight
+FROM f JOIN ({ASSEMBLED}) USING (job_id)""")
+def project_fused(spark, sf_dir):
+    rows = _assembled(spark, sf_dir)
+    agreed = verdict.consensus(results.positions(rows), "tolerance")
+    offsets = rows.withColumn("verified", F.col("valid")).join(agreed.select("job_id", "offsets"), "job_id", "left").withColumn("offset", F.try_element_at("offsets", F.col("representation")))
+    base = X.read(spark, sf_dir, X.BEST_PLACES).select("job_id", F.col("geo").alias("base"), F.col("valid").alias("rgb_valid")).join(agreed.select("job_id", "agree"), "job_id", "left")
+    docs = results.fused(verdict.fuse(base, offsets, "tolerance"), rows)
+    lists = [F.array_join(c, ",").alias(c) for c in ("corroborating", "dissenting")]
+    flat = docs.select("job_id", "overall", "base_rgb", "applied_bonus", "applied_penalty", "consensus", *lists, "weights", F.explode("components").alias("name", "component"))
+    return flat.withColumn("weight", F.try_element_at("weights", F.col("name"))).drop("weights")
+
+
 # ---------------------------------------------------------------- georeferencing
 
 
@@ -916,6 +973,49 @@ def result_document(spark, sf_dir):
     return out.select("job_id", "status", "px", "py")
 
 
+@query(f"""
+WITH b AS ({BEST}), n AS (SELECT job_id, count(*) AS candidate_count, max(similarity) AS best_similarity, min_by(candidate_id, (-final, -geo, candidate_id)) AS first_candidate FROM ({FINAL}) GROUP BY 1),
+k AS (SELECT job_id, count(*) AS clusters FROM ({RANKED}) GROUP BY 1)
+SELECT d.job_id, d.status, d.message, d.reason, round(coalesce(d.score, 0), 4) AS confidence, d.accepted, b.representative_id AS candidate_id, b.tile_id, b.support::INT AS supporting, m.member_tile_ids, b.raw_matches::INT AS raw_matches, b.inliers::INT AS inliers,
+  round(b.error, 3) AS error, CASE WHEN b.valid THEN 'verified' WHEN b.partial THEN 'partial' ELSE 'rejected' END AS verdict, n.candidate_count::INT AS candidate_count, round(n.best_similarity, 4) AS best_similarity, n.first_candidate::INT AS first_candidate, k.clusters::INT AS clusters
+FROM ({SQL['decide']}) d JOIN b USING (job_id) JOIN n USING (job_id) JOIN k USING (job_id) JOIN ({SQL['supporting_members']}) m USING (job_id)""")
+def result_body(spark, sf_dir):
+    """The JSON document of every job, read back."""
+    cells = _cells(spark, sf_dir)
+    ranked = clustering.rank(clustering.aggregate(cells))
+    best = clustering.best(ranked)
+    rows = results.with_clusters(results.candidates(cells), cells, ranked)
+    out = results.document(verdict.decide(ranked), best, clustering.weighted_center(cells), rows, ranked, results.supporting_members(cells, best))
+    body = F.from_json(
+        "body",
+        """status_message string, reason string, confidence double, accepted boolean, best_candidate struct<candidate_id: int, tile_id: bigint, supporting_tiles: int, member_tile_ids: array<bigint>>,
+        feature_metrics struct<raw_matches: int, ransac_inliers: int, reprojection_error: double, verdict: string>, retrieval struct<candidate_count: int, best_similarity: double>,
+        candidates array<struct<candidate_id: int>>, location_clusters array<struct<cluster_id: int>>""",
+    )
+    rows = out.select("job_id", "status", body.alias("b"))
+    members = F.when(F.size("b.best_candidate.member_tile_ids") > 0, F.array_join("b.best_candidate.member_tile_ids", ","))
+    return rows.select(
+        "job_id", "status", F.col("b.status_message").alias("message"), "b.reason", "b.confidence", "b.accepted", "b.best_candidate.candidate_id", "b.best_candidate.tile_id", F.col("b.best_candidate.supporting_tiles").alias("supporting"), members.alias("member_tile_ids"),
+        "b.feature_metrics.raw_matches", F.col("b.feature_metrics.ransac_inliers").alias("inliers"), F.col("b.feature_metrics.reprojection_error").alias("error"), "b.feature_metrics.verdict", "b.retrieval.candidate_count", "b.retrieval.best_similarity",
+        F.get("b.candidates", F.lit(0))["candidate_id"].alias("first_candidate"), F.size("b.location_clusters").alias("clusters"),
+    )
+
+
+@query(f"""
+WITH p AS ({SQL_POINTS}), e AS (SELECT plan_id, latitude, longitude FROM p WHERE latitude IS NOT NULL UNION ALL SELECT event_id, 12.9::DOUBLE, 77.5::DOUBLE FROM events),
+b AS (SELECT plan_id, max(latitude) AS north, min(latitude) AS south, min(longitude) AS west, max(longitude) AS east FROM e GROUP BY 1)
+SELECT b.*, round(north + greatest((north - south) * 0.25, 1e-4), 7) AS padded_north, n AS waypoint_count, names, coordinates, 77.5::DOUBLE AS home_longitude FROM b JOIN (
+  SELECT plan_id, count(*)::INT AS n, string_agg(command_name, ',' ORDER BY seq) AS names, count(latitude)::INT AS coordinates FROM p GROUP BY 1) USING (plan_id)""")
+def mission_documents(spark, sf_dir):
+    """The JSON document of every plan, read back."""
+    schema = "waypoints array<struct<command_name: string>>, waypoint_count int, coordinates array<array<double>>, planned_home_position array<double>, bounds struct<north: double, south: double, west: double, east: double>, suggested_georeference struct<north: double>"
+    rows = mission.documents(_plans(spark, sf_dir)).select("plan_id", F.from_json("body", schema).alias("b"))
+    return rows.select(
+        "plan_id", "b.bounds.*", F.col("b.suggested_georeference.north").alias("padded_north"), "b.waypoint_count", F.array_join("b.waypoints.command_name", ",").alias("names"),
+        F.size("b.coordinates").alias("coordinates"), F.get("b.planned_home_position", F.lit(1)).alias("home_longitude"),
+    )
+
+
 @query()
 def classical_descriptor(spark, sf_dir):
     """Descriptors of small rasters drawn from the embeddings' numbers; rows-only."""

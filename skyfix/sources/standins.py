@@ -63,6 +63,19 @@ FROM orders CROSS JOIN (SELECT 'rgb' AS representation, 0 AS d, 0.4e0 AS w UNION
 WHERE NOT (o_orderkey % 11 = 0 AND r.d = 0)
 """
 
+#: The winning place of a job and the estimates of its other representations; jobs without an rgb row have none.
+BEST_PLACES = f"""
+SELECT job_id, (job_id % 97) / 97e0 AS similarity, CAST(job_id % 300 AS INT) AS raw_matches, CAST(job_id % 200 AS INT) AS inliers, (job_id % 200) / 300e0 AS ratio,
+       CASE WHEN job_id % 5 <> 0 THEN (job_id % 40) / 7e0 END AS error, verified AS valid, geo, x, y, 20e0 + job_id % 60 AS radius
+FROM ({PLACES}) p WHERE representation = 'rgb'
+"""
+
+ESTIMATES = f"""
+SELECT job_id, representation, CAST(job_id % 150 AS INT) AS raw_matches, CAST(job_id % 100 AS INT) AS inliers, (job_id % 100) / 150e0 AS ratio,
+       (job_id % 30) / 11e0 AS error, verified AS valid, geo, x, y
+FROM ({PLACES}) p WHERE representation <> 'rgb' AND NOT (job_id % 9 = 0 AND representation = 'map')
+"""
+
 JOBS = "SELECT o_orderkey AS job_id, o_orderdate AS started, o_orderstatus AS state FROM orders"
 
 HISTORY = "SELECT o_custkey AS run, o_orderkey AS epoch, o_totalprice AS total FROM orders"

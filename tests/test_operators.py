@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyfix.functions import geo
 from skyfix.functions import scores as S
 from skyfix.operators import clustering, matching, retrieval, tiling, verdict
-from skyfix.plans import mission
+from skyfix.plans import mission, results
 from skyfix.sources import registry
 
 
@@ -217,3 +217,65 @@ def test_records(spark):
     assert (r.status, r.index_seconds, r.georeferenced, r.preview_url) == ("error", 1.23, False, "/files/uploads/x.png")
     frame = spark.sql("select 'd1' drone_id, 'a/y.png' path, 'y.png' filename, 30 width, stack(2, 20, 0) height, 9L file_size")
     assert [r.aspect_ratio for r in registry.frame_record(frame).collect()] == [1.5, 0.0]
+
+
+BEST = "job_id int, similarity double, raw_matches int, inliers int, ratio double, error double, valid boolean, geo double, x double, y double, radius double"
+ESTIMATE = "job_id int, representation string, raw_matches int, inliers int, ratio double, error double, valid boolean, geo double, x double, y double"
+
+
+def test_cross_representation(spark):
+    inf = float("inf")
+    best = spark.createDataFrame([(1, 0.9, 80, 60, 0.75, 1.5, True, 0.8, 1000.0, 500.0, 40.0), (2, 0.5, 0, 0, 0.0, inf, None, None, None, None, 40.0)], BEST)
+    found = [(1, "structural", 50, 30, 0.6, 2.0, True, 0.5, 1008.0, 494.0), (1, "map", 20, 4, 0.2, inf, False, 0.1, 1600.0, 900.0), (3, "map", 9, 9, 1.0, 1.0, True, 0.5, 1.0, 1.0)]
+    rows = results.cross_representation(best, spark.createDataFrame(found, ESTIMATE))
+    got = {(r.job_id, r.representation): r for r in rows.collect()}
+    assert set(got) == {(1, "rgb"), (1, "structural"), (1, "map"), (2, "rgb")}  # job 3 has no winning place
+    assert got[1, "map"].x is None and got[1, "map"].error is None and not got[2, "rgb"].valid
+    assert [round(got[1, n].weight, 6) for n in ("rgb", "structural", "map")] == [0.4, 0.25, 0.15]
+    assert round(got[2, "rgb"].weight, 6) == round(0.4 / 0.6, 6)
+    agreed = verdict.consensus(results.positions(rows), "tolerance")
+    one = results.consensus(agreed).first()
+    assert (one.job_id, one.agree, one.tolerance_px, one.offsets_px, one.participating) == (1, True, 40.0, {"structural": 10.0}, ["rgb", "structural"])
+    assert one.positions == {"rgb": [1000.0, 500.0], "structural": [1008.0, 494.0]}
+    assert not verdict.consensus(results.positions(results.cross_representation(best, spark.createDataFrame(found, ESTIMATE), tolerance=5.0)), "tolerance").first().agree
+    none = results.cross_representation(best, spark.createDataFrame(found, ESTIMATE), weights={"rgb": -1.0})
+    assert {round(r.weight, 6) for r in none.filter("job_id = 1").collect()} == {0.25}
+    assert results.cross_representation(best.limit(0), spark.createDataFrame(found, ESTIMATE)).count() == 0
+
+
+def test_fused_document(spark):
+    best = spark.createDataFrame([(1, 0.9, 80, 60, 0.75, 1.5, True, 0.8, 1000.0, 500.0, 40.0)], BEST)
+    found = [(1, "structural", 50, 30, 0.6, 2.0, True, 0.5, 1010.0, 500.0), (1, "map", 20, 14, 0.7, 1.0, True, 0.4, 1000.0, 560.0)]
+    rows = results.cross_representation(best, spark.createDataFrame(found, ESTIMATE))
+    agreed = verdict.consensus(results.positions(rows), "tolerance")
+    offsets = rows.withColumn("verified", F.col("valid")).join(agreed.select("job_id", "offsets"), "job_id").withColumn("offset", F.try_element_at("offsets", F.col("representation")))
+    base = best.select("job_id", F.lit(0.6).alias("base"), F.col("valid").alias("rgb_valid")).join(agreed.select("job_id", "agree"), "job_id")
+    one = results.fused(verdict.fuse(base, offsets, "tolerance"), rows).first()
+    bonus, penalty = 0.75 * 0.25 * 0.5 * 0.20, 0.5 * 0.15 * 0.35
+    assert (one.applied_bonus, one.applied_penalty) == (round(bonus + 1e-12, 4), round(penalty + 1e-12, 4))
+    assert one.overall == round(0.6 * (1 + bonus - penalty), 4) and one.base_rgb == 0.6
+    assert (one.consensus, one.corroborating, one.dissenting) == (False, ["structural"], ["map"])
+    assert one.components == {"map": 0.4, "rgb": 0.8, "structural": 0.5} and one.weights == {"map": 0.15, "rgb": 0.4, "structural": 0.25}
+
+
+def test_feature_records(spark):
+    rows = results.features(spark.createDataFrame([("a", "classical", 3000, 2048, 640, 480), ("b", None, None, None, None, None)], "image_id string, backend string, detected int, selected int, width int, height int"))
+    assert [tuple(r) for r in rows.sort("image_id").collect()] == [("a", "classical", 3000, 2048, 640, 480), ("b", "unknown", 0, 0, 0, 0)]
+
+
+def test_mission_documents(spark):
+    import json
+
+    plan = {"fileType": "Plan", "version": 1, "groundStation": "g", "mission": {"vehicleType": 2, "cruiseSpeed": 15, "hoverSpeed": "x", "items": [
+        {"type": "SimpleItem", "command": 16, "params": [0, 0, 0, None, 12.5, 77.5, 30]}, {"type": "SimpleItem", "command": 22, "params": [0, 0, 0, None, 0, 0, 30]}]}}
+    bare = {"mission": {"items": []}}
+    plans = spark.createDataFrame([("a", json.dumps(plan)), ("b", json.dumps(bare)), ("c", "no json"), ("d", None)], "plan_id string, body string")
+    got = {r.plan_id: json.loads(r.body) for r in mission.documents(mission.parse(plans)).collect()}
+    assert set(got) == {"a", "b"}
+    a = got["a"]
+    assert (a["file_type"], a["version"], a["ground_station"], a["vehicle_type"], a["cruise_speed"]) == ("Plan", 1, "g", 2, 15.0)
+    assert "hover_speed" not in a and "planned_home_position" not in a
+    assert a["waypoint_count"] == len(a["waypoints"]) == 2 and a["coordinates"] == [[12.5, 77.5]]
+    assert a["bounds"] == {"north": 12.5, "south": 12.5, "west": 77.5, "east": 77.5}
+    assert a["suggested_georeference"] == {"north": 12.5001, "south": 12.4999, "west": 77.4999, "east": 77.5001}
+    assert got["b"]["waypoints"] == [] and "bounds" not in got["b"] and len(got["b"]["warnings"]) == 2
