@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from skyfix.operators import verdict
 
 
+def settled(value: Column | str, digits: int = 4) -> Column:
+    """To 9 decimals first: a value halfway between two steps goes up, whatever its last bits are."""
+    return F.round(F.round(value, 9), digits)
+
+
 def _round(name: str, digits: int = 4, of: str | None = None) -> Column:
-    return F.round(of or name, digits).alias(name)
+    return settled(of or name, digits).alias(name)
 
 
 def verdict_of(valid: Column, partial: Column) -> Column:
@@ -89,7 +94,7 @@ def consensus(agreed: DataFrame, reference: str = "rgb") -> DataFrame:
 
 def fused(fusion: DataFrame, rows: DataFrame) -> DataFrame:
     """The document rows of verdict.fuse, with each representation's score and weight: all to 4 decimals."""
-    of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("representation", F.round(c, 4).alias("v")))))
+    of = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("representation", settled(c).alias("v")))))
     parts = rows.groupBy("job_id").agg(of("geo").alias("components"), of("weight").alias("weights"))
     return fusion.join(parts, "job_id", "left").select(
         "job_id", _round("overall"), _round("base_rgb", of="base"), "components", "weights",
@@ -152,19 +157,19 @@ def document(decided: DataFrame, best: DataFrame, centers: DataFrame, rows: Data
     w = F.col("_best")
     accepted = F.col("status").isin("MATCH_FOUND", "LOW_CONFIDENCE")
     pixel = F.when(accepted & F.col("center_x").isNotNull(), F.struct(F.rint("center_x").cast("int").alias("x"), F.rint("center_y").cast("int").alias("y")))
-    chosen = [w["representative_id"].alias("candidate_id"), w["tile_id"].alias("tile_id"), F.round(w["similarity"], 4).alias("similarity"), w["support"].alias("supporting_tiles")]
+    chosen = [w["representative_id"].alias("candidate_id"), w["tile_id"].alias("tile_id"), settled(w["similarity"]).alias("similarity"), w["support"].alias("supporting_tiles")]
     if members is not None:
         chosen.append(F.col("member_tile_ids"))
-    zero = lambda c, name, digits: F.round(F.coalesce(c, F.lit(0)), digits).alias(name)
+    zero = lambda c, name, digits: settled(F.coalesce(c, F.lit(0)), digits).alias(name)
     metrics = F.struct(
         zero(w["raw_matches"], "raw_matches", 0), zero(w["inliers"], "ransac_inliers", 0), zero(w["ratio"], "inlier_ratio", 4), zero(w["coverage"], "spatial_coverage", 4),
-        F.round(w["error"], 3).alias("reprojection_error"), F.coalesce(w["valid"], F.lit(False)).alias("homography_valid"), verdict_of(w["valid"], w["partial"]).alias("verdict"),
+        settled(w["error"], 3).alias("reprojection_error"), F.coalesce(w["valid"], F.lit(False)).alias("homography_valid"), verdict_of(w["valid"], w["partial"]).alias("verdict"),
         F.coalesce(w["partial"], F.lit(False)).alias("partial"), w["rejection"].alias("rejection"), zero(w["support"], "supporting_tiles", 0),
     )
     body = F.struct(
-        "status", verdict.message(F.col("status")).alias("status_message"), F.col("reason"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("confidence"), accepted.alias("accepted"),
+        "status", verdict.message(F.col("status")).alias("status_message"), F.col("reason"), settled(F.coalesce("score", F.lit(0.0))).alias("confidence"), accepted.alias("accepted"),
         F.when(w.isNotNull(), F.struct(*chosen)).alias("best_candidate"), metrics.alias("feature_metrics"), pixel.alias("map_pixel"), "candidates",
-        F.struct(F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.round(F.coalesce("best_similarity", F.lit(0.0)), 4).alias("best_similarity")).alias("retrieval"),
+        F.struct(F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), settled(F.coalesce("best_similarity", F.lit(0.0))).alias("best_similarity")).alias("retrieval"),
         *(["location_clusters"] if ranked is not None else []), *further, F.lit(COVERAGE_NOTE).alias("coverage_note"),
     )
     return out.select("job_id", "status", pixel["x"].alias("px"), pixel["y"].alias("py"), F.to_json(body).alias("body"))

@@ -43,6 +43,11 @@ def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 # ---------------------------------------------------------------- SQL pieces of the oracles
 
 
+def settled(x: str, digits: int = 4) -> str:
+    """Rounded by way of 9 decimals, as results.settled does."""
+    return f"round(({x})::DECIMAL(18, 9), {digits})::DOUBLE"
+
+
 def clamp(x: str) -> str:
     return f"(CASE WHEN ({x}) IS NULL THEN NULL WHEN isnan({x}) THEN 0.0 ELSE least(1.0, greatest(0.0, {x})) END)"
 
@@ -542,7 +547,7 @@ def cross_representation(spark, sf_dir):
     return _rounded(_assembled(spark, sf_dir))
 
 
-@query(f"SELECT job_id, representation, round(similarity, 4) AS similarity, inliers, round(error, 3) AS error, round(weight, 4) AS weight, round(x, 1) AS cx, round(y, 1) AS cy FROM ({ASSEMBLED})")
+@query(f"SELECT job_id, representation, {settled('similarity')} AS similarity, inliers, {settled('error', 3)} AS error, {settled('weight')} AS weight, round(x, 1) AS cx, round(y, 1) AS cy FROM ({ASSEMBLED})")
 def project_representations(spark, sf_dir):
     rows = results.representations(_assembled(spark, sf_dir))
     return rows.select("job_id", "representation", "similarity", "inliers", "error", "weight", F.get("map_center", F.lit(0)).alias("cx"), F.get("map_center", F.lit(1)).alias("cy"))
@@ -565,7 +570,7 @@ a AS (SELECT job_id, sum({clamp('1 - off / tolerance')} * weight * geo) FILTER (
   FROM o WHERE representation <> 'rgb' AND valid GROUP BY 1),
 f AS (SELECT b.job_id, b.geo AS base, CASE WHEN b.valid THEN {clamp('coalesce(gain, 0.0)')} * 0.20::DOUBLE ELSE 0.0 END AS bonus, {clamp('coalesce(loss, 0.0)')} * 0.35::DOUBLE AS penalty, agree, coalesce(corroborating, '') AS corroborating, coalesce(dissenting, '') AS dissenting
   FROM ({X.BEST_PLACES}) b LEFT JOIN t USING (job_id) LEFT JOIN a USING (job_id))
-SELECT f.job_id, round({clamp(clamp('base') + ' * (1 + bonus - penalty)')}, 4) AS overall, round(base, 4) AS base_rgb, round(bonus, 4) AS applied_bonus, round(penalty, 4) AS applied_penalty, agree AS consensus, corroborating, dissenting, representation AS name, round(geo, 4) AS component, round(weight, 4) AS weight
+SELECT f.job_id, {settled(clamp(clamp('base') + ' * (1 + bonus - penalty)'))} AS overall, {settled('base')} AS base_rgb, {settled('bonus')} AS applied_bonus, {settled('penalty')} AS applied_penalty, agree AS consensus, corroborating, dissenting, representation AS name, {settled('geo')} AS component, {settled('weight')} AS weight
 FROM f JOIN ({ASSEMBLED}) USING (job_id)""")
 def project_fused(spark, sf_dir):
     rows = _assembled(spark, sf_dir)
@@ -976,8 +981,8 @@ def result_document(spark, sf_dir):
 @query(f"""
 WITH b AS ({BEST}), n AS (SELECT job_id, count(*) AS candidate_count, max(similarity) AS best_similarity, min_by(candidate_id, (-final, -geo, candidate_id)) AS first_candidate FROM ({FINAL}) GROUP BY 1),
 k AS (SELECT job_id, count(*) AS clusters FROM ({RANKED}) GROUP BY 1)
-SELECT d.job_id, d.status, d.message, d.reason, round(coalesce(d.score, 0), 4) AS confidence, d.accepted, b.representative_id AS candidate_id, b.tile_id, b.support::INT AS supporting, m.member_tile_ids, b.raw_matches::INT AS raw_matches, b.inliers::INT AS inliers,
-  round(b.error, 3) AS error, CASE WHEN b.valid THEN 'verified' WHEN b.partial THEN 'partial' ELSE 'rejected' END AS verdict, n.candidate_count::INT AS candidate_count, round(n.best_similarity, 4) AS best_similarity, n.first_candidate::INT AS first_candidate, k.clusters::INT AS clusters
+SELECT d.job_id, d.status, d.message, d.reason, {settled('coalesce(d.score, 0)')} AS confidence, d.accepted, b.representative_id AS candidate_id, b.tile_id, b.support::INT AS supporting, m.member_tile_ids, b.raw_matches::INT AS raw_matches, b.inliers::INT AS inliers,
+  {settled('b.error', 3)} AS error, CASE WHEN b.valid THEN 'verified' WHEN b.partial THEN 'partial' ELSE 'rejected' END AS verdict, n.candidate_count::INT AS candidate_count, {settled('n.best_similarity')} AS best_similarity, n.first_candidate::INT AS first_candidate, k.clusters::INT AS clusters
 FROM ({SQL['decide']}) d JOIN b USING (job_id) JOIN n USING (job_id) JOIN k USING (job_id) JOIN ({SQL['supporting_members']}) m USING (job_id)""")
 def result_body(spark, sf_dir):
     """The JSON document of every job, read back."""
