@@ -9,22 +9,61 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 RATIO = 0.78
 MIN_MATCHES = 8
-
-
-def knn_ratio_match(queries: DataFrame, targets: DataFrame, ratio: float = RATIO) -> DataFrame:
+#: Descriptors of a block of one side, and numbers that a cell compares at once.
+BLOCK, _CELL = 2048, 1 << 23
+
+
+def _two_nearest(key: tuple, queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+    """Of each query of a cell the two nearest targets of the cell, ties by id."""
+    if queries.empty or targets.empty:
+        return pd.DataFrame({"group": [], "query_id": [], "target_id": [], "d": []})
+    targets = targets.sort_values("_id")
+    q, t = (np.stack(side["_vector"]).astype(float) for side in (queries, targets))
+    rows = max(1, _CELL // max(t.size, 1))
+    of, at, d = [], [], []
+    for i in range(0, len(q), rows):
+        far = np.sqrt(((q[i : i + rows, None] - t[None]) ** 2).sum(axis=2))
+        far[np.isnan(far)] = np.inf
+        for _ in range(min(2, len(t))):
+            near = far.argmin(axis=1)
+            own = far[np.arange(len(far)), near]
+            some = np.flatnonzero(np.isfinite(own))
+            of.append(some + i)
+            at.append(near[some])
+            d.append(own[some])
+            far[np.arange(len(far)), near] = np.inf
+    of, at = np.concatenate(of), np.concatenate(at)
+    return pd.DataFrame({"group": key[0], "query_id": queries["_id"].to_numpy()[of], "target_id": targets["_id"].to_numpy()[at], "d": np.concatenate(d)})
+
+
+def knn_ratio_match(queries: DataFrame, targets: DataFrame, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
     """group, query_id, target_id, confidence: nearest targets that pass the ratio test (strictly).
 
-    Both sides: group, id, descriptor. Exact: an equi-join on the group (one candidate's two images)
-    and the two nearest by L2, ties by id; a set with fewer than two descriptors matches nothing.
+    Both sides: group (one candidate's two images), id, descriptor. Exact, by L2, ties by id; a set with fewer than
+    two descriptors matches nothing. Each side of a group is dealt to blocks of about `block` rows, and every pair of
+    blocks is one task's cell, which two rows of each query leave: no group is held whole, and the rows that are
+    shuffled do not grow with a group's pairs. A null group or descriptor is no row, a distance that is not finite
+    none, and only descriptors of one length are compared.
     """
-    q = queries.select("group", F.col("id").alias("query_id"), F.col("descriptor").alias("q"))
-    q = q.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("group"))).filter("_n >= 2").drop("_n")
-    t = targets.select("group", F.col("id").alias("target_id"), F.col("descriptor").alias("t"))
-    d2 = F.aggregate(F.zip_with("q", "t", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(t, "group").select("group", "query_id", "target_id", F.sqrt(d2).alias("d"))
+    key = ["group", "_width"]
+    q, t = (side.filter("group is not null and descriptor is not null").select("group", "id", "descriptor", F.size("descriptor").alias("_width")) for side in (queries, targets))
+    count = lambda side, name: side.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(q, "_q").join(count(t, "_t"), key).filter("_q >= 2 and _t >= 2")
+    sizes = sizes.select(*key, *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("_q", "_t")])
+
+    def cells(side: DataFrame, own: str, other: str) -> DataFrame:
+        rows = side.join(sizes, key).withColumn(f"{own}_at", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))
+        rows = rows.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        # new names, as both sides may come from one table
+        names = {"group": "_group", "_width": "_size", "_q_at": "_row", "_t_at": "_column", "id": "_id", "descriptor": "_vector"}
+        return rows.select(*[F.col(old).alias(new) for old, new in names.items()]).groupBy("_group", "_size", "_row", "_column")
+
+    fields = [("group", q.schema["group"].dataType), ("query_id", q.schema["id"].dataType), ("target_id", t.schema["id"].dataType), ("d", DoubleType())]
+    pairs = cells(q, "_q", "_t").cogroup(cells(t, "_t", "_q")).applyInPandas(_two_nearest, StructType([StructField(*f) for f in fields]))
     two = F.row_number().over(Window.partitionBy("group", "query_id").orderBy("d", "target_id"))
     near = pairs.withColumn("_n", two).filter("_n <= 2").groupBy("group", "query_id")
     near = near.agg(F.min_by("target_id", "_n").alias("target_id"), F.min_by("d", "_n").alias("d1"), F.max_by("d", "_n").alias("d2"), F.count(F.lit(1)).alias("_c"))
@@ -46,32 +85,46 @@ def dispatch(counts: DataFrame) -> DataFrame:
 
 
 def _unit(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points moved and scaled for conditioning, and the transform that did it."""
-    mean = p.mean(axis=0)
-    spread = np.sqrt(((p - mean) ** 2).sum(axis=1)).mean()
-    s = np.sqrt(2) / max(spread, 1e-12)
-    return (p - mean) * s, np.array([[s, 0, -s * mean[0]], [0, s, -s * mean[1]], [0, 0, 1.0]])
+    """Sets of points (sets, points, 2) moved and scaled for conditioning, and the transforms that did it."""
+    mean = p.mean(axis=1, keepdims=True)
+    spread = np.sqrt(((p - mean) ** 2).sum(axis=2)).mean(axis=1)
+    s = np.sqrt(2) / np.maximum(spread, 1e-12)
+    move = np.zeros((len(p), 3, 3))
+    move[:, 0, 0] = move[:, 1, 1] = s
+    move[:, :2, 2] = -s[:, None] * mean[:, 0]
+    move[:, 2, 2] = 1
+    return (p - mean) * s[:, None, None], move
+
+
+def solve_homographies(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Least-squares direct linear transforms of many sets (sets, points, 2) at once; NaN where the points do not fix one."""
+    (a, ta), (b, tb) = _unit(q), _unit(t)
+    x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
+    one, nil = np.ones_like(x), np.zeros_like(x)
+    rows = np.concatenate([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 2), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 2)], axis=1)
+    out = np.full((len(q), 3, 3), np.nan)
+    good = np.flatnonzero(np.isfinite(rows).all(axis=(1, 2)))
+    # four points give eight rows, whose null space only the full factors hold
+    _, s, vt = np.linalg.svd(rows[good], full_matrices=rows.shape[1] < 9)
+    fixed = s[:, 7] >= 1e-10
+    good = good[fixed]
+    h = np.linalg.inv(tb[good]) @ vt[fixed][:, -1].reshape(-1, 3, 3) @ ta[good]
+    usable = np.abs(h[:, 2, 2]) > 1e-12
+    out[good[usable]] = h[usable] / h[usable, 2, 2][:, None, None]
+    return out
 
 
 def solve_homography(q: np.ndarray, t: np.ndarray) -> np.ndarray | None:
-    """Least-squares direct linear transform; None where the points do not fix one."""
-    (a, ta), (b, tb) = _unit(q), _unit(t)
-    x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
-    one, nil = np.ones_like(x), np.zeros_like(x)
-    rows = np.concatenate([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 1), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 1)])
-    if not np.isfinite(rows).all():
-        return None
-    _, s, vt = np.linalg.svd(rows)
-    if s[7] < 1e-10:
-        return None
-    h = np.linalg.inv(tb) @ vt[-1].reshape(3, 3) @ ta
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    """The transform of one set of points, or None."""
+    h = solve_homographies(q[None], t[None])[0]
+    return None if np.isnan(h).any() else h
 
 
 def transfer_errors(h: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    p = np.column_stack([q, np.ones(len(q))]) @ h.T
+    """How far h, or each of several, takes every point from its target."""
+    p = np.column_stack([q, np.ones(len(q))]) @ np.swapaxes(h, -1, -2)
     with np.errstate(divide="ignore", invalid="ignore"):
-        e = np.sqrt(((p[:, :2] / p[:, 2:] - t) ** 2).sum(axis=1))
+        e = np.sqrt(((p[..., :2] / p[..., 2:] - t) ** 2).sum(axis=-1))
     return np.where(np.isfinite(e), e, np.inf)
 
 
@@ -81,17 +134,15 @@ def ransac(q: np.ndarray, t: np.ndarray, threshold: float, seed: int, rounds: in
     Where there are no more than `rounds` fours, each is tried once.
     """
     draw = np.random.default_rng(seed)
-    best, best_cost = None, np.inf
     every = comb(len(q), 4) <= rounds
-    for four in map(list, combinations(range(len(q)), 4)) if every else (draw.choice(len(q), 4, replace=False) for _ in range(rounds)):
-        h = solve_homography(q[four], t[four])
-        if h is None:
-            continue
-        cost = np.minimum(transfer_errors(h, q, t), threshold).sum()
-        if cost < best_cost:
-            best, best_cost = h, cost
-    if best is None:
+    fours = np.array(list(combinations(range(len(q)), 4)) if every else [draw.choice(len(q), 4, replace=False) for _ in range(rounds)])
+    found = solve_homographies(q[fours], t[fours])
+    found = found[~np.isnan(found).any(axis=(1, 2))]
+    if not len(found):
         return None, np.zeros(len(q), bool)
+    step = max(1, _CELL // (4 * len(q)))
+    cost = np.concatenate([np.minimum(transfer_errors(found[i : i + step], q, t), threshold).sum(axis=1) for i in range(0, len(found), step)])
+    best = found[cost.argmin()]
     for _ in range(5):
         inside = transfer_errors(best, q, t) <= threshold
         if inside.sum() < 4 or (h := solve_homography(q[inside], t[inside])) is None or (transfer_errors(h, q, t) <= threshold).sum() < inside.sum():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,8 +81,9 @@ def counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def new_id(prefix: str) -> Column:
-    return F.concat(F.lit(f"{prefix}_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
+def new_id(prefix: str, *of: Column) -> Column:
+    """An id from what the row is known by: a task that runs again gives the same one. Null counts as a value of its own."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.to_json(F.struct(*of)), 256), 1, 12))
 
 
 def save_bank(bank: DataFrame, path: str) -> None:
@@ -89,11 +92,13 @@ def save_bank(bank: DataFrame, path: str) -> None:
 
 
 def load_bank(spark: SparkSession, path: str, map_id, rebuild) -> DataFrame:
-    """A map's cached bank; rebuild() where there is none or it cannot be read."""
+    """A map's cached bank; rebuild() where there is none or its files cannot be read. Any other failure is raised."""
     try:
         bank = spark.read.parquet(path).filter(F.col("map_id") == map_id)
-        return bank if bank.limit(1).count() else rebuild()
-    except Exception:  # any unreadable cache is a missing one
+        return rebuild() if bank.isEmpty() else bank
+    except (PySparkException, Py4JJavaError) as error:
+        if not isinstance(error, AnalysisException) and "FAILED_READ_FILE" not in str(error):
+            raise
         return rebuild()
 
 

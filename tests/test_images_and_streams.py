@@ -83,6 +83,9 @@ def test_bank_cache(spark, tmp_path):
     assert registry.load_bank(spark, str(tmp_path / "bank"), 2, lambda: None).first().embedding == [2.0]
     assert registry.load_bank(spark, str(tmp_path / "none"), 2, lambda: "rebuilt") == "rebuilt"
     assert registry.load_bank(spark, str(tmp_path / "bank"), 9, lambda: "rebuilt") == "rebuilt"
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"no table")
+    assert registry.load_bank(spark, str(tmp_path / "broken"), 1, lambda: "rebuilt") == "rebuilt"
 
 
 def test_calibration(spark):
