@@ -176,9 +176,10 @@ def _density(count: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.sqrt(count / (words + 25.0))
 
 
-def _rows(blob):
-    schema = pa.schema([("toxic", pa.int32()), ("pair", pa.bool_()), ("feature", pa.list_(pa.int32())), ("density", pa.list_(pa.float32()))])
+FITTED = pa.schema([("toxic", pa.int32()), ("pair", pa.bool_()), ("feature", pa.list_(pa.int32())), ("density", pa.list_(pa.float32()))])
+
 
+def _rows(blob):
     def row(selected: Selected, text: str):
         _, at, count, n = selected.count([text])
         return at.tolist(), _density(count, n[0]).tolist()
@@ -192,46 +193,53 @@ def _rows(blob):
                 out.append((toxic, False, *row(selected, text)))
                 out.append((toxic, True, *row(selected, counterfactual(text))))  # the row after a text is its counterfactual
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), FITTED.types, strict=True)], schema=FITTED)
 
     return run
 
 
 class Sparse:
-    def __init__(self, rows: list[dict], width: int):
-        self.n, self.width = len(rows), 2 * width
-        size = [len(r["feature"]) for r in rows]
-        at = np.concatenate([np.zeros(0, np.int64), *(np.asarray(r["feature"], np.int64) for r in rows)])
-        value = np.concatenate([np.zeros(0), *(np.asarray(r["density"], float) for r in rows)])
-        row = np.repeat(np.arange(self.n), size)
-        self.row, self.col = np.concatenate([row, row]), np.concatenate([at, at + width])
-        self.value = np.concatenate([np.ones(len(at)), 5 * value])
+    """Counted features of texts: one column for a feature's presence, one for its density."""
+
+    def __init__(self, table: pa.Table, width: int):
+        self.n, self.width = table.num_rows, width
+        feature, density = (table.column(c).combine_chunks() for c in ("feature", "density"))
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(feature.offsets.to_numpy()))
+        # flatten() heeds the offsets of a filtered table
+        self.at = feature.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.density = density.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.col], self.n)
+        return np.bincount(self.row, w[self.at] + 5 * self.density * w[self.at + self.width], self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.value * g[self.row], self.width)
+        own = g[self.row]
+        return np.concatenate([np.bincount(self.at, own, self.width), np.bincount(self.at, 5 * self.density * own, self.width)])
 
 
-def fit(rows: list[dict], width: int, l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(rows: pa.Table | list[dict], width: int, l2: float = 1e-4, fairness: float = 1.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias. rows: a text's row may be followed by its counterfactual (pair true)."""
-    own = [r for r in rows if not r["pair"]]
-    y = np.array([r["toxic"] for r in own], float)
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pylist(rows, FITTED)
+    pair = table.column("pair").to_numpy().astype(bool)
+    own = np.flatnonzero(~pair)
+    y = table.column("toxic").to_numpy().astype(float)[own]
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
         return np.zeros(2 * width), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    x = Sparse(own, width)
-    pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if b["pair"]]
-    before, after = Sparse([a for a, _ in pairs], width), Sparse([b for _, b in pairs], width)
+    x = Sparse(table.take(own), width)
+    second = np.flatnonzero(pair)
+    second = second[second > 0]
+    # nearly always every text has its counterfactual, and the texts before them are x
+    before = x if np.array_equal(second - 1, own) else Sparse(table.take(second - 1), width)
+    after = Sparse(table.take(second), width)
     w, bias = np.zeros(2 * width + 1), float(np.log(share / (1 - share)))
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
         off = (1 / (1 + np.exp(-np.clip(x.times(w[:-1]) + w[-1], -40, 40))) - y) / len(y)
         g = np.append(x.back(off) + l2 * w[:-1], off.sum())
-        if pairs:
-            change = (before.times(w[:-1]) - after.times(w[:-1])) * (2 * fairness / len(pairs))
+        if len(second):
+            change = (before.times(w[:-1]) - after.times(w[:-1])) * (2 * fairness / len(second))
             g[:-1] += before.back(change) - after.back(change)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -261,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, selected: int
     codes = sorted((r["feature"] for r in best.select("feature").collect()), key=lambda c: c % (1 << 64))
     blob = docs.sparkSession.sparkContext.broadcast(codes)
     table = rows.mapInArrow(_rows(blob), "toxic int, pair boolean, feature array<int>, density array<float>").toArrow()
-    weights, bias = fit(table.to_pylist(), len(codes), fairness=fairness)
+    weights, bias = fit(table, len(codes), fairness=fairness)
     return {"codes": codes, "weights": weights, "bias": bias, "pairs": int(np.sum(table.column("pair").to_numpy()))}
 
 
