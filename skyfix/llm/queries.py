@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm import chat, decontam, langid, licenses, media, mixing, secrets, simhash, substrings, toxicity
+from skyfix.llm import chat, decontam, divergence, filteraudit, langid, licenses, media, mixing, secrets, simhash, substrings, toxicity
 from skyfix.llm.common import fold, table
 
 
@@ -63,6 +63,14 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op1_substring_dedup"] = r"""
@@ -167,5 +175,62 @@ WITH d AS (
 SELECT doc_id, item_id, round(max(o / (a + b - o)::DOUBLE), 6) AS similarity FROM counted WHERE o / (a + b - o)::DOUBLE >= 0.8::DOUBLE GROUP BY 1, 2
 """
 
+SQL["op11_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), l AS (
+  SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS f
+  FROM d LEFT JOIN l USING (doc_id)
+), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s, substr(o, s, 1) AS letter, substr(o, 1, s - 1) AS earlier FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders)
+), flags AS (
+  SELECT part, o, s, letter, contains(f, letter) AS fails, translate(f, earlier, '') <> f AS gone, f = letter AS alone, good, toxic FROM m, steps
+), counted AS (
+  SELECT part, o AS filter_order, s::INTEGER AS step, letter, count(*) FILTER (NOT fails AND NOT gone) AS kept, count(*) FILTER (fails AND NOT gone) AS removed,
+         count(*) FILTER (fails AND gone) AS redundant, count(*) FILTER (alone) AS unique_fails,
+         count(*) FILTER (fails AND NOT gone AND good = 1) AS good_lost, count(*) FILTER (fails AND NOT gone AND toxic = 1) AS toxic_lost
+  FROM flags GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted
+"""
+
+SQL["op13_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(ws) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), n AS (
+  SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT lang, source, term, coalesce(c, 0) AS c, 1 + 1000000000 * (coalesce(c, 0) + 1) // (n + v) AS p
+  FROM n JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + 1000000000 * (sum(c)::HUGEINT + 1) // ((SELECT sum(n)::HUGEINT FROM n WHERE n.lang = c.lang) + any_value(v)) AS q FROM c JOIN v USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op7_secrets, op8_simhash, op9_toxicity, op10_decontam)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op7_secrets, op8_simhash, op9_toxicity, op10_decontam, op11_filter_audit, op13_divergence)}
