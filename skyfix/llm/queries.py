@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyfix.llm import chat, decontam, divergence, filteraudit, langid, licenses, media, mixing, secrets, simhash, substrings, toxicity
+from skyfix.llm import chat, decontam, divergence, filteraudit, langid, licenses, media, mixing, pii, secrets, simhash, substrings, toxicity
 from skyfix.llm.common import fold, table
 
 
@@ -67,6 +67,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023
+    return pii.scan(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -233,4 +239,4 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op7_secrets, op8_simhash, op9_toxicity, op10_decontam, op11_filter_audit, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_format, op3_mixing, op4_media, op5_language_id, op6_licenses, op7_secrets, op8_simhash, op9_toxicity, op10_decontam, op11_filter_audit, op12_pii, op13_divergence)}
