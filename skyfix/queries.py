@@ -16,7 +16,8 @@ from skyfix.operators import clustering, matching, raster, retrieval, scoring, t
 from skyfix.plans import evaluation, mission, results
 from skyfix.sources import registry
 from skyfix.sources import standins as X
-from skyfix.streaming import stages
+from skyfix.sources.shared import shared_dir
+from skyfix.streaming import indexing, jobs, stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1090,3 +1091,80 @@ def pixel_statistics(spark, sf_dir):
 @query("SELECT false AS embedder, false AS matcher, false AS translator, 'classical' AS retrieval_backend, 'classical' AS matcher_backend")
 def capabilities(spark, sf_dir):
     return results.capabilities(spark, {"embedder": False, "matcher": False, "translator": False})
+
+
+# ---------------------------------------------------------------- jobs and index waits, as streams and in batch
+
+JOB_LOG = """
+SELECT user_id AS job_id, CASE WHEN event_type = 'purchase' THEN NULL ELSE event_type END AS key,
+       CASE CAST(floor(value) AS INT) % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'done' WHEN 2 THEN 'error' ELSE 'queued' END AS state,
+       CASE WHEN event_id % 3 = 0 THEN '' ELSE props END AS detail, ts, event_id AS seq
+FROM events
+"""
+
+_RUNS_SQL = f"""
+WITH l AS (SELECT *, epoch_us(ts) AS us FROM ({JOB_LOG}) x WHERE job_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT (max(us) // 1000) * 1000 - 3600000000 AS until FROM l),
+o AS (
+  SELECT job_id, key, state, detail, us, seq, until, key IS NULL AND state IN ('done', 'error') AS ends FROM l, w WHERE us <= until
+), g AS (
+  SELECT *, lag(us) OVER j IS NULL OR us - lag(us) OVER j > 21600000000 OR lag(ends) OVER j AS fresh FROM o WINDOW j AS (PARTITION BY job_id ORDER BY us, seq)
+), r AS (
+  SELECT *, sum(fresh::INT) OVER (PARTITION BY job_id ORDER BY us, seq) AS run FROM g
+), runs AS (
+  SELECT job_id, run, min(us) AS started, max(us) AS last, arg_max(key, (us, seq)) FILTER (key IS NOT NULL) AS stage, max(state) FILTER (ends) AS ended, max(detail) FILTER (ends) AS reason, any_value(until) AS until
+  FROM r GROUP BY job_id, run
+), c AS (
+  SELECT job_id, run, started, stage, coalesce(ended, 'error') AS job_state, last + CASE WHEN ended IS NULL THEN 21600000000 ELSE 0 END AS finished, CASE WHEN ended IS NULL THEN 'No news in time.' ELSE reason END AS reason
+  FROM runs WHERE last + 21600000000 <= until OR ended IS NOT NULL
+), said AS (
+  SELECT job_id, run, key, state, nullif(detail, '') AS detail, us, seq, 0 AS late FROM r WHERE key IS NOT NULL
+  UNION ALL SELECT job_id, run, coalesce(stage, 'error'), 'error', nullif(reason, ''), finished, 0, 1 FROM c WHERE job_state = 'error'
+), s AS (
+  SELECT job_id, run, key, arg_max(state, (late, us, seq)) AS state, arg_max(detail, (late, us, seq)) FILTER (detail IS NOT NULL) AS detail, min((late, us, seq)) AS first, max(us) - min(us) AS micros FROM said GROUP BY job_id, run, key
+)
+SELECT c.job_id, started AS started_us, finished AS finished_us, job_state, round((finished - started) / 1e6, 3) AS elapsed,
+       CASE WHEN key IS NOT NULL THEN row_number() OVER (PARTITION BY c.job_id, c.run ORDER BY first) END::INT AS place, key, state, detail, round(micros / 1e6, 3) AS seconds
+FROM c LEFT JOIN s USING (job_id, run)
+"""
+
+
+def _run_columns(out: DataFrame) -> DataFrame:
+    return out.select("job_id", *(F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("started", "finished")), "job_state", "elapsed", "place", "key", "state", "detail", "seconds")
+
+
+@query(_RUNS_SQL)
+def job_runs(spark, sf_dir):
+    """Runs of jobs that end or fall silent for six hours."""
+    return _run_columns(jobs.runs(X.read(spark, sf_dir, JOB_LOG), 21600.0, "1 hour"))
+
+
+@query(_RUNS_SQL)
+def job_runs_stream(spark, sf_dir):
+    """The same as a stream over the table, until it has read all of it."""
+    events = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a single file is no folder to watch
+    with jobs.rocksdb(spark):
+        return _run_columns(jobs.drained(jobs.stream_runs(X.read_from(spark, JOB_LOG, events=events), 21600.0, "1 hour"), shared_dir(spark)))
+
+
+WAITS = "SELECT event_id AS request_id, user_id % 20 AS map_id, ts FROM events WHERE event_type = 'view'"
+INDEX_EVENTS = """
+SELECT user_id % 20 AS map_id, CASE CAST(floor(value) AS INT) % 3 WHEN 0 THEN 'indexing' WHEN 1 THEN 'ready' ELSE 'failed' END AS status,
+       CASE WHEN event_id % 2 = 0 THEN props END AS error, ts FROM events WHERE event_type <> 'view'
+"""
+
+
+@query(f"""
+WITH p AS (
+  SELECT request_id, map_id, r.ts AS asked, max({{'told': e.ts, 'status': status, 'error': error}}) FILTER (e.ts <= r.ts) AS b, min({{'told': e.ts, 'status': status, 'error': error}}) FILTER (e.ts > r.ts AND status <> 'indexing') AS a
+  FROM ({WAITS}) r LEFT JOIN (SELECT map_id AS of, status, error, ts FROM ({INDEX_EVENTS}) x) e ON of = map_id AND e.ts BETWEEN r.ts - INTERVAL 6 HOUR AND r.ts + INTERVAL 900 SECOND
+  GROUP BY request_id, map_id, r.ts
+), o AS (SELECT *, coalesce(b.status <> 'indexing', false) AS seen FROM p), q AS (SELECT *, CASE WHEN seen THEN b ELSE a END AS e FROM o)
+SELECT request_id, map_id, coalesce(e.status, 'timeout') AS status,
+       CASE e.status WHEN 'failed' THEN coalesce(e.error, 'Reference map indexing failed.') WHEN 'ready' THEN NULL ELSE 'Reference map is still indexing - try again shortly.' END AS error,
+       CASE WHEN seen THEN 0.0 ELSE round((epoch_us(a.told) - epoch_us(asked)) / 1e6, 3) END AS waited FROM q
+""")
+def index_wait(spark, sf_dir):
+    """What each request finds of its map's index, or how long it waits for it."""
+    out = indexing.wait(X.read(spark, sf_dir, WAITS), X.read(spark, sf_dir, INDEX_EVENTS), memory="6 hours")
+    return out.select("request_id", "map_id", "status", "error", "waited")

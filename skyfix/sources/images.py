@@ -97,7 +97,7 @@ def decode(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                image = decode_png(bytes(content))
+                image = None if content is None else decode_png(bytes(content))
                 rows.append((path, None, None, None, None) if image is None else (path, *image.shape, image.tobytes()))
             yield pd.DataFrame(rows, columns=["path", "height", "width", "channels", "px"]).astype({c: "Int32" for c in ("height", "width", "channels")})
 

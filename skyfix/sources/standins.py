@@ -6,6 +6,8 @@ text that Spark and DuckDB read alike, so a query and its oracle start from the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 CANDIDATES = """
@@ -85,9 +87,11 @@ _TABLES = {"lineitem", "customer", "part", "events", "orders", "supplier", "embe
 
 def read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The stand-in's rows; only the tables that its SQL names are opened."""
-    import re
+    return read_from(spark, sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\bFROM {t}\b", sql)})
+
 
-    named = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\bFROM {t}\b", sql)}
-    for t in named:
+def read_from(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """The stand-in's rows over the given tables, which may be streams."""
+    for t in tables:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
-    return spark.sql(sql, **named)
+    return spark.sql(sql, **tables)

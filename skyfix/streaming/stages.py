@@ -1,8 +1,8 @@
-"""The stage log of jobs, in batch and as a stream, and windowed counts of events."""
+"""The stage log of jobs in batch, and windowed counts of events; jobs.py has the log as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,6 @@ def stage_log(events: DataFrame) -> DataFrame:
         F.max("ts").alias("_last"),
     )
     seconds = F.unix_micros(F.col("_last").cast("timestamp")) - F.unix_micros(F.col("_first.ts").cast("timestamp"))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("job_id").orderBy("_first"))
     return out.withColumn("seconds", F.round(seconds / 1e6, 2)).withColumn("place", place).drop("_first", "_last")
 
@@ -31,18 +29,6 @@ def job_progress(log: DataFrame) -> DataFrame:
     return log.groupBy("job_id").agg(F.count_if(F.col("state").isin("done", "skipped")).alias("finished"), F.count(F.lit(1)).alias("stages"))
 
 
-def stream_stage_log(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """The running stage log of a stream; update mode. State is one row for each job and stage."""
-    detail = F.nullif(F.col("detail"), F.lit(""))
-    watched = events.withWatermark("ts", late)
-    return watched.groupBy("job_id", "key").agg(
-        F.max_by("state", F.struct("ts", "seq")).alias("state"),
-        F.max_by(detail, F.when(detail.isNotNull(), F.struct("ts", "seq"))).alias("detail"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-    )
-
-
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events (ts, event_type, value) in tumbling windows; late rows go after the watermark."""
     of = events.withWatermark("ts", late) if events.isStreaming else events

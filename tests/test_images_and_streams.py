@@ -100,34 +100,6 @@ def test_hash_split_is_about_the_share(spark):
     assert 850 < n < 1150
 
 
-LOG = "job_id long, key string, state string, detail string, ts timestamp, seq long"
-
-
-def _log(rows):
-    return [(j, k, s, d, t, i) for i, (j, k, s, d, t) in enumerate(rows)]
-
-
-def test_stream_agrees_with_batch(spark, tmp_path):
-    import datetime as dt
-
-    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    first = _log([(1, "a", "running", "one", at(0)), (1, "b", "running", "", at(1)), (1, "a", "done", "", at(2))])
-    more = _log([(2, "a", "running", "x", at(3)), (1, "b", "done", "two", at(4))])
-    folder = str(tmp_path / "in")
-    spark.createDataFrame(first, LOG).coalesce(1).write.mode("append").parquet(folder)
-    stream = stages.stream_stage_log(spark.readStream.schema(LOG).parquet(folder))
-    running = stream.writeStream.outputMode("complete").format("memory").queryName("stage_log").option("checkpointLocation", str(tmp_path / "ck")).start()
-    try:
-        running.processAllAvailable()
-        spark.createDataFrame(more, LOG).coalesce(1).write.mode("append").parquet(folder)
-        running.processAllAvailable()
-        got = {(r.job_id, r.key): (r.state, r.detail) for r in spark.table("stage_log").collect()}
-    finally:
-        running.stop()
-    batch = {(r.job_id, r.key): (r.state, r.detail) for r in stages.stage_log(spark.createDataFrame(first + more, LOG)).collect()}
-    assert got == batch == {(1, "a"): ("done", "one"), (1, "b"): ("done", "two"), (2, "a"): ("running", "x")}
-
-
 def test_late_rows_are_dropped(spark, tmp_path):
     import datetime as dt
 
