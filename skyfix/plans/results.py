@@ -233,12 +233,6 @@ def inlier_evidence(points: DataFrame, members: DataFrame, decided: DataFrame) -
     return own.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda p: F.array(p["x"], p["y"])).alias("points"))
 
 
-def capabilities(spark, available: dict[str, bool]) -> DataFrame:
-    """One row: which optional models are there, and the retrieval and matching backends that follow."""
-    flags = spark.range(1).select(*[F.lit(v).alias(k) for k, v in sorted(available.items())])
-    return flags.withColumn("retrieval_backend", F.lit("neural" if available.get("embedder") else "classical")).withColumn("matcher_backend", F.lit("learned" if available.get("matcher") else "classical"))
-
-
 def pixel_statistics(pixels: DataFrame) -> DataFrame:
     """image_id, mean, deviation (population), edge_density, dark_share of pixel rows (image_id, grey, edge), 4 decimals."""
     share = lambda c: F.round(F.count_if(c) / F.count(F.lit(1)), 4)

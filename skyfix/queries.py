@@ -1088,11 +1088,6 @@ def pixel_statistics(spark, sf_dir):
     return results.pixel_statistics(_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey image_id", "cast(l_partkey % 256 as double) grey", "l_suppkey % 5 edge"))
 
 
-@query("SELECT false AS embedder, false AS matcher, false AS translator, 'classical' AS retrieval_backend, 'classical' AS matcher_backend")
-def capabilities(spark, sf_dir):
-    return results.capabilities(spark, {"embedder": False, "matcher": False, "translator": False})
-
-
 # ---------------------------------------------------------------- jobs and index waits, as streams and in batch
 
 JOB_LOG = """
