@@ -1,12 +1,16 @@
 """Mission plans: JSON text to waypoints, bounds and warnings, with VARIANT expressions.
 
-Plans are rows (plan_id, body). Nested items are unfolded level by level, each level an explode that
-carries what is unfolded already, until no plan has a level left; a body is parsed once for all levels.
+Plans are rows (plan_id, body). A body is parsed once and its items exploded; the parts of an item that holds others are
+unfolded to any depth by a helper that sees only such items, so one pass over the plans does for all levels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Names of the commands.
@@ -40,48 +44,89 @@ def _items(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
-def items(parsed: DataFrame) -> DataFrame:
-    """plan_id, path (places from the top), item, is_complex, n_inner of every item, complex ones before their parts."""
+_PARTS = pa.list_(pa.struct([("path", pa.list_(pa.int32())), ("item", pa.string()), ("is_complex", pa.bool_()), ("n_inner", pa.int32())]))
 
-    def described(item: Column) -> tuple[Column, Column]:
-        given = _items(item, "$.TransectStyleComplexItem.Items")
-        is_complex = F.coalesce(F.try_variant_get(item, "$.type", "string") == "ComplexItem", F.lit(False))
-        parts = F.when(is_complex, F.coalesce(F.when(F.size(given) > 0, given), _items(item, "$.Items")))
-        return is_complex, F.coalesce(parts, F.array().cast("array<variant>"))
 
-    rows = parsed.filter("error is null").select("plan_id", F.posexplode(_items(F.col("doc"), "$.mission.items")).alias("i", "item"))
-    is_complex, parts = described(F.col("item"))
-    rows = rows.select("plan_id", F.array("i").alias("path"), "item", is_complex.alias("is_complex"), F.size(parts).alias("n_inner"), parts.alias("inner"))
-    while not rows.filter(F.size("inner") > 0).isEmpty():
-        entry = lambda path, item, flag, n, inner: F.struct(path.alias("path"), item.alias("item"), flag.alias("is_complex"), n.alias("n_inner"), inner.alias("inner"))
-        own = entry(F.col("path"), F.col("item"), F.col("is_complex"), F.col("n_inner"), F.array().cast("array<variant>"))
+class _Token(str):
+    """A number as the text has it."""
 
-        def part(x: Column, i: Column) -> Column:
-            flag, inner = described(x)
-            return entry(F.concat("path", F.array(i)), x, flag, F.size(inner), inner)  # noqa: B023
 
-        rows = rows.select("plan_id", F.explode(F.concat(F.array(own), F.transform("inner", part))).alias("e")).select("plan_id", "e.*")
-    return rows.drop("inner")
+def _text(x: Any) -> str:
+    if isinstance(x, _Token):
+        return str(x)
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_text(v)}" for k, v in x.items()) + "}"
+    return "[" + ",".join(map(_text, x)) + "]" if isinstance(x, list) else json.dumps(x)
 
 
-def waypoints(parsed: DataFrame) -> DataFrame:
-    """plan_id, path, seq, command, command_name, latitude, longitude, altitude, frame of every simple item.
+def _inner(item: Any) -> list | None:
+    """The parts of an item that holds others, else None."""
+    if not isinstance(item, dict) or item.get("type") != "ComplexItem":
+        return None
+    given = item.get("TransectStyleComplexItem")
+    given = given.get("Items") if isinstance(given, dict) else None
+    parts = given if isinstance(given, list) and given else item.get("Items")
+    return parts if isinstance(parts, list) else []
 
-    (0, 0) is no position. The altitude falls back to the item's own where there are six parameters or fewer.
-    """
-    simple = items(parsed).filter(~F.col("is_complex") & F.schema_of_variant("item").startswith("OBJECT"))
-    params = _items(F.col("item"), "$.params")
-    lat, lon, alt = (number(F.col("item"), f"$.params[{i}]") for i in (4, 5, 6))
+
+def unfolded(item: str) -> list[dict]:
+    """Every part below an item (JSON text): path from the item, text, whether it holds others, and how many. Those that do come without their parts."""
+    out, left = [], [((), _inner(json.loads(item, parse_float=_Token, parse_int=_Token)) or [])]
+    while left:
+        above, parts = left.pop()
+        for i, part in enumerate(parts):
+            path, below = (*above, i), _inner(part)
+            own = part if below is None else {k: v for k, v in part.items() if k not in ("Items", "TransectStyleComplexItem")}
+            out.append({"path": path, "item": _text(own), "is_complex": below is not None, "n_inner": len(below or ())})
+            if below:
+                left.append((path, below))
+    return out
+
+
+def _parts(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else unfolded(x) for x in column.to_pylist()], _PARTS)
+
+
+def items(parsed: DataFrame) -> DataFrame:
+    """plan_id, path (places from the top), item, is_complex, n_inner of every item, nested ones too."""
+    rows = parsed.filter("error is null").select("plan_id", F.posexplode(_items(F.col("doc"), "$.mission.items")).alias("i", "item"))
+    given = _items(F.col("item"), "$.TransectStyleComplexItem.Items")
+    is_complex = F.coalesce(F.try_variant_get("item", "$.type", "string") == "ComplexItem", F.lit(False))
+    parts = F.coalesce(F.when(is_complex, F.coalesce(F.when(F.size(given) > 0, given), _items(F.col("item"), "$.Items"))), F.array().cast("array<variant>"))
+    rows = rows.select("plan_id", F.array("i").alias("path"), "item", is_complex.alias("is_complex"), F.size(parts).alias("n_inner"))
+    parts_of = F.arrow_udf(_parts, "array<struct<path:array<int>,item:string,is_complex:boolean,n_inner:int>>")
+    below = parts_of(F.when(F.col("n_inner") > 0, F.to_json("item")))
+    rows = rows.withColumn("below", below)
+    entry = lambda path, item, flag, n: F.struct(path.alias("path"), item.alias("item"), flag.alias("is_complex"), n.alias("n_inner"))
+    own = entry(F.col("path"), F.col("item"), F.col("is_complex"), F.col("n_inner"))
+    nested = F.transform("below", lambda x: entry(F.concat("path", x["path"]), F.parse_json(x["item"]), x["is_complex"], x["n_inner"]))
+    return rows.select("plan_id", F.explode(F.when(F.col("below").isNull(), F.array(own)).otherwise(F.concat(F.array(own), nested))).alias("e")).select("plan_id", "e.*")
+
+
+def _described(rows: DataFrame) -> DataFrame:
+    """Adds the columns of a waypoint to items; they count where is_simple."""
+    item = F.col("item")
+    params = _items(item, "$.params")
+    lat, lon, alt = (number(item, f"$.params[{i}]") for i in (4, 5, 6))
     nowhere = (lat == 0) & (lon == 0)
-    alt = F.when(F.size(F.coalesce(params, F.array().cast("array<variant>"))) > 6, alt).otherwise(number(F.col("item"), "$.Altitude"))
+    alt = F.when(F.size(F.coalesce(params, F.array().cast("array<variant>"))) > 6, alt).otherwise(number(item, "$.Altitude"))
     command = F.coalesce(F.try_variant_get("item", "$.command", "int"), F.lit(0))
     names = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
     # an item without a number of its own counts on from the places of the items that hold it
     seq = F.coalesce(F.try_variant_get("item", "$.doJumpId", "int"), F.aggregate("path", F.lit(1), lambda a, i: a + i))
-    out = simple.select("plan_id", "path", seq.alias("seq"), command.alias("command"), F.when(nowhere, None).otherwise(lat).alias("latitude"), F.when(nowhere, None).otherwise(lon).alias("longitude"), alt.alias("altitude"), F.try_variant_get("item", "$.frame", "int").alias("frame"))
+    out = rows.withColumns({"is_simple": ~F.col("is_complex") & F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False)), "seq": seq, "command": command, "altitude": alt, "frame": F.try_variant_get("item", "$.frame", "int")})
+    out = out.withColumns({"latitude": F.when(nowhere, None).otherwise(lat), "longitude": F.when(nowhere, None).otherwise(lon)})
     return out.withColumn("command_name", F.coalesce(F.try_element_at(names, F.col("command")), F.concat(F.lit("CMD_"), F.col("command").cast("string"))))
 
 
+def waypoints(parsed: DataFrame) -> DataFrame:
+    """plan_id, path, seq, command, latitude, longitude, altitude, frame, command_name of every simple item.
+
+    (0, 0) is no position. The altitude falls back to the item's own where there are six parameters or fewer.
+    """
+    return _described(items(parsed)).filter("is_simple").select("plan_id", "path", "seq", "command", "latitude", "longitude", "altitude", "frame", "command_name")
+
+
 def home(parsed: DataFrame) -> DataFrame:
     """plan_id, latitude, longitude, altitude of the planned home; null where it is not a list of three."""
     return parsed.filter("error is null").select("plan_id", *_home())
@@ -108,22 +153,29 @@ def _padded() -> list[Column]:
     return [F.round(c, 7).alias(n) for n, c in (("north", F.col("north") + pad_lat), ("south", F.col("south") - pad_lat), ("west", F.col("west") - pad_lon), ("east", F.col("east") + pad_lon))]
 
 
-def summary(parsed: DataFrame) -> DataFrame:
-    """plan_id, n_waypoints, n_positions, n_geofences, n_rally, warnings of every readable plan."""
-    points = waypoints(parsed).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_waypoints"), F.count("latitude").alias("n_positions"))
-    size = lambda path: F.greatest(F.size(F.coalesce(_items(F.col("doc"), path), F.array().cast("array<variant>"))), F.lit(0))
-    homeless = F.size(F.coalesce(_items(F.col("doc"), "$.mission.plannedHomePosition"), F.array().cast("array<variant>"))) < 3
-    base = parsed.filter("error is null").select("plan_id", homeless.alias("_homeless"), size("$.geoFence.polygons").alias("n_geofences"), size("$.rallyPoints.points").alias("n_rally"))
-    closed = items(parsed).filter(F.col("is_complex") & (F.col("n_inner") == 0))
+def _outline(parsed: DataFrame, *more: Column) -> DataFrame:
+    """plan_id, counts, warnings and `more` of every readable plan, with its waypoints in order: one pass over its items."""
+    of = _described(items(parsed)).groupBy("plan_id")
+    waypoint = F.struct("path", F.struct("seq", "command", "command_name", "latitude", "longitude", "altitude", "frame").alias("w"))
     kind = F.coalesce(F.try_variant_get("item", "$.complexItemType", "string"), F.lit("unknown"))
-    closed = closed.groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", kind.alias("kind")))), lambda c: F.format_string(NOT_EXPANDED, c["kind"])).alias("_closed"))
-    out = base.join(points, "plan_id", "left").join(closed, "plan_id", "left").fillna(0, ["n_waypoints", "n_positions"])
-    warnings = F.concat(
-        F.when(F.col("_homeless"), F.array(F.lit(NO_HOME))).otherwise(F.array().cast("array<string>")),
-        F.coalesce("_closed", F.array().cast("array<string>")),
-        F.when(F.col("n_waypoints") == 0, F.array(F.lit(NO_WAYPOINTS))).otherwise(F.array().cast("array<string>")),
+    closed = F.when(F.col("is_complex") & (F.col("n_inner") == 0), F.struct("path", kind.alias("kind")))
+    of = of.agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("is_simple"), waypoint))), lambda e: e["w"]).alias("waypoints"),
+        F.transform(F.array_sort(F.collect_list(closed)), lambda c: F.format_string(NOT_EXPANDED, c["kind"])).alias("_closed"),
     )
-    return out.withColumn("warnings", warnings).drop("_homeless", "_closed")
+    size = lambda path: F.greatest(F.size(F.coalesce(_items(F.col("doc"), path), F.array().cast("array<variant>"))), F.lit(0))
+    base = parsed.filter("error is null").select("plan_id", (size("$.mission.plannedHomePosition") < 3).alias("_homeless"), size("$.geoFence.polygons").alias("n_geofences"), size("$.rallyPoints.points").alias("n_rally"), *more)
+    out = base.join(of, "plan_id", "left").withColumn("waypoints", F.coalesce("waypoints", F.array().cast(of.schema["waypoints"].dataType)))
+    none = F.array().cast("array<string>")
+    n = F.size("waypoints").cast("long")
+    warnings = F.concat(F.when(F.col("_homeless"), F.array(F.lit(NO_HOME))).otherwise(none), F.coalesce("_closed", none), F.when(n == 0, F.array(F.lit(NO_WAYPOINTS))).otherwise(none))
+    positions = F.size(F.filter("waypoints", lambda w: w["latitude"].isNotNull())).cast("long")
+    return out.withColumns({"n_waypoints": n, "n_positions": positions, "warnings": warnings}).drop("_homeless", "_closed")
+
+
+def summary(parsed: DataFrame) -> DataFrame:
+    """plan_id, n_geofences, n_rally, n_waypoints, n_positions, warnings of every readable plan."""
+    return _outline(parsed).select("plan_id", "n_geofences", "n_rally", "n_waypoints", "n_positions", "warnings")
 
 
 def documents(parsed: DataFrame) -> DataFrame:
@@ -131,14 +183,9 @@ def documents(parsed: DataFrame) -> DataFrame:
 
     Keys without a value are left out: bounds and extent where neither a waypoint nor the home has a position.
     """
-    entry = F.struct("path", F.struct("seq", "command", "command_name", "latitude", "longitude", "altitude", "frame").alias("w"))
-    listed = waypoints(parsed).groupBy("plan_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["w"]).alias("waypoints"))
     header = [F.try_variant_get("doc", path, kind).alias(name) for name, path, kind in HEADER]
     speeds = [number(F.col("doc"), f"$.mission.{key}").alias(name) for name, key in (("cruise_speed", "cruiseSpeed"), ("hover_speed", "hoverSpeed"))]
-    homes = parsed.filter("error is null").select("plan_id", *header, *speeds, F.array(*_home()).alias("_home"))
-    out = homes.join(listed, "plan_id", "left").join(summary(parsed).select("plan_id", F.col("n_waypoints").alias("waypoint_count"), "warnings"), "plan_id")
-    none = F.array().cast(listed.schema["waypoints"].dataType)
-    out = out.withColumn("waypoints", F.coalesce("waypoints", none))
+    out = _outline(parsed, *header, *speeds, F.array(*_home()).alias("_home")).withColumn("waypoint_count", F.col("n_waypoints"))
     placed = F.filter("waypoints", lambda w: w["latitude"].isNotNull() & w["longitude"].isNotNull())
     out = out.withColumn("coordinates", F.transform(placed, lambda w: F.array(w["latitude"], w["longitude"])))
     at_home = F.get("_home", 0).isNotNull() & F.get("_home", 1).isNotNull()
@@ -157,8 +204,6 @@ def documents(parsed: DataFrame) -> DataFrame:
 
 def normalised_path(points: DataFrame) -> DataFrame:
     """plan_id, seq, px, py: positions in a box of 8..92, north up."""
-    from pyspark.sql import Window
-
     of = Window.partitionBy("plan_id")
     at = points.filter("latitude is not null and longitude is not null")
     span = lambda c: F.greatest(F.max(c).over(of) - F.min(c).over(of), F.lit(1e-9))

@@ -180,6 +180,26 @@ def test_missions_nest_without_limit(spark):
     assert mission.summary(parsed).first().warnings == []
 
 
+def test_two_hundred_levels_are_one_job(spark):
+    deep = '{"command":21,"doJumpId":7,"params":[0,0,0,0,0.10,2e1,12345678901234567890]}'
+    for i in range(200):
+        inner = f'"Items":[{i}.50,{deep}]' if i % 3 else f'"TransectStyleComplexItem":{{"Items":[null,{deep}]}},"Items":[1,2,3]'
+        deep = f'{{"type":"ComplexItem","complexItemType":"k{i}",{inner}}}'
+    empty = '{"type":"ComplexItem","complexItemType":"survey","TransectStyleComplexItem":{"Items":[]},"Items":7}'
+    body = f'{{"mission":{{"items":[{deep},{{"type":"ComplexItem","Items":[{empty}]}}]}}}}'
+    parsed = mission.parse(spark.createDataFrame([(1, body)], "plan_id int, body string"))
+    tracker, group = spark.sparkContext.statusTracker(), "missions"
+    spark.sparkContext.setJobGroup(group, "")
+    rows = mission.items(parsed).select("path", "is_complex", "n_inner", F.col("item").cast("string").alias("text")).collect()
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup(group)) == 1
+    assert len(rows) == 1 + 2 * 200 + 2 and max(len(r.path) for r in rows) == 201
+    assert sum(r.is_complex for r in rows) == 202 and {r.n_inner for r in rows} == {0, 1, 2}
+    point = mission.waypoints(parsed).first()
+    assert (point.seq, point.latitude, point.longitude, point.altitude, len(point.path)) == (7, 0.1, 20.0, 12345678901234567890.0, 201)
+    assert mission.summary(parsed).first().warnings == [mission.NO_HOME, "Complex mission item 'survey' was not expanded."]
+
+
 def test_search_in_blocks_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     bank = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(900, None), (901, [1.0]), (902, [0.0] * 6)]
