@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Frames of a block, and rows of the bank that are compared with it at once.
+#: Frames of a block, and rows of a block of the bank that are compared with it at once.
 FRAMES, _ROWS = 1024, 2048
 
 
@@ -39,49 +39,79 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-8)[:, None]
 
 
-def _best_of(frames: list[tuple[int, list[float]]], k: int):
-    ids = np.array([i for i, _ in frames], np.int64)
-    queries = _matrix(pa.array([q for _, q in frames], pa.list_(pa.float64())), len(frames[0][1]))
+def _nearest(ids: np.ndarray, queries: np.ndarray, bank: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """frame, tile, similarity of the k tiles of the bank that are most similar to each query, ties by tile; the bank comes in pieces of tiles and unit
+    vectors. Equal tiles are one."""
+    frame, tile, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for tiles, vectors in bank:
+        # einsum, not a matrix product: equal vectors then have equal similarities, whatever rows they stand in
+        here = np.einsum("id,jd->ij", queries, vectors)
+        least = np.partition(here, -k, axis=1)[:, -k] if here.shape[1] > k else np.full(len(here), -np.inf)
+        i, j = np.nonzero(here >= least[:, None])
+        frame, tile, s = np.concatenate([frame, i]), np.concatenate([tile, tiles[j]]), np.concatenate([s, here[i, j]])
+        order = np.lexsort((tile, -s, frame))
+        frame, tile, s = frame[order], tile[order], s[order]
+        first = np.searchsorted(frame, frame)  # where the row's frame begins
+        kept = np.arange(len(frame)) - first < k
+        frame, tile, s = frame[kept], tile[kept], s[kept]
+    return ids[frame], tile, s
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                tile = part.column("tile_id").to_numpy()
-                # einsum, not a matrix product: equal vectors then have equal similarities, whatever rows they stand in
-                s = np.einsum("id,jd->ij", queries, _matrix(part.column("embedding"), queries.shape[1]))
-                order = np.lexsort((np.broadcast_to(tile, s.shape), -s), axis=1)[:, :k]
-                found = np.take_along_axis(s, order, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(tile[order].ravel()), pa.array(found.ravel())], ["frame_id", "tile_id", "s"])
+
+def _pieces(table: pa.Table, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, table.num_rows, _ROWS):
+        part = table.slice(at, _ROWS)
+        yield part.column("tile_id").to_numpy(), _matrix(part.column("embedding"), width)
+
+
+def _cell(k: int):
+    """The best tiles of a cell's bank block for each frame of its frame block."""
+
+    def run(key: tuple, frames: pa.Table, bank: pa.Table) -> pa.Table:
+        width = key[1].as_py()
+        found = _nearest(frames.column("frame_id").to_numpy(), _matrix(frames.column("query"), width), _pieces(bank, width), k)
+        return pa.table(dict(zip(("frame_id", "tile_id", "s"), found, strict=True)))
 
     return run
 
 
-def top_k_batch(bank: DataFrame, frames: DataFrame, k: int, block: int = FRAMES) -> DataFrame:
-    """frame_id, tile_id, similarity, rk: each frame's k most similar tiles, ties by tile_id.
+def _searched(bank: DataFrame, frames: DataFrame, k: int, block: int) -> DataFrame:
+    """frame_id, tile_id, similarity, rk of frames (part, width, frame_id, query) against the rows of the bank (part, width, tile_id, embedding) of their part.
 
-    The frames are taken in blocks of about `block`, each held by the driver and sent to the tasks; per batch of the
-    bank only k tiles of each frame leave a task, so the shuffle does not grow with the bank's rows times the frames.
-    A null vector is like none; frames without a vector have no tiles.
+    Each side of a part is dealt to blocks of about `block` rows (frames) and 16 times as many (bank), and each pair of blocks is a task's cell, which k tiles of
+    each frame leave. So no part is held whole, and the bank is shuffled once for every `block` frames that ask for a part.
     """
-    frames = frames.filter("frame_id is not null and query is not null").select(F.col("frame_id").cast("long").alias("frame_id"), F.col("query").cast("array<double>").alias("query"))
-    parts = max(1, -(-frames.count() // block))
-    rows = bank.filter("tile_id is not null and embedding is not null").select(F.col("tile_id").cast("long").alias("tile_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    hits = None
-    for i in range(parts):
-        own = [tuple(r) for r in frames.filter(F.pmod(F.xxhash64("frame_id"), F.lit(parts)) == i).collect()]
-        by_width: dict[int, list] = {}
-        for ident, query in own:
-            by_width.setdefault(len(query), []).append((ident, query))
-        for width, some in sorted(by_width.items()):
-            found = rows.filter(F.size("embedding") == width).mapInArrow(_best_of(some, k), "frame_id long, tile_id long, s double")
-            hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = bank.sparkSession.createDataFrame([], "frame_id long, tile_id long, s double")
+    count = lambda side, name: side.groupBy("part", "width").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(bank, "_b").join(count(frames, "_f"), ["part", "width"])
+    sizes = sizes.select("part", "width", F.ceil(F.col("_b") / (16 * block)).cast("int").alias("_b"), F.ceil(F.col("_f") / block).cast("int").alias("_f"))
+
+    def cells(side: DataFrame, ident: str, own: str, other: str):
+        rows = side.join(sizes, ["part", "width"]).withColumn(f"{own}_at", F.pmod(F.xxhash64(ident), F.col(own)).cast("int"))
+        rows = rows.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        # new names, as both sides may come from one table
+        rows = rows.select(*[F.col(c).alias(f"_{c}") for c in ("part", "width", "_b_at", "_f_at")], *[F.col(c).alias(c) for c in side.columns if c not in ("part", "width")])
+        return rows.groupBy("_part", "_width", "__b_at", "__f_at")
+
+    hits = cells(frames, "frame_id", "_f", "_b").cogroup(cells(bank, "tile_id", "_b", "_f")).applyInArrow(_cell(k), "frame_id long, tile_id long, s double")
     order = Window.partitionBy("frame_id").orderBy(F.desc("s"), "tile_id")
     return hits.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("frame_id", "tile_id", F.round("s", 6).alias("similarity"), "rk")
 
 
+def _vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
+    """Rows with an id and a vector, of which each knows its width."""
+    rows = rows.filter(F.col(ident).isNotNull() & F.col(vector).isNotNull())
+    return rows.select(F.col(ident).cast("long").alias(ident), F.col(vector).cast("array<double>").alias(vector), F.size(vector).alias("width"))
+
+
+def top_k_batch(bank: DataFrame, frames: DataFrame, k: int, block: int = FRAMES) -> DataFrame:
+    """frame_id, tile_id, similarity, rk: each frame's k most similar tiles, ties by tile_id; exact.
+
+    One scan of the bank, whatever the number of frames, in cells of frame blocks and bank blocks. The work is frames times tiles; index.py looks
+    at a part of the tiles only. A null vector is like none; frames without a vector have no tiles; vectors of one width are compared.
+    """
+    whole = F.lit(0).alias("part")
+    return _searched(_vectors(bank, "tile_id", "embedding").select("*", whole), _vectors(frames, "frame_id", "query").select("*", whole), k, block)
+
+
 def top_k(bank: DataFrame, frame: DataFrame, k: int) -> DataFrame:
     """tile_id, similarity of the k tiles most similar to one frame (a row with column query)."""
     return top_k_batch(bank, frame.withColumn("frame_id", F.lit(0)), k).select("tile_id", "similarity")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyfix.functions import geo, geometry, text
 from skyfix.functions import scores as S
-from skyfix.operators import clustering, matching, raster, retrieval, scoring, tiling, verdict
+from skyfix.operators import clustering, index, matching, raster, retrieval, scoring, tiling, verdict
 from skyfix.plans import evaluation, mission, results
 from skyfix.sources import registry
 from skyfix.sources import standins as X
@@ -131,6 +131,15 @@ def cosine_topk_batch(spark, sf_dir):
     return retrieval.top_k_batch(bank, frames, 8)
 
 
+@query()
+def ann_topk(spark, sf_dir):
+    """Approximate: inverted lists over every row, as many looked at as a recall of 0.95 needs in the sample; tests hold it against cosine_topk_batch."""
+    bank = _bank(spark, sf_dir)
+    fitted = index.fit(bank)
+    frames = bank.filter("tile_id % 100 = 0").select(F.col("tile_id").alias("frame_id"), F.col("embedding").alias("query"))
+    return index.search(index.build(bank, fitted), frames, fitted, 8) if fitted else retrieval.top_k_batch(bank, frames, 8)
+
+
 @query(f"SELECT b.vec_id AS tile_id, round({COSINE}, 6) AS similarity FROM embeddings q CROSS JOIN embeddings b WHERE q.vec_id = 5 ORDER BY {COSINE} DESC, b.vec_id LIMIT 8")
 def cosine_topk(spark, sf_dir):
     bank = _bank(spark, sf_dir)
