@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyfix.functions import geo, geometry, text
 from skyfix.functions import scores as S
-from skyfix.operators import clustering, index, matching, raster, retrieval, scoring, tiling, verdict
+from skyfix.operators import clustering, index, matching, raster, regions, retrieval, scoring, tiling, verdict
 from skyfix.plans import evaluation, mission, results
 from skyfix.sources import registry
 from skyfix.sources import standins as X
@@ -1172,3 +1172,45 @@ def index_wait(spark, sf_dir):
     """What each request finds of its map's index, or how long it waits for it."""
     out = indexing.wait(X.read(spark, sf_dir, WAITS), X.read(spark, sf_dir, INDEX_EVENTS), memory="6 hours")
     return out.select("request_id", "map_id", "status", "error", "waited")
+
+
+# ---------------------------------------------------------------- regions of masks
+
+MASK_SIDE = 40
+#: A mask for each supplier: the pixels that its line items point to.
+PIXELS = f"SELECT DISTINCT l_suppkey AS image_id, CAST((l_orderkey * 7 + l_linenumber) % {MASK_SIDE} AS INT) AS y, CAST((l_partkey * 11 + l_linenumber) % {MASK_SIDE} AS INT) AS x FROM lineitem"
+
+
+def _mask(spark, sf_dir):
+    lines = X.read(spark, sf_dir, PIXELS).groupBy("image_id", "y").agg(F.collect_set("x").alias("on"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(MASK_SIDE - 1)), lambda x: F.array_contains("on", x))
+    return lines.select("image_id", "y", cells.alias("cells"))
+
+
+#: Every pixel of a region reaches its first one by steps to the eight neighbours; USING KEY keeps the best so far of each pixel.
+_LABELS_SQL = f"""
+WITH RECURSIVE p AS MATERIALIZED ({PIXELS}), n AS MATERIALIZED (
+  SELECT a.image_id, a.y, a.x, b.y AS ny, b.x AS nx FROM p a JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true
+  JOIN p b ON b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx
+), l(image_id, y, x, label) USING KEY (image_id, y, x) AS (
+  SELECT image_id, y, x, y * 1000 + x FROM p
+  UNION
+  SELECT n.image_id, n.ny, n.nx, min(l.label) FROM l JOIN n ON n.image_id = l.image_id AND n.y = l.y AND n.x = l.x
+  JOIN recurring.l r ON r.image_id = n.image_id AND r.y = n.ny AND r.x = n.nx WHERE l.label < r.label GROUP BY n.image_id, n.ny, n.nx
+)
+"""
+
+
+@query(f"""{_LABELS_SQL}
+SELECT image_id, (label // 1000)::INT AS label_y, (label % 1000)::INT AS label_x, count(*) AS area, min(x) AS "left", min(y) AS top, max(x) AS "right", max(y) AS bottom FROM l GROUP BY image_id, label""")
+def mask_regions(spark, sf_dir):
+    return regions.regions(regions.labelled(_mask(spark, sf_dir)))
+
+
+@query(f"""{_LABELS_SQL}, big AS (SELECT image_id, label FROM l GROUP BY image_id, label HAVING count(*) >= 12)
+SELECT image_id, x, y FROM l SEMI JOIN big USING (image_id, label) WHERE (SELECT count(*) FROM p q WHERE q.image_id = l.image_id AND abs(q.x - l.x) + abs(q.y - l.y) = 1) < 4""")
+def block_outlines(spark, sf_dir):
+    """Outlines of the regions of twelve pixels or more."""
+    rows = regions.labelled(_mask(spark, sf_dir))
+    sizes = rows.select("image_id").distinct().withColumns({"width": F.lit(MASK_SIDE), "height": F.lit(MASK_SIDE)})
+    return regions.outline(regions.large_regions(rows, sizes, least=12.0)).select("image_id", "x", "y")
