@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyfix.functions import geo, geometry, text
 from skyfix.functions import scores as S
-from skyfix.operators import clustering, index, matching, raster, regions, retrieval, scoring, tiling, verdict
+from skyfix.operators import clustering, drawing, index, matching, raster, regions, retrieval, scoring, tiling, verdict
 from skyfix.plans import evaluation, mission, results
 from skyfix.sources import registry
 from skyfix.sources import standins as X
@@ -1214,3 +1214,48 @@ def block_outlines(spark, sf_dir):
     rows = regions.labelled(_mask(spark, sf_dir))
     sizes = rows.select("image_id").distinct().withColumns({"width": F.lit(MASK_SIDE), "height": F.lit(MASK_SIDE)})
     return regions.outline(regions.large_regions(rows, sizes, least=12.0)).select("image_id", "x", "y")
+
+
+# ---------------------------------------------------------------- drawing
+
+#: A quadrilateral (which may cross itself) with corners p, q, u, v, a line from p to u and a disc around v for each supplier, on a ground of 60 by 48.
+FIGURES = """
+SELECT s_suppkey AS image_id, CAST(s_suppkey * 7 % 50 AS INT) AS px, CAST(s_suppkey * 11 % 40 AS INT) AS py, CAST(s_suppkey * 13 % 70 - 5 AS INT) AS qx, CAST(s_suppkey * 17 % 44 AS INT) AS qy,
+       CAST(s_suppkey * 19 % 64 AS INT) AS ux, CAST(s_suppkey * 23 % 56 - 4 AS INT) AS uy, CAST(s_suppkey * 29 % 60 AS INT) AS vx, CAST(s_suppkey * 31 % 48 AS INT) AS vy, CAST(s_suppkey % 9 AS INT) AS radius FROM supplier
+"""
+
+_SIDES = ("pq", "qu", "uv", "vp")
+
+
+def _edge_points(*sides: str) -> str:
+    """Pixels of edges, one for each step of the longer axis."""
+    steps = "greatest(abs({b}x - {a}x), abs({b}y - {a}y))"
+    at = "{a}%s + floor((2 * ({b}%s - {a}%s) * i + n) / (2.0::DOUBLE * greatest(n, 1)))::INT AS %s"
+    part = f"SELECT image_id, {at % (('x',) * 4)}, {at % (('y',) * 4)} FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, {steps} AS n FROM f))"
+    return " UNION ALL ".join(part.format(a=a, b=b) for a, b in sides)
+
+
+#: How many edges lie to the left of a pixel, on its line.
+_CROSSED = " + ".join(f"coalesce(least({a}y, {b}y) <= g.y AND g.y < greatest({a}y, {b}y) AND {a}x + (g.y - {a}y) * ({b}x - {a}x) / nullif({b}y - {a}y, 0)::DOUBLE <= g.x, false)::INT" for a, b in _SIDES)
+
+
+@query(f"""
+WITH f AS ({FIGURES}), g AS (SELECT *, unnest(range(0, 60)) AS x FROM (SELECT *, unnest(range(0, 48)) AS y FROM f)),
+ring AS (SELECT DISTINCT image_id, x + ox AS x, y + oy AS y FROM ({_edge_points(*_SIDES)}) e, (SELECT unnest([0, 1]) AS ox) a, (SELECT unnest([0, 1]) AS oy) b),
+line AS (SELECT DISTINCT image_id, x, y FROM ({_edge_points("pu")}) e),
+l AS (
+  SELECT g.image_id, g.x, g.y, ({_CROSSED}) % 2 = 1 AS filled, ring.x IS NOT NULL AS ringed, line.x IS NOT NULL AS lined, (g.x - vx) * (g.x - vx) + (g.y - vy) * (g.y - vy) <= radius * radius AS dotted
+  FROM g LEFT JOIN ring ON ring.image_id = g.image_id AND ring.x = g.x AND ring.y = g.y LEFT JOIN line ON line.image_id = g.image_id AND line.x = g.x AND line.y = g.y
+), c AS (SELECT *, CASE WHEN dotted THEN 90 WHEN lined THEN 200 WHEN ringed THEN 229 END AS top FROM l WHERE filled OR ringed OR lined OR dotted)
+SELECT image_id, x::INT AS x, y::INT AS y, round(coalesce(top, 229 * 0.22::DOUBLE), 6) AS r, CASE WHEN top IS NULL THEN 0.78 ELSE 0.0 END::DOUBLE AS keep FROM c
+""")
+def drawn_figures(spark, sf_dir):
+    """What is drawn on every pixel: a thin fill, its outline, a line over it and a dot over that."""
+    f = X.read(spark, sf_dir, FIGURES)
+    corner = lambda c: F.struct(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y"))
+    shape, quad = drawing.shape, F.array(*map(corner, "pquv"))
+    shapes = [shape("fill", F.lit(0), quad, drawing.RED, alpha=drawing.FILL_ALPHA), shape("ring", F.lit(1), quad, drawing.RED, thickness=F.lit(2))]
+    shapes += [shape("line", F.lit(2), F.array(corner("p"), corner("u")), drawing.OUTLIER), shape("disc", F.lit(3), F.array(corner("v")), drawing.INLIER, F.col("radius"))]
+    sizes = f.select("image_id", F.lit(60).alias("width"), F.lit(48).alias("height"))
+    out = drawing.composited(drawing.pixels(f.select("image_id", F.inline(F.array(*shapes))), sizes))
+    return out.select("image_id", "x", "y", F.round("r", 6).alias("r"), F.round("keep", 6).alias("keep"))
