@@ -7,9 +7,9 @@ The divergence of a group from another is the sum of floor((p - q)^2 / q) over a
 
   counting      Arrow batches: a dictionary for each group counts words as they come and is sent off before it grows
                 large; Spark adds up the parts by language, source and term;
-  wide vectors  each kept term becomes one row, with its counts in an array that has a place for each source of the language;
-  contributions JVM higher-order functions turn such a row into one figure for each pair of sources of which at least one has
-                the term, less the figure that two sources without it have (which depends on the pair only and is added V times at the end);
+  wide vectors  each kept term becomes one row; JVM higher-order functions fill an array with its share in each source of the language;
+  contributions a generator pairs each source that has the term with every place of the array; what a pair of sources without the term
+                contributes depends on the pair only, so it is added V times at the end and every contribution counts beyond it;
                 partial aggregation sums them where they are made, so a pair leaves a task once.
 
 A language's array has as many places as it has sources, and the result has a row for each pair of them. Terms are spread over tasks by
@@ -84,8 +84,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + terms)); 0 if there are no terms."""
-    whole = F.call_function("div", (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), (total + terms).cast("decimal(20,0)"))
-    return F.when(terms > 0, 1 + whole).otherwise(0)
+    whole = F.call_function("div", (count + 1) * SCALE, total + terms)
+    large = F.call_function("div", (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), (total + terms).cast("decimal(20,0)"))
+    return F.when(terms == 0, 0).when(count < (1 << 62) // SCALE, 1 + whole).otherwise(1 + large)
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -95,20 +96,16 @@ def _distance(p: Column, q: Column) -> Column:
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank: each group's divergence from its language's other sources (part `pair`, all ranks) and
     the terms that it has more often than its language (part `term`, to rank `top`)."""
-    wide = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source"))
+    wide = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("own"))
     wide = materialise(wide.filter(F.col("docs") >= min_docs).drop("docs"), "wide-terms")
     none = F.lit(0).cast("long")
-    totals = wide.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    totals = wide.select("lang", F.inline("own")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
     groups = groups.join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("n", none).alias("n"))
     langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("sources"), F.sum("n").alias("lang_n"))
     langs = langs.join(wide.groupBy("lang").agg(F.count(F.lit(1)).alias("v")), "lang", "left").withColumn("v", F.coalesce("v", none))
     langs = materialise(langs.withColumn("zero", F.transform("sources", lambda s: _share(none, s["n"], F.col("v")))), "languages")
-
-    terms = wide.join(langs, "lang").withColumn("c", F.transform("sources", lambda s: F.coalesce(F.try_element_at("by_source", s["source"]), none)))
-    terms = terms.withColumn("p", F.zip_with("sources", "c", lambda s, c: _share(c, s["n"], F.col("v"))))
-    terms = terms.withColumn("q", _share(F.col("total"), F.col("lang_n"), F.col("v")))
-    return _pairs(langs, terms).unionByName(_terms(terms, top))
+    return _pairs(langs, wide).unionByName(_terms(langs, wide, top))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -116,26 +113,35 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order))
 
 
-def _pairs(langs: DataFrame, terms: DataFrame) -> DataFrame:
-    places = F.sequence(F.lit(0), F.size("sources") - 1)
-
-    def between(p: str, a: Column, b: Column) -> Column:
-        return _distance(F.get(p, a), F.get(p, b))
-
-    def others(a: Column, told) -> Column:
-        return F.transform(F.filter(places, lambda b: (b != a) & ((F.get("c", a) > 0) | (F.get("c", b) > 0))), lambda b: told(a, b))
-
-    told = lambda a, b: F.struct(a.alias("a"), b.alias("b"), (between("p", a, b) - between("zero", a, b)).alias("more"))
-    sums = terms.select("lang", F.inline(F.flatten(F.transform(places, lambda a: others(a, told))))).groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
-    first = langs.select("*", F.posexplode("sources").alias("a", "own"))
+def _pairs(langs: DataFrame, wide: DataFrame) -> DataFrame:
+    none = F.lit(0).cast("long")
+    count = F.map_from_entries("own")
+    counted = wide.join(langs, "lang").withColumn("counts", F.transform("sources.source", _looked_up(count)))
+    shares = F.zip_with("sources", "counts", lambda s, c: F.struct(c.alias("c"), _share(c, s["n"], F.col("v")).alias("p")))
+    placed = F.transform(F.arrays_zip(shares.alias("s"), F.col("zero").alias("z")), lambda x, at: F.struct(at.alias("at"), x["s"]["p"].alias("p"), x["z"].alias("z"), (x["s"]["c"] > 0).alias("has")))
+    vectors = counted.select("lang", placed.alias("vector"))
+    pairs = vectors.select("lang", "vector", F.inline(F.filter("vector", lambda x: x["has"])).alias("a", "p", "z", "has"))
+    pairs = pairs.select("lang", "a", "p", "z", F.inline("vector").alias("b", "p_b", "z_b", "has_b")).filter("a != b")
+    toward = _distance(F.col("p"), F.col("p_b")) - _distance(F.col("z"), F.col("z_b"))
+    back = F.when(~F.col("has_b"), _distance(F.col("p_b"), F.col("p")) - _distance(F.col("z_b"), F.col("z"))).otherwise(0)  # else b tells it
+    sums = pairs.groupBy("lang", "a", "b").agg(F.sum(toward).alias("toward"), F.sum(back).alias("back"))
+    more = sums.select("lang", F.inline(F.array(F.struct("a", "b", F.col("toward").alias("more")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("more")))))
+    more = more.groupBy("lang", "a", "b").agg(F.sum("more").alias("more"))
+    first = langs.select("lang", "v", "zero", "sources", F.posexplode("sources").alias("a", "own"))
     every = first.select("lang", "v", "zero", "a", "own", F.posexplode("sources").alias("b", "other")).filter("a != b")
-    value = F.when(F.col("v") > 0, F.col("v") * between("zero", F.col("a"), F.col("b"))).otherwise(0) + F.coalesce("more", F.lit(0))
-    rows = every.join(sums, ["lang", "a", "b"], "left")
+    value = F.when(F.col("v") > 0, F.col("v") * _distance(F.get("zero", "a"), F.get("zero", "b"))).otherwise(none) + F.coalesce("more", none)
+    rows = every.join(more, ["lang", "a", "b"], "left")
     return _ranked(rows.select("lang", F.col("own.source").alias("source"), F.lit("pair").alias("part"), F.col("other.source").alias("item"), value.alias("value")))
 
 
-def _terms(terms: DataFrame, top: int) -> DataFrame:
-    own = F.zip_with(F.zip_with("sources", "c", lambda s, c: F.struct(s["source"].alias("source"), c.alias("c"))), "p", lambda s, p: F.struct(s["source"].alias("source"), s["c"].alias("c"), p.alias("p")))
-    rows = terms.select("lang", "term", "q", F.inline(F.filter(own, lambda g: (g["c"] > 0) & (g["p"] > F.col("q")))))
+def _looked_up(counts: Column):
+    return lambda source: F.coalesce(F.try_element_at(counts, source), F.lit(0).cast("long"))
+
+
+def _terms(langs: DataFrame, wide: DataFrame, top: int) -> DataFrame:
+    total = F.aggregate("own.n", F.lit(0).cast("long"), lambda x, n: x + n)
+    rows = wide.join(langs.select("lang", "lang_n", "v", F.map_from_entries("sources").alias("of")), "lang")
+    rows = rows.select("lang", "term", "v", "of", _share(total, F.col("lang_n"), F.col("v")).alias("q"), F.inline("own"))
+    rows = rows.withColumn("p", _share(F.col("n"), F.element_at("of", F.col("source")), F.col("v"))).filter("p > q")
     rows = rows.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _distance(F.col("p"), F.col("q")).alias("value"))
     return _ranked(rows).filter(F.col("rank") <= top)
