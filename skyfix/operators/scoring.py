@@ -25,21 +25,19 @@ def with_runner_up(scored: DataFrame, radius: float) -> DataFrame:
     """Adds runner_up: the geometric score of the next candidate, in geometric order, at another place.
 
     Two candidates stand at one place if both have positions (x, y) at most `radius` apart. A job has
-    a few dozen candidates at most, so they are held as one array per job and scanned in it.
+    a few dozen candidates at most, so they are one array per job, which is looked through from each candidate on.
     """
-    order = Window.partitionBy("job_id").orderBy(F.desc("geo"), "candidate_id")
-    ranked = scored.withColumn("_rk", F.row_number().over(order))
-    field = Window.partitionBy("job_id").orderBy("_rk").rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct("_rk", "geo", "x", "y")).over(field)
-    ranked = ranked.withColumn("_later", later)
-    here = F.col("x").isNotNull() & F.col("y").isNotNull() & F.lit(radius > 0)
-
-    def elsewhere(o):
-        near = F.sqrt(F.pow(o["x"] - F.col("x"), 2) + F.pow(o["y"] - F.col("y"), 2)) <= radius
-        return ~F.coalesce(here & near, F.lit(False))
-
-    runner = F.array_sort(F.filter("_later", elsewhere))
-    return ranked.withColumn("runner_up", F.get(runner, 0)["geo"]).drop("_later", "_rk")
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("geo")).alias("g"), F.col("candidate_id").alias("c"), F.struct(*[F.col(c) for c in scored.columns]).alias("r"))))
+    jobs = scored.groupBy("job_id").agg(rows.alias("_all"))
+
+    def with_next(e, i):
+        here, later = e["r"], F.slice("_all", i + 2, F.size("_all"))
+        placed = here["x"].isNotNull() & here["y"].isNotNull() & F.lit(radius > 0)
+        near = lambda o: F.sqrt(F.pow(o["r"]["x"] - here["x"], 2) + F.pow(o["r"]["y"] - here["y"], 2)) <= radius
+        other = F.filter(later, lambda o: ~F.coalesce(placed & near(o), F.lit(False)))
+        return F.struct(here.alias("r"), F.get(other, 0)["r"]["geo"].alias("runner_up"))
+
+    return jobs.select(F.inline(F.transform("_all", with_next))).select("r.*", "runner_up")
 
 
 def finalize(scored: DataFrame, radius: float) -> DataFrame:

@@ -102,10 +102,30 @@ def pair_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select("split", "name", F.col("path").alias("left_path")).join(right.select("split", "name", F.col("path").alias("right_path")), ["split", "name"])
 
 
+def numbered(rows: DataFrame, split: str = "split", name: str = "name", parts: int = 256) -> DataFrame:
+    """Adds place: each row's number (from 0) in its split by name, then by the other columns of the row.
+
+    The names are cut into about `parts` ranges at names of a sample (which decides how even they are, not the numbers). Rows are counted
+    by range, and numbered inside it from the count of those before: no split is sorted by one task. Null splits and names come first.
+    """
+    cuts = rows.filter(F.col(name).isNotNull()).select(name).distinct().orderBy(F.xxhash64(name), name).limit(parts).collect()
+    bounds = F.array(*[F.lit(c) for c in sorted((r[0] for r in cuts), key=lambda c: c.encode())]).cast("array<string>")
+    # the generator keeps the optimizer from moving the lambda into the join below
+    cut = rows.select(*rows.columns, F.explode(F.array(F.size(F.filter(bounds, lambda b: b <= F.col(name))))).alias("_range"))
+    counts = cut.groupBy(split, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each range: as many as there are cuts, for each split
+    before = Window.partitionBy(split).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(split).alias("_split"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(split, "_range").orderBy(name, *[c for c in rows.columns if c not in (split, name)])) - 1
+    placed = cut.withColumn("_own", own).join(counts, F.col(split).eqNullSafe(F.col("_split")) & (F.col("_range") == F.col("_of")))
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_own")).alias("place"))
+
+
 def usable_pairs(stats: DataFrame) -> DataFrame:
-    """Rows whose image is not null, empty or flat, numbered in name order as six digits (name, width, height, deviation)."""
-    kept = stats.filter((F.col("width") > 0) & (F.col("height") > 0) & (F.col("deviation") >= 1.0))
-    return kept.withColumn("number", F.lpad((F.row_number().over(Window.partitionBy("split").orderBy("name")) - 1).cast("string"), 6, "0"))
+    """Rows whose image is not null, empty or flat, numbered in name order as six digits and more (split, name, width, height, deviation)."""
+    kept = numbered(stats.filter((F.col("width") > 0) & (F.col("height") > 0) & (F.col("deviation") >= 1.0)))
+    digits = F.col("place").cast("string")
+    return kept.withColumn("number", F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0"))).drop("place")
 
 
 def side_by_side(width, height):
@@ -114,8 +134,9 @@ def side_by_side(width, height):
 
 
 def hash_split(names: DataFrame, share: float, key: str = "name") -> DataFrame:
-    """Adds split: val for about `share` of the names, by hash."""
-    return names.withColumn("split", F.when(F.pmod(F.xxhash64(key), F.lit(10_000)) < int(share * 10_000), "val").otherwise("train"))
+    """Adds split: val for about `share` of the names, by the first 32 bits of their MD5. A null name counts as ''."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return names.withColumn("split", F.when(bits % 10_000 < int(share * 10_000), "val").otherwise("train"))
 
 
 def image_metrics(pixels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfix.functions import geo, geometry, text
@@ -417,22 +417,38 @@ def finalize_rank(spark, sf_dir):
     return _rounded(scoring.finalize(_scored(spark, sf_dir), RADIUS).select("job_id", "candidate_id", "final", "rank"))
 
 
-@query()
-def cluster_assign(spark, sf_dir):
-    """The greedy fold; its oracle is a plain-Python twin in the tests."""
-    return clustering.assign(_scored(spark, sf_dir), RADIUS).select("job_id", "candidate_id", "cluster_id")
-
+_NEW = "{'n': 1, 'sx': x, 'sy': y, 'ids': [candidate_id::INT]}"
+_GROWN = "{'n': k.n + 1, 'sx': k.sx + x, 'sy': k.sy + y, 'ids': list_append(k.ids, candidate_id::INT)}"
+
+#: The greedy fold over each job's candidates, one step of the recursion for each place in their order.
+ASSIGNED = f"""
+WITH RECURSIVE scored AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS ord FROM ({FINAL})),
+placed AS MATERIALIZED (SELECT job_id, candidate_id, x, y, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS turn FROM scored WHERE x IS NOT NULL AND y IS NOT NULL),
+fold(job_id, turn, clusters) AS (
+  SELECT DISTINCT job_id, 0::BIGINT, []::STRUCT(n INT, sx DOUBLE, sy DOUBLE, ids INT[])[] FROM placed
+  UNION ALL
+  SELECT job_id, turn, CASE WHEN near IS NULL THEN list_append(clusters, {_NEW}) ELSE list_transform(clusters, lambda k, j: CASE WHEN j = list_position(far, near) THEN {_GROWN} ELSE k END) END FROM (
+    SELECT *, list_min(list_filter(far, lambda d: d <= {RADIUS}::DOUBLE)) AS near FROM (
+      SELECT f.job_id, p.turn, clusters, p.x::DOUBLE AS x, p.y::DOUBLE AS y, candidate_id, list_transform(clusters, lambda k: sqrt(pow(p.x - k.sx / k.n, 2) + pow(p.y - k.sy / k.n, 2))) AS far
+      FROM fold f JOIN placed p ON p.job_id = f.job_id AND p.turn = f.turn + 1))
+), ended AS (SELECT job_id, arg_max(clusters, turn) AS clusters FROM fold GROUP BY job_id),
+member AS (
+  SELECT job_id, n - 1 AS cluster_id, unnest(ids) AS candidate_id FROM (SELECT job_id, unnest(range(1, len(clusters) + 1)) AS n, unnest(list_transform(clusters, lambda k: k.ids)) AS ids FROM ended)
+  UNION ALL
+  SELECT s.job_id, coalesce(len(clusters), 0) + row_number() OVER (PARTITION BY s.job_id ORDER BY geo DESC, candidate_id) - 1, candidate_id FROM scored s LEFT JOIN ended ON ended.job_id = s.job_id WHERE x IS NULL OR y IS NULL
+)
+SELECT s.*, cluster_id::INT AS cluster_id FROM scored s JOIN member m ON m.job_id = s.job_id AND m.candidate_id = s.candidate_id
+"""
 
-# a cluster here is a cell of a coarse grid, so that SQL can state it
-CELLS = f"SELECT *, floor(coalesce(x, 2000) / 450)::INT * 8 + floor(y / 450)::INT AS cluster_id, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS ord FROM ({FINAL})"
 
+@query(f"SELECT job_id, candidate_id, cluster_id FROM ({ASSIGNED})")
+def cluster_assign(spark, sf_dir):
+    return clustering.assign(_scored(spark, sf_dir), RADIUS).select("job_id", "candidate_id", "cluster_id")
 
-def _cells(spark, sf_dir):
-    from pyspark.sql import Window
 
+def _assigned(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("geo"), "candidate_id"))
-    cell = (F.floor(F.coalesce("x", F.lit(2000.0)) / 450) * 8 + F.floor(F.col("y") / 450)).cast("int")
-    return scoring.finalize(_scored(spark, sf_dir), RADIUS).withColumn("cluster_id", cell).withColumn("order", order)
+    return clustering.assign(scoring.finalize(_scored(spark, sf_dir), RADIUS).withColumn("order", order), RADIUS)
 
 
 CLUSTERS = f"""
@@ -448,7 +464,7 @@ SELECT job_id, cluster_id, support, members, similarity, raw_matches, inliers, c
     first(shear ORDER BY valid DESC, partial DESC, CASE WHEN final > 0 THEN final ELSE geo END DESC, ord) AS shear,
     first(rejection ORDER BY valid DESC, partial DESC, CASE WHEN final > 0 THEN final ELSE geo END DESC, ord) AS rr,
     min_by(rejection, ord) FILTER (partial) AS pr
-  FROM ({CELLS}) GROUP BY 1, 2)
+  FROM ({ASSIGNED}) GROUP BY 1, 2)
 """
 
 
@@ -456,7 +472,7 @@ SELECT job_id, cluster_id, support, members, similarity, raw_matches, inliers, c
 SELECT job_id, cluster_id, support::INT AS support, members::INT AS members, round(similarity, 9) AS similarity, raw_matches::BIGINT AS raw_matches, inliers::BIGINT AS inliers, round(coverage, 9) AS coverage,
        round(error, 9) AS error, valid, partial, representative_id, tile_id, round(shear, 9) AS shear, round(ratio, 9) AS ratio, rejection FROM ({CLUSTERS})""")
 def cluster_aggregate(spark, sf_dir):
-    return _rounded(clustering.aggregate(_cells(spark, sf_dir)))
+    return _rounded(clustering.aggregate(_assigned(spark, sf_dir)))
 
 
 RANKED_0 = f"SELECT *, {r_retrieval('similarity')} AS c_retrieval, {r_inliers('inliers', 'ratio')} AS c_inliers, {r_geometry('error', 'shear', 'valid')} AS c_geometry, {r_coverage('coverage')} AS c_coverage, {sat('greatest(support - 1, 0)', 1.0)} AS c_consensus FROM ({CLUSTERS})"
@@ -469,19 +485,19 @@ RANKED = f"SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY final DESC,
 
 @query(f"SELECT job_id, cluster_id, round(geo, 9) AS geo, round(final, 9) AS final, rank::INT AS rank FROM ({RANKED})")
 def cluster_rank(spark, sf_dir):
-    return _rounded(clustering.rank(clustering.aggregate(_cells(spark, sf_dir))).select("job_id", "cluster_id", "geo", "final", "rank"))
+    return _rounded(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir))).select("job_id", "cluster_id", "geo", "final", "rank"))
 
 
 @query(f"SELECT job_id, cluster_id, round(final, 9) AS final FROM ({RANKED}) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY valid DESC, partial DESC, rank) = 1")
 def best_cluster(spark, sf_dir):
-    return _rounded(clustering.best(clustering.rank(clustering.aggregate(_cells(spark, sf_dir)))).select("job_id", "cluster_id", "final"))
+    return _rounded(clustering.best(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir)))).select("job_id", "cluster_id", "final"))
 
 
 @query(f"""
 SELECT job_id, cluster_id, round(sum(x * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9) AS center_x, round(sum(y * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9) AS center_y
-FROM ({CELLS}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2""")
+FROM ({ASSIGNED}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2""")
 def weighted_geometry(spark, sf_dir):
-    return _rounded(clustering.weighted_center(_cells(spark, sf_dir)))
+    return _rounded(clustering.weighted_center(_assigned(spark, sf_dir)))
 
 
 @query(f"""
@@ -494,7 +510,7 @@ SELECT job_id, best_cluster, round(score, 9) AS score, round(runner_score, 9) AS
 FROM (SELECT *, CASE WHEN score IS NULL OR score < 0.40::DOUBLE THEN 'NO_MATCH' WHEN score - runner_score < 0.06::DOUBLE AND runner_score >= 0.40::DOUBLE THEN 'AMBIGUOUS'
   WHEN score >= 0.60::DOUBLE THEN 'MATCH_FOUND' ELSE 'LOW_CONFIDENCE' END AS status FROM j LEFT JOIN b USING (job_id))""")
 def decide(spark, sf_dir):
-    out = verdict.decide(clustering.rank(clustering.aggregate(_cells(spark, sf_dir))))
+    out = verdict.decide(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir))))
     return _rounded(out.withColumn("message", verdict.message(F.col("status"))).withColumn("accepted", verdict.accepted(F.col("status"))))
 
 
@@ -712,7 +728,7 @@ def pair_join(spark, sf_dir):
     return evaluation.pair_join(left, right)
 
 
-@query()
+@query("SELECT c_name AS name, CASE WHEN ('0x' || substr(md5(c_name), 1, 8))::BIGINT % 10000 < 2500 THEN 'val' ELSE 'train' END AS split FROM customer")
 def hash_split(spark, sf_dir):
     return evaluation.hash_split(_table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")), 0.25)
 
@@ -894,24 +910,24 @@ def project_candidates(spark, sf_dir):
 
 @query(f"SELECT job_id, cluster_id, rank::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, support::INT AS support FROM ({RANKED})")
 def project_clusters(spark, sf_dir):
-    return results.clusters(clustering.rank(clustering.aggregate(_cells(spark, sf_dir)))).select("job_id", "cluster_id", "rank", "verdict", "rejection", "support")
+    return results.clusters(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir)))).select("job_id", "cluster_id", "rank", "verdict", "rejection", "support")
 
 
 BEST = f"SELECT * FROM ({RANKED}) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY valid DESC, partial DESC, rank) = 1"
 
 
-@query(f"SELECT job_id, array_to_string(list_sort(list(tile_id) FILTER (valid)), ',') AS member_tile_ids, count(*) FILTER (valid) AS supporting FROM (SELECT c.* FROM ({CELLS}) c JOIN (SELECT job_id, cluster_id FROM ({BEST})) b USING (job_id, cluster_id)) GROUP BY 1")
+@query(f"SELECT job_id, array_to_string(list_sort(list(tile_id) FILTER (valid)), ',') AS member_tile_ids, count(*) FILTER (valid) AS supporting FROM (SELECT c.* FROM ({ASSIGNED}) c JOIN (SELECT job_id, cluster_id FROM ({BEST})) b USING (job_id, cluster_id)) GROUP BY 1")
 def supporting_members(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = _assigned(spark, sf_dir)
     out = results.supporting_members(cells, clustering.best(clustering.rank(clustering.aggregate(cells))))
     return out.withColumn("member_tile_ids", F.when(F.col("supporting") > 0, F.array_join("member_tile_ids", ",")))
 
 
 @query(f"""
-WITH r AS ({RANKED}), n AS (SELECT *, max(valid::INT) OVER (PARTITION BY job_id) AS av FROM (SELECT c.* FROM ({CELLS}) c JOIN r USING (job_id, cluster_id) WHERE r.rank <= 2))
+WITH r AS ({RANKED}), n AS (SELECT *, max(valid::INT) OVER (PARTITION BY job_id) AS av FROM (SELECT c.* FROM ({ASSIGNED}) c JOIN r USING (job_id, cluster_id) WHERE r.rank <= 2))
 SELECT job_id, candidate_id, pick::INT AS pick FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY geo DESC, candidate_id) AS pick FROM n WHERE av = 0 OR valid) WHERE pick <= 3""")
 def refine_set(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = _assigned(spark, sf_dir)
     ranked = clustering.rank(clustering.aggregate(cells))
     rows = results.with_clusters(cells.drop("cluster_id"), cells, ranked)
     return scoring.refine_set(rows).select("job_id", "candidate_id", "pick")
@@ -938,8 +954,8 @@ def epoch_means(spark, sf_dir):
 @query("SELECT p_brand AS split, p_name AS name, lpad((row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) - 1)::VARCHAR, 6, '0') AS number FROM part WHERE p_size > 3 AND p_retailprice % 7 >= 1 AND abs(p_size - 2 * 12) <= 4")
 def usable_pairs(spark, sf_dir):
     part = _table(spark, sf_dir, "part").filter(evaluation.side_by_side(F.col("p_size"), F.lit(12)))
-    stats = part.select(F.col("p_brand").alias("split"), F.struct("p_name", "p_partkey").alias("name"), F.when(F.col("p_size") > 3, F.col("p_size")).otherwise(0).alias("width"), F.lit(12).alias("height"), (F.col("p_retailprice") % 7).alias("deviation"))
-    return evaluation.usable_pairs(stats).select("split", F.col("name.p_name").alias("name"), "number")
+    stats = part.select(F.col("p_brand").alias("split"), F.col("p_name").alias("name"), "p_partkey", F.when(F.col("p_size") > 3, F.col("p_size")).otherwise(0).alias("width"), F.lit(12).alias("height"), (F.col("p_retailprice") % 7).alias("deviation"))
+    return evaluation.usable_pairs(stats).select("split", "name", "number")
 
 
 @query("SELECT user_id AS image_id, event_id AS kp_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 20")
@@ -979,10 +995,10 @@ def branch_status(spark, sf_dir):
 
 
 @query(f"""
-WITH b AS ({BEST}), c AS (SELECT job_id, cluster_id, sum(x * greatest(inliers, 1)) / sum(greatest(inliers, 1)) AS cx, sum(y * greatest(inliers, 1)) / sum(greatest(inliers, 1)) AS cy FROM ({CELLS}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2)
+WITH b AS ({BEST}), c AS (SELECT job_id, cluster_id, sum(x * greatest(inliers, 1)) / sum(greatest(inliers, 1)) AS cx, sum(y * greatest(inliers, 1)) / sum(greatest(inliers, 1)) AS cy FROM ({ASSIGNED}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2)
 SELECT d.job_id, d.status, CASE WHEN d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') THEN round_even(cx, 0)::INT END AS px, CASE WHEN d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') THEN round_even(cy, 0)::INT END AS py FROM ({SQL['decide']}) d LEFT JOIN b USING (job_id) LEFT JOIN c ON c.job_id = b.job_id AND c.cluster_id = b.cluster_id""")
 def result_document(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = _assigned(spark, sf_dir)
     ranked = clustering.rank(clustering.aggregate(cells))
     out = results.document(verdict.decide(ranked), clustering.best(ranked), clustering.weighted_center(cells), results.candidates(cells))
     return out.select("job_id", "status", "px", "py")
@@ -996,7 +1012,7 @@ SELECT d.job_id, d.status, d.message, d.reason, {settled('coalesce(d.score, 0)')
 FROM ({SQL['decide']}) d JOIN b USING (job_id) JOIN n USING (job_id) JOIN k USING (job_id) JOIN ({SQL['supporting_members']}) m USING (job_id)""")
 def result_body(spark, sf_dir):
     """The JSON document of every job, read back."""
-    cells = _cells(spark, sf_dir)
+    cells = _assigned(spark, sf_dir)
     ranked = clustering.rank(clustering.aggregate(cells))
     best = clustering.best(ranked)
     rows = results.with_clusters(results.candidates(cells), cells, ranked)
@@ -1078,9 +1094,9 @@ def representation_best(spark, sf_dir):
 
 @query(f"""
 SELECT job_id, list([round(x, 1), round(y, 1)] ORDER BY candidate_id) AS points FROM (
-  SELECT c.* FROM ({CELLS}) c JOIN ({BEST}) b USING (job_id, cluster_id) JOIN ({SQL['decide']}) d ON d.job_id = c.job_id WHERE d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') AND c.x IS NOT NULL) GROUP BY 1""")
+  SELECT c.* FROM ({ASSIGNED}) c JOIN ({BEST}) b USING (job_id, cluster_id) JOIN ({SQL['decide']}) d ON d.job_id = c.job_id WHERE d.status IN ('MATCH_FOUND', 'LOW_CONFIDENCE') AND c.x IS NOT NULL) GROUP BY 1""")
 def inlier_evidence(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = _assigned(spark, sf_dir)
     ranked = clustering.rank(clustering.aggregate(cells))
     members = cells.join(clustering.best(ranked).select("job_id", "cluster_id"), ["job_id", "cluster_id"])
     points = cells.filter("x is not null").select("job_id", "candidate_id", F.lit(0).alias("point_id"), "x", "y")

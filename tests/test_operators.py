@@ -1,6 +1,7 @@
 """Examples and edge cases that the SQL twins cannot catch."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skyfix.functions import geo
 from skyfix.functions import scores as S
-from skyfix.operators import clustering, matching, retrieval, tiling, verdict
-from skyfix.plans import mission, results
+from skyfix.operators import clustering, matching, retrieval, scoring, tiling, verdict
+from skyfix.plans import evaluation, mission, results
 from skyfix.sources import registry
 
 
@@ -299,3 +300,29 @@ def test_mission_documents(spark):
     assert a["bounds"] == {"north": 12.5, "south": 12.5, "west": 77.5, "east": 77.5}
     assert a["suggested_georeference"] == {"north": 12.5001, "south": 12.4999, "west": 77.4999, "east": 77.5001}
     assert got["b"]["waypoints"] == [] and "bounds" not in got["b"] and len(got["b"]["warnings"]) == 2
+
+
+def test_numbers_run_through_each_split_in_name_order(spark):
+    rng = random.Random(4)
+    names = [None, "", "é", "z" * 50] + [f"{rng.randrange(300):03d}" for _ in range(500)]
+    rows = [(rng.choice(("a", "b", None)), n, i) for i, n in enumerate(names)]
+    frame = spark.createDataFrame(rows, "split string, name string, other int")
+    for parts in (1, 7, 256):
+        got = {(r.split, r.place): (r.name, r.other) for r in evaluation.numbered(frame, parts=parts).collect()}
+        assert len(got) == len(rows)
+        for split in ("a", "b", None):
+            own = sorted(((n is not None, (n or "").encode(), i), n, i) for s, n, i in rows if s == split)
+            assert [got[split, k] for k in range(len(own))] == [(n, i) for _, n, i in own]
+    assert evaluation.numbered(frame.limit(0)).collect() == []
+
+
+def test_the_next_place_of_every_candidate(spark):
+    rng = random.Random(5)
+    rows = [(j, c, rng.choice((0.1, 0.5, 0.9)), None if rng.random() < 0.2 else float(rng.randrange(6)), float(rng.randrange(6))) for j in range(30) for c in range(rng.randrange(1, 12))]
+    frame = spark.createDataFrame(rows, "job_id int, candidate_id int, geo double, x double, y double")
+    for radius in (0.0, 1.5, 3.0):
+        got = {(r.job_id, r.candidate_id): r.runner_up for r in scoring.with_runner_up(frame, radius).collect()}
+        for j, c, geo, x, y in rows:
+            later = sorted(((-g, d, a, b) for k, d, g, a, b in rows if k == j and (-g, d) > (-geo, c)), key=lambda t: t[:2])
+            other = [-g for g, _, a, b in ((g, d, a, b) for g, d, a, b in later) if not (radius > 0 and None not in (x, y, a, b) and ((a - x) ** 2 + (b - y) ** 2) ** 0.5 <= radius)]
+            assert got[j, c] == (other[0] if other else None)
