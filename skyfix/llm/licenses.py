@@ -1,11 +1,11 @@
 """License scans: phrase places, and an exact set-similarity join of text blocks with notices.
 
-DataFrame expressions only. A block is a run of words: with L the words of the longest template, blocks of 2 L
-words start at every L-th word, so any run of up to L + 1 words lies whole in a block, however its
-lines are wrapped or its paragraphs are cut. A block's token set is compared with each template's:
-containment is the share of the template's distinct tokens that the block has, and a pair counts
-from `threshold` on. Tokens outside the templates' vocabulary cannot add to a containment, so a
-block is its set of vocabulary tokens, and blocks with fewer of them than any template needs are dropped. The others are
+DataFrame expressions only. Templates are of length classes: L is the least multiple of STEP that is no less than the template's
+words. For each class, blocks of 2 L words start at every L-th word, so any run of up to L + 1 words lies whole in a block, however its
+lines are wrapped or its paragraphs are cut, and a short notice is not put together from a long stretch. A block's token set is compared
+with each template's of its class: containment is the share of the template's distinct tokens that the block has, and a pair counts
+from `threshold` on. Tokens outside the class's vocabulary cannot add to a containment, so a
+block is its set of vocabulary tokens, and blocks with fewer of them than any template of the class needs are dropped. The others are
 ordered by global frequency (the number of such blocks of the corpus that have the token), rarest first.
 
 A text is split into words once: the pass that finds the phrases' places also yields the blocks.
@@ -36,21 +36,23 @@ from skyfix.llm.common import materialise
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices that the set-similarity join looks for.
+# License texts and notices that the set-similarity join looks for, as words.
 TEMPLATES = {
-    "apache-notice": "licensed under the apache license version 2 0",
-    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-notice": "this work is licensed under a creative commons attribution 4 0 international license",
-    "gpl-notice": "this work is licensed under the gnu general public license version 3",
-    "isc-notice": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "unlicense-notice": "this is free and unencumbered software released into the public domain",
+    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "cc-notice": "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0 or send a letter to creative commons po box 1866 mountain view ca 94042 usa",
+    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    "isc-notice": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "unlicense-notice": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
 
 #: Separators between words, after A-Z are lower-cased.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Words by which the length classes of templates differ.
+STEP = 16
 
 
 def lower_ascii(text: Column) -> Column:
@@ -96,36 +98,43 @@ def _named(label: str):
 
 
 class Templates:
-    """Token sets of the templates, their vocabulary, the least overlap that any needs, and the stride of blocks."""
+    """Token sets of the templates, the least overlap that each needs, and by class (stride): vocabulary and least overlap that any needs."""
 
     def __init__(self, texts: dict[str, str], threshold: float):
         self.sets = {label: sorted(set(text.split())) for label, text in texts.items()}
         self.overlap = {label: needed(len(s), threshold) for label, s in self.sets.items()}
-        self.vocabulary = sorted({t for s in self.sets.values() for t in s})
-        self.least = min(self.overlap.values(), default=1)
-        self.stride = max((len(text.split()) for text in texts.values()), default=1)
+        self.stride = {label: max(STEP, -(-len(text.split()) // STEP) * STEP) for label, text in texts.items()}
+        self.classes = sorted(set(self.stride.values()))
+        of = lambda stride: [label for label, own in self.stride.items() if own == stride]
+        self.vocabulary = {c: sorted({t for label in of(c) for t in self.sets[label]}) for c in self.classes}
+        self.least = {c: min(self.overlap[label] for label in of(c)) for c in self.classes}
 
     def blocks(self) -> Column:
-        """From the array of words w: the vocabulary tokens (a set) of each block that has enough of them."""
-        known = F.array(*map(F.lit, self.vocabulary)).cast("array<string>")
-        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(self.stride))
-        sets = F.transform(starts, lambda i: F.array_intersect(known, F.slice("w", i + 1, 2 * self.stride)))
-        return F.array_distinct(F.filter(sets, lambda b: F.size(b) >= self.least))
+        """From the array of words w: stride and vocabulary tokens (a set) of each block that has enough of them."""
+        return F.concat(*map(self._of_class, self.classes)) if self.classes else F.array().cast("array<struct<stride:int,tokens:array<string>>>")
+
+    def _of_class(self, stride: int) -> Column:
+        known = F.array(*map(F.lit, self.vocabulary[stride])).cast("array<string>")
+        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(stride))
+        sets = F.transform(starts, lambda i: F.array_intersect(known, F.slice("w", i + 1, 2 * stride)))
+        enough = F.array_distinct(F.filter(sets, lambda b: F.size(b) >= self.least[stride]))
+        return F.transform(enough, lambda b: F.struct(F.lit(stride).alias("stride"), b.alias("tokens")))
 
 
 def matches(blocks: DataFrame, templates: Templates) -> DataFrame:
     """doc_id, text_hash, label, containment of each template that a block (column block) of a row meets."""
-    counts = {r["t"]: r["n"] for r in blocks.select(F.explode("block").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    vocabulary = sorted(templates.vocabulary, key=lambda t: (counts.get(t, 0), t))
+    counts = {r["t"]: r["n"] for r in blocks.select(F.explode("block.tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    vocabulary = sorted({t for s in templates.sets.values() for t in s}, key=lambda t: (counts.get(t, 0), t))
     rank = {t: i for i, t in enumerate(vocabulary)}
     ordered = {label: sorted(s, key=rank.__getitem__) for label, s in templates.sets.items()}
-    index = [(t, label, i, len(s), templates.overlap[label], s) for label, s in ordered.items() for i, t in enumerate(s[: len(s) - templates.overlap[label] + 1])]
-    index = blocks.sparkSession.createDataFrame(index, "token string, label string, i int, t_size int, overlap int, template array<string>")
-    by_rank = F.array_intersect(F.array(*map(F.lit, vocabulary)).cast("array<string>"), "block")
-    ranked = blocks.select("doc_id", "text_hash", by_rank.alias("block"))
-    prefix = F.posexplode(F.slice("block", F.lit(1), F.size("block") - templates.least + 1)).alias("j", "token")
-    probed = ranked.select("doc_id", "text_hash", "block", F.size("block").alias("b_size"), prefix)
-    pairs = probed.join(F.broadcast(index), "token")
+    index = [(t, templates.stride[label], label, i, len(s), templates.overlap[label], s) for label, s in ordered.items() for i, t in enumerate(s[: len(s) - templates.overlap[label] + 1])]
+    index = blocks.sparkSession.createDataFrame(index, "token string, stride int, label string, i int, t_size int, overlap int, template array<string>")
+    by_rank = F.array_intersect(F.array(*map(F.lit, vocabulary)).cast("array<string>"), "block.tokens")
+    ranked = blocks.select("doc_id", "text_hash", "block.stride", by_rank.alias("block"))
+    least = F.element_at(F.create_map(*(F.lit(x) for c in templates.least.items() for x in c)), F.col("stride")) if templates.classes else F.lit(1)
+    prefix = F.posexplode(F.slice("block", F.lit(1), F.size("block") - least + 1)).alias("j", "token")
+    probed = ranked.select("doc_id", "text_hash", "stride", "block", F.size("block").alias("b_size"), prefix)
+    pairs = probed.join(F.broadcast(index), ["token", "stride"])
     pairs = pairs.filter((F.col("b_size") >= F.col("overlap")) & (F.col("j") <= F.col("b_size") - F.col("overlap")))
     bound = F.least("i", "j") + 1 + F.least(F.col("t_size") - F.col("i") - 1, F.col("b_size") - F.col("j") - 1)
     pairs = pairs.filter(bound >= F.col("overlap"))

@@ -134,8 +134,8 @@ FROM c GROUP BY conv_id
 def _license_sql() -> str:
     phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()!r} AS p" for p, label in licenses.PHRASES.items())
     sets = {label: sorted(set(t.split())) for label, t in licenses.TEMPLATES.items()}
-    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {t!r} AS t, {licenses.needed(len(t), licenses.THRESHOLD)} AS o" for label, t in sets.items())
-    stride = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD).stride
+    own = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    templates = " UNION ALL ".join(f"SELECT '{label}' AS label, {own.stride[label]} AS stride, {t!r} AS t, {licenses.needed(len(t), licenses.THRESHOLD)} AS o" for label, t in sets.items())
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     split = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""
@@ -145,9 +145,10 @@ found AS (
   SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - len(p) + 1), lambda i: ws[i + 1:i + len(p)] = p)) AS pos FROM d, p WHERE list_contains(ws, p[1])
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM found GROUP BY doc_id
-), lines AS (SELECT doc_id, unnest(list_transform(range(0, greatest(len(ws), 1)::BIGINT, {stride}), lambda i: ws[i + 1:i + {2 * stride}])) AS b FROM d),
-met AS (
-  SELECT doc_id, label, len(list_intersect(b, t)) / len(t)::DOUBLE AS c FROM lines, t WHERE len(list_intersect(b, t)) >= o
+), lines AS (
+  SELECT doc_id, stride, unnest(list_transform(range(0, greatest(len(ws), 1)::BIGINT, stride), lambda i: ws[i + 1:i + 2 * stride])) AS b FROM d, (SELECT unnest({own.classes}) AS stride)
+), met AS (
+  SELECT doc_id, label, len(list_intersect(b, t)) / len(t)::DOUBLE AS c FROM lines JOIN t USING (stride) WHERE len(list_intersect(b, t)) >= o
 ), more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM met GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, array_to_string(coalesce(base.labels, []), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,

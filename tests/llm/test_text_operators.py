@@ -234,7 +234,7 @@ def test_mix_of_rows_that_share_an_id(spark):
 
 def test_license_edges(spark):
     notice = licenses.TEMPLATES["gpl-notice"]
-    rows = [(1, None, "a"), (2, "", "a"), (3, "MIT License, mit-LICENSE", "a"), (4, "text\nThis WORK is licensed under the GNU General Public License, version 3.", "a"), (5, notice.rsplit(" ", 3)[0], "a"), (5, "mit\nlicense", "a")]
+    rows = [(1, None, "a"), (2, "", "a"), (3, "MIT License, mit-LICENSE", "a"), (4, "text\nThis PROGRAM" + notice.removeprefix("this program"), "a"), (5, notice.rsplit(" ", 3)[0], "a"), (5, "mit\nlicense", "a")]
     got = collections.defaultdict(list)
     for r in licenses.scan(docs_of(spark, rows)).collect():
         got[r.doc_id].append(r)
@@ -247,6 +247,21 @@ def test_license_edges(spark):
     assert [r.labels for r in licenses.scan(docs_of(spark, [(1, "x y " * 500 + wrapped + " z" * 9000, "a")])).collect()] == [["mit-notice"]]
 
 
+def test_other_licenses_and_loose_words_are_no_notice(spark):
+    texts = ["licensed under the GNU General Public License version 2.0", "Licensed under the Mozilla Public License, Version 2.0", "Licensed under the Apache-like terms 2.0 of some version"]
+    texts += ["Version 2.0.1 of the license manager: users under the 2 seat plan are licensed; apache httpd 0.9"]
+    texts += [" filler more filler ".join(licenses.TEMPLATES["mpl-notice"].split()), " ".join(sorted(licenses.TEMPLATES["mit-notice"].split())[:40])]
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+    // you may not use this file except in compliance with the License. You may obtain a copy of the License at
+    //     http://www.apache.org/licenses/LICENSE-2.0
+    // Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+    // "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language."""
+    rows = [(i, t, "a") for i, t in enumerate([*texts, apache, "x " * 300 + apache + " y" * 300])]
+    got = {r.doc_id: r.labels for r in licenses.scan(docs_of(spark, rows)).collect()}
+    assert not any("notice" in label for i in range(len(texts)) for label in got[i])
+    assert got[len(texts)] == got[len(texts) + 1] == ["apache", "apache-notice"]
+
+
 def test_set_join_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     vocabulary = sorted({t for x in licenses.TEMPLATES.values() for t in x.split()})
@@ -255,9 +270,9 @@ def test_set_join_matches_brute_force(spark):
         label = list(licenses.TEMPLATES)[i % len(licenses.TEMPLATES)]
         own = [t for t in licenses.TEMPLATES[label].split() if rng.random() < 0.85] + rng.choice(vocabulary, 3).tolist()
         rows.append((i, "noise words\n" + "\n\n".join(own) + " tail" * (i % 90), "a"))
-    stride = max(len(x.split()) for x in licenses.TEMPLATES.values())
-    blocks = lambda w: [w[i : i + 2 * stride] for i in range(0, len(w), stride)]
-    wanted = {(i, label) for i, t, _ in rows for label, x in licenses.TEMPLATES.items() for block in blocks(t.split()) if len(set(block) & set(x.split())) >= licenses.needed(len(set(x.split())), 0.8)}
+    stride = licenses.Templates(licenses.TEMPLATES, 0.8).stride
+    blocks = lambda w, n: [w[i : i + 2 * n] for i in range(0, len(w), n)]
+    wanted = {(i, label) for i, t, _ in rows for label, x in licenses.TEMPLATES.items() for block in blocks(t.split(), stride[label]) if len(set(block) & set(x.split())) >= licenses.needed(len(set(x.split())), 0.8)}
     got = {(r.doc_id, r.label) for r in licenses.block_labels(docs_of(spark, rows), licenses.TEMPLATES).collect()}
     assert got == wanted and got
 
