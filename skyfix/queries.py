@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyfix.functions import geo, geometry, text
 from skyfix.functions import scores as S
-from skyfix.operators import clustering, drawing, index, matching, raster, regions, retrieval, scoring, tiling, verdict
+from skyfix.operators import clustering, descriptors, drawing, index, matching, raster, regions, retrieval, scoring, tiling, verdict
 from skyfix.plans import evaluation, mission, results
 from skyfix.sources import registry
 from skyfix.sources import standins as X
@@ -1275,3 +1275,43 @@ def drawn_figures(spark, sf_dir):
     sizes = f.select("image_id", F.lit(60).alias("width"), F.lit(48).alias("height"))
     out = drawing.composited(drawing.pixels(f.select("image_id", F.inline(F.array(*shapes))), sizes))
     return out.select("image_id", "x", "y", F.round("r", 6).alias("r"), F.round("keep", 6).alias("keep"))
+
+
+# ---------------------------------------------------------------- descriptors
+
+#: Each vector as an image of 8 by 8 grey pixels, and five overlapping tiles of it.
+_PIXEL = "((CAST(floor({v} * 1000e0) AS BIGINT) % 256) + 256) % 256"
+_BOXES = ((0, 0, 8, 8), (0, 0, 5, 4), (1, 2, 4, 6), (3, 3, 5, 5), (6, 6, 4, 2))
+
+
+@query(f"""
+WITH p AS (
+  SELECT vec_id AS image_id, (n - 1) // 8 AS y, (n - 1) % 8 AS x, ({_PIXEL.format(v="embedding[n]::DOUBLE")})::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS n FROM embeddings)
+), im AS (SELECT image_id, list(v * 1000 ORDER BY y, x) AS g FROM p GROUP BY image_id),
+q AS (
+  SELECT p.image_id, x, y, v, g, CASE WHEN x = 0 THEN 1 ELSE x - 1 END AS l, CASE WHEN x = 7 THEN 6 ELSE x + 1 END AS r, CASE WHEN y = 0 THEN 1 ELSE y - 1 END AS u, CASE WHEN y = 7 THEN 6 ELSE y + 1 END AS d FROM p JOIN im USING (image_id)
+), s AS (
+  SELECT image_id, x, y, v, (g[u * 8 + r + 1] + 2 * g[y * 8 + r + 1] + g[d * 8 + r + 1]) - (g[u * 8 + l + 1] + 2 * g[y * 8 + l + 1] + g[d * 8 + l + 1]) AS gx,
+         (g[d * 8 + l + 1] + 2 * g[d * 8 + x + 1] + g[d * 8 + r + 1]) - (g[u * 8 + l + 1] + 2 * g[u * 8 + x + 1] + g[u * 8 + r + 1]) AS gy FROM q
+), h AS (SELECT *, sqrt(gx * gx + gy * gy) / 255000 AS w, (degrees(atan2(gy, gx)) + 180.0::DOUBLE) % 180.0::DOUBLE AS turn FROM s),
+b AS (SELECT *, least(floor(turn / 20.0::DOUBLE), 8)::INT AS bin FROM h),
+t(tile_id, tx, ty, tw, th) AS (VALUES {", ".join(f"({i}, {', '.join(map(str, box))})" for i, box in enumerate(_BOXES))}),
+c AS (
+  SELECT tile_id, j * 2 + i AS cell, least(tx + floor(tw * i / 2.0)::INT, 8) AS x0, least(tx + floor(tw * (i + 1) / 2.0)::INT, 8) AS x1, least(ty + floor(th * j / 2.0)::INT, 8) AS y0, least(ty + floor(th * (j + 1) / 2.0)::INT, 8) AS y1
+  FROM t, (SELECT unnest([0, 1]) AS i) i, (SELECT unnest([0, 1]) AS j) j
+), sums AS (
+  SELECT im.image_id, tile_id, cell, count(b.x) AS n, coalesce(sum(w), 0) AS w, {", ".join(f"coalesce(sum(w) FILTER (bin = {k}), 0) AS b{k}" for k in range(9))}, coalesce(avg(v), 0) AS mean, coalesce(avg(v * v), 0) AS square
+  FROM im CROSS JOIN c LEFT JOIN b ON b.image_id = im.image_id AND b.x >= x0 AND b.x < x1 AND b.y >= y0 AND b.y < y1 GROUP BY ALL
+)
+SELECT image_id, tile_id, cell, {", ".join(f"round(CASE WHEN w > 1e-6 THEN b{k} / w ELSE 0 END, 6) AS b{k}" for k in range(9))}, round(mean / 255, 6) AS mean, round(sqrt(greatest(square - mean * mean, 0)) / 255, 6) AS spread FROM sums
+""")
+def tile_descriptors(spark, sf_dir):
+    """The cells' figures of overlapping tiles, from summed-area tables."""
+    grey = F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 1000), F.lit(256)).cast("double"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), grey.alias("g"))
+    line = rows.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), "g").select("image_id", "y", F.slice("g", F.col("y") * 8 + 1, 8).alias("r"))
+    lines = line.select("image_id", "y", "r", F.col("r").alias("g"), F.col("r").alias("b"))
+    boxes = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("tile_id", "x", "y", "width", "height"), (i, *box), strict=True))) for i, box in enumerate(_BOXES)))
+    sizes = rows.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"))
+    of = descriptors.figures(descriptors.cells(descriptors.summed(descriptors.gradients(lines)), rows.select("image_id", F.inline(boxes)), sizes, grid=2))
+    return of.select("image_id", "tile_id", "cell", *(F.round(F.get("figures", k), 6).alias(f"b{k}") for k in range(9)), F.round(F.get("figures", 11), 6).alias("mean"), F.round(F.get("figures", 12), 6).alias("spread"))
