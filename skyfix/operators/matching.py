@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -96,12 +98,14 @@ def _unit(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (p - mean) * s[:, None, None], move
 
 
-def solve_homographies(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Least-squares direct linear transforms of many sets (sets, points, 2) at once; NaN where the points do not fix one."""
+def solve_homographies(q: np.ndarray, t: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Least-squares direct linear transforms of many sets (sets, points, 2) at once; NaN where the points do not fix one. weights: sets, points."""
     (a, ta), (b, tb) = _unit(q), _unit(t)
     x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
     one, nil = np.ones_like(x), np.zeros_like(x)
     rows = np.concatenate([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 2), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 2)], axis=1)
+    if weights is not None:
+        rows = rows * np.sqrt(np.concatenate([weights, weights], axis=1))[:, :, None]
     out = np.full((len(q), 3, 3), np.nan)
     good = np.flatnonzero(np.isfinite(rows).all(axis=(1, 2)))
     # four points give eight rows, whose null space only the full factors hold
@@ -128,15 +132,63 @@ def transfer_errors(h: np.ndarray, q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(e), e, np.inf)
 
 
+#: Standard deviations within which a point supports a transform, and places of the table of support.
+REACH, _PLACES = 3.64, 2048
+
+
+def _gamma(x: float) -> float:
+    """The upper incomplete gamma function of 3/2."""
+    return 0.5 * math.sqrt(math.pi) * math.erfc(math.sqrt(x)) + math.sqrt(x) * math.exp(-x)
+
+
+_SUPPORT = np.array([_gamma((REACH * i / _PLACES) ** 2 / 2) for i in range(_PLACES + 1)])
+_SUPPORT = (_SUPPORT - _SUPPORT[-1]) / (_SUPPORT[0] - _SUPPORT[-1])
+
+
+def support(errors: np.ndarray, threshold: float) -> np.ndarray:
+    """How well points with these errors fit: 1 at 0, falling to 0 at the threshold and beyond.
+
+    The noise is not known, only that it is at most threshold / REACH, so the likelihood of an error is averaged over all levels up to that (a
+    residual of four numbers; the average is an incomplete gamma function).
+    """
+    return np.interp(np.minimum(errors / threshold, 1.0), np.linspace(0, 1, _PLACES + 1), _SUPPORT)
+
+
+def _fours(n: int, rounds: int, seed: int) -> np.ndarray:
+    """Random fours of n places, or each of them once where there are no more than `rounds`."""
+    draw = np.random.default_rng(seed)
+    every = comb(n, 4) <= rounds
+    return np.array(list(combinations(range(n), 4)) if every else [draw.choice(n, 4, replace=False) for _ in range(rounds)])
+
+
+def marginal_consensus(q: np.ndarray, t: np.ndarray, threshold: float, seed: int, rounds: int = 1000) -> tuple[np.ndarray | None, np.ndarray]:
+    """The homography with the most support over random fours, refined by least squares that weigh each point by its support.
+
+    Points within the threshold of the result are inliers.
+    """
+    found = solve_homographies(q[fours := _fours(len(q), rounds, seed)], t[fours])
+    found = found[~np.isnan(found).any(axis=(1, 2))]
+    if not len(found):
+        return None, np.zeros(len(q), bool)
+    step = max(1, _CELL // (4 * len(q)))
+    held = np.concatenate([support(transfer_errors(found[i : i + step], q, t), threshold).sum(axis=1) for i in range(0, len(found), step)])
+    best, most = found[held.argmax()], held.max()
+    for _ in range(10):
+        w = support(transfer_errors(best, q, t), threshold)
+        if (w > 0).sum() < 4 or np.isnan(h := solve_homographies(q[None], t[None], w[None])[0]).any():
+            break
+        if (now := support(transfer_errors(h, q, t), threshold).sum()) <= most:
+            break
+        best, most = h, now
+    return best, transfer_errors(best, q, t) <= threshold
+
+
 def ransac(q: np.ndarray, t: np.ndarray, threshold: float, seed: int, rounds: int = 500) -> tuple[np.ndarray | None, np.ndarray]:
     """The homography with the least truncated error over random fours, refined on its inliers.
 
     Where there are no more than `rounds` fours, each is tried once.
     """
-    draw = np.random.default_rng(seed)
-    every = comb(len(q), 4) <= rounds
-    fours = np.array(list(combinations(range(len(q)), 4)) if every else [draw.choice(len(q), 4, replace=False) for _ in range(rounds)])
-    found = solve_homographies(q[fours], t[fours])
+    found = solve_homographies(q[fours := _fours(len(q), rounds, seed)], t[fours])
     found = found[~np.isnan(found).any(axis=(1, 2))]
     if not len(found):
         return None, np.zeros(len(q), bool)
@@ -152,32 +204,45 @@ def ransac(q: np.ndarray, t: np.ndarray, threshold: float, seed: int, rounds: in
 
 
 HOMOGRAPHY = "group long, raw_matches int, inliers int, ratio double, error double, error_median double, error_p90 double, cells int, coverage double, h array<double>, rejection string"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "string": pa.string()}
+_HOMOGRAPHY = pa.schema([(part.split(" ")[0], _KINDS[part.split(" ")[1]]) for part in HOMOGRAPHY.split(", ")])
+
+
+def verified(q: np.ndarray, t: np.ndarray, frame_w: float, frame_h: float, seed: int, threshold: float = 7.5, grid: int = 4) -> dict:
+    """The columns of HOMOGRAPHY but group: marginal consensus, and truncated RANSAC where that finds nothing."""
+    order = np.lexsort((t[:, 1], t[:, 0], q[:, 1], q[:, 0]))
+    q, t = q[order], t[order]
+    out = {"raw_matches": len(q), "inliers": 0, "ratio": 0.0, "error": None, "error_median": None, "error_p90": None, "cells": 0, "coverage": 0.0, "h": None, "rejection": None}
+    if len(q) < 4:
+        return out | {"rejection": "too_few_matches"}
+    h, inside = marginal_consensus(q, t, threshold, seed)
+    if h is None:
+        h, inside = ransac(q, t, threshold, seed)
+    if h is None:
+        return out | {"rejection": "homography_failed"}
+    out |= {"h": h.ravel().tolist(), "inliers": int(inside.sum()), "ratio": float(inside.sum() / len(q))}
+    if out["inliers"] < 4:
+        return out | {"rejection": "insufficient_inliers"}
+    e = transfer_errors(h, q[inside], t[inside])
+    cells = {tuple(c) for c in np.clip((q[inside] / [frame_w, frame_h] * grid).astype(int), 0, grid - 1).tolist()}
+    return out | {"error": float(e.mean()), "error_median": float(np.median(e)), "error_p90": float(np.percentile(e, 90)), "cells": len(cells), "coverage": len(cells) / grid**2}
 
 
 def estimate_homographies(matches: DataFrame, frame_w: float, frame_h: float, threshold: float = 7.5, grid: int = 4) -> DataFrame:
     """One row for each group of correspondences (group, qx, qy, tx, ty).
 
     A group is one candidate's matches, bounded by the keypoint cap of extraction; groups are dealt
-    by key and each is solved by seeded RANSAC, so retries give the same result.
+    by key and each is solved from a seed of its own, so retries give the same result.
     """
 
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["qx", "qy", "tx", "ty"])
-        q, t = rows[["qx", "qy"]].to_numpy(float), rows[["tx", "ty"]].to_numpy(float)
-        out = {"group": key[0], "raw_matches": len(q), "inliers": 0, "ratio": 0.0, "error": None, "error_median": None, "error_p90": None, "cells": 0, "coverage": 0.0, "h": None, "rejection": None}
-        if len(q) < 4:
-            return pd.DataFrame([out | {"rejection": "too_few_matches"}])
-        h, inside = ransac(q, t, threshold, seed=abs(int(key[0])))
-        if h is None:
-            return pd.DataFrame([out | {"rejection": "homography_failed"}])
-        out |= {"h": h.ravel().tolist(), "inliers": int(inside.sum()), "ratio": inside.sum() / len(q)}
-        if out["inliers"] < 4:
-            return pd.DataFrame([out | {"rejection": "insufficient_inliers"}])
-        e = transfer_errors(h, q[inside], t[inside])
-        cells = {tuple(c) for c in np.clip((q[inside] / [frame_w, frame_h] * grid).astype(int), 0, grid - 1).tolist()}
-        return pd.DataFrame([out | {"error": e.mean(), "error_median": float(np.median(e)), "error_p90": float(np.percentile(e, 90)), "cells": len(cells), "coverage": len(cells) / grid**2}])
-
-    return matches.select("group", "qx", "qy", "tx", "ty").groupBy("group").applyInPandas(solve, HOMOGRAPHY)
+    def solve(key: tuple, rows: pa.Table) -> pa.Table:
+        at = {c: rows.column(c).to_numpy().astype(float) for c in ("qx", "qy", "tx", "ty")}
+        group = key[0].as_py()
+        out = verified(np.column_stack([at["qx"], at["qy"]]), np.column_stack([at["tx"], at["ty"]]), frame_w, frame_h, abs(int(group)), threshold, grid)
+        return pa.Table.from_pylist([{"group": group} | out], schema=_HOMOGRAPHY)
+
+    rows = matches.select(F.col("group").cast("long"), *(F.col(c).cast("double") for c in ("qx", "qy", "tx", "ty")))
+    return rows.groupBy("group").applyInArrow(solve, HOMOGRAPHY)
 
 
 def inlier_sample(points: DataFrame, most: int = 400) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skyfix.functions import geo, geometry, text
 from skyfix.functions import scores as S
 from skyfix.operators import clustering, descriptors, drawing, index, matching, raster, regions, retrieval, scoring, tiling, verdict
-from skyfix.plans import evaluation, mission, results
+from skyfix.plans import evaluation, mission, results, verification
 from skyfix.sources import registry
 from skyfix.sources import standins as X
 from skyfix.sources.shared import shared_dir
@@ -1315,3 +1315,30 @@ def tile_descriptors(spark, sf_dir):
     sizes = rows.select("image_id", F.lit(8).alias("width"), F.lit(8).alias("height"))
     of = descriptors.figures(descriptors.cells(descriptors.summed(descriptors.gradients(lines)), rows.select("image_id", F.inline(boxes)), sizes, grid=2))
     return of.select("image_id", "tile_id", "cell", *(F.round(F.get("figures", k), 6).alias(f"b{k}") for k in range(9)), F.round(F.get("figures", 11), 6).alias("mean"), F.round(F.get("figures", 12), 6).alias("spread"))
+
+
+# ---------------------------------------------------------------- match, then verify
+
+_PLANTED = (1.1, 0.05, 100.0, -0.04, 0.95, 60.0, 1e-5, 2e-5, 1.0)
+_CENTRE = f"{_PLANTED[6]} * 320 + {_PLANTED[7]} * 240 + 1"
+
+
+@query(f"""
+SELECT label::BIGINT AS job_id, 1::BIGINT AS candidate_id, (label % 4)::INT AS rotation, count(*)::INT AS raw_matches, count(*)::INT AS inliers, 'verified' AS verdict,
+       round(any_value(({_PLANTED[0]} * 320 + {_PLANTED[1]} * 240 + {_PLANTED[2]}) / ({_CENTRE}))::DOUBLE, 3) AS x, round(any_value(({_PLANTED[3]} * 320 + {_PLANTED[4]} * 240 + {_PLANTED[5]}) / ({_CENTRE}))::DOUBLE, 3) AS y
+FROM embeddings GROUP BY label""")
+def match_verify(spark, sf_dir):
+    """A job for each label: its vectors are features of a frame, and of a tile under a planted homography; the frame was turned label % 4 times."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("job_id"), F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") * 37 % 640).cast("double").alias("cx"), (F.col("vec_id") * 53 % 480).cast("double").alias("cy"))
+    tx, ty = geometry.project([F.lit(v) for v in _PLANTED], F.col("cx"), F.col("cy"))
+    tiles = e.select("job_id", F.lit(1).cast("long").alias("candidate_id"), "id", tx.alias("x"), ty.alias("y"), F.col("embedding").alias("descriptor"))
+    turned = e.withColumn("rotation", F.explode(F.array(*map(F.lit, range(4)))))
+    x = F.when(F.col("rotation") == 1, F.col("cy")).when(F.col("rotation") == 2, 639 - F.col("cx")).when(F.col("rotation") == 3, 479 - F.col("cy")).otherwise(F.col("cx"))
+    y = F.when(F.col("rotation") == 1, 639 - F.col("cx")).when(F.col("rotation") == 2, 479 - F.col("cy")).when(F.col("rotation") == 3, F.col("cx")).otherwise(F.col("cy"))
+    # in any other rotation a feature looks different
+    off = F.pmod(F.col("rotation") - F.col("job_id"), F.lit(4)).cast("int") * 16
+    look = F.concat(F.slice("embedding", off + 1, F.size("embedding")), F.slice("embedding", F.lit(1), off))
+    frames = turned.select("job_id", "rotation", "id", x.alias("x"), y.alias("y"), look.alias("descriptor"))
+    out = verification.match_then_verify(frames, tiles, 640, 480)
+    cx, cy = geometry.project([F.get("h", i) for i in range(9)], F.lit(320.0), F.lit(240.0))
+    return out.select("job_id", "candidate_id", "rotation", "raw_matches", "inliers", "verdict", F.round(cx, 3).alias("x"), F.round(cy, 3).alias("y"))
