@@ -75,6 +75,14 @@ def georeference(raw: Column) -> Column:
     return F.when(raw.isNotNull() & error.isNull(), raw)
 
 
+GEOREFERENCE = "kind string, north double, south double, west double, east double, corners array<array<double>>, width int, height int"
+
+
+def restored(text: Column) -> Column:
+    """A georeference from its JSON text; null where the text is no object or what it says is not valid."""
+    return georeference(F.from_json(text, GEOREFERENCE))
+
+
 def polygon_latlon(polygon: Column, project) -> Column:
     """Latitude and longitude of each vertex ([x, y]) of a polygon; project maps x and y to both, as bbox_latlon and corners_latlon do."""
 

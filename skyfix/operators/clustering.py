@@ -105,3 +105,16 @@ def weighted_center(scored: DataFrame) -> DataFrame:
     w = F.greatest(F.col("inliers"), F.lit(1)).cast("double")
     mean = lambda c: F.sum(F.col(c) * w) / F.sum(w)
     return scored.filter(F.col("valid") & F.col("x").isNotNull()).groupBy("job_id", "cluster_id").agg(mean("x").alias("center_x"), mean("y").alias("center_y"))
+
+
+def weighted_geometry(scored: DataFrame) -> DataFrame:
+    """job_id, cluster_id, center_x, center_y and corners: the valid members' inlier-weighted mean position and mean corners (corners: array of four x, y).
+
+    Members without a position do not count; a cluster whose members do not all have four corners has none.
+    """
+    w = F.greatest(F.col("inliers"), F.lit(1)).cast("double")
+    mean = lambda c: F.sum(c * w) / F.sum(w)
+    corner = lambda i: F.struct(*(mean(F.get("corners", i)[axis]).alias(axis) for axis in "xy"))
+    whole = F.min((F.coalesce(F.size("corners"), F.lit(0)) == 4).cast("int")) == 1
+    own = scored.filter(F.col("valid") & F.col("x").isNotNull()).groupBy("job_id", "cluster_id")
+    return own.agg(mean(F.col("x")).alias("center_x"), mean(F.col("y")).alias("center_y"), F.when(whole, F.array(*map(corner, range(4)))).alias("corners"))

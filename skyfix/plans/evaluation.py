@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+NO_RESULT = "no result"
+CASES = "file string, note string, expected_x double, expected_y double, expect_no_match boolean"
+TRUTH = f"reference_map string, map_width int, map_height int, georeference_hint struct<north:double,south:double,west:double,east:double>, cases array<struct<{CASES.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of ground-truth documents (JSON, one in a file) below path: reference_map, map_width, map_height, georeference_hint, item_id (the file's
+    name) and the rest of each case. A document that is no JSON fails the read."""
+    docs = spark.read.schema(TRUTH).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    rows = docs.select("reference_map", "map_width", "map_height", "georeference_hint", F.inline("cases"))
+    return rows.withColumnRenamed("file", "item_id").withColumn("expect_no_match", F.coalesce("expect_no_match", F.lit(False)))
+
+
+def truth_documents(cases: DataFrame, maps: DataFrame) -> DataFrame:
+    """reference_map and its ground-truth document (JSON text, column value): cases (reference_map, file, note, expected_x, expected_y, expect_no_match) of maps
+    (reference_map, map_width, map_height, georeference_hint), by file name. Write one with .select("value").write.text(path). Keys without a value are null."""
+    entry = F.struct("file", "note", "expected_x", "expected_y", "expect_no_match")
+    listed = cases.groupBy("reference_map").agg(F.array_sort(F.collect_list(entry)).alias("cases"))
+    out = maps.join(listed, "reference_map", "left").withColumn("cases", F.coalesce("cases", F.array().cast(listed.schema["cases"].dataType)))
+    body = F.to_json(F.struct("reference_map", "map_width", "map_height", "georeference_hint", "cases"), {"ignoreNullFields": "false"})
+    return out.select("reference_map", body.alias("value"))
+
+
 def score_items(items: DataFrame, results: DataFrame, tolerance: float) -> DataFrame:
     """Items (item_id, expected_x, expected_y, expect_no_match) joined to results (item_id, status, x, y).
 
-    Adds failed (no result), error_px (1 decimal; where a position was expected and returned) and
-    correct (null where there is nothing to judge).
+    Adds failed (no result), error_px (1 decimal; where a position was expected and returned),
+    correct (null where there is nothing to judge) and error: what a result says went wrong (its column error, if there is
+    one; such a result counts as none), or that there is none.
     """
-    joined = items.join(results, "item_id", "left")
+    joined = items.join(results if "error" in results.columns else results.withColumn("error", F.lit(None).cast("string")), "item_id", "left")
+    wrong = F.col("error").isNotNull()
+    joined = joined.withColumns({c: F.when(~wrong, F.col(c)) for c in ("status", "x", "y")}).withColumn("error", F.when(wrong, F.col("error")).when(F.col("status").isNull(), NO_RESULT))
     d = F.sqrt(F.pow(F.col("x") - F.col("expected_x"), 2) + F.pow(F.col("y") - F.col("expected_y"), 2))
     out = joined.withColumn("failed", F.col("status").isNull()).withColumn("error_px", F.when(~F.col("expect_no_match"), F.round(d, 1)))
     return out.withColumn("correct", F.when(F.col("expect_no_match"), F.col("status") == "NO_MATCH").otherwise(F.col("error_px") <= tolerance))

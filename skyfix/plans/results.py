@@ -23,7 +23,7 @@ def verdict_of(valid: Column, partial: Column) -> Column:
 
 def _components(row: DataFrame) -> Column:
     names = [c for c in row.columns if c.startswith("c_")]
-    return F.create_map(*[x for c in names for x in (F.lit(c[2:]), F.round(c, 4))]).alias("components")
+    return F.create_map(*[x for c in names for x in (F.lit(c[2:]), settled(c))]).alias("components")
 
 
 def candidates(finalized: DataFrame) -> DataFrame:

@@ -493,11 +493,18 @@ def best_cluster(spark, sf_dir):
     return _rounded(clustering.best(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir)))).select("job_id", "cluster_id", "final"))
 
 
+#: Corners of a candidate's region: a leaning box around its position.
+_CORNERS = (("x - 40e0", "y - 30e0 - candidate_id"), ("x + 40e0 + candidate_id", "y - 30e0"), ("x + 41e0", "y + 30e0 + candidate_id"), ("x - 39e0 - candidate_id", "y + 31e0"))
+_MEAN = "round(sum(({0}) * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9)"
+
+
 @query(f"""
-SELECT job_id, cluster_id, round(sum(x * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9) AS center_x, round(sum(y * greatest(inliers, 1)) / sum(greatest(inliers, 1)), 9) AS center_y
+SELECT job_id, cluster_id, {_MEAN.format("x")} AS center_x, {_MEAN.format("y")} AS center_y, {", ".join(f"{_MEAN.format(c)} AS {axis}{i}" for i, corner in enumerate(_CORNERS) for axis, c in zip("xy", corner, strict=True))}
 FROM ({ASSIGNED}) WHERE valid AND x IS NOT NULL GROUP BY 1, 2""")
 def weighted_geometry(spark, sf_dir):
-    return _rounded(clustering.weighted_center(_assigned(spark, sf_dir)))
+    corners = F.array(*(F.struct(F.expr(x.replace("e0", "D")).alias("x"), F.expr(y.replace("e0", "D")).alias("y")) for x, y in _CORNERS))
+    out = clustering.weighted_geometry(_assigned(spark, sf_dir).withColumn("corners", corners))
+    return _rounded(out.select("job_id", "cluster_id", "center_x", "center_y", *(F.get("corners", i)[axis].alias(f"{axis}{i}") for i in range(4) for axis in "xy")))
 
 
 @query(f"""
@@ -901,16 +908,37 @@ def formatters(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.percent(F.expr("p_partkey % 1000") / 997.0).alias("pct"), text.byte_size(F.col("p_partkey") * 977).alias("size"), text.aspect(ratio).alias("shape"), text.rejection(code).alias("label"), text.float_list(raw).alias("numbers"))
 
 
+_SCORES = ("similarity", "ratio", "coverage", "geo", "final")
+_TILE_PARTS, _CLUSTER_PARTS = ("retrieval", "inliers", "geometry", "coverage", "ambiguity"), ("retrieval", "inliers", "geometry", "coverage", "consensus", "ambiguity")
+
+
+def _projected_sql(parts: tuple[str, ...]) -> str:
+    return ", ".join([*(f"{settled(c)} AS {c}" for c in _SCORES), f"{settled('error', 3)} AS error", *(f"{settled(f'c_{c}')} AS part_{c}" for c in parts)])
+
+
+def _projected(rows: DataFrame, parts: tuple[str, ...], *columns: str) -> DataFrame:
+    return rows.select(*columns, *_SCORES, "error", *(F.try_element_at("components", F.lit(c)).alias(f"part_{c}") for c in parts))
+
+
 @query(f"""
-SELECT job_id, candidate_id, tile_id, (row_number() OVER (PARTITION BY job_id ORDER BY final DESC, geo DESC, candidate_id))::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, raw_matches, inliers FROM ({FINAL})""")
+SELECT job_id, candidate_id, tile_id, (row_number() OVER (PARTITION BY job_id ORDER BY final DESC, geo DESC, candidate_id))::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, raw_matches, inliers,
+       {_projected_sql(_TILE_PARTS)} FROM ({FINAL})""")
 def project_candidates(spark, sf_dir):
     rows = results.candidates(scoring.finalize(_scored(spark, sf_dir), RADIUS))
-    return rows.select("job_id", "candidate_id", "tile_id", "rank", "verdict", "rejection", "raw_matches", "inliers")
+    return _projected(rows, _TILE_PARTS, "job_id", "candidate_id", "tile_id", "rank", "verdict", "rejection", "raw_matches", "inliers")
 
 
-@query(f"SELECT job_id, cluster_id, rank::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, support::INT AS support FROM ({RANKED})")
+@query(f"SELECT job_id, cluster_id, rank::INT AS rank, CASE WHEN valid THEN 'verified' WHEN partial THEN 'partial' ELSE 'rejected' END AS verdict, rejection, support::INT AS support, {_projected_sql(_CLUSTER_PARTS)} FROM ({RANKED})")
 def project_clusters(spark, sf_dir):
-    return results.clusters(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir)))).select("job_id", "cluster_id", "rank", "verdict", "rejection", "support")
+    rows = results.clusters(clustering.rank(clustering.aggregate(_assigned(spark, sf_dir))))
+    return _projected(rows, _CLUSTER_PARTS, "job_id", "cluster_id", "rank", "verdict", "rejection", "support")
+
+
+@query(f"SELECT candidate_id, k, round(qx / greatest(k / 2e0, 1e-9) + candidate_id % 50, 9) AS map_x, round(qy / greatest(k / 2e0, 1e-9) + k * 7, 9) AS map_y, err FROM ({X.POINTS}) p WHERE k > 0")
+def tile_points(spark, sf_dir):
+    """Points of resized tiles in map pixels."""
+    x, y = tiling.tile_to_map(F.col("qx"), F.col("qy"), F.col("candidate_id") % 50, F.col("k") * 7, F.col("k") / 2)
+    return _rounded(X.read(spark, sf_dir, X.POINTS).filter("k > 0").select("candidate_id", "k", x.alias("map_x"), y.alias("map_y"), "err"))
 
 
 BEST = f"SELECT * FROM ({RANKED}) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY valid DESC, partial DESC, rank) = 1"

@@ -1,5 +1,6 @@
 """Examples and edge cases that the SQL twins cannot catch."""
 
+import json
 import math
 import random
 
@@ -326,3 +327,41 @@ def test_the_next_place_of_every_candidate(spark):
             later = sorted(((-g, d, a, b) for k, d, g, a, b in rows if k == j and (-g, d) > (-geo, c)), key=lambda t: t[:2])
             other = [-g for g, _, a, b in ((g, d, a, b) for g, d, a, b in later) if not (radius > 0 and None not in (x, y, a, b) and ((a - x) ** 2 + (b - y) ** 2) ** 0.5 <= radius)]
             assert got[j, c] == (other[0] if other else None)
+
+
+def test_ground_truth_documents_read_back(spark, tmp_path):
+    cases = [("m.jpg", "b.jpg", None, 3.0, 4.0, False), ("m.jpg", "a.jpg", "turned", None, None, True), ("other.jpg", "c.jpg", None, 1.5, 2.0, False)]
+    maps = [("m.jpg", 640, 480, (12.9, 12.8, 77.5, 77.6)), ("bare.jpg", 10, 10, None), ("other.jpg", 5, 5, None)]
+    frame = spark.createDataFrame(cases, "reference_map string, file string, note string, expected_x double, expected_y double, expect_no_match boolean")
+    of = spark.createDataFrame(maps, "reference_map string, map_width int, map_height int, georeference_hint struct<north:double,south:double,west:double,east:double>")
+    documents = evaluation.truth_documents(frame, of)
+    for i, r in enumerate(documents.orderBy("reference_map").collect()):
+        (tmp_path / f"truth{i}.json").write_text(json.dumps(json.loads(r.value), indent=2))
+    got = sorted((r.reference_map, r.item_id, r.note, r.expected_x, r.expect_no_match, r.map_width, r.georeference_hint and r.georeference_hint.north) for r in evaluation.read_truth(spark, str(tmp_path)).collect())
+    assert got == [("m.jpg", "a.jpg", "turned", None, True, 640, 12.9), ("m.jpg", "b.jpg", None, 3.0, False, 640, 12.9), ("other.jpg", "c.jpg", None, 1.5, False, 5, None)]
+    (tmp_path / "broken.json").write_text("{")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        evaluation.read_truth(spark, str(tmp_path)).collect()
+
+
+def test_items_whose_run_failed_are_rows_with_an_error(spark):
+    items = spark.createDataFrame([(1, 1.0, 1.0, False), (2, 1.0, 1.0, False), (3, 0.0, 0.0, True)], "item_id int, expected_x double, expected_y double, expect_no_match boolean")
+    found = spark.createDataFrame([(1, "MATCH_FOUND", 1.0, 1.0, "decoder failed"), (3, "NO_MATCH", None, None, None)], "item_id int, status string, x double, y double, error string")
+    got = sorted((r.item_id, r.failed, r.error_px, r.correct, r.error) for r in evaluation.score_items(items, found, 5).collect())
+    assert got == [(1, True, None, None, "decoder failed"), (2, True, None, None, evaluation.NO_RESULT), (3, False, None, True, None)]
+
+
+def test_georeferences_from_text(spark):
+    good = '{"kind":"bbox","north":2.0,"south":1.0,"west":3.0,"east":4.0,"width":100,"height":50}'
+    texts = [good, good.replace("2.0", "0.5"), "{", "[1]", None, '{"kind":"corners"}', good.replace("100", "0")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", geo.restored(F.col("text")).alias("g")).orderBy("i").collect()
+    assert [r.g is not None for r in rows] == [True] + [False] * 6 and rows[0].g.north == 2.0
+
+
+def test_corners_of_clusters(spark):
+    box = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    rows = [(1, 0, True, 3, 5.0, 5.0, box), (1, 0, True, 0, 9.0, 1.0, [(x + 4, y) for x, y in box]), (1, 0, False, 9, 0.0, 0.0, box), (1, 1, True, 2, 1.0, 1.0, box[:3]), (1, 2, True, 2, None, 1.0, box)]
+    frame = spark.createDataFrame(rows, "job_id int, cluster_id int, valid boolean, inliers int, x double, y double, corners array<struct<x:double,y:double>>")
+    got = {r.cluster_id: r for r in clustering.weighted_geometry(frame).collect()}
+    assert set(got) == {0, 1} and (got[0].center_x, got[0].center_y) == (6.0, 4.0) and got[1].corners is None
+    assert [tuple(c) for c in got[0].corners] == [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0)]
