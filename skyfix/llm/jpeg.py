@@ -204,6 +204,8 @@ def decode_coefficients(data: bytes) -> Image:
             end = _entropy_end(data, at)
             _scan(image, tables, body, data[at:end])
             at = end
+    if data[at : at + 2] != b"\xff\xd9":
+        raise JpegError("the stream is cut")
     return image
 
 

@@ -56,9 +56,10 @@ class Grams:
         """For n = 1, 2, 3: the text's number and the code of every n-gram occurrence."""
         lowered = [t.lower() for t in texts]
         sizes = np.array([len(t) + 1 for t in lowered])
-        codes = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        # a pad before the first text too: what a text has must not hang on the texts beside it
+        codes = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(self._letters(codes), codes, PAD).astype(np.int64)
-        text = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+        text = np.append(0, np.repeat(np.arange(len(texts), dtype=np.int64), sizes))
         keep = np.ones(len(codes), bool)
         keep[1:] = (codes[1:] != PAD) | (codes[:-1] != PAD)
         codes, text = codes[keep], text[keep]
@@ -144,23 +145,29 @@ def learn(rows: DataFrame, top: int = TOP) -> DataFrame:
 
 
 class Profiles:
-    """Sorted n-gram codes, and each language's rank of each (top where it lacks it)."""
+    """Sorted n-gram codes, and for each the languages that have it with their ranks; what a language lacks takes no room."""
 
     def __init__(self, rows: list[tuple[str, int, int]], top: int):
         self.top = top
         self.langs = sorted({r[0] for r in rows})
-        self.codes = np.array(sorted({r[1] for r in rows}), np.int64)
-        self.rank = np.full((len(self.codes) + 1, len(self.langs)), -1, np.int64)  # the last row: not in any profile
-        for lang, gram, rank in rows:
-            self.rank[np.searchsorted(self.codes, gram), self.langs.index(lang)] = rank
+        number = {lang: i for i, lang in enumerate(self.langs)}
+        lang, code, rank = (np.array(c, np.int64) for c in (([number[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows])))
+        order = np.lexsort((lang, code))
+        self.lang, self.rank, code = lang[order], rank[order], code[order]
+        self.codes, first = np.unique(code, return_index=True)
+        self.first = np.append(first, len(code)).astype(np.int64)
 
     def distances(self, text: np.ndarray, code: np.ndarray, place: np.ndarray, texts: int) -> np.ndarray:
+        """A text's n-grams lie `top` places off where a language lacks them: that is the start, and each one that it has takes off the difference."""
         at = np.searchsorted(self.codes, code)
         at[at == len(self.codes)] = 0
-        at = np.where(self.codes[at] == code, at, len(self.codes))
-        rank = self.rank[at]
-        off = np.where(rank < 0, self.top, np.abs(rank - place[:, None]))
-        return np.stack([np.bincount(text, off[:, j], texts) for j in range(len(self.langs))], axis=1)
+        known = np.flatnonzero(self.codes[at] == code)
+        begin, n = self.first[at[known]], np.diff(self.first)[at[known]]
+        entry = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+        of = np.repeat(known, n)
+        nearer = np.abs(self.rank[entry] - place[of]) - self.top
+        found = np.bincount(text[of] * len(self.langs) + self.lang[entry], nearer, texts * len(self.langs))
+        return found.reshape(texts, -1) + self.top * np.bincount(text, minlength=texts)[:, None]
 
 
 def _ranked(occurrences: list[tuple[np.ndarray, np.ndarray]], texts: int, top: int):

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skyfix.llm import divergence, filteraudit, pii, queries
+from skyfix.llm import divergence, filteraudit, langid, media, pii, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part string, mask int, n int, spans string, term string"
 
@@ -184,3 +184,59 @@ def test_long_texts_are_counted_in_pieces(spark, monkeypatch):
     assert whole == collections.Counter(w.encode() for w in text.split())
     rows = [(i, text, "en", f"s{i}") for i in range(4)] + [(9, "aa", "en", "s9")]
     assert {tuple(r) for r in divergence.divergence(docs_of(spark, rows)).collect()} == plain_divergence(rows)
+
+
+def plain_grams(text):
+    counts = collections.Counter()
+    for word in re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower())):
+        c = [1, *map(ord, word), 1]
+        counts.update(c[1:-1])
+        counts.update(a << 21 | b for a, b in itertools.pairwise(c))
+        counts.update((a << 21 | b) << 21 | d for a, b, d in zip(c, c[1:], c[2:], strict=False))
+    return counts
+
+
+def first_ranks(counts, top):
+    return {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top])}
+
+
+def plain_languages(rows, learned, top):
+    sums = collections.defaultdict(collections.Counter)
+    for _, text, lang, _ in learned:
+        if text is not None and lang is not None:
+            sums[lang].update(plain_grams(text))
+    profiles = {lang: first_ranks(c, top) for lang, c in sorted(sums.items()) if c}
+    out = []
+    for i, text, _, _ in rows:
+        own = first_ranks(plain_grams(text), top)
+        far = sorted((sum(abs(p[g] - r) if g in p else top for g, r in own.items()), lang) for lang, p in profiles.items())
+        best = (far[1][0] - far[0][0]) / max(far[1][0], 1) if len(far) > 1 else 1 - far[0][0] / max(len(own) * top, 1) if far else 0
+        out.append((i, far[0][1], round(min(1, max(0, best)), 9)) if own and far else (i, "und", 0.0))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("top", [12, 400])
+def test_languages_match_plain_profiles(spark, top):
+    rows = [(i, " ".join(f"{'aeiou'[(i * j) % 5]}{chr(97 + (i + j * j) % 26)}{'ßéñ'[j % 3] if i % 4 == j % 4 else 'x'}" for j in range(i % 30)), ("de", "en", "fr", "pt", None)[i % 5], "s") for i in range(90)]
+    rows += [(200, None, "en", "s"), (201, "", "de", None), (202, "123 !?", None, "s"), (7, rows[7][1], "fr", "s"), (7, rows[7][1], "fr", "s"), (203, "Straße İSTANBUL", None, None), (204, "abc", "aa", "s"), (205, "abc", "ab", "s"), (206, "abc", None, "s")]
+    rows += [(300 + i, f"word{chr(97 + i % 26)}", f"lang{i:03d}", "s") for i in range(120)]
+    profiles = langid.learn(docs_of(spark, rows), top)
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs_of(spark, rows), profiles, top).collect()), key=repr)
+    assert got == plain_languages(rows, rows, top)
+
+
+def test_many_languages_take_room_for_what_they_have():
+    rows = [(f"l{i}", 10 * i + k, k) for i in range(3_000) for k in range(10)]
+    profiles = langid.Profiles(rows, 400)
+    assert len(profiles.rank) == 30_000 and sum(x.nbytes for x in (profiles.rank, profiles.lang, profiles.codes, profiles.first)) < 2_000_000
+
+
+def test_media_that_is_null_or_cut_gives_nulls(spark):
+    stored = [r.media for r in media.encode_media(spark.createDataFrame([(1, "some text " * 200)], "doc_id long, text string")).collect()][0]
+    rows = [(1, 5, stored), (2, None, None), (3, 5, stored[: len(stored) // 2]), (4, 5, bytearray(b"no image")), (5, 5, stored[:-2]), (5, 5, stored)]
+    frame = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = sorted(((r.doc_id, r.payload_sha256 is not None, r.media_bytes, r.feature is not None) for r in media.media_digest(frame).collect()), key=repr)
+    n = len(stored)
+    assert got == [(1, True, n, True), (2, False, None, False), (3, False, n // 2, False), (4, False, 8, False), (5, False, n - 2, False), (5, True, n, True)]
+    tensors = sorted(((r.doc_id, r.rgb is not None) for r in media.rgb_tensors(frame).collect()))
+    assert tensors == [(1, True), (2, False), (3, False), (4, False), (5, False), (5, True)]
