@@ -102,6 +102,25 @@ def load_bank(spark: SparkSession, path: str, map_id, rebuild) -> DataFrame:
         return rebuild()
 
 
+BUCKETS = 200
+
+
+def save_bucketed(rows: DataFrame, table: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows (map_id, tile_id, ...) as a table of the catalog, dealt by map and tile into `buckets` files at path and sorted inside.
+
+    Two tables of equally many buckets join by map_id and tile_id without a shuffle of either: tiles and their
+    embeddings are written once and joined for every frame. A map of many tiles lies in many buckets. Buckets do not grow in number with the
+    maps; choose them for the largest table.
+    """
+    rows.repartition(buckets, "map_id", "tile_id").write.mode("overwrite").bucketBy(buckets, "map_id", "tile_id").sortBy("map_id", "tile_id").option("path", path).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def tiles_with_bank(tiles: DataFrame, bank: DataFrame) -> DataFrame:
+    """Tiles with their embeddings, of bucketed tables without an exchange."""
+    return tiles.join(bank, ["map_id", "tile_id"])
+
+
 def calibration(raw: Column) -> Column:
     """A struct of nine doubles from a string map; null if a given value is not a number or a required one is missing."""
     names = ("fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")

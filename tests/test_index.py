@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skyfix import queries
 from skyfix.operators import index, retrieval
+from skyfix.sources import registry
 
 BANK, FRAMES = "tile_id long, embedding array<float>", "frame_id long, query array<float>"
 
@@ -91,3 +92,25 @@ def test_a_written_index_reads_the_lists_that_are_asked_for(spark, tmp_path):
     asked = frame(spark, clustered(500)[:5], FRAMES)
     assert rows_of(index.search(built, asked, fitted, 4)) == rows_of(index.search(index.build(bank, fitted), asked, fitted, 4))
     assert built.select(F.countDistinct("part")).first()[0] > 5
+
+
+def test_bucketed_tiles_and_bank_join_without_an_exchange(spark, tmp_path):
+    tiles = spark.range(600).selectExpr("id % 23 AS map_id", "id AS tile_id", "id * 3 AS x")
+    bank = spark.range(600).selectExpr("id % 23 AS map_id", "id AS tile_id", "array(cast(id AS float)) AS embedding")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = registry.save_bucketed(tiles, "bucketed_tiles", str(tmp_path / "tiles"), 6)
+        right = registry.save_bucketed(bank, "bucketed_bank", str(tmp_path / "bank"), 6)
+        joined = registry.tiles_with_bank(left, right)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        one = registry.tiles_with_bank(left.filter("map_id = 7"), right)
+        assert sorted(map(tuple, one.select("tile_id", "x").collect())) == [(i, 3 * i) for i in range(7, 600, 23)]
+        assert joined.count() == 600
+        plain = registry.tiles_with_bank(tiles, bank)._jdf.queryExecution().executedPlan().toString()
+        assert plain.count("Exchange") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        for name in ("bucketed_tiles", "bucketed_bank"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
