@@ -179,13 +179,15 @@ def summary(parsed: DataFrame) -> DataFrame:
 
 
 def documents(parsed: DataFrame) -> DataFrame:
-    """plan_id and the JSON `body` of every readable plan: header, home, waypoints in order, coordinates, bounds, suggested extent, warnings.
+    """plan_id and the JSON `body` of every readable plan: file name (parsed's column filename, if there is one), header, home, waypoints in order, coordinates, bounds, suggested extent, numbers of
+    geofence polygons and rally points, warnings.
 
     Keys without a value are left out: bounds and extent where neither a waypoint nor the home has a position.
     """
     header = [F.try_variant_get("doc", path, kind).alias(name) for name, path, kind in HEADER]
     speeds = [number(F.col("doc"), f"$.mission.{key}").alias(name) for name, key in (("cruise_speed", "cruiseSpeed"), ("hover_speed", "hoverSpeed"))]
-    out = _outline(parsed, *header, *speeds, F.array(*_home()).alias("_home")).withColumn("waypoint_count", F.col("n_waypoints"))
+    filename = F.col("filename") if "filename" in parsed.columns else F.lit(None).cast("string")
+    out = _outline(parsed, filename.alias("filename"), *header, *speeds, F.array(*_home()).alias("_home")).withColumn("waypoint_count", F.col("n_waypoints"))
     placed = F.filter("waypoints", lambda w: w["latitude"].isNotNull() & w["longitude"].isNotNull())
     out = out.withColumn("coordinates", F.transform(placed, lambda w: F.array(w["latitude"], w["longitude"])))
     at_home = F.get("_home", 0).isNotNull() & F.get("_home", 1).isNotNull()
@@ -195,9 +197,9 @@ def documents(parsed: DataFrame) -> DataFrame:
     out = out.withColumns({"north": F.array_max(lat), "south": F.array_min(lat), "west": F.array_min(lon), "east": F.array_max(lon)})
     known = F.col("north").isNotNull()
     body = F.struct(
-        *[n for n, _, _ in HEADER], "cruise_speed", "hover_speed", F.when(F.get("_home", 0).isNotNull(), F.col("_home")).alias("planned_home_position"),
+        "filename", *[n for n, _, _ in HEADER], "cruise_speed", "hover_speed", F.when(F.get("_home", 0).isNotNull(), F.col("_home")).alias("planned_home_position"),
         "waypoints", "waypoint_count", "coordinates", F.when(known, F.struct("north", "south", "west", "east")).alias("bounds"),
-        F.when(known, F.struct(*_padded())).alias("suggested_georeference"), "warnings", F.lit(DISCLAIMER).alias("disclaimer"),
+        F.when(known, F.struct(*_padded())).alias("suggested_georeference"), F.col("n_geofences").alias("geofence_polygons"), F.col("n_rally").alias("rally_points"), "warnings", F.lit(DISCLAIMER).alias("disclaimer"),
     )
     return out.select("plan_id", F.to_json(body).alias("body"))
 

@@ -1370,3 +1370,10 @@ def match_verify(spark, sf_dir):
     out = verification.match_then_verify(frames, tiles, 640, 480)
     cx, cy = geometry.project([F.get("h", i) for i in range(9)], F.lit(320.0), F.lit(240.0))
     return out.select("job_id", "candidate_id", "rotation", "raw_matches", "inliers", "verdict", F.round(cx, 3).alias("x"), F.round(cy, 3).alias("y"))
+
+
+@query(f"SELECT o_orderkey AS req, {', '.join(f'CASE WHEN o_orderkey % 3 = 1 THEN {few} ELSE {many} END AS {name}' if isinstance(many, int) else f'CASE WHEN o_orderkey % 3 = 1 THEN {few} ELSE {many} END::DOUBLE AS {name}' for name, (many, few) in registry.FEATURES.items())} FROM orders")
+def feature_presets(spark, sf_dir):
+    """The feature parameters of requests with and without the efficient preset."""
+    efficient = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 3 == 1)
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("req"), registry.feature_params(efficient).alias("p")).select("req", "p.*")

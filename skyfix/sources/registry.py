@@ -146,6 +146,16 @@ def settings(spark: SparkSession, defaults: dict[str, str], prefix: str = "skyfi
     return {k: spark.conf.get(f"{prefix}{k}", v) for k, v in defaults.items()}
 
 
+# Feature parameters by default and of the efficient preset.
+FEATURES = {"max_keypoints": (4096, 1500), "superpoint_detection_threshold": (0.0005, 0.005), "superpoint_nms_radius": (4, 6), "sift_contrast_threshold": (0.04, 0.08), "sift_edge_threshold": (10.0, 8.0)}
+
+
+def feature_params(efficient: Column) -> Column:
+    """The feature parameters of a request: a value of its own, so that one request never changes another's. Null counts as the default."""
+    chosen = F.coalesce(efficient, F.lit(False))
+    return F.struct(*(F.when(chosen, F.lit(few)).otherwise(F.lit(many)).alias(name) for name, (many, few) in FEATURES.items()))
+
+
 def set_georeference(maps: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, map_id, status (200, 400, 404), error and georeference of every request to set or clear one.
 

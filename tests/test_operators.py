@@ -290,13 +290,15 @@ def test_mission_documents(spark):
 
     plan = {"fileType": "Plan", "version": 1, "groundStation": "g", "mission": {"vehicleType": 2, "cruiseSpeed": 15, "hoverSpeed": "x", "items": [
         {"type": "SimpleItem", "command": 16, "params": [0, 0, 0, None, 12.5, 77.5, 30]}, {"type": "SimpleItem", "command": 22, "params": [0, 0, 0, None, 0, 0, 30]}]}}
+    plan |= {"geoFence": {"polygons": [[], []]}, "rallyPoints": {"points": [1, 2, 3]}}
     bare = {"mission": {"items": []}}
-    plans = spark.createDataFrame([("a", json.dumps(plan)), ("b", json.dumps(bare)), ("c", "no json"), ("d", None)], "plan_id string, body string")
+    plans = spark.createDataFrame([("a", json.dumps(plan), "a.plan"), ("b", json.dumps(bare), None), ("c", "no json", "c"), ("d", None, "d")], "plan_id string, body string, filename string")
     got = {r.plan_id: json.loads(r.body) for r in mission.documents(mission.parse(plans)).collect()}
     assert set(got) == {"a", "b"}
     a = got["a"]
     assert (a["file_type"], a["version"], a["ground_station"], a["vehicle_type"], a["cruise_speed"]) == ("Plan", 1, "g", 2, 15.0)
     assert "hover_speed" not in a and "planned_home_position" not in a
+    assert (a["filename"], a["geofence_polygons"], a["rally_points"]) == ("a.plan", 2, 3) and "filename" not in got["b"] and got["b"]["rally_points"] == 0
     assert a["waypoint_count"] == len(a["waypoints"]) == 2 and a["coordinates"] == [[12.5, 77.5]]
     assert a["bounds"] == {"north": 12.5, "south": 12.5, "west": 77.5, "east": 77.5}
     assert a["suggested_georeference"] == {"north": 12.5001, "south": 12.4999, "west": 77.4999, "east": 77.5001}
