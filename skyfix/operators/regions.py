@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyfix.sources.shared import shared_dir
@@ -49,23 +49,36 @@ def touching(runs_: DataFrame, corners: bool = True) -> DataFrame:
     return met.filter(F.col("bin") == F.floor(F.greatest(F.col("u.x0") - reach, F.col("v.x0")) / BIN)).select("image_id", "u", "v")
 
 
-def _written(df: DataFrame, root: str) -> DataFrame:
+def _written(df: DataFrame, path: str) -> DataFrame:
     """Lineage ends here: what later rounds read lies in the shared folder."""
-    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other, which points nowhere."""
+    torn = edges.groupBy("image_id", "u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    chained = edges.join(edges.select("image_id", F.col("u").alias("v")), ["image_id", "v"], "left_semi")
+    return torn.isEmpty() and chained.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """image_id, node, root: the smallest node that a linked node reaches within its image (links: image_id, u, v).
 
-    Each round every node points to the smallest of its neighbours and of these to their smallest, until all are stars: rounds grow with the logarithm
-    of the longest path. Nodes without links have no row.
+    Each round every node points to the smallest of its neighbours and of these to their smallest, until every component is a star: rounds grow with the
+    logarithm of the longest path. Nodes without links have no row. The last round's table stays, as the result reads it.
     """
     spark = links.sparkSession
-    root = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
-    edges = _written(links.filter("u <> v").select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), root)
-    for _ in range(MAX_ROUNDS):
+    root, step = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}", 0
+    edges = _written(links.filter("u <> v").select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{root}/0")
+    while not _stars(edges):
+        if (step := step + 1) > MAX_ROUNDS:
+            raise RuntimeError(f"components have not settled after {MAX_ROUNDS} rounds")
         # large star: a node's larger neighbours get its smallest one (itself included)
         both = edges.unionByName(edges.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("image_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -73,12 +86,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours get the smallest of these
         least = large.groupBy("image_id", "u").agg(F.min("v").alias("m"))
         small = large.join(least, ["image_id", "u"]).select("image_id", F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
-        now = _written(small.filter("u <> v").distinct(), root)
-        if now.exceptAll(edges).isEmpty() and edges.exceptAll(now).isEmpty():
-            roots = now.select("image_id", F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return now.select("image_id", F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        edges = now
-    raise RuntimeError(f"components have not settled after {MAX_ROUNDS} rounds")
+        edges = _written(small.filter("u <> v").distinct(), f"{root}/{step}")
+        _removed(spark, f"{root}/{step - 1}")
+    return edges.select("image_id", F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select("image_id", F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def labelled(mask: DataFrame, corners: bool = True) -> DataFrame:
