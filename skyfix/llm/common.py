@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Removes a write's shuffle files once it has ended: what it made is read from the table.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, Python workers get batches of this many bytes: what they derive from a batch takes several times as much.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 #: Tables that materialise() wrote in each open scratch(), innermost last.
 _SCRATCH: list[list[DataFrame]] = []
 
@@ -40,12 +43,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", BATCH[0]: BATCH[1]}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._skyfix_path = path
     for tables in _SCRATCH:
@@ -81,6 +87,14 @@ def keep(table: DataFrame) -> DataFrame:
     return table
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows: a worker holds what it derives from one of them, not from a whole batch. What one leaves goes back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def as_bytes(text: str = "text") -> Column:
     """A text as bytes for Python workers: Spark strings may hold bytes that are not UTF-8, which Arrow strings must not."""
     return F.col(text).cast("string").cast("binary")

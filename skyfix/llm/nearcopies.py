@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import LONG_MIN, as_bytes, discard, materialise
+from skyfix.llm.common import LONG_MIN, as_bytes, discard, materialise, slices
 from skyfix.llm.components import connected_components
 from skyfix.llm.simhash import RADIUS, fingerprint_links, only
 from skyfix.llm.textscan import WORDS, chunks
@@ -91,7 +91,7 @@ def _scan_prefixes(size: int, similarity: float, last: np.ndarray):
         return np.concatenate([s[~late], s[late]])[: _prefix(len(s), similarity)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text"), size))
             names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
             marks = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
@@ -103,7 +103,7 @@ def _scan_prefixes(size: int, similarity: float, last: np.ndarray):
 
 def _scan_sets(size: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text"), size))
             names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(names), _lists(sets)], ["set", "shingles"])
@@ -193,7 +193,7 @@ def _scan_texts(size: int, similarity: float):
     """Links of the texts in each bucket (key, set, text); texts are smaller to send than their sets."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column("text"), size))
             sizes = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("set"), batch.column("set"), sizes, _lists(sets)], ["key", "set", "label", "n", "list"])

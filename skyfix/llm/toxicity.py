@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyfix.llm.common import as_bytes, fold, fresh, materialise
+from skyfix.llm.common import as_bytes, fold, fresh, materialise, slices
 from skyfix.llm.textscan import _BYTE, BYTES
 
 HELD_OUT = 2
@@ -135,7 +135,7 @@ def _grouped(column: list[bytes | None]) -> Iterator[tuple[int, list[str]]]:
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each feature, the numbers of toxic and other texts that have it."""
-    for batch in batches:
+    for batch in slices(batches):
         toxic = batch.column("toxic").to_numpy()
         for first, texts in _grouped(batch.column("text").to_pylist()):
             text, code, _ = features(texts)
@@ -186,7 +186,7 @@ def _rows(blob):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         selected = Selected(blob.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for raw, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 text = (raw or b"").decode("utf-8", "replace")
@@ -285,7 +285,7 @@ def _score(blob):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = blob.value
         selected = Selected(model["codes"])
-        for batch in batches:
+        for batch in slices(batches):
             parts = [score_texts(model, selected, texts) for _, texts in _grouped(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc_id", "held_out", "score"])
 
@@ -307,7 +307,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = blob.value
         selected = Selected(fitted["codes"])
-        for batch in batches:
+        for batch in slices(batches):
             parts = [score_texts(fitted, selected, texts) for _, texts in _grouped(batch.column(raw).to_pylist())]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *parts]) < threshold))
 
