@@ -46,11 +46,14 @@ def pixels(v: Column, digits: int = 1) -> Column:
     return _or_missing(v, F.concat(_fixed(v, digits), F.lit(" px")))
 
 
-def byte_size(v: Column) -> Column:
-    out = F.when(v < 1024, F.concat(_fixed(v, 0), F.lit(" B")))
-    for power, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(v < 1024 ** (power + 1), F.concat(_fixed(v / 1024**power, 1), F.lit(f" {unit}")))
-    return _or_missing(v, out.otherwise(F.concat(_fixed(v / 1024**3, 1), F.lit(" GB"))))
+def byte_size(v: Column, largest: str = "GB") -> Column:
+    """A size in the unit that leaves less than 1024 of it; nothing is told in more than `largest` (KB, MB or GB)."""
+    out, units = F.when(v < 1024, F.concat(_fixed(v, 0), F.lit(" B"))), ("KB", "MB", "GB")
+    last = units.index(largest) + 1
+    told = lambda power: F.concat(_fixed(v / 1024**power, 1), F.lit(f" {units[power - 1]}"))
+    for power in range(1, last):
+        out = out.when(v < 1024 ** (power + 1), told(power))
+    return _or_missing(v, out.otherwise(told(last)))
 
 
 def aspect(ratio: Column) -> Column:
