@@ -76,7 +76,9 @@ def wait(requests: DataFrame, events: DataFrame, timeout: str = TIMEOUT, memory:
     by_time = Window.partitionBy("map_id").orderBy("time", "turn", "event")
     settled = F.when(F.col("event.status").isin(*SETTLED), F.col("event"))
     rows = rows.withColumn("before", F.last("event", ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("after", F.first(settled, ignorenulls=True).over(by_time.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # the first one from here on is the last one so far when time is read backwards; a frame that reaches to the end would be read anew for every row
+    back = Window.partitionBy("map_id").orderBy(F.desc("time"), F.desc("turn"), F.desc("event"))
+    rows = rows.withColumn("after", F.last(settled, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.filter("turn = 1").withColumnRenamed("time", "asked")
     before = F.when(F.col("before.at") >= F.col("asked") - F.expr(f"INTERVAL {memory}"), F.col("before"))
     after = F.when(F.col("after.at") <= F.col("asked") + F.expr(f"INTERVAL {timeout}"), F.col("after"))
@@ -111,7 +113,7 @@ def embedded(maps: DataFrame, scales: tuple[float, ...] = tiling.SCALES, max_til
     rasters = images.decode(maps.select(F.col("map_id").cast("string").alias("path"), "content")).withColumnRenamed("path", "map_id")
     rasters = rasters.select(F.col("map_id").cast("long"), F.col("height").alias("h"), F.col("width").alias("w"), "channels", "px")
     sizes = rasters.filter("px IS NOT NULL AND h > 0 AND w > 0").selectExpr("map_id", "w AS map_w", "h AS map_h")
-    tiles = tiling.within_budget(tiling.tile_grid(sizes, scales), max_tiles)
+    tiles = tiling.tile_grid(sizes, scales, max_tiles=max_tiles)
     listed = tiles.groupBy("map_id").agg(F.sort_array(F.collect_list(F.struct("tile_id", "x", "y", "width", "height", "scale"))).alias("tiles"))  # max_tiles at most
     return rasters.join(listed, "map_id", "left").mapInArrow(_embed, _TILES)
 
