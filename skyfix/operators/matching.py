@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -228,21 +229,92 @@ def verified(q: np.ndarray, t: np.ndarray, frame_w: float, frame_h: float, seed:
     return out | {"error": float(e.mean()), "error_median": float(np.median(e)), "error_p90": float(np.percentile(e, 90)), "cells": len(cells), "coverage": len(cells) / grid**2}
 
 
+def verified_alike(q: np.ndarray, t: np.ndarray, frame_w: float, frame_h: float, threshold: float = 7.5, grid: int = 4, rounds: int = 1000) -> list[dict]:
+    """verified() of many groups of one size (groups, points, 2), all at once, where every four of a group is tried and no seed is needed."""
+    groups, n = q.shape[:2]
+    fours = _fours(n, rounds, 0)
+    step = max(1, (_CELL >> 8) // len(fours))
+    if groups > step:
+        return [r for i in range(0, groups, step) for r in verified_alike(q[i : i + step], t[i : i + step], frame_w, frame_h, threshold, grid, rounds)]
+    order = np.lexsort((t[..., 1], t[..., 0], q[..., 1], q[..., 0]), axis=-1)[..., None]
+    q, t = np.take_along_axis(q, order, 1), np.take_along_axis(t, order, 1)
+    ones = np.concatenate([q, np.ones((groups, n, 1))], axis=2)
+
+    def errors(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+        p = ones[of, None] @ np.swapaxes(h, -1, -2)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            e = np.sqrt(((p[..., :2] / p[..., 2:] - t[of, None]) ** 2).sum(axis=-1))
+        return np.where(np.isfinite(e), e, np.inf)
+
+    every = np.arange(groups)
+    found = solve_homographies(q[:, fours].reshape(-1, 4, 2), t[:, fours].reshape(-1, 4, 2)).reshape(groups, -1, 3, 3)
+    held = np.where(np.isnan(found).any(axis=(2, 3)), -1.0, support(errors(found, every), threshold).sum(axis=2))
+    best, most = found[every, held.argmax(axis=1)], held.max(axis=1)
+    open_ = np.flatnonzero(most >= 0)
+    for _ in range(10):
+        w = support(errors(best[open_, None], open_)[:, 0], threshold)
+        open_, w = open_[(some := (w > 0).sum(axis=1) >= 4)], w[some]
+        if not len(open_):
+            break
+        h = solve_homographies(q[open_], t[open_], w)
+        now = np.where(np.isnan(h).any(axis=(1, 2)), -1.0, support(errors(h[:, None], open_)[:, 0], threshold).sum(axis=1))
+        better = now > most[open_]
+        open_ = open_[better]
+        best[open_], most[open_] = h[better], now[better]
+    out = {"raw_matches": n, "inliers": 0, "ratio": 0.0, "error": None, "error_median": None, "error_p90": None, "cells": 0, "coverage": 0.0, "h": None, "rejection": None}
+    e = errors(best[:, None], every)[:, 0]
+    inside = (e <= threshold) & (most >= 0)[:, None]
+    number, ranked = inside.sum(axis=1), np.sort(np.where(inside, e, np.inf), axis=1)
+
+    def quantile(share: float) -> np.ndarray:
+        at = share * np.maximum(number - 1, 0)
+        low = np.floor(at).astype(int)
+        a, b = ranked[every, low], ranked[every, np.minimum(low + 1, np.maximum(number - 1, 0))]
+        return a + (b - a) * (at - low)
+
+    with np.errstate(invalid="ignore"):
+        figures = np.stack([np.where(inside, e, 0.0).sum(axis=1) / np.maximum(number, 1), quantile(0.5), quantile(0.9)], axis=1).tolist()
+    cell = np.clip((np.where(inside[..., None], q, 0.0) / [frame_w, frame_h] * grid).astype(int), 0, grid - 1)
+    met = np.zeros((groups, grid * grid), bool)
+    of, point = np.nonzero(inside)
+    met[of, (cell[..., 0] * grid + cell[..., 1])[of, point]] = True
+    rows, flat, number, cells = [], best.reshape(groups, 9).tolist(), number.tolist(), met.sum(axis=1).tolist()
+    for i in range(groups):
+        if most[i] < 0:  # the rarer way
+            rows.append(verified(q[i], t[i], frame_w, frame_h, 0, threshold, grid))
+            continue
+        row = out | {"h": flat[i], "inliers": number[i], "ratio": number[i] / n}
+        error, median, p90 = figures[i]
+        rows.append(row | ({"rejection": "insufficient_inliers"} if number[i] < 4 else {"error": error, "error_median": median, "error_p90": p90, "cells": cells[i], "coverage": cells[i] / grid**2}))
+    return rows
+
+
 def estimate_homographies(matches: DataFrame, frame_w: float, frame_h: float, threshold: float = 7.5, grid: int = 4) -> DataFrame:
     """One row for each group of correspondences (group, qx, qy, tx, ty).
 
-    A group is one candidate's matches, bounded by the keypoint cap of extraction; groups are dealt
-    by key and each is solved from a seed of its own, so retries give the same result.
+    A group is one candidate's matches, bounded by the keypoint cap of extraction, so it is one row with a list. Groups so small that every four
+    is tried are solved together, by size; a larger one is solved from a seed of its own, so retries give the same result.
     """
 
-    def solve(key: tuple, rows: pa.Table) -> pa.Table:
-        at = {c: rows.column(c).to_numpy().astype(float) for c in ("qx", "qy", "tx", "ty")}
-        group = key[0].as_py()
-        out = verified(np.column_stack([at["qx"], at["qy"]]), np.column_stack([at["tx"], at["ty"]]), frame_w, frame_h, abs(int(group)), threshold, grid)
-        return pa.Table.from_pylist([{"group": group} | out], schema=_HOMOGRAPHY)
-
-    rows = matches.select(F.col("group").cast("long"), *(F.col(c).cast("double") for c in ("qx", "qy", "tx", "ty")))
-    return rows.groupBy("group").applyInArrow(solve, HOMOGRAPHY)
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column("group").to_pylist(), batch.column("points")
+            ends, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            points = np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(4)], axis=1)
+            first, rows = np.concatenate([[0], np.cumsum(ends)[:-1]]).astype(int), [None] * len(ids)
+            for n in np.unique(ends):
+                own = np.flatnonzero(ends == n)
+                if 4 <= n and comb(int(n), 4) <= 500:  # as many as the truncated RANSAC tries
+                    at = points[first[own][:, None] + np.arange(n)]
+                    found = verified_alike(at[..., :2], at[..., 2:], frame_w, frame_h, threshold, grid)
+                else:
+                    found = [verified(p[:, :2], p[:, 2:], frame_w, frame_h, abs(int(ids[i] or 0)), threshold, grid) for i in own for p in [points[first[i] : first[i] + n]]]
+                for i, row in zip(own, found, strict=True):
+                    rows[i] = {"group": ids[i]} | row
+            yield pa.RecordBatch.from_pylist(rows, schema=_HOMOGRAPHY)
+
+    rows = matches.select(F.col("group").cast("long"), F.struct(*(F.col(c).cast("double") for c in ("qx", "qy", "tx", "ty"))).alias("p"))
+    return rows.groupBy("group").agg(F.collect_list("p").alias("points")).mapInArrow(solve, HOMOGRAPHY)
 
 
 def inlier_sample(points: DataFrame, most: int = 400) -> DataFrame:
