@@ -85,19 +85,19 @@ def pixels(shapes: DataFrame, sizes: DataFrame) -> DataFrame:
     """image_id, x, y, z, colour, alpha of every pixel of every shape inside its image (sizes: image_id, width, height)."""
     points, thick = F.col("points"), F.greatest(F.coalesce("thickness", F.lit(1)), F.lit(1))
     usable = shapes.filter(F.coalesce(F.size("points") > 0, F.lit(False)) & ~F.coalesce(F.exists("points", lambda p: p.isNull() | p["x"].isNull() | p["y"].isNull()), F.lit(False)))
-    of = usable.join(sizes.select("image_id", "width", "height"), "image_id")
+    # few shapes become many pixels: they are dealt by image first, and an image's pixels stay where they are made
+    of = usable.join(sizes.select("image_id", "width", "height"), "image_id").repartition(int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
     keep = ("image_id", "width", "height", "z", "colour", "alpha")
-    lines = of.filter(F.col("kind").isin("line", "ring")).select(*keep, thick.alias("t"), F.explode(F.flatten(F.transform(_edges(points, F.col("kind") == "ring"), _line))).alias("p"))
-    low = -_floor((F.col("t") - 1) / 2)
-    brush = lambda axis: F.sequence(low + F.col("p")[axis], low + F.col("p")[axis] + F.col("t") - 1)
-    lines = lines.select(*keep, brush("x").alias("xs"), F.explode(brush("y")).alias("y")).select(*keep, F.explode("xs").alias("x"), "y")
+    low = -_floor((thick - 1) / 2)
+    stroke = lambda y, p: F.struct(y.alias("y"), (low + p["x"]).alias("x0"), (low + p["x"] + thick - 1).alias("x1"))
+    brush = lambda p: F.transform(F.sequence(low + p["y"], low + p["y"] + thick - 1), lambda y: stroke(y, p))
+    strokes = F.flatten(F.transform(F.flatten(F.transform(_edges(points, F.col("kind") == "ring"), _line)), brush))
     r, half = F.coalesce("radius", F.lit(0)).cast("double"), thick / 2
-    spans = F.when(F.col("kind") == "fill", _spans(points)).when(F.col("kind") == "disc", _disc(points, r, F.lit(-1.0))).when(F.col("kind") == "circle", _disc(points, r + half, r - half))
-    runs = of.filter(F.col("kind").isin("fill", "disc", "circle")).select(*keep, F.inline(spans))
+    spans = F.when(F.col("kind").isin("line", "ring"), strokes).when(F.col("kind") == "fill", _spans(points)).when(F.col("kind") == "disc", _disc(points, r, F.lit(-1.0))).when(F.col("kind") == "circle", _disc(points, r + half, r - half))
+    runs = of.select(*keep, F.inline(spans))
     # cut to the image before columns are made of a run
     runs = runs.withColumns({"x0": F.greatest("x0", F.lit(0)), "x1": F.least("x1", F.col("width") - 1)}).filter("x0 <= x1 AND y >= 0 AND y < height")
-    runs = runs.select(*keep, F.explode(F.sequence("x0", "x1")).alias("x"), "y")
-    return lines.unionByName(runs).filter("x >= 0 AND y >= 0 AND x < width AND y < height").select("image_id", "x", "y", "z", "colour", "alpha").distinct()
+    return runs.select("image_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", "colour", "alpha").distinct()
 
 
 def composited(laid: DataFrame) -> DataFrame:
