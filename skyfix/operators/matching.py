@@ -16,8 +16,33 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 RATIO = 0.78
 MIN_MATCHES = 8
-#: Descriptors of a block of one side, and numbers that a cell compares at once.
-BLOCK, _CELL = 2048, 1 << 23
+#: Numbers and rows that a block of one side holds at most, numbers that are worked on at once, and a square below which products do not overflow.
+BLOCK, BLOCK_ROWS, _CELL, _SAFE = 1 << 20, 1 << 14, 1 << 23, 1e300
+
+
+def _contenders(q: np.ndarray, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, target) among which each query's two nearest are, slice by slice.
+
+    Matrix products give the squared distances but for rounding, so whatever lies within its bound of the second nearest is a contender.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, far = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", t, t)
+        odd, always = ~(far < _SAFE), ~(own < _SAFE)
+        slack = 16 * (q.shape[1] + 8) * np.finfo(float).eps * (own + far[~odd].max(initial=0.0)) + 1 / _SAFE
+        left = np.column_stack([-2 * q, np.ones(len(q))])
+        right = np.column_stack([np.where(odd[:, None], 0.0, t), np.where(odd, np.inf, far)]).T
+        rows = max(1, (_CELL >> 3) // len(t))
+        for i in range(0, len(q), rows):
+            d = left[i : i + rows] @ right
+            at, near = np.arange(len(d)), d.argmin(axis=1)
+            least = d[at, near]
+            d[at, near] = np.inf
+            limit = d.min(axis=1) + slack[i : i + rows]
+            d[at, near] = least
+            some = ~(d > limit[:, None])
+            some[:, odd] = some[always[i : i + rows]] = True
+            of, to = np.divmod(np.flatnonzero(some), len(t))
+            yield of + i, to
 
 
 def _two_nearest(key: tuple, queries: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
@@ -26,37 +51,34 @@ def _two_nearest(key: tuple, queries: pd.DataFrame, targets: pd.DataFrame) -> pd
         return pd.DataFrame({"group": [], "query_id": [], "target_id": [], "d": []})
     targets = targets.sort_values("_id")
     q, t = (np.stack(side["_vector"]).astype(float) for side in (queries, targets))
-    rows = max(1, _CELL // max(t.size, 1))
-    of, at, d = [], [], []
-    for i in range(0, len(q), rows):
-        far = np.sqrt(((q[i : i + rows, None] - t[None]) ** 2).sum(axis=2))
-        far[np.isnan(far)] = np.inf
-        for _ in range(min(2, len(t))):
-            near = far.argmin(axis=1)
-            own = far[np.arange(len(far)), near]
-            some = np.flatnonzero(np.isfinite(own))
-            of.append(some + i)
-            at.append(near[some])
-            d.append(own[some])
-            far[np.arange(len(far)), near] = np.inf
-    of, at = np.concatenate(of), np.concatenate(at)
-    return pd.DataFrame({"group": key[0], "query_id": queries["_id"].to_numpy()[of], "target_id": targets["_id"].to_numpy()[at], "d": np.concatenate(d)})
-
-
-def knn_ratio_match(queries: DataFrame, targets: DataFrame, ratio: float = RATIO, block: int = BLOCK) -> DataFrame:
+    pairs, found = max(1, _CELL // max(q.shape[1], 1)), []
+    for of, to in _contenders(q, t):
+        far = np.concatenate([np.sqrt(((q[of[i : i + pairs]] - t[to[i : i + pairs]]) ** 2).sum(axis=1)) for i in range(0, len(of), pairs)] or [np.empty(0)])
+        order = np.lexsort((to, far, of))
+        order = order[np.isfinite(far[order])]
+        third = np.zeros(len(order), bool)
+        third[2:] = of[order[2:]] == of[order[:-2]]
+        order = order[~third]
+        found.append((of[order], to[order], far[order]))
+    of, to, far = (np.concatenate(part) for part in zip(*found, strict=True))
+    return pd.DataFrame({"group": key[0], "query_id": queries["_id"].to_numpy()[of], "target_id": targets["_id"].to_numpy()[to], "d": far})
+
+
+def knn_ratio_match(queries: DataFrame, targets: DataFrame, ratio: float = RATIO, block: int | None = None) -> DataFrame:
     """group, query_id, target_id, confidence: nearest targets that pass the ratio test (strictly).
 
     Both sides: group (one candidate's two images), id, descriptor. Exact, by L2, ties by id; a set with fewer than
-    two descriptors matches nothing. Each side of a group is dealt to blocks of about `block` rows, and every pair of
-    blocks is one task's cell, which two rows of each query leave: no group is held whole, and the rows that are
-    shuffled do not grow with a group's pairs. A null group or descriptor is no row, a distance that is not finite
+    two descriptors matches nothing. Each side of a group is dealt to blocks of about `block` rows (by default as many as
+    hold BLOCK numbers), and every pair of blocks is one task's cell, which two rows of each query leave: no group is held
+    whole. A row is shuffled once for each block of the other side, and all pairs are compared, by matrix products. A null group or descriptor is no row, a distance that is not finite
     none, and only descriptors of one length are compared.
     """
     key = ["group", "_width"]
     q, t = (side.filter("group is not null and descriptor is not null").select("group", "id", "descriptor", F.size("descriptor").alias("_width")) for side in (queries, targets))
     count = lambda side, name: side.groupBy(key).agg(F.count(F.lit(1)).alias(name))
     sizes = count(q, "_q").join(count(t, "_t"), key).filter("_q >= 2 and _t >= 2")
-    sizes = sizes.select(*key, *[F.ceil(F.col(c) / block).cast("int").alias(c) for c in ("_q", "_t")])
+    most = F.lit(block) if block else F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1), F.floor(BLOCK / F.greatest("_width", F.lit(1)))))
+    sizes = sizes.select(*key, *[F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("_q", "_t")])
 
     def cells(side: DataFrame, own: str, other: str) -> DataFrame:
         rows = side.join(sizes, key).withColumn(f"{own}_at", F.pmod(F.xxhash64("id"), F.col(own)).cast("int"))

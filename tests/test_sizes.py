@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,19 @@ def test_jobs_are_dealt_once(spark, name):
     plan = plan_of(queries.QUERIES[name](spark, SF))
     dealt = [line for line in plan.splitlines() if re.search(r"\bExchange\b", line)]
     assert all("REPARTITION_BY_NUM" in line and "l_orderkey" in line for line in dealt if "hashpartitioning" in line) and dealt
+
+
+def test_nearest_descriptors_are_found_by_products():
+    rng = np.random.default_rng(6)
+    for n, kinds in ((90, None), (90, 2), (2, 2), (1, None)):
+        q, t = ((rng.normal(size=(m, 8)) if kinds is None else rng.integers(0, kinds, (m, 8)).astype(float)) for m in (70, n))
+        q[:4] = 1e8 + q[:4] * 1e-6
+        t = np.concatenate([t, q[2:6], 1e160 * t[:1], np.full((1, 8), np.nan)])
+        ids = rng.permutation(len(t))
+        got = matching._two_nearest((1,), pd.DataFrame({"_id": range(70), "_vector": list(q)}), pd.DataFrame({"_id": ids, "_vector": list(t)}))
+        with np.errstate(over="ignore"):
+            far = np.sqrt(((q[:, None] - t[None]) ** 2).sum(axis=2))
+        wanted = sorted((i, d, int(k)) for i in range(70) for d, k in sorted(zip(far[i], ids, strict=True))[:2] if np.isfinite(d))
+        assert sorted(zip(got["query_id"], got["d"], got["target_id"], strict=True)) == wanted
+    q = rng.normal(size=(2000, 64))
+    assert sum(len(of) for of, _ in matching._contenders(q, q)) < 3 * len(q)  # every pair was measured before: 4,000,000
