@@ -1,6 +1,7 @@
 """Regions of masks against a flood fill."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skyfix.operators import regions
@@ -87,3 +88,41 @@ def test_lines_of_many_runs_are_joined_by_bins(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], MASK)
     assert regions.labelled(none).collect() == [] and regions.outline(regions.labelled(none)).collect() == []
+
+
+def tall():
+    """Masks of several strips."""
+    rng = np.random.default_rng(1)
+    return {1: rng.random((200, 30)) < 0.42, 2: snake(151), 3: np.ones((129, 5), bool), 4: rng.random((64, 9)) < 0.5}
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_regions_and_outlines_go_on_across_strips(spark, corners):
+    top = -70  # lines below zero too
+    rows = regions.labelled(spark.createDataFrame([(i, y + top, line.tolist()) for i, m in tall().items() for y, line in enumerate(m)], MASK), corners)
+    found, open_ = {i: {} for i in tall()}, {i: set() for i in tall()}
+    for r in rows.collect():
+        for x in range(r.x0, r.x1 + 1):
+            assert found[r.image_id].setdefault((r.y - top, x), (r.label_y - top, r.label_x)) == (r.label_y - top, r.label_x)
+    for r in regions.outline(rows).collect():
+        assert found[r.image_id][r.y - top, r.x] == (r.label_y - top, r.label_x) and (r.x, r.y) not in open_[r.image_id]
+        open_[r.image_id].add((r.x, r.y))
+    for i, m in tall().items():
+        assert found[i] == flood(m, corners), i
+        inside = np.zeros_like(m)
+        inside[1:-1, 1:-1] = m[1:-1, 1:-1] & m[:-2, 1:-1] & m[2:, 1:-1] & m[1:-1, :-2] & m[1:-1, 2:]
+        assert open_[i] == {(int(x), int(y) + top) for y, x in zip(*np.nonzero(m & ~inside), strict=True)}, i
+
+
+def test_strips_are_worked_on_in_slices(monkeypatch):
+    line = pa.list_(pa.struct([("y", pa.int32()), ("cells", pa.list_(pa.bool_()))]))
+    strips = [[{"y": 64 * i + y, "cells": row.tolist()} for y, row in enumerate(m[:64])] for i, m in enumerate(tall().values())]
+    strips = pa.array([*strips, None, [], [{"y": 3, "cells": None}], strips[0]], line)
+    numbers = pa.array([0, 1, 2, 3, 0, 0, 0, 0], pa.int32())
+    label = regions._labelled_strips(1).func
+    runs = label(strips)
+    pixels = regions._open(numbers, runs)
+    assert [len(r) for r in runs.to_pylist()][4:7] == [0, 0, 0] and runs[7] == runs[0]
+    for size in (1, 700, 5000):
+        monkeypatch.setattr(regions, "_SLICE", size)
+        assert label(strips) == runs and regions._open(numbers, runs) == pixels

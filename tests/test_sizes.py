@@ -120,3 +120,8 @@ def test_nearest_descriptors_are_found_by_products():
         assert sorted(zip(got["query_id"], got["d"], got["target_id"], strict=True)) == wanted
     q = rng.normal(size=(2000, 64))
     assert sum(len(of) for of, _ in matching._contenders(q, q)) < 3 * len(q)  # every pair was measured before: 4,000,000
+
+
+def test_outlines_read_their_runs_once(spark):
+    plan = plan_of(queries.block_outlines(spark, SF))
+    assert plan.count("FileScan") == 1 and len(re.findall(r"\bExchange\b", plan)) == 4 and "Join" not in plan
