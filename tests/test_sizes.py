@@ -125,3 +125,12 @@ def test_nearest_descriptors_are_found_by_products():
 def test_outlines_read_their_runs_once(spark):
     plan = plan_of(queries.block_outlines(spark, SF))
     assert plan.count("FileScan") == 1 and len(re.findall(r"\bExchange\b", plan)) == 4 and "Join" not in plan
+
+
+def test_masks_of_one_strip_take_no_rounds(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("*"))
+    plan = plan_of(queries.mask_regions(spark, SF))
+    assert set(shared.glob("*")) == before and "Join" not in plan and len(re.findall(r"\bExchange\b", plan)) == 3
