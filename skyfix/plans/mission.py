@@ -1,7 +1,8 @@
 """Mission plans: JSON text to waypoints, bounds and warnings, with VARIANT expressions.
 
-Plans are rows (plan_id, body). A body is parsed once and its items exploded; the parts of an item that holds others are
-unfolded to any depth by a helper that sees only such items, so one pass over the plans does for all levels.
+Plans are rows (plan_id, body). A body is parsed once and its items are one array of its row; the parts of an item that holds
+others are unfolded to any depth by a helper that sees only such items, so one pass over the plans does for all levels, and
+what is told of a plan as a whole needs neither a join nor a shuffle.
 """
 
 from __future__ import annotations
@@ -84,39 +85,54 @@ def unfolded(item: str) -> list[dict]:
 
 
 def _parts(column: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unfolded(x) for x in column.to_pylist()], _PARTS)
+    return pa.array([None if x is None else [None if item is None else unfolded(item) for item in x] for x in column.to_pylist()], pa.list_(_PARTS))
+
+
+def _with_entries(parsed: DataFrame) -> DataFrame:
+    """Adds entries: path (places from the top), item, is_complex, n_inner of every item of a plan, nested ones too; empty where there are none."""
+
+    def entry(item: Column, i: Column) -> Column:
+        given = _items(item, "$.TransectStyleComplexItem.Items")
+        is_complex = F.coalesce(F.try_variant_get(item, "$.type", "string") == "ComplexItem", F.lit(False))
+        parts = F.coalesce(F.when(is_complex, F.coalesce(F.when(F.size(given) > 0, given), _items(item, "$.Items"))), F.array().cast("array<variant>"))
+        return F.struct(F.array(i).alias("path"), item.alias("item"), is_complex.alias("is_complex"), F.size(parts).alias("n_inner"))
+
+    def with_parts(own: Column, below: Column) -> Column:
+        part = lambda x: F.struct(F.concat(own["path"], x["path"]).alias("path"), F.parse_json(x["item"]).alias("item"), x["is_complex"].alias("is_complex"), x["n_inner"].alias("n_inner"))
+        return F.when(below.isNull(), F.array(own)).otherwise(F.concat(F.array(own), F.transform(below, part)))
+
+    parts_of = F.arrow_udf(_parts, "array<array<struct<path:array<int>,item:string,is_complex:boolean,n_inner:int>>>")
+    out = parsed.withColumn("_top", F.transform(F.coalesce(_items(F.col("doc"), "$.mission.items"), F.array().cast("array<variant>")), entry))
+    out = out.withColumn("_below", parts_of(F.transform("_top", lambda e: F.when(e["n_inner"] > 0, F.to_json(e["item"])))))
+    return out.withColumn("entries", F.flatten(F.zip_with("_top", "_below", with_parts))).drop("_top", "_below")
 
 
 def items(parsed: DataFrame) -> DataFrame:
     """plan_id, path (places from the top), item, is_complex, n_inner of every item, nested ones too."""
-    rows = parsed.filter("error is null").select("plan_id", F.posexplode(_items(F.col("doc"), "$.mission.items")).alias("i", "item"))
-    given = _items(F.col("item"), "$.TransectStyleComplexItem.Items")
-    is_complex = F.coalesce(F.try_variant_get("item", "$.type", "string") == "ComplexItem", F.lit(False))
-    parts = F.coalesce(F.when(is_complex, F.coalesce(F.when(F.size(given) > 0, given), _items(F.col("item"), "$.Items"))), F.array().cast("array<variant>"))
-    rows = rows.select("plan_id", F.array("i").alias("path"), "item", is_complex.alias("is_complex"), F.size(parts).alias("n_inner"))
-    parts_of = F.arrow_udf(_parts, "array<struct<path:array<int>,item:string,is_complex:boolean,n_inner:int>>")
-    below = parts_of(F.when(F.col("n_inner") > 0, F.to_json("item")))
-    rows = rows.withColumn("below", below)
-    entry = lambda path, item, flag, n: F.struct(path.alias("path"), item.alias("item"), flag.alias("is_complex"), n.alias("n_inner"))
-    own = entry(F.col("path"), F.col("item"), F.col("is_complex"), F.col("n_inner"))
-    nested = F.transform("below", lambda x: entry(F.concat("path", x["path"]), F.parse_json(x["item"]), x["is_complex"], x["n_inner"]))
-    return rows.select("plan_id", F.explode(F.when(F.col("below").isNull(), F.array(own)).otherwise(F.concat(F.array(own), nested))).alias("e")).select("plan_id", "e.*")
-
-
-def _described(rows: DataFrame) -> DataFrame:
-    """Adds the columns of a waypoint to items; they count where is_simple."""
-    item = F.col("item")
-    params = _items(item, "$.params")
-    lat, lon, alt = (number(item, f"$.params[{i}]") for i in (4, 5, 6))
+    return _with_entries(parsed.filter("error is null")).select("plan_id", F.inline("entries"))
+
+
+def _is_simple(item: Column, is_complex: Column) -> Column:
+    return ~is_complex & F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+
+
+def _place(item: Column) -> tuple[Column, Column]:
+    """Latitude and longitude; (0, 0) is no position."""
+    lat, lon = (number(item, f"$.params[{i}]") for i in (4, 5))
     nowhere = (lat == 0) & (lon == 0)
-    alt = F.when(F.size(F.coalesce(params, F.array().cast("array<variant>"))) > 6, alt).otherwise(number(item, "$.Altitude"))
-    command = F.coalesce(F.try_variant_get("item", "$.command", "int"), F.lit(0))
+    return F.when(nowhere, None).otherwise(lat), F.when(nowhere, None).otherwise(lon)
+
+
+def _described(item: Column, path: Column) -> dict[str, Column]:
+    """The columns of a waypoint, of a simple item."""
+    params, (lat, lon) = _items(item, "$.params"), _place(item)
+    alt = F.when(F.size(F.coalesce(params, F.array().cast("array<variant>"))) > 6, number(item, "$.params[6]")).otherwise(number(item, "$.Altitude"))
+    command = F.coalesce(F.try_variant_get(item, "$.command", "int"), F.lit(0))
     names = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
+    name = F.coalesce(F.try_element_at(names, command), F.concat(F.lit("CMD_"), command.cast("string")))
     # an item without a number of its own counts on from the places of the items that hold it
-    seq = F.coalesce(F.try_variant_get("item", "$.doJumpId", "int"), F.aggregate("path", F.lit(1), lambda a, i: a + i))
-    out = rows.withColumns({"is_simple": ~F.col("is_complex") & F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False)), "seq": seq, "command": command, "altitude": alt, "frame": F.try_variant_get("item", "$.frame", "int")})
-    out = out.withColumns({"latitude": F.when(nowhere, None).otherwise(lat), "longitude": F.when(nowhere, None).otherwise(lon)})
-    return out.withColumn("command_name", F.coalesce(F.try_element_at(names, F.col("command")), F.concat(F.lit("CMD_"), F.col("command").cast("string"))))
+    seq = F.coalesce(F.try_variant_get(item, "$.doJumpId", "int"), F.aggregate(path, F.lit(1), lambda a, i: a + i))
+    return {"seq": seq, "command": command, "command_name": name, "latitude": lat, "longitude": lon, "altitude": alt, "frame": F.try_variant_get(item, "$.frame", "int")}
 
 
 def waypoints(parsed: DataFrame) -> DataFrame:
@@ -124,7 +140,8 @@ def waypoints(parsed: DataFrame) -> DataFrame:
 
     (0, 0) is no position. The altitude falls back to the item's own where there are six parameters or fewer.
     """
-    return _described(items(parsed)).filter("is_simple").select("plan_id", "path", "seq", "command", "latitude", "longitude", "altitude", "frame", "command_name")
+    simple = items(parsed).filter(_is_simple(F.col("item"), F.col("is_complex")))
+    return simple.withColumns(_described(F.col("item"), F.col("path"))).select("plan_id", "path", "seq", "command", "latitude", "longitude", "altitude", "frame", "command_name")
 
 
 def home(parsed: DataFrame) -> DataFrame:
@@ -153,29 +170,28 @@ def _padded() -> list[Column]:
     return [F.round(c, 7).alias(n) for n, c in (("north", F.col("north") + pad_lat), ("south", F.col("south") - pad_lat), ("west", F.col("west") - pad_lon), ("east", F.col("east") + pad_lon))]
 
 
-def _outline(parsed: DataFrame, *more: Column) -> DataFrame:
-    """plan_id, counts, warnings and `more` of every readable plan, with its waypoints in order: one pass over its items."""
-    of = _described(items(parsed)).groupBy("plan_id")
-    waypoint = F.struct("path", F.struct("seq", "command", "command_name", "latitude", "longitude", "altitude", "frame").alias("w"))
-    kind = F.coalesce(F.try_variant_get("item", "$.complexItemType", "string"), F.lit("unknown"))
-    closed = F.when(F.col("is_complex") & (F.col("n_inner") == 0), F.struct("path", kind.alias("kind")))
-    of = of.agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("is_simple"), waypoint))), lambda e: e["w"]).alias("waypoints"),
-        F.transform(F.array_sort(F.collect_list(closed)), lambda c: F.format_string(NOT_EXPANDED, c["kind"])).alias("_closed"),
-    )
+def overview(parsed: DataFrame) -> DataFrame:
+    """parsed with its entries (no duplicates of plan_id are put together), and n_geofences, n_rally, n_waypoints, n_positions and warnings, null where there is an error."""
+    out, none = _with_entries(parsed), F.array().cast("array<string>")
     size = lambda path: F.greatest(F.size(F.coalesce(_items(F.col("doc"), path), F.array().cast("array<variant>"))), F.lit(0))
-    base = parsed.filter("error is null").select("plan_id", (size("$.mission.plannedHomePosition") < 3).alias("_homeless"), size("$.geoFence.polygons").alias("n_geofences"), size("$.rallyPoints.points").alias("n_rally"), *more)
-    out = base.join(of, "plan_id", "left").withColumn("waypoints", F.coalesce("waypoints", F.array().cast(of.schema["waypoints"].dataType)))
-    none = F.array().cast("array<string>")
-    n = F.size("waypoints").cast("long")
-    warnings = F.concat(F.when(F.col("_homeless"), F.array(F.lit(NO_HOME))).otherwise(none), F.coalesce("_closed", none), F.when(n == 0, F.array(F.lit(NO_WAYPOINTS))).otherwise(none))
-    positions = F.size(F.filter("waypoints", lambda w: w["latitude"].isNotNull())).cast("long")
-    return out.withColumns({"n_waypoints": n, "n_positions": positions, "warnings": warnings}).drop("_homeless", "_closed")
+    simple = F.filter("entries", lambda e: _is_simple(e["item"], e["is_complex"]))
+    out = out.withColumn("_simple", F.transform(simple, lambda e: e["item"]))
+    kind = lambda item: F.coalesce(F.try_variant_get(item, "$.complexItemType", "string"), F.lit("unknown"))
+    closed = F.array_sort(F.transform(F.filter("entries", lambda e: e["is_complex"] & (e["n_inner"] == 0)), lambda e: F.struct(e["path"].alias("path"), kind(e["item"]).alias("kind"))))
+    homeless, n = size("$.mission.plannedHomePosition") < 3, F.size("_simple").cast("long")
+    warnings = F.concat(
+        F.when(homeless, F.array(F.lit(NO_HOME))).otherwise(none),
+        F.transform(closed, lambda c: F.format_string(NOT_EXPANDED, c["kind"])),
+        F.when(n == 0, F.array(F.lit(NO_WAYPOINTS))).otherwise(none),
+    )
+    positions = F.size(F.filter("_simple", lambda item: _place(item)[0].isNotNull())).cast("long")
+    told = {"n_geofences": size("$.geoFence.polygons"), "n_rally": size("$.rallyPoints.points"), "n_waypoints": n, "n_positions": positions, "warnings": warnings}
+    return out.withColumns({name: F.when(F.col("error").isNull(), c) for name, c in told.items()}).drop("_simple")
 
 
 def summary(parsed: DataFrame) -> DataFrame:
     """plan_id, n_geofences, n_rally, n_waypoints, n_positions, warnings of every readable plan."""
-    return _outline(parsed).select("plan_id", "n_geofences", "n_rally", "n_waypoints", "n_positions", "warnings")
+    return overview(parsed.filter("error is null")).select("plan_id", "n_geofences", "n_rally", "n_waypoints", "n_positions", "warnings")
 
 
 def documents(parsed: DataFrame) -> DataFrame:
@@ -187,7 +203,11 @@ def documents(parsed: DataFrame) -> DataFrame:
     header = [F.try_variant_get("doc", path, kind).alias(name) for name, path, kind in HEADER]
     speeds = [number(F.col("doc"), f"$.mission.{key}").alias(name) for name, key in (("cruise_speed", "cruiseSpeed"), ("hover_speed", "hoverSpeed"))]
     filename = F.col("filename") if "filename" in parsed.columns else F.lit(None).cast("string")
-    out = _outline(parsed, filename.alias("filename"), *header, *speeds, F.array(*_home()).alias("_home")).withColumn("waypoint_count", F.col("n_waypoints"))
+    waypoint = lambda e: F.struct(e["path"].alias("path"), F.struct(*(c.alias(name) for name, c in _described(e["item"], e["path"]).items())).alias("w"))
+    simple = F.filter("entries", lambda e: _is_simple(e["item"], e["is_complex"]))
+    waypoints_ = F.transform(F.array_sort(F.transform(simple, waypoint)), lambda e: e["w"]).alias("waypoints")
+    out = overview(parsed.filter("error is null")).select("plan_id", "n_geofences", "n_rally", "n_waypoints", "warnings", waypoints_, filename.alias("filename"), *header, *speeds, F.array(*_home()).alias("_home"))
+    out = out.withColumn("waypoint_count", F.col("n_waypoints"))
     placed = F.filter("waypoints", lambda w: w["latitude"].isNotNull() & w["longitude"].isNotNull())
     out = out.withColumn("coordinates", F.transform(placed, lambda w: F.array(w["latitude"], w["longitude"])))
     at_home = F.get("_home", 0).isNotNull() & F.get("_home", 1).isNotNull()

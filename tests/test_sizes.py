@@ -134,3 +134,9 @@ def test_masks_of_one_strip_take_no_rounds(spark):
     before = set(shared.glob("*"))
     plan = plan_of(queries.mask_regions(spark, SF))
     assert set(shared.glob("*")) == before and "Join" not in plan and len(re.findall(r"\bExchange\b", plan)) == 3
+
+
+@pytest.mark.parametrize("name", ["plan_warnings", "plan_summary", "mission_documents"])
+def test_plans_are_told_in_one_pass(spark, name):
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    assert plan.count("FileScan") == plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
