@@ -1,6 +1,6 @@
 """Connected regions of pixel masks, from runs of pixels.
 
-A mask is rows (image_id, y, cells): one array of flags for each line. Lines are dealt by strips of STRIP lines, whose runs of set pixels a helper
+A mask is rows (image_id, y, cells): one array of flags for each line, or for `labelled` one long whose bit x is cell x. Lines are dealt by strips of STRIP lines, whose runs of set pixels a helper
 labels; only runs that touch across a strip's edge are linked by joins, and these links are contracted to components by joins too. There, a line's runs
 are filed by bins of BIN pixels, so a line of many short runs has no more pairs to look at than runs touch a bin. No task holds more than a strip.
 
@@ -139,13 +139,22 @@ def _bounds(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def _labelled_strips(reach: int):
     def label(lines: pa.Array) -> pa.Array:
         first, flat = _bounds(lines)
-        y, (cell, flags) = flat.field("y").to_numpy(zero_copy_only=False).astype(int), _bounds(flat.field("cells"))
+        y, cells = flat.field("y").to_numpy(zero_copy_only=False).astype(int), flat.field("cells")
+        packed = pa.types.is_int64(cells.type)
+        if packed:
+            cell, words = np.arange(len(cells) + 1) * 64, cells.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+        else:
+            cell, flags = _bounds(cells)
         out = []
         for a, b in _slices(np.diff(cell[first])):
             rows = np.arange(first[a], first[b])
             of_line = np.repeat(np.arange(a, b), np.diff(first[a : b + 1]))
             start, stop = cell[first[a]], cell[first[b]]
-            on = np.flatnonzero(flags.slice(start, stop - start).fill_null(False).to_numpy(zero_copy_only=False)) + start
+            if packed:
+                set_ = np.unpackbits(words[first[a] : first[b]].view(np.uint8), bitorder="little")
+            else:
+                set_ = flags.slice(start, stop - start).fill_null(False).to_numpy(zero_copy_only=False)
+            on = np.flatnonzero(set_) + start
             row = np.searchsorted(cell, on, side="right") - 1
             x = on - cell[row]
             pitch = int(x.max(initial=0)) + 3
@@ -172,14 +181,24 @@ def _labelled_strips(reach: int):
     return F.arrow_udf(label, "array<struct<y:int,x0:int,x1:int,label_y:int,label_x:int>>")
 
 
-def labelled(mask: DataFrame, corners: bool = True) -> DataFrame:
-    """image_id, y, x0, x1, label_y, label_x: every run with its region, which is named after its first pixel (smallest y, then x)."""
+def reaching(lines: DataFrame) -> bool:
+    """Whether a strip reaches the next one: lines may be a mask or anything else with its image_id and y."""
+    return not lines.filter((F.pmod(F.col("y").cast("int"), F.lit(STRIP)) == STRIP - 1) & F.col("image_id").isNotNull()).isEmpty()
+
+
+def labelled(mask: DataFrame, corners: bool = True, reaches: bool | None = None) -> DataFrame:
+    """image_id, y, x0, x1, label_y, label_x: every run with its region, which is named after its first pixel (smallest y, then x).
+
+    What `reaching` says of the mask may be told in `reaches`, where it is found at less cost than from the mask.
+    """
     lines = mask.filter("image_id IS NOT NULL AND y IS NOT NULL").select("image_id", F.col("y").cast("int").alias("y"), "cells")
-    strips = lines.groupBy("image_id", _strip(F.col("y")).alias("strip")).agg(F.array_sort(F.collect_list(F.struct("y", "cells"))).alias("lines"))
+    # dealt to all tasks: by the shuffle's few MB there would be fewer, and each would hold more regions than fit into memory
+    dealt = lines.withColumn("strip", _strip(F.col("y"))).repartition(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "strip")
+    strips = dealt.groupBy("image_id", "strip").agg(F.array_sort(F.collect_list(F.struct("y", "cells"))).alias("lines"))
     rows = strips.select("image_id", _labelled_strips(1 if corners else 0)("lines").alias("runs")).select("image_id", F.inline("runs"))
-    place = F.pmod("y", F.lit(STRIP))
-    if lines.filter(place == STRIP - 1).isEmpty():  # no strip reaches the next one
+    if not (reaching(lines) if reaches is None else reaches):
         return rows
+    place = F.pmod("y", F.lit(STRIP))
     rows = _written(rows, f"{shared_dir(mask.sparkSession)}/runs-{uuid.uuid4().hex}")
     own = F.struct("label_y", "label_x")
     seams = touching(rows.filter((place == 0) | (place == STRIP - 1)), corners, own)

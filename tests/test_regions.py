@@ -126,3 +126,19 @@ def test_strips_are_worked_on_in_slices(monkeypatch):
     for size in (1, 700, 5000):
         monkeypatch.setattr(regions, "_SLICE", size)
         assert label(strips) == runs and regions._open(numbers, runs) == pixels
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_lines_may_come_as_the_bits_of_longs(spark, corners):
+    rng = np.random.default_rng(3)
+    lines = [(i, y, (rng.random(64) < p).tolist()) for i, p in enumerate((0.0, 0.3, 0.6, 1.0)) for y in range(-3, 70)]
+    lines += [(9, 5, [True, True]), (9, 5, [False, True, True]), (9, 7, None), (9, 64, [True] + 62 * [False] + [True]), (None, 1, [True])]
+    word = lambda cells: None if cells is None else int(np.packbits(np.pad(cells, (0, 64 - len(cells))), bitorder="little").view("<i8")[0])
+    longs = spark.createDataFrame([(i, y, word(cells)) for i, y, cells in lines], "image_id long, y int, cells long")
+    wanted, got = (sorted(map(tuple, regions.labelled(df, corners).collect())) for df in (spark.createDataFrame(lines, MASK), longs))
+    assert got == wanted and {r[0] for r in got} == {1, 2, 3, 9}
+
+
+def test_strips_reach_each_other_where_a_line_ends_one(spark):
+    at = lambda *rows: regions.reaching(spark.createDataFrame(rows, "image_id long, y int"))
+    assert not at((1, 0), (1, 62), (1, None), (None, 63)) and at((1, 63)) and at((2, -1))

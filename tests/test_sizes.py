@@ -136,6 +136,16 @@ def test_masks_of_one_strip_take_no_rounds(spark):
     assert set(shared.glob("*")) == before and "Join" not in plan and len(re.findall(r"\bExchange\b", plan)) == 3
 
 
+@pytest.mark.parametrize("name", ["mask_regions", "block_outlines"])
+def test_pixels_become_few_rows_before_they_are_shuffled(spark, name):
+    """A task's pixels of a mask are two rows at most, where it had one for each of the 40 lines, and strips are not gathered in fewer tasks than there are."""
+    plan = plan_of(queries.QUERIES[name](spark, SF)).splitlines()
+    dealt = [line for line in plan if re.search(r"\bExchange\b", line)]
+    assert "REPARTITION_BY_NUM" in dealt[-2] and "strip" in dealt[-2] and "image_id" in dealt[-1] and "y#" not in dealt[-1]
+    first = next(line for line in reversed(plan) if "HashAggregate" in line)
+    assert first.count("partial_bit_or") == queries.BAND and queries.MASK_SIDE / queries.BAND <= 2
+
+
 @pytest.mark.parametrize("name", ["plan_warnings", "plan_summary", "mission_documents"])
 def test_plans_are_told_in_one_pass(spark, name):
     plan = plan_of(queries.QUERIES[name](spark, SF))
