@@ -186,14 +186,15 @@ def reaching(lines: DataFrame) -> bool:
     return not lines.filter((F.pmod(F.col("y").cast("int"), F.lit(STRIP)) == STRIP - 1) & F.col("image_id").isNotNull()).isEmpty()
 
 
-def labelled(mask: DataFrame, corners: bool = True, reaches: bool | None = None) -> DataFrame:
+def labelled(mask: DataFrame, corners: bool = True, reaches: bool | None = None, tasks: int | None = None) -> DataFrame:
     """image_id, y, x0, x1, label_y, label_x: every run with its region, which is named after its first pixel (smallest y, then x).
 
-    What `reaching` says of the mask may be told in `reaches`, where it is found at less cost than from the mask.
+    What `reaching` says of the mask may be told in `reaches`, where it is found at less cost than from the mask. Strips are dealt to so many tasks, or to as many as
+    Spark takes for the MB shuffled: few where lines are longs, so that a task's regions may not fit into memory.
     """
     lines = mask.filter("image_id IS NOT NULL AND y IS NOT NULL").select("image_id", F.col("y").cast("int").alias("y"), "cells")
-    # dealt to all tasks: by the shuffle's few MB there would be fewer, and each would hold more regions than fit into memory
-    dealt = lines.withColumn("strip", _strip(F.col("y"))).repartition(int(mask.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "strip")
+    dealt = lines.withColumn("strip", _strip(F.col("y")))
+    dealt = dealt if tasks is None else dealt.repartition(tasks, "image_id", "strip")
     strips = dealt.groupBy("image_id", "strip").agg(F.array_sort(F.collect_list(F.struct("y", "cells"))).alias("lines"))
     rows = strips.select("image_id", _labelled_strips(1 if corners else 0)("lines").alias("runs")).select("image_id", F.inline("runs"))
     if not (reaching(lines) if reaches is None else reaches):

@@ -138,7 +138,7 @@ def test_masks_of_one_strip_take_no_rounds(spark):
 
 @pytest.mark.parametrize("name", ["mask_regions", "block_outlines"])
 def test_pixels_become_few_rows_before_they_are_shuffled(spark, name):
-    """A task's pixels of a mask are two rows at most, where it had one for each of the 40 lines, and strips are not gathered in fewer tasks than there are."""
+    """A task's pixels of a mask are two rows at most, where it had one for each of the 40 lines, and strips are dealt to as many tasks as read the table at least."""
     plan = plan_of(queries.QUERIES[name](spark, SF)).splitlines()
     dealt = [line for line in plan if re.search(r"\bExchange\b", line)]
     assert "REPARTITION_BY_NUM" in dealt[-2] and "strip" in dealt[-2] and "image_id" in dealt[-1] and "y#" not in dealt[-1]
