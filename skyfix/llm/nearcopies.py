@@ -85,9 +85,16 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
+def among(s: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of s are in the sorted array `known`, by bisection: np.isin would sort all of `known` anew for every text."""
+    return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+
+
 def _scan_prefixes(size: int, similarity: float, last: np.ndarray):
+    """last: sorted."""
+
     def ordered(s: np.ndarray) -> np.ndarray:
-        late = np.isin(s, last)
+        late = among(s, last)
         return np.concatenate([s[~late], s[late]])[: _prefix(len(s), similarity)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +276,7 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     sample = texts.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).dropDuplicates(["text_hash"]).select("text")
     often = sample.mapInArrow(_scan_sets(size), "set long, shingles array<long>").select(F.explode("shingles").alias("s"))
     often = often.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(MOST)
-    last = np.array(sorted(r["s"] for r in often.collect()), np.int64).view(np.uint64)
+    last = np.sort(np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64))
     marked = texts.mapInArrow(_scan_prefixes(size, similarity, last), "doc_id long, text_hash long, set long, n long, fp long, prefix array<long>")
     distinct = marked.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     distinct = materialise(distinct, "shingle-sets")

@@ -1,7 +1,10 @@
 """The near-duplicate stage against brute force over five-word shingles."""
 
+import time
+
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_text_operators import docs_of, words_of
 
@@ -55,3 +58,19 @@ def test_stage_matches_brute_force(spark, wide):
     for r in got:
         low[r.root] = min(low.get(r.root, r.row.doc_id), r.row.doc_id)
     assert sorted(low.values()) == kept_ids(rows)
+
+
+def test_prefixes_take_no_longer_for_more_frequent_shingles():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 60)).encode() for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(range(600)), pa.array(texts)], ["doc_id", "text_hash", "text"])
+    sets = list(nearcopies.shingle_sets(batch.column("text"), 5))
+    own = np.concatenate([s[::3] for s in sets])  # frequent ones that the texts hold, and as many as there may be
+    last = np.unique(np.concatenate([own, rng.integers(0, 2**63, nearcopies.MOST, dtype=np.uint64) * 2]))
+    began = time.process_time()
+    got = [np.array(x, np.int64).view(np.uint64) for out in nearcopies._scan_prefixes(5, 0.8, last)(iter([batch])) for x in out.column("prefix").to_pylist()]
+    assert time.process_time() - began < 2  # 8 ms a text before
+    for prefix, s in zip(got, sets, strict=True):
+        late = np.isin(s, last)
+        assert late.any() and (prefix == np.concatenate([s[~late], s[late]])[: nearcopies._prefix(len(s), 0.8)]).all()
+    assert not nearcopies.among(sets[0], last[:0]).any()
