@@ -6,11 +6,13 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyfix import queries
 from skyfix.functions import text
-from skyfix.operators import matching, raster, tiling
+from skyfix.operators import clustering, matching, raster, scoring, tiling, verdict
+from skyfix.plans import results
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,3 +152,31 @@ def test_pixels_become_few_rows_before_they_are_shuffled(spark, name):
 def test_plans_are_told_in_one_pass(spark, name):
     plan = plan_of(queries.QUERIES[name](spark, SF))
     assert plan.count("FileScan") == plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["result_body"])
+def test_documents_find_their_clusters_once(spark, name):
+    plan = plan_of(queries.QUERIES[name](spark, SF))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and len(re.findall(r"\bExchange\b", plan)) == 1
+
+
+def test_documents_in_one_pass_are_those_of_the_joins(spark):
+    rng, rows = np.random.default_rng(11), []
+    some = lambda v: None if rng.random() < 0.15 else v
+    for job in range(60):
+        for k in range(int(rng.integers(1, 8))):
+            n, near = int(rng.integers(1, 90)), float(rng.integers(0, 4) * 60)
+            valid = some(bool(rng.random() < 0.5))
+            partial = some(not valid and bool(rng.random() < 0.5))
+            rows.append((job, k, int(rng.integers(0, 9)), some(float(rng.integers(0, 12)) / 11), n, n // 2, some(0.5), some(0.25 * k), some(float(rng.integers(0, 20)) / 3), valid, partial, some("odd"), some(0.1), some(near), some(near)))
+    schema = "job_id long, candidate_id int, tile_id long, similarity double, raw_matches long, inliers int, ratio double, coverage double, error double, valid boolean, partial boolean, rejection string, shear double, x double, y double"
+    order = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("geo"), "candidate_id"))
+    for frame in (rows, []):
+        scored = scoring.evaluate(spark.createDataFrame(frame, schema))
+        cells = clustering.assign(scoring.finalize(scored, queries.RADIUS).withColumn("order", order), queries.RADIUS)
+        ranked = clustering.rank(clustering.aggregate(cells))
+        best = clustering.best(ranked)
+        listed = results.with_clusters(results.candidates(cells), cells, ranked)
+        wanted = results.document(verdict.decide(ranked), best, clustering.weighted_center(cells), listed, ranked, results.supporting_members(cells, best))
+        got = results.documents_of(cells)
+        assert got.columns == wanted.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
