@@ -1,5 +1,6 @@
 """Work and plans that must not outgrow the input."""
 
+import json
 import re
 import time
 
@@ -154,7 +155,7 @@ def test_plans_are_told_in_one_pass(spark, name):
     assert plan.count("FileScan") == plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["result_body"])
+@pytest.mark.parametrize("name", ["result_body", "result_document"])
 def test_documents_find_their_clusters_once(spark, name):
     plan = plan_of(queries.QUERIES[name](spark, SF))
     assert plan.count("FileScan") == 1 and "Join" not in plan and len(re.findall(r"\bExchange\b", plan)) == 1
@@ -180,3 +181,13 @@ def test_documents_in_one_pass_are_those_of_the_joins(spark):
         wanted = results.document(verdict.decide(ranked), best, clustering.weighted_center(cells), listed, ranked, results.supporting_members(cells, best))
         got = results.documents_of(cells)
         assert got.columns == wanted.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+
+
+def test_documents_hold_every_candidate_and_cluster(spark):
+    rows = {r.job_id: json.loads(r.body) for r in queries.result_document(spark, SF).collect()}
+    wanted = {}
+    for r in queries.cluster_assign(spark, SF).collect():
+        wanted.setdefault(r.job_id, set()).add((r.candidate_id, r.cluster_id))
+    assert {j: {(c["candidate_id"], c["cluster_id"]) for c in b["candidates"]} for j, b in rows.items()} == wanted
+    assert {j: {c["cluster_id"] for c in b["location_clusters"]} for j, b in rows.items()} == {j: {c for _, c in own} for j, own in wanted.items()}
+    assert all(len(c["components"]) == 5 for b in rows.values() for c in b["candidates"])
