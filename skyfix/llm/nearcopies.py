@@ -26,12 +26,12 @@ shingle make one shingle; a null doc_id counts as the smallest long; repeated ro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyfix.llm.common import LONG_MIN, as_bytes, discard, materialise, slices
@@ -233,23 +233,30 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(keys.select("key", "members"), "key").select("key", "set", "label", "members")
 
 
-def _pair_links(members: DataFrame, sizes: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], wide: int, similarity: float) -> DataFrame:
-    """u, v: the links of different labels that have a prefix shingle of a bucket of at most `wide` sets in common."""
+def _likely(common: Column, similarity: float) -> Column:
+    return common * (1 + similarity) >= similarity * (F.col("u_n") + F.col("v_n")) - 1e-9
+
+
+def _pairs(members: DataFrame, sizes: DataFrame, wide: int, similarity: float) -> DataFrame:
+    """u_set, v_set, u_n, v_n: pairs of different labels with a prefix shingle of a bucket of at most `wide` sets in common, that their prefixes do not rule out."""
     many = members.groupBy("set").agg(F.sum((F.col("members") > wide).cast("long")).alias("many"))
     rows = materialise(members.filter(F.col("members") <= wide).join(many, "set").join(sizes, "set").select("key", "set", "label", "n", "rest", "many"), "narrow-places")
     a, b = (rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns[1:]]) for side in "uv")
-    enough = lambda common: common * (1 + similarity) >= similarity * (F.col("u_n") + F.col("v_n")) - 1e-9
-    pairs = a.join(b, "key").filter((F.col("u_set") < F.col("v_set")) & (F.col("u_label") != F.col("v_label")) & enough(F.least("u_n", "v_n")))
+    pairs = a.join(b, "key").filter((F.col("u_set") < F.col("v_set")) & (F.col("u_label") != F.col("v_label")) & _likely(F.least("u_n", "v_n"), similarity))
     own = [f"{side}_{c}" for side in "uv" for c in ("n", "rest", "many")]
     pairs = pairs.groupBy("u_set", "v_set").agg(F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in own])
     most = F.least(F.col("c") + F.least("u_many", "v_many") + F.greatest("u_rest", "v_rest"), "u_n", "v_n")
-    pairs = materialise(pairs.filter(enough(most)).select("u_set", "v_set", "u_n", "v_n"), "pairs")
+    pairs = materialise(pairs.filter(_likely(most, similarity)).select("u_set", "v_set", "u_n", "v_n"), "pairs")
     discard(rows)
-    sets = sets_of(pairs.select(F.explode(F.array("u_set", "v_set")).alias("set")).distinct(), "pair-sets")
+    return pairs
+
+
+def _pair_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: the pairs that are linked, by the lists of their sets."""
     for side in "uv":
         pairs = pairs.join(sets.select(F.col("set").alias(f"{side}_set"), F.col("list").alias(f"{side}_list")), f"{side}_set")
     common = F.size(F.array_intersect("u_list", "v_list"))
-    return pairs.filter(enough(common)).select(F.col("u_set").alias("u"), F.col("v_set").alias("v"))
+    return pairs.filter(_likely(common, similarity)).select(F.col("u_set").alias("u"), F.col("v_set").alias("v"))
 
 
 def _fingerprint_groups(distinct: DataFrame, radius: int) -> DataFrame:
@@ -284,7 +291,8 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     keys = materialise(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared-shingles")
     shared = materialise(places.join(keys, "key").select("key", "set"), "shared-places")
     once = shared.groupBy("set").agg(F.min("key").alias("key")).select("key", "set")
-    once = materialise(_dealt(_fingerprint_groups(distinct, radius).unionByName(once), limit), "first-places")
+    once = materialise(_fingerprint_groups(distinct, radius).unionByName(once), "first-groups")
+    once = materialise(_dealt(once, limit), "first-places")
     discard(keys)
 
     def texts_of(names: DataFrame) -> DataFrame:
@@ -292,21 +300,21 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
         of = names.join(distinct, "set").select(*names.columns, F.col("row.doc_id").alias("of"), F.col("row.text_hash").alias("of_hash"))
         return texts.join(of, (texts["doc_id"] == of["of"]) & (texts["text_hash"] == of["of_hash"])).select(*names.columns, "text")
 
-    def sets_of(names: DataFrame, name: str) -> DataFrame:
-        sets = texts_of(names).select("text").mapInArrow(_scan_sets(size), "set long, shingles array<long>").dropDuplicates(["set"])
-        return materialise(sets.select("set", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("list")), name)
-
     first = texts_of(once).select("key", "set", "text").repartition("key").sortWithinPartitions("key", "set")
     links = materialise(first.mapInArrow(_scan_texts(size, similarity), "u long, v long"), "first-links")
     roots = materialise(connected_components(links), "first-roots")
     labelled = shared.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("component", "set").alias("label"))
     labelled = materialise(_mixed(labelled), "mixed-places")
-    narrow = _pair_links(labelled, distinct.select("set", "n", (F.col("n") - F.size("prefix")).alias("rest")), sets_of, wide, similarity)
+    pairs = _pairs(labelled, distinct.select("set", "n", (F.col("n") - F.size("prefix")).alias("rest")), wide, similarity)
     broad = labelled.filter(F.col("members") > wide).select("key", "set", "label")
     prefixes = distinct.select("set", "n", F.col("prefix").alias("list"))
     open_ = materialise(_bucketed(broad, prefixes).mapInArrow(_scan_open(similarity), "set long").distinct(), "open-sets")
-    again = _bucketed(_mixed(broad.join(open_, "set")), sets_of(open_, "open-lists"))
-    more = narrow.unionByName(again.mapInArrow(_scan_links(similarity), "u long, v long"))
+    # the texts are gone through once for both
+    names = pairs.select(F.explode(F.array("u_set", "v_set")).alias("set")).unionByName(open_).distinct()
+    sets = texts_of(names).select("text").mapInArrow(_scan_sets(size), "set long, shingles array<long>").dropDuplicates(["set"])
+    sets = materialise(sets.select("set", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("list")), "open-lists")
+    again = _bucketed(_mixed(broad.join(open_, "set")), sets)
+    more = _pair_links(pairs, sets, similarity).unionByName(again.mapInArrow(_scan_links(similarity), "u long, v long"))
     roots = connected_components(links.unionByName(more))
     return distinct.join(roots, F.col("set") == F.col("node"), "left").select("set", "row", F.coalesce("component", "set").alias("root"))
 
